@@ -9,12 +9,16 @@ keys it starts anew, which changes speed alone.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable
 
 import numpy as np
 import regex
 
 
+_BLANK_RUN = re.compile(r" \s").search
+
+
 class _Numbered(dict):
     """Gives each new key the next number and remembers it."""
 
@@ -37,8 +41,8 @@ class PieceStore:
 
     Texts are first cut at blanks: a blank before a non-blank always begins a
     pre-token, so the cut pieces (blank included) can be looked up whole without
-    running the pattern. A text with a blank next to other white space at such a
-    cut goes through the pattern itself.
+    running the pattern. A text with a blank before white space or at its end goes
+    through the pattern itself, as a run of white space may then cross a cut.
     """
 
     def __init__(self, encode: Callable, pattern: str, max_entries: int = 800_000):
@@ -65,7 +69,7 @@ class PieceStore:
 
     def number(self, text: str) -> np.ndarray:
         """Numbers of the entries that make up ``text``, in order."""
-        if "  " in text or text[-1:] == " ":
+        if _BLANK_RUN(text) or text[-1:] == " ":
             found = self.findall(text)
             return np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
         head, *rest = text.split(" ")
