@@ -1,11 +1,14 @@
-"""Driver queries of the monitoring operators and SQL for the same rows."""
+"""Driver queries of the monitoring operators, and SQL for the same rows."""
 
 from __future__ import annotations
 
+from driftlane.plans import data, drift, vectors  # noqa: F401  they register their queries
+from driftlane.plans.registry import ORACLE, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)

@@ -1,0 +1 @@
+"""Stateful detectors over streams, and their replay over tables."""
