@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import json
 
 import numpy as np
@@ -78,6 +79,8 @@ class ByteBPE:
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         found = merges if merges is not None else [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = PairTable(*np.array(found, np.int32).reshape(-1, 3).T)
+        b = np.arange(256)
+        self.byte_pairs = self.pairs.rank(*np.broadcast_arrays(self.byte_id[b][:, None], self.byte_id[b][None]))  # where every row starts
         sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.token_len, self.token_start = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.token_bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -107,34 +110,42 @@ class ByteBPE:
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each pre-token, joined, and the number of ids of each."""
         raw = [p.encode() for p in pieces]
-        known = [self.whole.get(b) for b in raw]
-        out: list = [None] * len(raw)
-        buckets: dict[int, list[int]] = {}
-        for i, (b, k) in enumerate(zip(raw, known)):
-            if k is not None:
-                out[i] = (k,)
-            elif len(b) > LONG:
-                out[i] = self._merge_long(self.byte_id[np.frombuffer(b, np.uint8)])
-            else:
-                buckets.setdefault(-(-len(b) // 4) * 4, []).append(i)
-        for width, rows in buckets.items():
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = np.fromiter(map(self.whole.get, raw, itertools.repeat(-1)), np.int64, len(raw)) if self.whole else np.full(len(raw), -1)
+        lengths = np.ones(len(raw), np.int32)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # rows, and a padded matrix of their ids
+        known = np.flatnonzero(whole >= 0)
+        parts.append((known, whole[known].astype(np.int32)[:, None]))
+        for i in np.flatnonzero((whole < 0) & (size > LONG)).tolist():
+            parts.append((np.array([i]), self._merge_long(self.byte_id[np.frombuffer(raw[i], np.uint8)])[None]))
+        short = np.flatnonzero((whole < 0) & (size <= LONG))
+        for width in np.unique(-(-size[short] // 4) * 4).tolist():
+            rows = short[(size[short] > width - 4) & (size[short] <= width)]
             for a in range(0, len(rows), 1 << 15):
                 part = rows[a : a + (1 << 15)]
-                for i, ids in zip(part, self._merge_matrix([raw[i] for i in part], width)):
-                    out[i] = ids
-        lengths = np.fromiter(map(len, out), np.int32, len(out))
-        flat = np.fromiter((x for ids in out for x in ids), np.int32, int(lengths.sum()))
+                parts.append((part, self._merge_matrix([raw[i] for i in part.tolist()], width)))
+        for rows, mat in parts:
+            lengths[rows] = (mat >= 0).sum(1)
+        start = np.cumsum(lengths, dtype=np.int64) - lengths
+        flat = np.empty(int(lengths.sum()), np.int32)
+        for rows, mat in parts:
+            on = mat >= 0
+            flat[(start[rows][:, None] + np.arange(mat.shape[1])[None])[on]] = mat[on]
         return flat, lengths
 
-    def _merge_matrix(self, rows: list[bytes], width: int) -> list[list[int]]:
-        """Every row merges its leftmost minimum-rank pair each round."""
+    def _merge_matrix(self, rows: list[bytes], width: int) -> np.ndarray:
+        """Every row merges its leftmost minimum-rank pair each round. The ids of
+        each row, padded with -1."""
         n, cols = len(rows), np.arange(width)
         mat = np.full((n, width), -1, np.int32)
         size = np.fromiter(map(len, rows), np.int64, n)
-        mat[cols[None] < size[:, None]] = self.byte_id[np.frombuffer(b"".join(rows), np.uint8)]
+        inside = cols[None] < size[:, None]
+        raw = np.zeros((n, width), np.uint8)
+        raw[inside] = np.frombuffer(b"".join(rows), np.uint8)
+        mat[inside] = self.byte_id[raw[inside]]
         done = np.full((n, width), -1, np.int32)
         rank = np.full((n, width), NONE, np.int32)  # of the pair that begins at each place
-        rank[:, :-1] = self.pairs.rank(mat[:, :-1], mat[:, 1:])
+        rank[:, :-1] = np.where(inside[:, 1:], self.byte_pairs[raw[:, :-1], raw[:, 1:]], NONE)
         live = np.arange(n)
         while len(live):
             j = rank.argmin(axis=1)
@@ -156,8 +167,7 @@ class ByteBPE:
             rank[at, j] = self.pairs.rank(mat[at, j], right)
             had = np.flatnonzero(j > 0)
             rank[had, j[had] - 1] = self.pairs.rank(mat[had, j[had] - 1], mat[had, j[had]])
-        count = (done >= 0).sum(1)
-        return [r[:c] for r, c in zip(done.tolist(), count.tolist())]
+        return done
 
     def _merge_long(self, ids: np.ndarray) -> np.ndarray:
         """One long row. All places of the least rank merge in one round, from

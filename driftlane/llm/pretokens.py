@@ -8,7 +8,6 @@ keys it starts anew, which changes speed alone.
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Callable
 
@@ -45,7 +44,7 @@ class PieceStore:
     through the pattern itself, as a run of white space may then cross a cut.
     """
 
-    def __init__(self, encode: Callable, pattern: str, max_entries: int = 800_000):
+    def __init__(self, encode: Callable, pattern: str, max_entries: int = 1_500_000):
         self.encode, self.max_entries = encode, max_entries
         self.pattern = regex.compile(pattern)
         self.findall = self.pattern.findall
@@ -87,7 +86,10 @@ class PieceStore:
     def settle(self):
         """Encode what was numbered since the last call."""
         chunks, self.chunks.fresh = self.chunks.fresh, []
-        parts = [(i, list(map(self.pieces.__getitem__, self.findall(" " + c)))) for i, c in chunks]
+        # chunks hold no blank, so in their join each begins with the one match that starts with a blank
+        found = self.findall(" " + " ".join([c for _, c in chunks])) if chunks else []
+        of = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        first = np.flatnonzero(np.fromiter((p[0] == " " for p in found), bool, len(found)))
         fresh, self.pieces.fresh = self.pieces.fresh, []
         if self.n > len(self.start):
             size = max(self.n, 2 * len(self.start))
@@ -96,11 +98,8 @@ class PieceStore:
         if fresh:
             flat, lengths = self.encode([p for _, p in fresh])
             self._put(np.fromiter((i for i, _ in fresh), np.int64, len(fresh)), flat, lengths)
-        if parts:
-            counts = np.fromiter((len(p) for _, p in parts), np.int64, len(parts))
-            of = np.fromiter(itertools.chain.from_iterable(p for _, p in parts), np.int64, int(counts.sum()))
-            per = np.add.reduceat(self.length[of], np.concatenate([[0], np.cumsum(counts)[:-1]])) if len(of) else counts
-            self._put(np.fromiter((i for i, _ in parts), np.int64, len(parts)), self.gather(of), per)
+        if chunks:
+            self._put(np.fromiter((i for i, _ in chunks), np.int64, len(chunks)), self.gather(of), np.add.reduceat(self.length[of], first))
 
     def _put(self, at: np.ndarray, flat: np.ndarray, lengths: np.ndarray):
         need = self.used + len(flat)
