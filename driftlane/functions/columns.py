@@ -15,7 +15,8 @@ def total(a: str | Column) -> Column:
 
 
 def mean(a: str | Column) -> Column:
-    return total(a) / F.size(col(a))
+    """Null for an empty array."""
+    return F.try_divide(total(a), F.size(col(a)))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -27,6 +28,7 @@ def squared_distance(a: str | Column, b: str | Column) -> Column:
 
 
 def minkowski(a: str | Column, b: str | Column, p: float = 2) -> Column:
+    """Of absolute differences, for odd p too."""
     return F.pow(total(F.zip_with(col(a), col(b), lambda x, y: F.pow(F.abs(x - y), F.lit(float(p))))), F.lit(1.0 / p))
 
 
@@ -44,7 +46,8 @@ def relative_distance(a: str | Column, b: str | Column, eps: float = 1e-12) -> C
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null if a vector is zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def softmax(a: str | Column) -> Column:
@@ -65,11 +68,12 @@ def margin(p: str | Column, width: float = 0.1) -> Column:
 
 
 def kl(p: str | Column, q: str | Column) -> Column:
-    return total(F.zip_with(col(p), col(q), lambda x, y: F.when(x > 0, x * F.ln(x / y)).otherwise(0.0)))
+    """Infinite where ``q`` leaves out what ``p`` has."""
+    return total(F.zip_with(col(p), col(q), lambda x, y: F.when((x > 0) & (y > 0), x * F.ln(F.try_divide(x, y))).when(x > 0, float("inf")).otherwise(0.0)))
 
 
 def cross_entropy(p: str | Column, q: str | Column) -> Column:
-    return total(F.zip_with(col(p), col(q), lambda x, y: -x * F.ln(y)))
+    return total(F.zip_with(col(p), col(q), lambda x, y: F.when(y > 0, -x * F.ln(y)).when(x > 0, float("inf")).otherwise(0.0)))
 
 
 def sharpen(p: str | Column, temperature: float) -> Column:

@@ -71,7 +71,7 @@ def kolmogorov_sf(d: float, n: int) -> float:
     mat[-1, 0] += (2 * h - 1) ** m if 2 * h > 1 else 0
     fact = np.array([math.lgamma(x + 1) for x in range(m + 1)])
     gap = i - j + 1
-    mat = np.where(gap > 0, mat / np.exp(fact[np.clip(gap, 0, m)]), mat)
+    mat = np.where(gap > 0, mat * np.exp(-fact[np.clip(gap, 0, m)]), mat)
     result, scale, power, pscale, e = np.eye(m), 0, mat, 0, n
     while e:
         if e & 1:

@@ -198,7 +198,8 @@ def corrupt_image(x: np.ndarray, kind: str, strength: float, rng: np.random.Gene
         u = resize(u, max(1, int(h * strength)), max(1, int(w * strength)))
         u = u[np.arange(h) * u.shape[0] // h][:, np.arange(w) * u.shape[1] // w]
     elif kind == "elastic":
-        dx, dy = (_blur(rng.uniform(-1, 1, (h, w, 1)), gaussian_kernel(3.0))[..., 0] * strength for _ in range(2))
+        dx, dy = (_blur(rng.uniform(-1, 1, (h, w, 1)), gaussian_kernel(3.0))[..., 0] for _ in range(2))
+        dx, dy = (d / np.abs(d).max() * strength for d in (dx, dy))
         i, j = np.mgrid[:h, :w]
         u = u[np.clip(np.rint(i + dy), 0, h - 1).astype(int), np.clip(np.rint(j + dx), 0, w - 1).astype(int)]
     elif kind == "jpeg":

@@ -277,7 +277,7 @@ def one_segment(both: DataFrame, segment: str | None, run: Callable[[pd.DataFram
     key = segment or "__all"
     held = both if segment else both.withColumn(key, F.lit("all"))
 
-    def apply(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def apply(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"segment": str(k[0])} | run(pdf)])
 
     return held.groupBy(key).applyInPandas(apply, f"segment string, {schema}")

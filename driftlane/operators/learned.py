@@ -67,13 +67,13 @@ def hard_test(probs: DataFrame) -> DataFrame:
     at least."""
     right = ((F.col("prob") > 0.5).cast("int") == 1 - F.col("is_ref")).cast("long")
     c = probs.agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("correct"), F.greatest(F.sum("is_ref"), F.sum(1 - F.col("is_ref"))).alias("most"))
-    base, acc = F.col("most") / F.col("n"), F.col("correct") / F.col("n")
+    base, acc = F.try_divide("most", "n"), F.try_divide("correct", "n")
 
     @F.pandas_udf("double")
     def p_value(k: pd.Series, n: pd.Series, share: pd.Series) -> pd.Series:
-        return pd.Series([stats.binom_sf(int(a), int(b), float(s)) for a, b, s in zip(k, n, share)])
+        return pd.Series([stats.binom_sf(int(a), int(b), float(s)) if b else None for a, b, s in zip(k, n, share)], dtype="float64")
 
-    return c.select(acc.alias("accuracy"), F.greatest(F.lit(0.0), 1 - (1 - acc) / (1 - base)).alias("distance"), p_value("correct", "n", base).alias("p_val"))
+    return c.select(acc.alias("accuracy"), F.greatest(F.lit(0.0), 1 - F.try_divide(1 - acc, 1 - base)).alias("distance"), p_value("correct", "n", base).alias("p_val"))
 
 
 def classifier_drift(ref: DataFrame, test: DataFrame, features: list[str] | str, key: str, model: str | Estimator = "lr", p_val: float = 0.05, binarise: bool = False, n_folds: int | None = 5, seed: int = 0) -> DataFrame:

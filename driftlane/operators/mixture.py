@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.operators.projection import vector
+from driftlane.operators.projection import moments, vector
 
 
 def gaussian_energy(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, eps: float = 0.0) -> np.ndarray:
@@ -30,10 +30,11 @@ def gaussian_energy(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs:
 
 def gmm(df: DataFrame, ref: DataFrame, features: list[str] | str, n_components: int = 2, seed: int = 0) -> DataFrame:
     """Adds ``score``: minus the log density under a mixture fitted on the reference."""
-    fitted = GaussianMixture(k=n_components, seed=seed, featuresCol="__v").fit(ref.select(array_to_vector(vector(features)).alias("__v")))
-    weights = np.array(fitted.weights)
-    params = fitted.gaussiansDF.collect()
-    means, covs = np.array([r.mean.toArray() for r in params]), np.array([r.cov.toArray() for r in params])
+    if n_components == 1:
+        _, mean, cov = moments(ref, features)
+        weights, means, covs = np.ones(1), mean[None], cov[None]
+    else:
+        weights, means, covs = _fit_gmm(ref, features, n_components, seed)
 
     @F.pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:
@@ -42,6 +43,12 @@ def gmm(df: DataFrame, ref: DataFrame, features: list[str] | str, n_components:
     return df.withColumn("score", score(vector(features)))
 
 
+def _fit_gmm(ref: DataFrame, features: list[str] | str, n_components: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    fitted = GaussianMixture(k=n_components, seed=seed, featuresCol="__v").fit(ref.select(array_to_vector(vector(features)).alias("__v")))
+    params = fitted.gaussiansDF.collect()
+    return np.array(fitted.weights), np.array([r.mean.toArray() for r in params]), np.array([r.cov.toArray() for r in params])
+
+
 def svm(df: DataFrame, ref: DataFrame, features: list[str] | str, nu: float, n_components: int = 50, kernel: Callable | None = None, id_col: str = "id", steps: int = 60, seed: int = 0) -> DataFrame:
     """Adds ``score``: minus the margin of a one-class SVM in Nystroem features.
 

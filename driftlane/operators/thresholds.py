@@ -62,7 +62,7 @@ def empirical_p_value(df: DataFrame, validation: DataFrame, score: str, extra: i
     both = v.unionByName(asked).groupBy("s").agg(F.sum("c").alias("c"))
     above = F.coalesce(F.sum("c").over(Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = F.sum("c").over(Window.partitionBy())
-    ranks = both.select(F.col("s").alias("__s"), ((1 + above) / (n + extra)).alias("p_value"))
+    ranks = both.select(F.col("s").alias("__s"), F.try_divide(1 + above, n + extra).alias("p_value"))
     return df.join(ranks, df[score].cast("double") == ranks["__s"], "left").drop("__s")
 
 
@@ -89,7 +89,7 @@ def shift_scale_normaliser(validation: DataFrame, scores: str):
     k = validation.select(F.size(scores)).first()[0]
     stats = validation.agg(*[f(F.get(F.col(scores), F.lit(j))).alias(f"{n}{j}") for j in range(k) for f, n in ((F.avg, "m"), (F.stddev_samp, "s"))]).first()
     means, devs = (F.array(*[F.lit(float(stats[f"{n}{j}"])) for j in range(k)]) for n in "ms")
-    return lambda c: F.zip_with(F.zip_with(col(c), means, lambda x, m: x - m), devs, lambda x, s: x / s)
+    return lambda c: F.zip_with(F.zip_with(col(c), means, lambda x, m: x - m), devs, lambda x, s: F.try_divide(x, s))
 
 
 def average(scores: str | Column, weights: list[float] | None = None) -> Column:

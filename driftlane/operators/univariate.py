@@ -74,7 +74,7 @@ def ks_statistic(df: DataFrame, features: Iterable[str], alternative: str = "two
     over the test's, ``less`` the other way round. A feature whose one sample is
     empty has a null distance.
     """
-    gap = F.col("ref_upto") / F.col("n_ref") - F.col("test_upto") / F.col("n_test")
+    gap = F.try_divide("ref_upto", "n_ref") - F.try_divide("test_upto", "n_test")
     gap = {"two-sided": F.abs(gap), "greater": gap, "less": -gap}[alternative]
     out = running(value_counts(long_form(df, features, flag))).groupBy("feature")
     least = F.greatest(F.max(gap), F.lit(0.0))
@@ -94,7 +94,7 @@ def cvm_statistic(df: DataFrame, features: Iterable[str], flag: str = "is_ref")
         return k * a * a - a * k * (k + 1) + k * (k + 1) * (2 * k + 1) / 6.0
 
     u = r.groupBy("feature", "n_ref", "n_test").agg(F.sum(n * squares("ref") + m * squares("test")).alias("u"))
-    t = F.col("u") / (n * m * (n + m)) - (4 * n * m - 1) / (6 * (n + m))
+    t = F.try_divide(F.col("u"), n * m * (n + m)) - F.try_divide(4 * n * m - 1, 6 * (n + m))
     return u.select("feature", F.when((n > 0) & (m > 0), t).alias("distance"), "n_ref", "n_test")
 
 
@@ -119,7 +119,7 @@ def fet_statistic(df: DataFrame, features: Iterable[str], alternative: str = "gr
 
     a, b = F.col("sum_test"), F.col("sum_ref")
     c, d = F.col("n_test") - a, F.col("n_ref") - b
-    odds = F.when((a + b == 0) | (c + d == 0), F.lit(float("nan"))).when(b * c == 0, F.lit(float("inf"))).otherwise(a * d / (b * c))
+    odds = F.when((a + b == 0) | (c + d == 0), F.lit(float("nan"))).when(b * c == 0, F.lit(float("inf"))).otherwise(F.try_divide(a * d, b * c))
     return fet_table(df, features, flag).select("feature", odds.alias("distance"), p_value(a, b, c, d).alias("p_val"), "n_ref", "n_test")
 
 
@@ -142,7 +142,7 @@ def chi2_statistic(df: DataFrame, features: Iterable[str], flag: str = "is_ref")
         e = F.col(n) * both / (F.col("n_ref") + F.col("n_test"))
         gap = F.abs(F.col(x) - e)
         gap = F.when(F.col("k") == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-        return F.when(e > 0, gap * gap / e).otherwise(0.0)
+        return F.coalesce(F.try_divide(gap * gap, e), F.lit(0.0))
 
     return c.groupBy("feature").agg(F.sum(part("ref", "n_ref") + part("test", "n_test")).alias("distance"), (F.max("k") - 1).alias("dof"), F.max("n_ref").alias("n_ref"), F.max("n_test").alias("n_test"))
 
