@@ -16,10 +16,10 @@ WIDTH = 2  # components in a subspace
 #: Inner products count from this share of the lengths on; sets the weight of the parallel error.
 THRESHOLD = 0.2
 ROUNDS = 6
-BLOCK = 2048
+BLOCK = 8192
 QUERY_BLOCK = 512
 #: Rows of each block that are reranked for each query.
-RERANK = 128
+RERANK = 256
 
 
 class Codebook:
