@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from driftlane.llm import common
 
 #: Bytes of text in a block, and bytes of text for each range of hashes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 24 << 20
 #: Tokens that the smoothing adds to a state, dealt out as its backoff state has them.
 PRIOR = 4.0
