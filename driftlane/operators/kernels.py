@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlane.functions.columns import squared_distance
+from driftlane.functions.frames import number
 from driftlane.operators.neighbours import as_matrix
 
 TILE = 2048
@@ -59,52 +60,60 @@ class Samples:
     rows: DataFrame  # n, v, is_ref, tile
     n_ref: int
     n_test: int
-    tiles: int = field(default=1)
+    tiles: int = 1
+    size: int = TILE  # rows in a tile
 
 
-def numbered(ref: DataFrame, test: DataFrame, vec_col: str = "features", order: str | None = None) -> Samples:
+def numbered(ref: DataFrame, test: DataFrame, vec_col: str = "features", order: str | None = None, size: int = TILE) -> Samples:
     """Rows with lasting numbers 0 .. N-1, reference first.
 
-    Numbers come from a sort of the key (or the vector itself), so they don't
-    depend on partitions: a range sort, then counts per partition, is what zip
-    with index would do; here a global row number over (flag, key) suffices as a
-    row is one number and its vector.
+    Numbers depend on the key alone (the vector itself unless ``order`` names a
+    column), not on partitions; no task holds all rows.
     """
     v = F.col(vec_col).cast("array<double>").alias("v")
-    key = (lambda d: F.col(order)) if order else (lambda d: F.col(vec_col).cast("array<double>"))
-    both = ref.select(v, F.lit(1).alias("is_ref"), key(ref).alias("k")).unionByName(test.select(v, F.lit(0).alias("is_ref"), key(test).alias("k")))
+    key = F.col(order) if order else F.col(vec_col).cast("array<double>")
+    both = ref.select(v, F.lit(1).alias("is_ref"), key.alias("k")).unionByName(test.select(v, F.lit(0).alias("is_ref"), key.alias("k")))
     counts = {r.is_ref: r["count"] for r in both.groupBy("is_ref").count().collect()}
     n_ref, n_test = counts.get(1, 0), counts.get(0, 0)
-    rows = both.select("v", "is_ref", (F.row_number().over(Window.orderBy(F.col("is_ref").desc(), "k")) - 1).alias("n"))
-    tiles = max(1, math.ceil((n_ref + n_test) / TILE))
-    return Samples(rows.withColumn("tile", F.floor(F.col("n") / TILE).cast("int")), n_ref, n_test, tiles)
+    tiles = max(1, math.ceil((n_ref + n_test) / size))
+    rows = number(both, F.col("k"), tiles, F.col("is_ref")).select("v", "is_ref", "n")
+    return Samples(rows.withColumn("tile", F.floor(F.col("n") / size).cast("int")), n_ref, n_test, tiles, size)
 
 
-def labels(n: int, n_test: int, permutations: int, seed: int) -> np.ndarray:
-    """(N, P + 1) 0/1 marks of test rows; column 0 is the true labelling, where
-    test rows come last. Every task makes the same ones from the seed."""
-    out = np.zeros((n, permutations + 1), np.float64)
-    out[n - n_test :, 0] = 1
+def tile_labels(tile: int, n_ref: int, n_test: int, permutations: int, seed: int, size: int = TILE) -> np.ndarray:
+    """(rows of the tile, P + 1) 0/1 marks of test rows; column 0 is the true
+    labelling, where test rows come last.
+
+    A permutation marks exactly ``n_test`` rows, all choices alike: how many fall
+    into each tile comes from one hypergeometric draw, which every task repeats,
+    and which rows those are from a draw of the tile's own. So a task makes the
+    marks of its own rows alone.
+    """
+    n = n_ref + n_test
+    sizes = np.full(math.ceil(n / size), size)
+    sizes[-1] = n - size * (len(sizes) - 1)
+    rows = np.arange(tile * size, tile * size + sizes[tile])
+    out = np.zeros((len(rows), permutations + 1))
+    out[:, 0] = rows >= n_ref
     for p in range(permutations):
-        out[np.random.default_rng([seed, p]).permutation(n)[:n_test], p + 1] = 1
+        share = np.random.default_rng([seed, p]).multivariate_hypergeometric(sizes, n_test, method="marginals")[tile]
+        out[np.random.default_rng([seed, p, tile]).permutation(len(rows))[:share], p + 1] = 1
     return out
 
 
 def tile_sums(samples: Samples, kernel: Callable, permutations: int = 0, seed: int = 0) -> np.ndarray:
     """Sums (within ref, within test, across) without the diagonal, (P + 1, 3)."""
-    n, m, tiles = samples.n_ref + samples.n_test, samples.n_test, samples.tiles
+    n_ref, m, tiles, size = samples.n_ref, samples.n_test, samples.tiles, samples.size
     left = samples.rows.select("n", "v", F.col("tile").alias("i")).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(tiles - 1))))
     right = samples.rows.select("n", "v", F.col("tile").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).toDF("n", "v", "j", "i")
 
     def evaluate(a: pa.Table, b: pa.Table) -> pa.Table:
         a, b = a.sort_by("n"), b.sort_by("n")
-        na, nb = a.column("n").to_numpy(), b.column("n").to_numpy()
-        k = kernel(as_matrix(a.column("v")), as_matrix(b.column("v")))
-        same = a.column("i")[0].as_py() == b.column("j")[0].as_py()
+        i, j = a.column("i")[0].as_py(), b.column("j")[0].as_py()
+        k, same = kernel(as_matrix(a.column("v")), as_matrix(b.column("v"))), i == j
         if same:
             np.fill_diagonal(k, 0.0)
-        s = labels(n, m, permutations, seed)
-        sa, sb = s[na], s[nb]
+        sa, sb = tile_labels(i, n_ref, m, permutations, seed, size), tile_labels(j, n_ref, m, permutations, seed, size)
         k1 = k @ sb  # per row, sums over the columns marked test
         yy = (sa * k1).sum(0)
         row, col = k.sum(1), k.sum(0)
@@ -247,21 +256,17 @@ def lsdd(ref: DataFrame, test: DataFrame, p_val: float = 0.05, permutations: int
         c = c + np.random.default_rng(seed).normal(size=c.shape) * 1e-6
     scaled = ref.select(F.col(id_col).alias("id"), F.zip_with(F.zip_with(F.col(vec_col).cast("array<double>"), F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m), F.array(*map(F.lit, dev.tolist())), lambda x, d: x / d).alias("features"))
     sigma = sigma_median(scaled).first().sigma
-    kernel, n, m = GaussianRBF((sigma,)), s.n_ref + s.n_test, s.n_test
-
-    def add(batches):
-        marks = labels(n, m, permutations, seed)
-        total = np.zeros((permutations + 1, 2, len(c)))
-        for b in batches:
-            if b.num_rows:
-                x = (as_matrix(pa.chunked_array([b.column("v")])) - mean) / dev
-                kx, sx = kernel(x, c), marks[b.column("n").to_numpy()]
-                total[:, 1] += sx.T @ kx
-                total[:, 0] += (1 - sx).T @ kx
-        for p in range(permutations + 1):
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([total[p].ravel().tolist()], pa.list_(pa.float64()))], ["p", "sums"])
-
-    parts = s.rows.select("n", "v").mapInArrow(add, "p int, sums array<double>")
+    kernel = GaussianRBF((sigma,))
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("n")
+        kx = kernel((as_matrix(rows.column("v")) - mean) / dev, c)
+        marks = tile_labels(rows.column("tile")[0].as_py(), n_ref, m, permutations, seed)
+        total = np.stack([(1 - marks).T @ kx, marks.T @ kx], 1)
+        return pa.table({"p": pa.array(np.arange(permutations + 1), pa.int32()), "sums": pa.array([t.ravel().tolist() for t in total], pa.list_(pa.float64()))})
+
+    n_ref, m = s.n_ref, s.n_test
+    parts = s.rows.select("n", "v", "tile").groupBy("tile").applyInArrow(add, "p int, sums array<double>")
     sums = parts.select("p", F.posexplode("sums").alias("i", "x")).groupBy("p", "i").agg(F.sum("x").alias("x")).orderBy("p", "i").collect()
     total = np.array([r.x for r in sums]).reshape(permutations + 1, 2, len(c))
     h = total[:, 0] / s.n_ref - total[:, 1] / s.n_test

@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlane.functions.frames import spread
 from driftlane.operators.projection import moments, vector
 
 
@@ -40,11 +41,11 @@ def gmm(df: DataFrame, ref: DataFrame, features: list[str] | str, n_components:
     def score(v: pd.Series) -> pd.Series:
         return pd.Series(gaussian_energy(np.stack(v.to_numpy()).astype(float), weights, means, covs, 1e-9))
 
-    return df.withColumn("score", score(vector(features)))
+    return spread(df).withColumn("score", score(vector(features)))
 
 
 def _fit_gmm(ref: DataFrame, features: list[str] | str, n_components: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    fitted = GaussianMixture(k=n_components, seed=seed, featuresCol="__v").fit(ref.select(array_to_vector(vector(features)).alias("__v")))
+    fitted = GaussianMixture(k=n_components, seed=seed, featuresCol="__v").fit(spread(ref).select(array_to_vector(vector(features)).alias("__v")))
     params = fitted.gaussiansDF.collect()
     return np.array(fitted.weights), np.array([r.mean.toArray() for r in params]), np.array([r.cov.toArray() for r in params])
 
@@ -170,4 +171,4 @@ def isolation_forest(df: DataFrame, ref: DataFrame, features: list[str] | str, n
             depth += c[at]
         return pd.Series(2 ** (-depth / max(len(forest), 1) / scale) - 0.5)
 
-    return df.withColumn("score", score(vector(features)))
+    return spread(df).withColumn("score", score(vector(features)))

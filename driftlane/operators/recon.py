@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlane.functions.columns import col, cosine, relative_distance, top_share
+from driftlane.functions.frames import spread
 from driftlane.operators.mixture import gaussian_energy
 from driftlane.operators.projection import moments, project, vector
 
@@ -194,7 +195,7 @@ def sequence_score(error: str | Column, estimate: str | Column, threshold: float
 def bigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, prev, next``: consecutive characters of each text."""
     c, n = F.col("c"), F.size("c")
-    chars = df.select(F.col(id_col).alias("id"), F.split(text_col, "").alias("c")).where(n > 1)
+    chars = spread(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.split(text_col, "").alias("c")).where(n > 1)
     pairs = F.explode(F.arrays_zip(F.slice(c, F.lit(1), n - 1).alias("prev"), F.slice(c, F.lit(2), n - 1).alias("next")))
     return chars.select("id", pairs.alias("p")).select("id", F.col("p")["prev"].alias("prev"), F.col("p")["next"].alias("next"))
 

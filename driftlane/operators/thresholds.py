@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlane.functions.columns import col, mean, total
+from driftlane.operators import univariate
 
 
 def percentile_threshold(df: DataFrame, score: str, percent: float) -> DataFrame:
@@ -17,20 +18,21 @@ def percentile_threshold(df: DataFrame, score: str, percent: float) -> DataFrame
     return df.agg(F.percentile(score, percent / 100.0).alias("threshold"))
 
 
-def _kth(df: DataFrame, score: str, at: Column) -> DataFrame:
-    """Value at a place (from 0) in rising order, by counts of distinct values."""
-    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select("v", "c", upto.alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    return ranked.where((F.col("upto") - F.col("c") <= at) & (at < F.col("upto")))
+def _ranks(values: DataFrame, counted: Column) -> DataFrame:
+    """``v, before, upto, n`` of the distinct values of column ``v``, in ranges (see
+    ``univariate.running``); ``counted`` is how often a row counts."""
+    counts = values.where("v is not null").groupBy(F.lit("v").alias("feature"), F.col("v").alias("value")).agg(F.sum(counted).alias("ref"), F.lit(0).alias("test"))
+    r = univariate.running(counts)
+    return r.select(F.col("value").alias("v"), (F.col("ref_upto") - F.col("ref")).alias("before"), F.col("ref_upto").alias("upto"), F.col("n_ref").alias("n"))
 
 
 def higher_threshold(df: DataFrame, score: str, fpr: float) -> DataFrame:
     """One row, ``threshold``: the order statistic at ceil((N - 1)(1 - fpr)), from 0.
     ``fpr`` must be 1/N at least and below 1, else the result is empty."""
     at = F.ceil((F.col("n") - 1) * (1 - fpr))
+    r = _ranks(df.select(F.col(score).cast("double").alias("v")), F.lit(1))
     ok = (F.lit(fpr) >= 1.0 / F.col("n")) & F.lit(fpr < 1)
-    return _kth(df, score, at).where(ok).select(F.col("v").alias("threshold"))
+    return r.where((F.col("before") <= at) & (at < F.col("upto")) & ok).select(F.col("v").alias("threshold"))
 
 
 def quantile(df: DataFrame, column: str, p: float, kind: int = 7) -> DataFrame:
@@ -38,17 +40,12 @@ def quantile(df: DataFrame, column: str, p: float, kind: int = 7) -> DataFrame:
     1/N <= p <= (N-1)/N. Type 7 is Spark's own exact percentile."""
     shift = {6: p, 7: 1 - p, 8: (p + 1) / 3}[kind]
     spot = F.col("n") * p + shift - 1
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    r = counts.select("v", (upto - F.col("c")).alias("a"), upto.alias("b"), F.sum("c").over(Window.partitionBy()).alias("n"), F.lead("v").over(Window.orderBy("v")).alias("next"))
     low = F.floor(spot)
-    hit = r.where((F.col("a") <= low) & (low < F.col("b")) & (F.lit(p) >= 1.0 / F.col("n")) & (F.lit(p) <= (F.col("n") - 1) / F.col("n")))
-    after = F.when(low + 1 < F.col("b"), F.col("v")).otherwise(F.coalesce("next", "v"))
-    return hit.select((F.col("v") + (spot - low) * (after - F.col("v"))).alias("quantile"))
-
-
-def _sorted_values(df: DataFrame, score: str) -> np.ndarray:
-    return np.sort(np.array([r[0] for r in df.select(F.col(score).cast("double")).where(F.col(score).isNotNull()).collect()]))
+    r = _ranks(df.select(F.col(column).cast("double").alias("v")), F.lit(1)).where((F.lit(p) >= 1.0 / F.col("n")) & (F.lit(p) <= (F.col("n") - 1) / F.col("n")))
+    holds = lambda i: (F.col("before") <= i) & (i < F.col("upto"))
+    last = F.least(low + 1, F.col("n") - 1)
+    ends = r.where(holds(low) | holds(last)).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.max(spot - low).alias("part"))
+    return ends.where("a is not null").select((F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("quantile"))
 
 
 def empirical_p_value(df: DataFrame, validation: DataFrame, score: str, extra: int = 0) -> DataFrame:
@@ -57,12 +54,8 @@ def empirical_p_value(df: DataFrame, validation: DataFrame, score: str, extra: i
     Scores are joined to the validation scores by rank over their union, so
     neither side is collected: a running count from above gives the number.
     """
-    v = validation.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    asked = df.select(F.col(score).cast("double").alias("s")).distinct().withColumn("c", F.lit(0).cast("long"))
-    both = v.unionByName(asked).groupBy("s").agg(F.sum("c").alias("c"))
-    above = F.coalesce(F.sum("c").over(Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = F.sum("c").over(Window.partitionBy())
-    ranks = both.select(F.col("s").alias("__s"), F.try_divide(1 + above, n + extra).alias("p_value"))
+    both = validation.select(F.col(score).cast("double").alias("v"), F.lit(1).alias("c")).unionAll(df.select(F.col(score).cast("double").alias("v"), F.lit(0).alias("c")))
+    ranks = _ranks(both, F.col("c")).select(F.col("v").alias("__s"), F.try_divide(1 + F.col("n") - F.col("upto"), F.col("n") + extra).alias("p_value"))
     return df.join(ranks, df[score].cast("double") == ranks["__s"], "left").drop("__s")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from driftlane.functions import stats
 
 #: Ranges that running sums of a feature are cut into.
-BLOCKS = 32
+BLOCKS = 128
 
 
 def pair(ref: DataFrame, test: DataFrame, features: Iterable[str], flag: str = "is_ref") -> DataFrame:

@@ -113,15 +113,17 @@ def vec_pair(spark):
     return arrays(spark, x), arrays(spark, RNG.normal(size=(120, 5)), 1000), arrays(spark, RNG.normal(1.0, 1, size=(120, 5)), 1000)
 
 
-def test_mmd(spark, vec_pair, monkeypatch):
+def test_mmd(spark, vec_pair):
     ref, same, moved = vec_pair
     assert D.MMDDrift(ref, n_permutations=50).predict(same)["is_drift"] == 0
     out = D.MMDDrift(ref, n_permutations=50).predict(moved)
     assert out["is_drift"] == 1 and out["distance"] > out["distance_threshold"] and (out["p_val"] * 50) % 1 == 0
     kernel = kernels.GaussianRBF((1.5,))
     whole = kernels.tile_sums(kernels.numbered(ref, moved), kernel, 3, 1)
-    monkeypatch.setattr(kernels, "TILE", 40)
-    assert kernels.tile_sums(kernels.numbered(ref, moved), kernel, 3, 1) == pytest.approx(whole)
+    tiled = kernels.tile_sums(kernels.numbered(ref, moved, size=40), kernel, 3, 1)
+    assert tiled[0] == pytest.approx(whole[0]) and tiled.sum(1) + tiled[:, 2] == pytest.approx([whole[0].sum() + whole[0, 2]] * 4)
+    marks = [kernels.tile_labels(t, 150, 120, 5, 0, 40) for t in range(7)]
+    assert np.concatenate(marks).sum(0).tolist() == [120] * 6 and np.concatenate(marks)[:150, 0].sum() == 0
     x, y = (np.array([r.features for r in d.orderBy("id").collect()]) for d in (ref, moved))
     kx, ky, kxy = kernel(x, x), kernel(y, y), kernel(x, y)
     n, m = len(x), len(y)
