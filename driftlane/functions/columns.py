@@ -10,6 +10,12 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once: inside a function of each
+    element an expression is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(a: str | Column) -> Column:
     return F.aggregate(col(a), F.lit(0.0), lambda s, x: s + x)
 
@@ -51,9 +57,8 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 
 def softmax(a: str | Column) -> Column:
-    top = F.array_max(col(a))
-    e = F.transform(col(a), lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    e = bind(F.array_max(col(a)), lambda top: F.transform(col(a), lambda x: F.exp(x - top)))
+    return bind(e, lambda e: bind(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def entropy(p: str | Column) -> Column:
@@ -78,7 +83,12 @@ def cross_entropy(p: str | Column, q: str | Column) -> Column:
 
 def sharpen(p: str | Column, temperature: float) -> Column:
     e = F.transform(col(p), lambda x: F.pow(x, F.lit(1.0 / temperature)))
-    return F.transform(e, lambda x: x / total(e))
+    return bind(e, lambda e: bind(total(e), lambda s: F.transform(e, lambda x: x / s)))
+
+
+def deviation(a: str | Column) -> Column:
+    """Population deviation of an array."""
+    return bind(mean(a), lambda m: F.sqrt(mean(F.transform(col(a), lambda x: (x - m) * (x - m)))))
 
 
 def argmax(a: str | Column) -> Column:

@@ -98,3 +98,33 @@ def scale_numbers(values: dict, mean: float = 0.0, std: float = 1.0, centre: boo
     if centre:
         x = x - (x.max() + x.min()) / 2 + mean
     return dict(zip(values, x.tolist()))
+
+
+def fit_categories(df: DataFrame, features: list[str], method: str = "abdm", target: str | None = None, std: float = 1.0, centre: bool = True) -> dict[str, dict]:
+    """Numbers for the categories of each feature: distances by how the other
+    features (``abdm``), the classes of ``target`` (``mvdm``) or both on average
+    (``abdm-mvdm``) are spread, brought to one dimension and to a deviation."""
+    out = {}
+    for f in features:
+        found = []
+        if "abdm" in method:
+            found.append(abdm(df, f, [o for o in features if o != f]))
+        if "mvdm" in method:
+            found.append(mvdm(df, f, target))
+        d = found[0]
+        for other in found[1:]:
+            d = d.unionByName(other).groupBy("a", "b").agg(F.avg("distance").alias("distance"))
+        out[f] = scale_numbers(multidimensional_scaling(d), std=std, centre=centre)
+    return out
+
+
+def encode_categories(df: DataFrame, numbers: dict[str, dict]) -> DataFrame:
+    """Replaces categories by their numbers; unknown ones become null."""
+    return df.withColumns({f: F.try_element_at(F.create_map(*[F.lit(x) for k, v in m.items() for x in (k, float(v))]), F.col(f)) for f, m in numbers.items()})
+
+
+def farthest_categories(distances: DataFrame) -> DataFrame:
+    """``category, farthest``: for each category the one at the largest distance;
+    ties to the smaller."""
+    best = F.min(F.struct((-F.col("distance")).alias("d"), F.col("b")))
+    return distances.groupBy(F.col("a").alias("category")).agg(best["b"].alias("farthest"))

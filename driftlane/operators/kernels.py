@@ -286,3 +286,20 @@ def one_segment(both: DataFrame, segment: str | None, run: Callable[[pd.DataFram
         return pd.DataFrame([{"segment": str(k[0])} | run(pdf)])
 
     return held.groupBy(key).applyInPandas(apply, f"segment string, {schema}")
+
+
+def kernel_matrix(left: DataFrame, right: DataFrame, kernel: Callable, id_col: str = "id", vec_col: str = "features", size: int = TILE) -> DataFrame:
+    """``a, b, k``: the kernel of all pairs of two tables, in tiles. Its rows are the
+    product of the tables': for reports on small samples; tests need sums alone."""
+    n, m = max(1, math.ceil(left.count() / size)), max(1, math.ceil(right.count() / size))
+    v = F.col(vec_col).cast("array<double>").alias("v")
+    x = left.select(F.col(id_col).alias("id"), v, F.pmod(F.xxhash64(id_col), F.lit(n)).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    y = right.select(F.col(id_col).alias("id"), v, F.pmod(F.xxhash64(id_col), F.lit(m)).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).toDF("id", "v", "j", "i")
+
+    def evaluate(a: pa.Table, b: pa.Table) -> pa.Table:
+        ka, kb = a.column("id").to_numpy(), b.column("id").to_numpy()
+        k = kernel(as_matrix(a.column("v")), as_matrix(b.column("v"))) if len(a) and len(b) else np.zeros((len(a), len(b)))
+        return pa.table({"a": np.repeat(ka, len(kb)), "b": np.tile(kb, len(ka)), "k": k.ravel()})
+
+    kind = dict(left.dtypes)[id_col]
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInArrow(evaluate, f"a {kind}, b {kind}, k double")

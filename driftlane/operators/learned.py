@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlane.functions import stats
-from driftlane.functions.columns import entropy, margin, softmax
+from driftlane.functions.columns import deviation, entropy, margin, softmax
 from driftlane.operators import kernels, univariate
 from driftlane.operators.projection import vector
 
@@ -90,10 +90,7 @@ def classifier_uncertainty(probs: str | Column, kind: str = "entropy", width: fl
 
 def regressor_uncertainty(evaluations: str | Column) -> Column:
     """Population deviation over repeated evaluations of a row."""
-    e = F.col(evaluations) if isinstance(evaluations, str) else evaluations
-    n = F.size(e)
-    mean = F.aggregate(e, F.lit(0.0), lambda a, x: a + x) / n
-    return F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    return deviation(evaluations)
 
 
 def classifier_uncertainty_drift(pairs: DataFrame, probs: str, kind: str = "entropy", width: float = 0.1, logits: bool = False, flag: str = "is_ref") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftlane.plans import data, drift, vectors  # noqa: F401  they register their queries
+from driftlane.plans import data, drift, preparation, vectors  # noqa: F401  they register their queries
 from driftlane.plans.registry import ORACLE, QUERIES
 
 

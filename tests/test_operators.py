@@ -451,3 +451,39 @@ def test_specs(spark, normal, tmp_path):
         spec.Spec("KSDrift", {"nonsense": 1}).check(D.KNOWN)
     with pytest.raises(ValueError):
         spec.Spec("Nothing").check(D.KNOWN)
+
+
+# -- before a detector ---------------------------------------------------------
+
+
+def test_models(spark):
+    from driftlane.operators import preprocess
+
+    model = preprocess.untrained_encoder(10, 4)
+    assert [w.shape for w, _ in model.params] == [(10, 8), (8, 6), (6, 4)] and len(model.hidden().params) == 2
+    x = RNG.normal(size=(5, 10))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9, None)], "id long, v array<double>")
+    got = {r.id: r.encoded for r in preprocess.apply_model(df, model, "v").collect()}
+    assert got[9] is None and np.allclose([got[i] for i in range(5)], model(x))
+    a, b = ({r.id: r.evaluations for r in preprocess.dropout_evaluations(d, model, "v", 7).collect()} for d in (df, df.repartition(3)))
+    assert a == b and len(a[0]) == 7 and len(set(a[0])) > 1 and a[9] is None
+    scaled = np.array([r.s for r in df.where("id < 9").select(preprocess.scale_by_instance("v").alias("s")).orderBy("id").collect()])
+    assert np.allclose(scaled.mean(1), 0) and np.allclose(scaled.std(1), 1)
+
+
+def test_category_numbers(spark):
+    rows = [(a, b) for a, b in zip("aabbccaab", "xyxyxyxxy")]
+    df = spark.createDataFrame(rows, "c string, o string").withColumn("y", (F.col("c") == "a").cast("int"))
+    for method in ("abdm", "mvdm", "abdm-mvdm"):
+        numbers = categorical.fit_categories(df, ["c", "o"], method, "y", std=2.0)
+        assert set(numbers["c"]) == {"a", "b", "c"} and np.std(list(numbers["c"].values())) == pytest.approx(2)
+    coded = categorical.encode_categories(df, numbers)
+    assert dict(coded.dtypes)["c"] == "double" and coded.where("c is null").count() == 0
+    assert {r.category for r in categorical.farthest_categories(categorical.mvdm(df, "c", "y")).collect()} == {"a", "b", "c"}
+
+
+def test_array_functions(spark):
+    r = spark.createDataFrame([([0.5, 0.5], [1.0, 0.0], [], [0.0, 0.0])], "p array<double>, q array<double>, e array<double>, z array<double>")
+    got = r.select(C.kl("p", "q").alias("k"), C.kl("q", "p").alias("l"), C.cross_entropy("p", "q").alias("x"), C.mean("e").alias("m"), C.cosine("p", "z").alias("c"), C.softmax("z").alias("s"), C.sharpen("q", 0.5).alias("t")).first()
+    assert got.k == float("inf") and got.l == pytest.approx(np.log(2)) and got.x == float("inf") and got.m is None and got.c is None
+    assert list(got.s) == [0.5, 0.5] and list(got.t) == [1.0, 0.0]
