@@ -21,8 +21,8 @@ SAMPLE_DOCS = 200
 SAMPLE_DOC_BYTES = 16 << 10
 #: Labels beyond this number raise an error: each has a dictionary in memory.
 MAX_LANGUAGES = 500
-CHUNK = 4096
-LEVEL = 5
+CHUNK = 2048
+LEVEL = 11
 
 _LETTER = regex.compile(r"\p{L}")
 _BLANKS = {i: " " for i in range(128) if not chr(i).isalpha()}
