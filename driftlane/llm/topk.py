@@ -96,9 +96,10 @@ def top_k(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vec_
     scale = float(1 << 20)  # cuts as whole numbers
     at = range_of((F.col("len") * scale).cast("long"), sorted({int(c * scale) for c in cuts}))
     ranged = held.withColumn("range", at)
-    full = ranged.groupBy("range", "dim").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("subs"))
-    split = ranged.join(F.broadcast(full), ["range", "dim"]).withColumn("sub", F.pmod(F.xxhash64("row"), "subs").cast("int"))
-    longest = split.groupBy("dim", "range", "sub").agg(F.max("len").alias("longest")).toDF("dim", "range", "sub", "longest")  # about n / BUCKET rows
+    # MAX_RANGES rows at most for each length of vectors
+    full = ranged.groupBy("range", "dim").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("subs"), F.max("len").alias("longest"))
+    split = ranged.join(F.broadcast(full.drop("longest")), ["range", "dim"]).withColumn("sub", F.pmod(F.xxhash64("row"), "subs").cast("int"))
+    ranges_met = full.toDF("range", "dim", "subs", "longest")
 
     # first thresholds
     head = held.orderBy(F.col("len").desc(), "row").limit(HEAD).select("row", "v", "dim").collect()
@@ -118,7 +119,8 @@ def top_k(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vec_
     q_blocks = vectors.blocks_of(n_queries, QUERY_BLOCK)
     asked = asked.withColumn("qblock", F.pmod(F.xxhash64("row"), F.lit(q_blocks)).cast("int"))
     reach = (F.col("theta") <= 0) | (F.col("len") * F.col("longest") * (1 + 1e-9) >= F.col("theta"))
-    sent = asked.join(longest, "dim").where(reach).select("dim", "range", "sub", "qblock", "row", "id", "v", "theta")
+    met = asked.join(F.broadcast(ranges_met), "dim").where(reach)
+    sent = met.select("dim", "range", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "qblock", "row", "id", "v", "theta")
     there = split.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).select("dim", "range", "sub", "qblock", "row", "id", "v").toDF("dim", "range", "sub", "qblock", "row", "id", "v")
 
     def verify(queries: pa.Table, bucket: pa.Table) -> pa.Table:
