@@ -58,15 +58,21 @@ CHARACTERS = _characters()
 _LOOK = re.compile("[" + "".join(map(re.escape, sorted(CHARACTERS))) + INVISIBLE + "]")
 _HIDDEN = re.compile("[" + INVISIBLE + "]+")
 _WORD = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus\s+)?{_WORD}(?:(?:[ \t,.-]+|\s+(?:dot|punkt|point|punto)\s+){_WORD}){{3,}}(?!\w)", re.I)
-_SPELLED_PART = re.compile(rf"(?:plus\s+)|(?P<digit>{_WORD})(?!\w)|(?P<dot>\s*\b(?:dot|punkt|point|punto)\b\s*)|(?P<gap>[ \t,.-]+)", re.I)
 _DOT_WORD = "(?:dot|punkt|punto)"
+_ITEM = f"(?:{_WORD}|[0-9]{{1,4}})"
+_SPELLED = re.compile(rf"(?<![\w+])(?:plus\s+|\+\s?)?{_ITEM}(?:(?:[ \t,.-]+|\s+{_DOT_WORD}\s+){_ITEM}){{3,}}(?!\w)", re.I)
+_SPELLED_PART = re.compile(rf"(?P<plus>plus\s+|\+\s?)|(?P<word>{_WORD})(?!\w)|(?P<digits>[0-9]+)|(?P<dot>\s+{_DOT_WORD}\s+)|(?P<gap>[ \t,.-]+)", re.I)
+# letters among digits that stand for 0 and 1
+_MIXED = re.compile(r"(?<![A-Za-z0-9+])\+?[0-9OoIl](?:[ ().-]{0,2}[0-9OoIl]){9,18}(?![A-Za-z0-9])")
+_MIXED_HINT = re.compile("[0-9][OoIl]|[OoIl][0-9]")
 _SIGN = re.compile(r"\s*(?:[\[({<]\s*(?P<at>at|@|arroba)\s*[\])}>]|[\[({<]\s*(?P<dot>dot|\.|punkt|punto)\s*[\])}>]|&#64;|&commat;|&#46;|&period;)\s*", re.I)
 _NAME, _LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
 _WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{_NAME}\s+{_DOT_WORD}\s+){{0,3}}{_NAME}(?:\s+at\s+|\s*@\s*){_LABEL}(?:(?:\s+{_DOT_WORD}\s+|\.){_LABEL})*(?:\s+{_DOT_WORD}\s+|\.)(?:{TOP_LABELS.replace(' ', '|')})(?![A-Za-z0-9-])", re.I)
+_SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}\s@\s{_LABEL}(?:\s?\.\s?{_LABEL})*\s?\.\s?(?:{TOP_LABELS.replace(' ', '|')})(?![A-Za-z0-9-])", re.I)
 _WORDED_PART = re.compile(rf"(?P<dot>\s+{_DOT_WORD}\s+)|(?P<at>\s+at\s+|\s*@\s*)", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:[@.]|at\b|arroba)")
-_HINTS = ("dot", "punkt", "punto", "&#64;", "&#46;", "&commat;", "&period;")
+_BLANKS = re.compile(r"\s+")
+_HINTS = (" @ ", "dot", "punkt", "punto", "&#64;", "&#46;", "&commat;", "&period;")
 
 _NAME_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -172,17 +178,28 @@ def plain_characters(r: Rewritten) -> Rewritten:
 
 
 def digits_from_words(r: Rewritten) -> Rewritten:
-    """Runs of four or more spelled digits become digits, a dot word between them
-    a dot, "plus" before them a plus sign."""
+    """Runs of four or more digits and digit words become digits without gaps, a dot
+    word between them a dot, "plus" before them a plus sign. A run needs three digit
+    words, or three dot words between its numbers."""
     edits = []
     for m in _SPELLED.finditer(r.text):
-        for p in _SPELLED_PART.finditer(r.text, m.start(), m.end()):
-            if p["digit"]:
-                edits.append((p.start(), p.end(), _DIGIT[p["digit"].lower()], 2))
-            elif p["dot"]:
-                edits.append((p.start(), p.end(), ".", 2))
-            else:
-                edits.append((p.start(), p.end(), "" if p["gap"] else "+", 2))
+        parts = list(_SPELLED_PART.finditer(r.text, m.start(), m.end()))
+        if sum(p["word"] is not None for p in parts) < 3 and sum(p["dot"] is not None for p in parts) != 3:
+            continue
+        for p in parts:
+            new = _DIGIT[p["word"].lower()] if p["word"] else p["digits"] or ("." if p["dot"] else "+" if p["plus"] else "")
+            edits.append((p.start(), p.end(), new, 2))
+    return r.put(edits)
+
+
+def digits_from_letters(r: Rewritten) -> Rewritten:
+    """The letters O, I and l inside a number of ten to nineteen places become 0
+    and 1, if two thirds of the places are digits."""
+    edits = []
+    for m in _MIXED.finditer(r.text):
+        places = [c for c in m.group() if c.isalnum()]
+        if 3 * sum(c.isdigit() for c in places) >= 2 * len(places):
+            edits += [(i, i + 1, "0" if r.text[i] in "Oo" else "1", 1) for i in range(m.start(), m.end()) if r.text[i] in "OoIl"]
     return r.put(edits)
 
 
@@ -193,15 +210,17 @@ def signs_from_words(r: Rewritten) -> Rewritten:
     r = r.put(edits)
     edits = []
     for m in _WORDED.finditer(r.text):
-        for p in _WORDED_PART.finditer(r.text, m.start(), m.end()):
-            if p.group() != "@":
-                edits.append((p.start(), p.end(), "@" if p["at"] else ".", 1))
+        parts = list(_WORDED_PART.finditer(r.text, m.start(), m.end()))
+        if any(p["dot"] for p in parts):  # "at" alone is an ordinary word
+            edits += [(p.start(), p.end(), "@" if p["at"] else ".", 1) for p in parts if p.group() != "@"]
+    r = r.put(edits)
+    edits = [(a, b, "", 1) for m in _SPACED.finditer(r.text) for a, b in (s.span() for s in _BLANKS.finditer(r.text, m.start(), m.end()))]
     return r.put(edits)
 
 
-def _hints(text: str) -> tuple[bool, bool, bool]:
-    """Whether a text may hold look-alikes, worded signs or spelled digits: cheap
-    tests that no disguise passes by."""
+def _hints(text: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a text may hold look-alikes, worded signs, spelled digits or letters
+    among digits: cheap tests that no disguise passes by."""
     look = False
     if not text.isascii():
         try:
@@ -212,8 +231,8 @@ def _hints(text: str) -> tuple[bool, bool, bool]:
     low = text.lower()
     words = any(h in low for h in _HINTS) or _BRACKETED.search(low) is not None
     # a spelled number has two digits that differ
-    spelled = any(sum(w in low for w in line.split()) > 1 for line in DIGIT_WORDS) and _SPELLED.search(text) is not None
-    return look, words, spelled
+    spelled = words or any(sum(w in low for w in line.split()) > 1 for line in DIGIT_WORDS)
+    return look, words, spelled and _SPELLED.search(text) is not None, _MIXED_HINT.search(text) is not None
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
@@ -226,14 +245,16 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     """
     text = text or ""
     base = base_spans(text)
-    look, words, spelled = _hints(text)
-    if not (look or words or spelled):
+    look, words, spelled, mixed = _hints(text)
+    if not (look or words or spelled or mixed):
         return [(*s, True) for s in base]
     r = Rewritten.of(text)
     if look:
         r = plain_characters(r)
     if look or spelled:
         r = digits_from_words(r)
+    if look or mixed:
+        r = digits_from_letters(r)
     if look or words:
         r = signs_from_words(r)
     found = base_spans(r.text)
