@@ -46,8 +46,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     short = F.octet_length("text") <= SAMPLE_DOC_BYTES
-    counts = known.groupBy("lang").agg(F.count_if(short).alias("n"), F.min("text").alias("one")).limit(MAX_LANGUAGES + 1)
-    counts = counts.select("lang", "n", F.when(F.col("n") == 0, F.col("one")).alias("one")).collect()
+    counts = known.groupBy("lang").agg(F.count_if(short).alias("n"), F.min(F.xxhash64("text")).alias("least")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
@@ -55,7 +54,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * sample_docs / max(r.n, 1)))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     drawn = known.where(short & (draw < rate[F.col("lang")] * F.lit(float(1 << 40)))).select("lang", draw.alias("at"), "text").distinct().collect()
-    out: dict[str, bytes] = {r.lang: letters(r.one) for r in counts if r.one is not None}
+    out: dict[str, bytes] = {}
+    for r in (r for r in counts if r.n == 0):
+        one = known.where((F.col("lang") == r.lang) & (F.xxhash64("text") == r.least)).select("text").first()
+        out[r.lang] = letters(one.text)
     for lang in sorted({r.lang for r in drawn}):
         texts = [letters(r.text) for r in sorted((r for r in drawn if r.lang == lang), key=lambda r: (r.at, r.text))]
         out[lang] = b" ".join(texts)
