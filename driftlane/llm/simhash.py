@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,10 +55,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
-def _popcount(col: Column, mask: int) -> Column:
-    return F.bit_count(col.bitwiseAND(F.lit(mask)))
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, least node) of each component of links, apart from the least ones."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -117,27 +111,45 @@ def _compare(home: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarr
     return _forest(u, v) if len(u) else (u, v)
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def parts_for(n: int) -> int:
+    """Into how many parts fingerprints are cut for their cells. More parts make
+    more and smaller cells, and more neighbours of a cell: two parts suit up to
+    some ten million fingerprints, eight those of the largest corpora. The links
+    that are found are the same."""
+    return 2 if n <= 1 << 25 else 4 if n <= 1 << 33 else 8
+
+
+def steps(parts: int, radius: int) -> list[int]:
+    """What is added to a cell's code to reach the cells after it within the radius."""
+    ball = [(0, 0)]
+    for i in range(parts):
+        ball = [(used + abs(d), code + d * 128**i) for used, code in ball for d in range(-radius, radius + 1) if used + abs(d) <= radius]
+    return sorted(code for _, code in ball if code > 0)
+
+
+def links(fps: DataFrame, radius: int = 2, parts: int = 2, cell: int = CELL) -> DataFrame:
     """Links ``a``, ``b`` that join all distinct fingerprints ``fp`` (long) at
     ``radius`` or fewer differing bits: as many as keep each group connected.
 
-    A cell is the pair of population counts of the two 32-bit halves. A link's
-    ends lie in cells whose counts differ by ``radius`` at most in sum, so each
-    fingerprint goes to its own cell and, as a probe, to the cells after its own
-    within that distance. A cell with more than ``CELL`` fingerprints is split;
-    what is compared with it goes to each part. The counts of cells, 33 x 33 at
-    most, are broadcast.
+    A cell is the population counts of the ``parts`` equal parts of a fingerprint,
+    seven bits each in one code. A link's ends lie in cells whose counts differ by
+    ``radius`` at most in sum, so each fingerprint goes to its own cell and, as a
+    probe, to the cells after its own within that distance. A cell with more than
+    ``cell`` fingerprints is split; what is compared with it goes to each part. The
+    full cells, at most one for each ``cell`` fingerprints, are broadcast.
     """
-    low, high = 0xFFFFFFFF, -0x100000000
-    held = fps.select("fp", _popcount(F.col("fp"), low).cast("int").alias("x"), _popcount(F.col("fp"), high).cast("int").alias("y"))
-    cells = held.groupBy("x", "y").count().select("x", "y", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
-    steps = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if abs(dx) + abs(dy) <= radius and (dx, dy) > (0, 0)]
-    there = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in [(0, 0), *steps]])
-    home = held.join(F.broadcast(cells), ["x", "y"]).select("fp", "x", "y", F.pmod(F.xxhash64("fp"), "parts").cast("int").alias("part"), F.lit(0).alias("probe"))
+    width = 64 // parts
+    mask = (1 << width) - 1
+    pops = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(mask))).cast("long") for i in range(parts)]
+    held = fps.select("fp", sum(((p + radius) * F.lit(128**i) for i, p in enumerate(pops)), F.lit(0).cast("long")).alias("cell"))
+    full = held.groupBy("cell").count().where(F.col("count") > cell).select("cell", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
+    whole = F.coalesce("parts", F.lit(1))
+    home = held.join(F.broadcast(full), "cell", "left").select("fp", "cell", F.pmod(F.xxhash64("fp"), whole).cast("int").alias("part"), F.lit(0).alias("probe"))
     # a split cell also meets itself across its parts
-    away = held.select("fp", F.col("x").alias("x0"), F.col("y").alias("y0"), F.explode(there).alias("c")).select("fp", "x0", "y0", "c.x", "c.y")
-    away = away.join(F.broadcast(cells), ["x", "y"]).where("parts > 1 or x <> x0 or y <> y0")
-    away = away.select("fp", "x", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"))
+    beyond = F.array(*[F.lit(d).cast("long") for d in [0, *steps(parts, radius)]])
+    away = held.select("fp", F.explode(beyond).alias("d"), "cell").select("fp", "d", (F.col("cell") + F.col("d")).alias("cell"))
+    away = away.join(F.broadcast(full), "cell", "left").where((F.col("d") > 0) | (whole > 1))
+    away = away.select("fp", "cell", F.explode(F.sequence(F.lit(0), whole - 1)).alias("part"), F.lit(1).alias("probe"))
 
     def run(table: pa.Table) -> pa.Table:
         fp, probe = table.column("fp").to_numpy(), table.column("probe").to_numpy()
@@ -148,7 +160,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
             u, v = (np.concatenate(x) for x in zip(*got))
         return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
 
-    return home.unionAll(away).groupBy("x", "y", "part").applyInArrow(run, "a long, b long")
+    return home.unionAll(away).groupBy("cell", "part").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -162,8 +174,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not read. Copies fall together before the comparison.
     """
     held = common.stage(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = held.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = connected_components(links(nodes.select("fp"), radius))
+    nodes = common.stage(held.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    roots = connected_components(links(nodes.select("fp"), radius, parts_for(nodes.count())))
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = common.stage(joined, "groups")
     firsts = joined.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -605,7 +605,7 @@ def test_op10(spark, sf, texts):
     assert {r.doc_id: r.component_id for r in rows} == want
 
 
-def test_links_split_cells(spark, monkeypatch):
+def test_links_split_cells(spark):
     rnd = random.Random(5)
     fps = {0, (1 << 64) - 1}
     for _ in range(60):
@@ -617,14 +617,28 @@ def test_links_split_cells(spark, monkeypatch):
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     want = groups([(s, f) for s, f in zip(signed, fps)], lambda a, b: (a ^ b).bit_count() <= 2)
-    for cell, tile in ((200_000, 1024), (3, 2)):
-        monkeypatch.setattr(simhash, "CELL", cell)
-        monkeypatch.setattr(simhash, "TILE", tile)
-        found = components.connected_components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"))).collect()
+    table = spark.createDataFrame([(s,) for s in signed], "fp long")
+    for parts, cell in ((2, 200_000), (2, 3), (4, 5), (8, 2)):
+        found = components.connected_components(simhash.links(table, 2, parts, cell)).collect()
         root = {r.node: r.root for r in found}
         assert [root.get(s, s) for s in signed] == want
 
 
+def test_cell_steps():
+    for parts in (2, 4, 8):
+        assert len(simhash.steps(parts, 2)) == (2 * parts + 2 * parts + 2 * parts * (parts - 1)) // 2
+    assert [simhash.parts_for(n) for n in (10, 1 << 30, 1 << 40)] == [2, 4, 8]
+
+
+def test_tiles_are_left_out_without_loss(monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 8)
+    rng = np.random.default_rng(0)
+    home = rng.integers(0, 1 << 62, 200)
+    probe = np.concatenate([home[:50] ^ (1 << rng.integers(0, 60, 50)), rng.integers(0, 1 << 62, 100)])
+    a, b = simhash._compare(home, probe, 2)
+    assert len(a) >= 50 and all((int(x) ^ int(y)).bit_count() <= 4 for x, y in zip(a, b))
+
+
 def test_simhash_awkward(awkward, empty):
     rows = simhash.near_duplicates(awkward).collect()
     got = collections.Counter((r.doc_id, r.component_id) for r in rows)
