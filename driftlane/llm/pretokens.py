@@ -44,7 +44,7 @@ class PieceStore:
     through the pattern itself, as a run of white space may then cross a cut.
     """
 
-    def __init__(self, encode: Callable, pattern: str, max_entries: int = 1_200_000):
+    def __init__(self, encode: Callable, pattern: str, max_entries: int = 1_000_000):
         self.encode, self.max_entries = encode, max_entries
         self.pattern = regex.compile(pattern)
         self.findall = self.pattern.findall
