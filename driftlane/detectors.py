@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.operators import kernels, learned, mixture, neighbours, projection, recon, thresholds, timeseries, univariate
+from driftlane.operators import adversarial, kernels, learned, mixture, neighbours, projection, recon, thresholds, timeseries, univariate
 from driftlane.streaming import online
 
 
@@ -472,10 +472,55 @@ class LLR:
         return recon.likelihood_ratio(df, self.semantic, self.background, id_col, text_col)
 
 
+# -- adversarial instances -----------------------------------------------------
+
+
+@dataclass(frozen=True)
+class AdversarialAE:
+    """Compares a model's class probabilities on a row (``probs``) and on its
+    reconstruction (``recon_probs``)."""
+
+    probs: str = "probs"
+    recon_probs: str = "recon_probs"
+    temperature: float = 1.0
+    threshold: float | None = None
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("score", adversarial.adversarial_score(self.probs, self.recon_probs, self.temperature))
+
+    def infer_threshold(self, df: DataFrame, percent: float = 99.0, margin: float = 0.0):
+        return replace(self, threshold=adversarial.threshold_with_margin(self.score(df), "score", percent, margin).first().threshold)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        if self.threshold is None:
+            raise NoThreshold(type(self).__name__)
+        out = self.score(df)
+        return out.withColumn("is_adversarial", (F.col("score") > self.threshold).cast("int"))
+
+    def correct(self, df: DataFrame) -> DataFrame:
+        """Adds the classes without and with defence, and the corrected one."""
+        if self.threshold is None:
+            raise NoThreshold(type(self).__name__)
+        return adversarial.correct(self.score(df), "score", self.threshold, self.probs, self.recon_probs)
+
+
+@dataclass(frozen=True)
+class ModelDistillation(AdversarialAE):
+    """Compares a model (``probs``) and its distilled one (``recon_probs``)."""
+
+    loss_type: str = "kld"
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("score", adversarial.distillation_score(self.probs, self.recon_probs, self.loss_type, self.temperature))
+
+
+MahalanobisOnline = online.MahalanobisOnline
+
+
 #: What a spec may name, with the parameters it may set.
 KNOWN: dict[str, set[str]] = {
     c.__name__: {f for f in c.__dataclass_fields__ if f not in ("ref", "train", "validation", "kernel", "preprocess", "semantic", "background")}
-    for c in (KSDrift, CVMDrift, FETDrift, ChiSquareDrift, TabularDrift, MMDDrift, LSDDDrift, ContextMMDDrift, LearnedKernelDrift, ClassifierDrift, SpotTheDiffDrift, ClassifierUncertaintyDrift, RegressorUncertaintyDrift, KNN, LOF, Mahalanobis, PCA, GMM, SVM, IForest, OutlierAE, OutlierVAE, OutlierAEGMM, OutlierVAEGMM, SpectralResidual, OutlierSeq2Seq, OutlierProphet)
+    for c in (KSDrift, CVMDrift, FETDrift, ChiSquareDrift, TabularDrift, MMDDrift, LSDDDrift, ContextMMDDrift, LearnedKernelDrift, ClassifierDrift, SpotTheDiffDrift, ClassifierUncertaintyDrift, RegressorUncertaintyDrift, KNN, LOF, Mahalanobis, PCA, GMM, SVM, IForest, OutlierAE, OutlierVAE, OutlierAEGMM, OutlierVAEGMM, SpectralResidual, OutlierSeq2Seq, OutlierProphet, AdversarialAE, ModelDistillation)
 }
 
 
@@ -490,4 +535,4 @@ def from_spec(spec, ref: DataFrame | None):
     return made(**params)
 
 
-__all__ = [*KNOWN, "CVMDriftOnline", "FETDriftOnline", "MMDDriftOnline", "LSDDDriftOnline", "LLR", "NotFitted", "NoThreshold", "from_spec"]
+__all__ = [*KNOWN, "CVMDriftOnline", "FETDriftOnline", "MMDDriftOnline", "LSDDDriftOnline", "MahalanobisOnline", "LLR", "NotFitted", "NoThreshold", "from_spec"]

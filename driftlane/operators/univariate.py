@@ -26,8 +26,12 @@ def pair(ref: DataFrame, test: DataFrame, features: Iterable[str], flag: str = "
     return ref.select(*cols, F.lit(1).alias(flag)).unionByName(test.select(*cols, F.lit(0).alias(flag)))
 
 
-def long_form(df: DataFrame, features: Iterable[str], flag: str = "is_ref", kind: str = "double") -> DataFrame:
-    """(feature, value, is_ref) rows; null values take no part."""
+def long_form(df: DataFrame, features: Iterable[str], flag: str = "is_ref", kind: str = "double", names: str | None = None) -> DataFrame:
+    """(feature, value, is_ref) rows; null values take no part. ``names``: the rows
+    are long already, and this column names their feature."""
+    if names is not None:
+        (value,) = features
+        return df.select(F.col(names).alias("feature"), F.col(value).cast(kind).alias("value"), F.col(flag).cast("int").alias("is_ref")).where("value is not null")
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast(kind).alias("value")) for f in features]))
     return df.select(F.col(flag).cast("int").alias("is_ref"), rows.alias("r")).select("r.feature", "r.value", "is_ref").where("value is not null")
 
@@ -67,7 +71,7 @@ def running(counts: DataFrame) -> DataFrame:
     return joined.select("feature", "value", "ref", "test", (F.col("r_in") + F.col("ref_before")).alias("ref_upto"), (F.col("t_in") + F.col("test_before")).alias("test_upto"), "n_ref", "n_test")
 
 
-def ks_statistic(df: DataFrame, features: Iterable[str], alternative: str = "two-sided", flag: str = "is_ref") -> DataFrame:
+def ks_statistic(df: DataFrame, features: Iterable[str], alternative: str = "two-sided", flag: str = "is_ref", names: str | None = None) -> DataFrame:
     """``feature, distance, n_ref, n_test`` of the two-sample statistic.
 
     ``greater`` is the largest excess of the reference's distribution function
@@ -76,14 +80,14 @@ def ks_statistic(df: DataFrame, features: Iterable[str], alternative: str = "two
     """
     gap = F.try_divide("ref_upto", "n_ref") - F.try_divide("test_upto", "n_test")
     gap = {"two-sided": F.abs(gap), "greater": gap, "less": -gap}[alternative]
-    out = running(value_counts(long_form(df, features, flag))).groupBy("feature")
+    out = running(value_counts(long_form(df, features, flag, names=names))).groupBy("feature")
     least = F.greatest(F.max(gap), F.lit(0.0))
     return out.agg(F.when((F.max("n_ref") > 0) & (F.max("n_test") > 0), least).alias("distance"), F.max("n_ref").alias("n_ref"), F.max("n_test").alias("n_test"))
 
 
-def cvm_statistic(df: DataFrame, features: Iterable[str], flag: str = "is_ref") -> DataFrame:
+def cvm_statistic(df: DataFrame, features: Iterable[str], flag: str = "is_ref", names: str | None = None) -> DataFrame:
     """``feature, distance, n_ref, n_test`` of T, with mid-ranks for ties."""
-    r = running(value_counts(long_form(df, features, flag)))
+    r = running(value_counts(long_form(df, features, flag, names=names)))
     n, m = F.col("n_ref").cast("double"), F.col("n_test").cast("double")
     before = F.col("ref_upto") + F.col("test_upto") - F.col("ref") - F.col("test")
     mid = before + (F.col("ref") + F.col("test") + 1) / 2.0
@@ -189,6 +193,18 @@ def tabular(df: DataFrame, numeric: Iterable[str], categorical: Iterable[str] =
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def by_segment(df: DataFrame, segment: str, features: Iterable[str], test=ks_statistic, flag: str = "is_ref") -> DataFrame:
+    """A test's report for every segment of a table, in one plan: a segment's feature
+    is a feature of its own. Adds ``segment``; a null segment is one too."""
+    mark, features = "\x1f", list(features)
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
+    held = df.select(F.col(flag).alias(flag), F.coalesce(F.col(segment).cast("string"), F.lit("\x00")).alias("__s"), rows.alias("r"))
+    named = held.select(flag, F.concat_ws(mark, "__s", "r.feature").alias("feature"), F.col("r.value").alias("value"))
+    out = test(named, ["value"], flag=flag, names="feature")
+    parts = F.split("feature", mark)
+    return out.withColumn("segment", F.nullif(F.get(parts, F.lit(0)), F.lit("\x00"))).withColumn("feature", F.get(parts, F.lit(1)))
+
+
 def feature_decision(report: DataFrame, p_val: float = 0.05) -> DataFrame:
     """Decision per feature, at the uncorrected level."""
     return report.select("*", F.lit(p_val).alias("threshold"), (F.col("p_val") < p_val).cast("int").alias("is_drift"))

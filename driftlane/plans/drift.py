@@ -180,6 +180,12 @@ def text_drift(spark, d):
     return univariate.ks_statistic(pair, ["n_chars", "n_lines"]).select("feature", r6("distance").alias("distance"))
 
 
+@query("""WITH num AS (SELECT CAST(ts < TIMESTAMP '2024-01-16' AS BIGINT) AS is_ref, event_type AS feature, value FROM events), """ + ECDF + " SELECT feature AS segment, 'value' AS feature, round(d, 6) AS distance FROM ks")
+def ks_by_segment(spark, d):
+    """A statistic per event type, in one plan."""
+    return univariate.by_segment(events_pair(spark, d), "event_type", ["value"]).select("segment", "feature", r6("distance").alias("distance"))
+
+
 # -- thresholds ----------------------------------------------------------------
 
 

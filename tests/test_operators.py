@@ -487,3 +487,23 @@ def test_array_functions(spark):
     got = r.select(C.kl("p", "q").alias("k"), C.kl("q", "p").alias("l"), C.cross_entropy("p", "q").alias("x"), C.mean("e").alias("m"), C.cosine("p", "z").alias("c"), C.softmax("z").alias("s"), C.sharpen("q", 0.5).alias("t")).first()
     assert got.k == float("inf") and got.l == pytest.approx(np.log(2)) and got.x == float("inf") and got.m is None and got.c is None
     assert list(got.s) == [0.5, 0.5] and list(got.t) == [1.0, 0.0]
+
+
+def test_segments(spark, normal):
+    df = univariate.pair(normal.withColumn("s", F.when(F.col("id") % 3 > 0, F.col("id") % 3)), normal.withColumn("s", F.when(F.col("id") % 3 > 0, F.col("id") % 3)).withColumn("f0", F.when(F.col("s") == 1, F.col("f0") + 3).otherwise(F.col("f0"))), ["s", "f0", "f1"])
+    got = {(r.segment, r.feature): r.distance for r in univariate.by_segment(df, "s", ["f0", "f1"]).collect()}
+    assert set(got) == {(s, f) for s in ("1", "2", None) for f in ("f0", "f1")}
+    assert got["1", "f0"] > 0.5 and got["2", "f0"] == got[None, "f0"] == got["1", "f1"] == 0
+    assert univariate.by_segment(df, "s", ["f0"], univariate.cvm_statistic).count() == 3
+
+
+def test_adversarial_detectors(spark):
+    rows = [([0.9, 0.1], [0.8, 0.2])] * 99 + [([0.9, 0.1], [0.1, 0.9])]
+    df = spark.createDataFrame(rows, "probs array<double>, recon_probs array<double>")
+    for det in (D.AdversarialAE(temperature=0.5), D.ModelDistillation(loss_type="xent")):
+        with pytest.raises(D.NoThreshold):
+            det.predict(df)
+        det = det.infer_threshold(df, 95, 0.1)
+        assert det.predict(df).agg(F.sum("is_adversarial")).first()[0] == 1
+        bad = det.correct(df).where("is_adversarial = 1").first()
+        assert (bad.no_defense, bad.defense, bad.corrected) == (0, 1, 1)
