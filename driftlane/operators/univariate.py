@@ -56,7 +56,8 @@ def running(counts: DataFrame) -> DataFrame:
     values. Sums run within a range; what lies before it is added from a table of
     a row per feature and range. So a task holds a range, not a feature.
     """
-    cuts = counts.groupBy("feature").agg(F.percentile_approx("value", [i / BLOCKS for i in range(1, BLOCKS)], 1000).alias("cuts"))
+    # the filter holds always; as it reads both counts, this branch shares the exchange of the others
+    cuts = counts.where("ref + test >= 0").groupBy("feature").agg(F.percentile_approx("value", [i / BLOCKS for i in range(1, BLOCKS)], 1000).alias("cuts"))
     ranged = counts.join(F.broadcast(cuts), "feature").withColumn("block", _block(F.col("cuts"), F.col("value"))).drop("cuts")
     sums = ranged.groupBy("feature", "block").agg(F.sum("ref").alias("r"), F.sum("test").alias("t"))
     before = Window.partitionBy("feature").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
