@@ -16,6 +16,8 @@ RANGES_PER_SHARD = 8
 KEYS_PER_RANGE = 32
 #: Ranges at most, which bounds what the driver and broadcasts hold.
 MAX_RANGES = 1 << 15
+#: Copies of a text stay together up to this share of a shard's bytes.
+TOGETHER = 0.02
 
 
 def splitters(rows: DataFrame, ranges: int, total: int, key: str = "key", size: str = "size", draw: Column | None = None) -> list[int]:
@@ -53,8 +55,9 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     cut that order into many ranges; a range with over twice its share of rows or
     bytes is subdivided, by key, and a key that alone is overfull by id. Shards
     are then cut at the exact quantiles of the bytes. Copies of one text stay in
-    one shard unless together they outweigh the largest row, so a shard differs
-    from the mean by less than two of the largest rows.
+    one shard unless together they outweigh both the largest row and ``TOGETHER``
+    of a shard, so either end of a shard is off its quantile by less than the
+    larger of these two.
 
     Returns ``id_col``, ``size``, ``text_crc32`` long (unsigned, of the UTF-8; null
     text: 0), ``law`` ("bytes"), ``shard`` int, ``slot`` long (gapless from 0 in a
@@ -91,7 +94,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     ordered = divided.select("*", F.row_number().over(inner).alias("nth"), F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     copies = Window.partitionBy("range", "sub", "key")
     ordered = ordered.select("*", F.sum("size").over(copies).alias("group_bytes"), F.max("upto").over(copies).alias("group_end"))
-    whole = F.col("group_bytes") <= largest
+    whole = F.col("group_bytes") <= max(largest, TOGETHER * total / shards)
     middle = F.when(whole, F.col("group_end") - F.col("group_bytes") / 2).otherwise(F.col("upto") - F.col("size") / 2)
     at = ordered.join(F.broadcast(parts), ["range", "sub"])
     at = at.select("id", "size", "crc", F.least(F.floor((F.col("bytes_before") + middle) * shards / max(total, 1)), F.lit(shards - 1)).cast("int").alias("shard"), (F.col("rows_before") + F.col("nth") - 1).alias("row"))
