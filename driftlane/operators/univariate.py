@@ -138,7 +138,10 @@ def contingency(df: DataFrame, features: Iterable[str], flag: str = "is_ref") ->
 def chi2_statistic(df: DataFrame, features: Iterable[str], flag: str = "is_ref") -> DataFrame:
     """``feature, distance, dof, n_ref, n_test``: chi-squared over the union of
     categories, with Yates' correction if there are two."""
-    counts = contingency(df, features, flag=flag)
+    return _chi2(contingency(df, features, flag=flag))
+
+
+def _chi2(counts: DataFrame) -> DataFrame:
     w = Window.partitionBy("feature")
     c = counts.select("*", F.sum("ref").over(w).alias("n_ref"), F.sum("test").over(w).alias("n_test"), F.count(F.lit(1)).over(w).alias("k"))
     both = F.col("ref") + F.col("test")
@@ -172,14 +175,19 @@ def cvm(df: DataFrame, features: Iterable[str], flag: str = "is_ref") -> DataFra
     return cvm_statistic(df, features, flag).withColumn("p_val", p_value("distance", "n_ref", "n_test"))
 
 
-def chi2(df: DataFrame, features: Iterable[str], flag: str = "is_ref") -> DataFrame:
-    """Chi-squared report: ``feature, distance, p_val``."""
+def chi2_from_counts(counts: DataFrame) -> DataFrame:
+    """Chi-squared report of counts ``feature, category, ref, test``."""
 
     @F.pandas_udf("double")
     def p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
         return pd.Series([stats.chi2_sf(a, b) for a, b in zip(x, dof)])
 
-    return chi2_statistic(df, features, flag).withColumn("p_val", p_value("distance", "dof"))
+    return _chi2(counts).withColumn("p_val", p_value("distance", "dof"))
+
+
+def chi2(df: DataFrame, features: Iterable[str], flag: str = "is_ref") -> DataFrame:
+    """Chi-squared report: ``feature, distance, p_val``."""
+    return chi2_from_counts(contingency(df, features, flag=flag))
 
 
 def tabular(df: DataFrame, numeric: Iterable[str], categorical: Iterable[str] = (), alternative: str = "two-sided", flag: str = "is_ref") -> DataFrame:
