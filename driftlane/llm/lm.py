@@ -110,8 +110,10 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     ``base_score`` (root arcs alone) and ``score`` double (log10), ``n_failures``
     long (failure arcs taken). One row per input row; a null or empty text is the
     end token alone. Without training rows N and V are 0 and all arcs are unseen.
-    Other columns are not read. Number of blocks and hash ranges follow the bytes
-    of the table; equal rows may share a block, any others are dealt by hash.
+    Other columns are not read. Numbers of blocks and hash ranges follow the bytes
+    of the table; equal rows may share a block, any others are dealt by hash. Blocks
+    times ranges is how many records meet, at most one for each n-gram of a block,
+    so executors with more memory should take larger blocks and ranges.
     """
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training.cast("boolean"), F.lit(False)).alias("train"))
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
