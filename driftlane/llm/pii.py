@@ -65,7 +65,7 @@ _SPELLED_PART = re.compile(rf"(?P<plus>plus\s+|\+\s?)|(?P<word>{_WORD})(?!\w)|(?
 # letters among digits that stand for 0 and 1
 _MIXED = re.compile(r"(?<![A-Za-z0-9+])\+?[0-9OoIl](?:[ ().-]{0,2}[0-9OoIl]){9,18}(?![A-Za-z0-9])")
 _MIXED_HINT = re.compile("[0-9][OoIl]|[OoIl][0-9]")
-_SIGN = re.compile(r"\s*(?:[\[({<]\s*(?P<at>at|@|arroba)\s*[\])}>]|[\[({<]\s*(?P<dot>dot|\.|punkt|punto)\s*[\])}>]|&#64;|&commat;|&#46;|&period;)\s*", re.I)
+_SIGN = re.compile(r"(?<!\s)\s*(?:[\[({<]\s*(?P<at>at|@|arroba)\s*[\])}>]|[\[({<]\s*(?P<dot>dot|\.|punkt|punto)\s*[\])}>]|&#64;|&commat;|&#46;|&period;)\s*", re.I)
 _NAME, _LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
 _WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{_NAME}\s+{_DOT_WORD}\s+){{0,3}}{_NAME}(?:\s+at\s+|\s*@\s*){_LABEL}(?:(?:\s+{_DOT_WORD}\s+|\.){_LABEL})*(?:\s+{_DOT_WORD}\s+|\.)(?:{TOP_LABELS.replace(' ', '|')})(?![A-Za-z0-9-])", re.I)
 _SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}\s@\s{_LABEL}(?:\s?\.\s?{_LABEL})*\s?\.\s?(?:{TOP_LABELS.replace(' ', '|')})(?![A-Za-z0-9-])", re.I)

@@ -302,6 +302,19 @@ def test_base_spans():
     assert pii.base_spans("1" * 50_000 + "a" * 50_000 + "@") == []  # linear in long runs
 
 
+@pytest.mark.parametrize("part", [" ", "a", "1", "1 ", "one ", "a@", "at ", "a dot ", "[", "( at", "+1 ", "@ ", ".", "1.", "é\xa0", "O1"])
+def test_long_runs_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = "dot [at] " + part * (n // len(part)) + " x"
+        start = time.perf_counter()
+        pii.spans(text)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 1.5 or took[1] < 8 * took[0]
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
