@@ -74,7 +74,6 @@ _BRACKETED = re.compile(r"[\[({<]\s*(?:[@.]|at\b|arroba)")
 _BLANKS = re.compile(r"\s+")
 _HINTS = (" @ ", "dot", "punkt", "punto", "&#64;", "&#46;", "&commat;", "&period;")
 
-_NAME_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ANY_DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")

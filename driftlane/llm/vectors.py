@@ -38,22 +38,5 @@ def best(found: DataFrame, id_col: str, k: int) -> DataFrame:
     return ranked.select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
-def local_best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Row by row, the columns of the k best by (score descending, id); -1 where
-    there are fewer that are above minus infinity."""
-    n = scores.shape[1]
-    out = np.full((len(scores), min(k, n)), -1)
-    if not n:
-        return out
-    k = min(k, n)
-    edge = np.partition(scores, n - k, axis=1)[:, n - k]
-    for i in range(len(scores)):
-        at = np.flatnonzero(scores[i] >= edge[i])
-        at = at[scores[i, at] > -np.inf]
-        at = at[np.lexsort((ids[at], -scores[i, at]))][:k]
-        out[i, : len(at)] = at
-    return out
-
-
 def blocks_of(n: int, size: int) -> int:
     return max(1, math.ceil(n / size))
