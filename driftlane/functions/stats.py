@@ -11,10 +11,6 @@ import math
 import numpy as np
 
 
-def normal_sf(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
 def gammaincc(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function Q(a, x)."""
     if x <= 0:

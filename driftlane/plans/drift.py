@@ -104,11 +104,11 @@ def cvm_report(spark, d):
 FET = """o AS (SELECT CAST(o_orderpriority = '1-URGENT' AS BIGINT) AS urgent, CAST(o_orderstatus = 'F' AS BIGINT) AS finished, CAST(o_orderdate < TIMESTAMP '1998-07-01' AS BIGINT) AS is_ref FROM orders),
 l AS (SELECT is_ref, feature, value FROM o UNPIVOT (value FOR feature IN (urgent, finished))),
 f AS (SELECT feature, sum((1 - is_ref) * value) AS a, sum(is_ref * value) AS b, sum((1 - is_ref) * (1 - value)) AS c, sum(is_ref * (1 - value)) AS d FROM l GROUP BY feature)"""
-LC = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
-PMF = f"exp({LC.format('(a + c)', 'k')} + {LC.format('(b + d)', '(a + b - k)')} - {LC.format('(a + b + c + d)', '(a + b)')})".replace("(a + c)", "(A)").replace("(b + d)", "(B)").replace("(A)", "(a + c)").replace("(B)", "(b + d)")
+CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+PMF = f"exp({CHOOSE.format('(a + c)', 'k')} + {CHOOSE.format('(b + d)', '(a + b - k)')} - {CHOOSE.format('(a + b + c + d)', '(a + b)')})"
 
 
-@query(f"WITH {FET} SELECT feature, round(CAST(a AS DOUBLE) * d / (CAST(b AS DOUBLE) * c), 6) AS distance, a AS sum_test, b AS sum_ref FROM f".replace("a AS sum_test, b AS sum_ref", "CAST(a AS BIGINT) AS sum_test, CAST(b AS BIGINT) AS sum_ref"))
+@query(f"WITH {FET} SELECT feature, round(CAST(a AS DOUBLE) * d / (CAST(b AS DOUBLE) * c), 6) AS distance, CAST(a AS BIGINT) AS sum_test, CAST(b AS BIGINT) AS sum_ref FROM f")
 def fet_odds_ratio(spark, d):
     t = univariate.fet_table(orders_flags(spark, d), ["urgent", "finished"])
     a, b = F.col("sum_test"), F.col("sum_ref")
