@@ -3,6 +3,7 @@ folder, spreading of few large splits, and byte-size bounded slices of batches."
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+_SHUFFLES = re.compile(r"Join|Aggregate|Window|Sort|Repartition|Rebalance|Limit|InArrow|InPandas")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,10 +57,14 @@ def discard(df: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the source has fewer splits than cores.
+    """Deal rows out to all cores if a scan has fewer splits than cores.
 
     A large input has more splits than cores and passes unchanged, unshuffled.
+    What comes from joins or aggregates passes too: only running it would tell its
+    number of partitions.
     """
+    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
