@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_SHUFFLES = re.compile(r"Join|Aggregate|Window|Sort|Repartition|Rebalance|Limit|InArrow|InPandas")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out if the source has fewer splits than cores; costly functions of
-    rows then use all cores. A large input passes unshuffled."""
+    """Deal rows out if a scan has fewer splits than cores; costly functions of rows
+    then use all cores. A large input passes unshuffled, as does what comes from
+    joins or aggregates."""
+    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
