@@ -21,6 +21,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def uniform(seed: int, *keys: str | Column) -> Column:
+    """A number in [0, 1) that a row's keys and the seed determine: 52 bits of the
+    MD5 of both as text, which any SQL engine can repeat. Null keys count as
+    absent."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def number(df: DataFrame, key: Column, buckets: int, first: Column | None = None, name: str = "n") -> DataFrame:
     """Adds numbers 0 .. N-1, rows of larger ``first`` before others. Rows are dealt
     into buckets by a hash of the key and numbered there; what lies before a bucket

@@ -13,10 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def uniform(seed: int, *keys: str | Column) -> Column:
-    """A number in [0, 1) that a row's keys and the seed determine."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
+from driftlane.functions.frames import uniform
 
 
 def normal(seed: int, *keys: str | Column) -> Column:
@@ -26,7 +23,7 @@ def normal(seed: int, *keys: str | Column) -> Column:
 
 def pick(df: DataFrame, n: int, key: str, seed: int, label: str = "picked") -> DataFrame:
     """Marks exactly the ``n`` rows of least hash (all, if fewer)."""
-    order = F.xxhash64(F.lit(seed), key)
+    order = uniform(seed, key)
     edge = df.select(order.alias("o"), F.col(key).alias("k")).orderBy("o", "k").limit(n).agg(F.max(F.struct("o", "k")).alias("e"))
     marked = df.crossJoin(F.broadcast(edge)).withColumn(label, F.coalesce((F.struct(order.alias("o"), F.col(key).alias("k")) <= F.col("e")).cast("int"), F.lit(0)))  # one row
     return marked.drop("e")
@@ -81,7 +78,7 @@ def outlier_batch(df: DataFrame, target: str, n: int, percent: float, key: str,
         have = counts.get(label, 0)
         if have and want:
             copies = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(-(-want // have)))))
-            parts.append(copies.orderBy("__copy", F.xxhash64(F.lit(seed), key), key).limit(want).drop("__copy"))
+            parts.append(copies.orderBy("__copy", uniform(seed, key), key).limit(want).drop("__copy"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

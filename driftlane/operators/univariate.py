@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlane.functions import stats
+from driftlane.functions.frames import uniform
 
 #: Ranges that running sums of a feature are cut into.
 BLOCKS = 128
@@ -246,5 +247,5 @@ def reservoir(df: DataFrame, size: int, seed: int, key: Iterable[str]) -> DataFr
     """Reference update: a uniform sample of ``size`` rows of all seen so far. Each
     row has a lasting pseudo-random priority from its key; the least stay, so it
     doesn't matter when or where rows were seen."""
-    priority = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
+    priority = uniform(seed, *key)
     return df.withColumn("__priority", priority).orderBy("__priority", *key).limit(size).drop("__priority")

@@ -83,36 +83,48 @@ def scale_features(spark, d):
 # -- faults --------------------------------------------------------------------
 
 
-@query("SELECT CAST(floor(count(*) * 0.1) AS BIGINT) AS n_outliers, CAST(count(*) - floor(count(*) * 0.1) AS BIGINT) AS n_same FROM lineitem")
+def _uniform(seed: int, key: str) -> str:
+    """SQL of the number that a key and a seed give."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', CAST({key} AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+def _normal(seed: int, key: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {_uniform(seed, key)})) * cos(2 * pi() * {_uniform(seed + 7919, key)}))"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS x, stddev_pop(l_quantity) OVER () AS dev, count(*) OVER () AS n FROM lineitem),
+p AS (SELECT *, row_number() OVER (ORDER BY {_uniform(5, 'id')}, id) <= floor(n * 0.1) AS hit, {_normal(6, 'id')} AS r FROM l)
+SELECT id, CAST(hit AS INTEGER) AS is_outlier, round(CASE WHEN hit THEN x + sign(r) * greatest(abs(r * 3), 1) * dev ELSE x END, 4) AS l_quantity FROM p""")
 def inject_tabular(spark, d):
-    """As many rows as asked for are marked, and all others stay as they were."""
-    l = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("was"), "l_quantity")
-    out = inject.inject_tabular(l, ["l_quantity"], 10, 3, 1, "id", 5)
-    return out.agg(F.sum("is_outlier").alias("n_outliers"), F.sum(((F.col("was") == F.col("l_quantity")) & (F.col("is_outlier") == 0)).cast("long")).alias("n_same"))
+    """A tenth of the rows, chosen and moved by a hash of their key."""
+    l = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity")
+    return inject.inject_tabular(l, ["l_quantity"], 10, 3, 1, "id", 5).select("id", "is_outlier", F.round("l_quantity", 4).alias("l_quantity"))
 
 
-@query("SELECT CAST(floor(count(*) * 0.1) AS BIGINT) AS n_outliers FROM events")
+@query(f"""WITH l AS (SELECT event_id, value AS x, stddev_pop(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS dev, count(*) OVER () AS n FROM events),
+p AS (SELECT *, row_number() OVER (ORDER BY {_uniform(0, 'event_id')}, event_id) <= floor(n * 0.1) AS hit, {_normal(1, 'event_id')} AS r FROM l)
+SELECT event_id, CAST(hit AS INTEGER) AS is_outlier, round(CASE WHEN hit THEN x + sign(r) * greatest(abs(r * 3), 1) * dev ELSE x END, 4) AS value FROM p""")
 def inject_ts(spark, d):
     out = inject.inject_ts(table(spark, d, "events").select("event_id", "user_id", "value"), "value", "event_id", 10, 3, 1, series="user_id")
-    return out.agg(F.sum("is_outlier").alias("n_outliers"))
+    return out.select("event_id", "is_outlier", F.round("value", 4).alias("value"))
 
 
-@query("SELECT CAST(floor(count(*) * 0.2) AS BIGINT) AS n_outliers, CAST(floor(count(*) * 0.2) AS BIGINT) AS n_moved FROM orders")
+@query(f"""WITH l AS (SELECT o_orderkey, {PRIORITY} AS code, count(*) OVER () AS n FROM orders), p AS (SELECT *, row_number() OVER (ORDER BY {_uniform(0, 'o_orderkey')}, o_orderkey) <= floor(n * 0.2) AS hit FROM l)
+SELECT o_orderkey, CAST(hit AS INTEGER) AS is_outlier, CAST(CASE WHEN hit THEN CASE WHEN code < 2 THEN 3 ELSE 0 END ELSE code END AS INTEGER) AS code FROM p""")
 def inject_categorical(spark, d):
-    out = inject.inject_categorical(coded(spark, d).withColumn("was", F.col("code")), "code", {0: 3, 1: 3, 2: 0, 3: 0}, 20, "o_orderkey")
-    return out.agg(F.sum("is_outlier").alias("n_outliers"), F.sum((F.col("was") != F.col("code")).cast("long")).alias("n_moved"))
+    return inject.inject_categorical(coded(spark, d), "code", {0: 3, 1: 3, 2: 0, 3: 0}, 20, "o_orderkey").select("o_orderkey", "is_outlier", "code")
 
 
-@query("SELECT count(*) AS n, CAST(3 AS INTEGER) AS top FROM orders")
+@query(f"WITH c AS (SELECT o_orderkey, {PRIORITY} AS code FROM orders) SELECT o_orderkey, CAST(CASE WHEN {_uniform(1, 'o_orderkey')} < 0.3 THEN (code + 1 + CAST(floor({_uniform(2, 'o_orderkey')} * 3) AS INTEGER)) % 4 ELSE code END AS INTEGER) AS code FROM c")
 def mutate_categorical(spark, d):
-    m = coded(spark, d).select(inject.mutate("code", 0.3, 3, "o_orderkey", 1).alias("m"))
-    return m.agg(F.count("m").alias("n"), F.max("m").alias("top"))
+    return coded(spark, d).select("o_orderkey", inject.mutate("code", 0.3, 3, "o_orderkey", 1).alias("code"))
 
 
-@query("SELECT CAST(200 AS BIGINT) AS n, CAST(60 AS BIGINT) AS n_outliers")
+@query(f"""WITH n AS (SELECT toxic, count(*) AS n FROM labels GROUP BY toxic), w AS (SELECT toxic, n, CASE WHEN toxic = 1 THEN 60 ELSE 140 END AS want FROM n),
+c AS (SELECT doc_id, toxic, want, unnest(range(1, CAST(ceil(want / CAST(n AS DOUBLE)) AS BIGINT) + 1)) AS copy FROM labels JOIN w USING (toxic)),
+r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY copy, {_uniform(0, 'doc_id')}, doc_id) AS k FROM c) SELECT doc_id, toxic FROM r WHERE k <= want""")
 def outlier_batch(spark, d):
-    out = inject.outlier_batch(table(spark, d, "labels"), "toxic", 200, 30, "doc_id")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").cast("long").alias("n_outliers"))
+    return inject.outlier_batch(table(spark, d, "labels"), "toxic", 200, 30, "doc_id").select("doc_id", "toxic")
 
 
 @query("SELECT vec_id, 8 AS height, 8 AS width FROM embeddings")
