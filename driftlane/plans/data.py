@@ -165,9 +165,14 @@ def sequence_windows(spark, d):
     return w.select("series", "window", r6(add("values")).alias("sum_values"), r6(add("targets")).alias("sum_targets"))
 
 
+def _day(ts: str):
+    """Days since 1970 of a time without zone, whatever the session's zone."""
+    return F.datediff(F.col(ts), F.lit("1970-01-01").cast("date"))
+
+
 def daily(spark, d) -> DataFrame:
     e = table(spark, d, "events")
-    return e.groupBy(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("hour")).agg(F.avg("value").alias("value"))
+    return e.groupBy((_day("ts") * 24 + F.hour("ts")).alias("hour")).agg(F.avg("value").alias("value"))
 
 
 @query("SELECT count(DISTINCT floor(epoch(ts) / 3600)) AS n FROM events")
@@ -187,7 +192,7 @@ def spectral_residual_scores(spark, d):
 p AS (SELECT ds, y, a + b * ds AS yhat, 1.2815515655446004 * sd AS h FROM s, f WHERE ds >= 10400) SELECT CAST(ds AS BIGINT) AS ds, round(yhat, 3) AS yhat, round(CASE WHEN y >= yhat THEN y - (yhat + h) ELSE yhat - h - y END, 3) AS score, CAST(CASE WHEN y >= yhat THEN y > yhat + h ELSE y < yhat - h END AS INTEGER) AS is_outlier FROM p""")
 def forecast_interval_score(spark, d):
     o = table(spark, d, "orders")
-    s = o.groupBy(F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400).cast("double").alias("ds")).agg(F.avg("o_totalprice").alias("y"))
+    s = o.groupBy(_day("o_orderdate").cast("double").alias("ds")).agg(F.avg("o_totalprice").alias("y"))
     out = timeseries.trend_forecast(s.where("ds < 10400"), s.where("ds >= 10400"))
     return out.select(F.col("ds").cast("long").alias("ds"), F.round("yhat", 3).alias("yhat"), F.round("score", 3).alias("score"), "is_outlier")
 
@@ -195,7 +200,7 @@ def forecast_interval_score(spark, d):
 @query()
 def seasonal_forecast_score(spark, d):
     o = table(spark, d, "orders")
-    s = o.groupBy(F.col("o_orderstatus").alias("series"), F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400).cast("double").alias("ds")).agg(F.avg("o_totalprice").alias("y"))
+    s = o.groupBy(F.col("o_orderstatus").alias("series"), _day("o_orderdate").cast("double").alias("ds")).agg(F.avg("o_totalprice").alias("y"))
     out = timeseries.seasonal_forecast(s.where("ds < 10400"), s.where("ds >= 10400"))
     return out.select("series", F.col("ds").cast("long").alias("ds"), F.round("yhat", 3).alias("yhat"), F.round("score", 3).alias("score"), "is_outlier")
 
