@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pad_same(x: np.ndarray, width: int, method: str = "replicate", side: str = "bilateral") -> np.ndarray:
+def pad_same(x: np.ndarray, width: int, method: str = "reflect", side: str = "bilateral") -> np.ndarray:
     """``width - 1`` more values; on both sides the left one gets the odd one."""
     n = width - 1
     left = {"bilateral": n - n // 2, "left": n, "right": 0}[side]
@@ -19,12 +19,13 @@ def pad_same(x: np.ndarray, width: int, method: str = "replicate", side: str = "
 
 
 def gradient_estimate(x: np.ndarray, t: np.ndarray, lookback: int) -> float:
-    """Next value: the last but ``lookback`` plus the mean slope to the end times the mean step."""
-    slope = (x[-1] - x[-lookback - 1 : -1]) / (t[-1] - t[-lookback - 1 : -1])
-    return float(x[-lookback] + slope.mean() * (t[-1] - t[-lookback - 1]))
+    """The value ``lookback`` places from the end plus the mean slope from earlier
+    values to the last one times the mean of those distances in time."""
+    gap = t[-1] - t[-lookback - 1 : -1]
+    return float(x[-lookback] + ((x[-1] - x[-lookback - 1 : -1]) / gap).mean() * gap.mean())
 
 
-def saliency(x: np.ndarray, window: int, method: str = "replicate") -> np.ndarray:
+def saliency(x: np.ndarray, window: int, method: str = "reflect") -> np.ndarray:
     """|IFFT| of the log amplitude less its local mean, the phase kept."""
     if len(x) <= window:
         raise ValueError("the series must be longer than the amplitude window")
@@ -38,19 +39,19 @@ def saliency(x: np.ndarray, window: int, method: str = "replicate") -> np.ndarra
     return np.abs(np.fft.ifft(np.exp(log - average + 1j * np.angle(spectrum))))
 
 
-def residual_scores(x: np.ndarray, t: np.ndarray, window_amp: int = 20, window_local: int = 20, n_est_points: int = 10, n_grad_points: int = 5, method: str = "replicate") -> np.ndarray:
+def residual_scores(x: np.ndarray, t: np.ndarray, window_amp: int = 20, window_local: int = 20, n_est_points: int = 10, n_grad_points: int = 5, method: str = "reflect") -> np.ndarray:
     """(saliency - local mean) / local mean; the mean is of earlier points alone."""
     if len(x) <= max(window_amp, window_local):
         raise ValueError("the series must be longer than its windows")
     longer = np.concatenate([x, np.full(n_est_points, gradient_estimate(x, t, n_grad_points))]) if n_est_points else x
     s = saliency(longer, window_amp, method)[: len(x)]
-    kernel = np.ones(window_local) / window_local
+    kernel = np.ones(window_local + 1) / window_local
     kernel[0] = 0.0  # leaves out the point itself
-    mean = np.convolve(pad_same(s, window_local, method, "left"), kernel, "valid")
+    mean = np.convolve(pad_same(s, window_local + 1, method, "left"), kernel, "valid")
     return (s - mean) / (mean + 1e-8)
 
 
-def spectral_residual(df: DataFrame, value: str, order: str, series: str | None = None, window_amp: int = 20, window_local: int = 20, n_est_points: int = 10, n_grad_points: int = 5, method: str = "replicate") -> DataFrame:
+def spectral_residual(df: DataFrame, value: str, order: str, series: str | None = None, window_amp: int = 20, window_local: int = 20, n_est_points: int = 10, n_grad_points: int = 5, method: str = "reflect") -> DataFrame:
     """``series, order, value, score`` per series. A transform needs the whole
     series, so a series is one task; series run side by side."""
     held = df.select((F.col(series).cast("string") if series else F.lit("all")).alias("series"), F.col(order).cast("double").alias("t"), F.col(value).cast("double").alias("x"))

@@ -291,7 +291,8 @@ class LSDDOnline:
 class MahalanobisOnline:
     """Distance of a row to the running mean in the leading components, after which
     the row, clipped at ``std_clip`` deviations from ``start_clip`` rows on, enters
-    mean and covariance. Scoring alone never changes a state that is kept."""
+    mean and sample covariance. Until the covariance has full rank in them the score
+    is 0. Scoring alone never changes a state that is kept."""
 
     threshold: float = float("inf")
     n_components: int = 3
@@ -307,19 +308,19 @@ class MahalanobisOnline:
         n, mean, c = state["n"], state["mean"], state["c"]
         if mean is None:
             mean, c = np.zeros(len(x)), np.zeros((len(x), len(x)))
+        kept = x  # what enters the moments; the score is of the row itself
         if n > self.start_clip:
             dev = np.sqrt(np.diag(c))
-            x = np.clip(x, mean - self.std_clip * dev, mean + self.std_clip * dev)
+            kept = np.clip(x, mean - self.std_clip * dev, mean + self.std_clip * dev)
         used = n if self.max_n is None else min(n, self.max_n)
-        score = 0.0
-        gap = x - mean
-        if n > 1:
-            value, vec = np.linalg.eigh(c)
-            top = vec[:, ::-1][:, : self.n_components]
-            var = np.maximum(value[::-1][: self.n_components], 1e-9)
-            score = float((((gap @ top) ** 2) / var).sum())
-        mean = mean + gap / (used + 1)
-        c = used / (used + 1) * c + used / (used + 1) ** 2 * np.outer(gap, gap) if n else c
+        gap = kept - mean
+        new_c = (used - 1) / used * c + np.outer(gap, gap) / (used + 1) if used else c
+        top = np.linalg.eigh(new_c)[1][:, -min(self.n_components, len(x)) :]
+        inner, score = top.T @ c @ top, 0.0
+        if abs(np.linalg.det(inner)) > 1e-8:
+            z = (x - mean) @ top
+            score = float(z @ np.linalg.solve(inner, z))
+        mean, c = mean + gap / (used + 1), new_c
         return {"n": n + 1, "mean": mean, "c": c}, score, self.threshold, int(score > self.threshold)
 
 
