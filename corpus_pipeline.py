@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; a missing ``lang`` takes the told one.
 
     Rejected documents go: those without a letter, and those whose two nearest
-    languages compress them to the same size. The model learns from the labelled
+    languages compress them to nearly the same size, against their own. The model learns from the labelled
     documents outside fold 0. Without any labelled document nothing can be told,
     and only documents without a letter go.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 
 import pyarrow as pa
 import regex
@@ -23,19 +24,30 @@ SAMPLE_DOC_BYTES = 16 << 10
 MAX_LANGUAGES = 500
 CHUNK = 2048
 LEVEL = 11
+#: A share saved below this part of what clean documents save is too narrow. Clean
+#: documents are labelled ones outside the dictionaries, at most so many; their
+#: share is the quantile CLEAN_QUANTILE. Where there are none, DEFAULT_SHARE holds.
+NARROW, CLEAN_QUANTILE, CLEAN_DOCS, DEFAULT_SHARE = 0.5, 0.05, 200, 0.02
 
 _LETTER = regex.compile(r"\p{L}")
 _BLANKS = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
+class Model(dict):
+    """Dictionaries by language, and the share a text must save to be told."""
+
+    min_share = DEFAULT_SHARE
+
+
 def letters(text: str) -> bytes:
     """Lower-case words alone, joined by blanks: ASCII digits and marks say
     nothing of a language."""
     return " ".join(text.lower().translate(_BLANKS).split()).encode()
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """A dictionary of raw text for every label of ``lang_col``.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> Model:
+    """A dictionary of raw text for every label of ``lang_col``, and the least
+    share of a text that is told, from drawn documents outside the dictionaries.
 
     Rows with a null label or without letters teach nothing. Of each language
     about ``2 * sample_docs`` documents of at most ``SAMPLE_DOC_BYTES`` bytes are
@@ -50,7 +62,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
-        return {}
+        return Model()
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * sample_docs / max(r.n, 1)))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     drawn = known.where(short & (draw < rate[F.col("lang")] * F.lit(float(1 << 40)))).select("lang", draw.alias("at"), "text").distinct().collect()
@@ -58,10 +70,25 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     for r in (r for r in counts if r.n == 0):
         one = known.where((F.col("lang") == r.lang) & (F.xxhash64("text") == r.least)).select("text").first()
         out[r.lang] = letters(one.text)
+    clean = []
     for lang in sorted({r.lang for r in drawn}):
-        texts = [letters(r.text) for r in sorted((r for r in drawn if r.lang == lang), key=lambda r: (r.at, r.text))]
+        docs = [r.text for r in sorted((r for r in drawn if r.lang == lang), key=lambda r: (r.at, r.text))]
+        texts = [letters(t) for t in docs]
         out[lang] = b" ".join(texts)
-    return {lang: text[:dict_bytes] for lang, text in sorted(out.items())}
+        ends = itertools.accumulate(len(t) + 1 for t in texts)
+        clean += [(i, lang, t) for i, t in enumerate(t for t, x, end in zip(docs, texts, ends) if end - len(x) > dict_bytes)]
+    model = Model((lang, text[:dict_bytes]) for lang, text in sorted(out.items()))
+    model.min_share = least_share(model, [(lang, t) for _, lang, t in sorted(clean)[:CLEAN_DOCS]])
+    return model
+
+
+def least_share(model: dict[str, bytes], clean: list[tuple[str, str]], level: int = LEVEL) -> float:
+    """``NARROW`` times the share that all but the lowest ``CLEAN_QUANTILE`` of the
+    labelled texts save, of those that are told rightly."""
+    frozen = tuple(sorted(model.items()))
+    told = [(lang, *classify(text, frozen, level)) for lang, text in clean]
+    shares = sorted(score for lang, pred, score, _ in told if lang == pred)
+    return NARROW * shares[int(CLEAN_QUANTILE * len(shares))] if shares else DEFAULT_SHARE
 
 
 @functools.lru_cache(maxsize=4)
@@ -93,25 +120,26 @@ def classify(text: str | None, model: tuple[tuple[str, bytes], ...], level: int
     return lang, min(1.0, max(0.0, 1 - best / second)) if second else 0.0, second - best
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: int = 1, level: int = LEVEL) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: int = 1, level: int = LEVEL, min_share: float | None = None) -> DataFrame:
     """``id_col``, ``lang_pred`` string, ``score`` double, ``margin`` long (bytes)
     and ``rejected`` boolean of every whole text.
 
-    A text is rejected if the two smallest sizes are less than ``min_margin``
-    bytes apart, or if it is null, empty or has no letters (``lang_pred`` is then
-    ``und``, as it is with an empty model). One row per input row; null and
+    A text is rejected if its score is below ``min_share`` (that of the model
+    unless given) or its margin below ``min_margin`` bytes, or if it is null, empty
+    or has no letters (``lang_pred`` is then ``und``, as it is with an empty model). One row per input row; null and
     repeated ids keep their rows. Other columns are not read. The model, at most
     ``MAX_LANGUAGES`` dictionaries of ``DICT_BYTES``, travels with the tasks.
     """
     schema = T.StructType([common.field(docs, id_col), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.LongType()), T.StructField("rejected", T.BooleanType())])
     frozen = tuple(sorted(model.items()))
+    share = getattr(model, "min_share", DEFAULT_SHARE) if min_share is None else min_share
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, 1):
                 got = [classify(t, frozen, level) for t in part.column(1).to_pylist()]
                 lang, score, margin = zip(*got)
-                rejected = [x == UNDETERMINED or m < min_margin for x, m in zip(lang, margin)]
+                rejected = [x == UNDETERMINED or m < min_margin or s < share for x, s, m in zip(lang, score, margin)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.int64()), pa.array(rejected, pa.bool_())], schema.names)
 
     return common.spread(docs.select(id_col, text_col)).mapInArrow(run, schema)

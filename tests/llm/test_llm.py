@@ -450,6 +450,22 @@ def test_narrow_margins_are_rejected():
     assert (lang, score, margin) == ("a", 0.0, 0)
 
 
+def test_texts_of_no_language_are_rejected(spark, docs):
+    """The margin counts against the size of the text."""
+    model = langid.fit(docs.where(queries.fold() != 0))
+    rnd = random.Random(5)
+    noise = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(4000)) for _ in range(40)]
+    foreign = ["hyvää päivää kaikille tämä teksti on kirjoitettu suomeksi eikä millään muulla kielellä " * k for k in (3, 20, 60)]
+    by = {lang: [r.text for r in docs.where((queries.fold() == 0) & (F.col("lang") == lang) & (F.char_length("text") > 1500)).orderBy("doc_id").limit(8).collect()] for lang in ("en", "fr", "de")}
+    mixed = [x[:1500] + " " + y[:1500] for a, b in (("en", "fr"), ("de", "en"), ("fr", "de")) for x, y in zip(by[a], by[b])]
+    clean = [t for texts in by.values() for t in texts]
+    table = documents(spark, [*enumerate(noise + foreign), *enumerate(mixed, 1000), *enumerate(clean, 2000)])
+    kept = [r.doc_id for r in langid.identify(table, model).where("not rejected").collect()]
+    assert sum(i < 1000 for i in kept) <= 1
+    assert sum(1000 <= i < 2000 for i in kept) <= 0.3 * len(mixed)
+    assert sum(i >= 2000 for i in kept) >= 0.95 * len(clean)
+
+
 # -- 7: language model ---------------------------------------------------------
 
 
