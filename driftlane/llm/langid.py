@@ -50,29 +50,36 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     share of a text that is told, from drawn documents outside the dictionaries.
 
     Rows with a null label or without letters teach nothing. Of each language
-    about ``2 * sample_docs`` documents of at most ``SAMPLE_DOC_BYTES`` bytes are
-    drawn by a hash of their text, so the draw depends on neither order nor
-    partitions, and what reaches the driver is bounded by the parameters and the
-    number of languages. An empty table gives no dictionaries. A language that has
-    longer documents alone is sampled from those, one document then.
+    about ``2 * sample_docs`` distinct texts are drawn by a hash, and more of them
+    in the same order until ``dict_bytes`` are there or all texts are; a text over
+    ``SAMPLE_DOC_BYTES`` gives a slice. So the draw depends on neither order,
+    partitions nor copies, what reaches the driver is bounded by the parameters
+    and the number of languages, and every label has a dictionary. An empty table
+    gives no dictionaries.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    short = F.octet_length("text") <= SAMPLE_DOC_BYTES
-    counts = known.groupBy("lang").agg(F.count_if(short).alias("n"), F.min(F.xxhash64("text")).alias("least")).limit(MAX_LANGUAGES + 1).collect()
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return Model()
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * sample_docs / max(r.n, 1)))])
+    # a slice begins at a letter; a character has four bytes at most
+    part = F.when(F.octet_length("text") <= SAMPLE_DOC_BYTES, F.col("text")).otherwise(F.substring(F.regexp_replace("text", r"^[^\p{L}]+", ""), 1, SAMPLE_DOC_BYTES // 4))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    drawn = known.where(short & (draw < rate[F.col("lang")] * F.lit(float(1 << 40)))).select("lang", draw.alias("at"), "text").distinct().collect()
-    out: dict[str, bytes] = {}
-    for r in (r for r in counts if r.n == 0):
-        one = known.where((F.col("lang") == r.lang) & (F.xxhash64("text") == r.least)).select("text").first()
-        out[r.lang] = letters(one.text)
+    rates, drawn, out = {r.lang: min(1.0, 2 * sample_docs / max(r.n, 1)) for r in counts}, {}, {}
+    while rates:
+        rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
+        got = known.where(draw < rate[F.col("lang")] * F.lit(float(1 << 40))).select("lang", draw.alias("at"), part.alias("text")).distinct().collect()
+        for lang in list(rates):
+            drawn[lang] = [r.text for r in sorted((r for r in got if r.lang == lang), key=lambda r: (r.at, r.text))]
+            size = sum(len(letters(t)) + 1 for t in drawn[lang])
+            if size > dict_bytes or rates[lang] >= 1:
+                del rates[lang]
+            else:
+                # twice what is likely to fill it; a few texts say little of the others' length
+                rates[lang] = min(1.0, rates[lang] * min(64.0, max(4.0, 2 * dict_bytes / max(size, 1))))
     clean = []
-    for lang in sorted({r.lang for r in drawn}):
-        docs = [r.text for r in sorted((r for r in drawn if r.lang == lang), key=lambda r: (r.at, r.text))]
+    for lang, docs in sorted(drawn.items()):
         texts = [letters(t) for t in docs]
         out[lang] = b" ".join(texts)
         ends = itertools.accumulate(len(t) + 1 for t in texts)

@@ -450,6 +450,18 @@ def test_narrow_margins_are_rejected():
     assert (lang, score, margin) == ("a", 0.0, 0)
 
 
+def test_every_label_has_a_full_dictionary(spark):
+    """Copies don't thin out the draw, and short texts don't shut out long ones."""
+    few = spark.range(40_000).select(F.concat(F.lit("tout petit texte "), F.repeat(F.lit("mot "), (F.col("id") % 9).cast("int"))).alias("text"), F.lit("fr").alias("lang"))
+    long = spark.range(30).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.concat(F.lit("wort"), F.translate(F.substring(F.sha2(F.concat_ws("-", "id", i), 256), 1, 8), "0123456789", "ghijklmnop")))).alias("text"), F.lit("de").alias("lang"))
+    short = spark.createDataFrame([("kurz", "de"), ("word", "en")], "text string, lang string")
+    tiny = spark.range(20_000).select(F.translate(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 8), "0123456789", "ghijklmnop").alias("text"), F.lit("xx").alias("lang"))
+    model = langid.fit(few.unionByName(long).unionByName(short).unionByName(tiny))
+    assert set(model) == {"de", "en", "fr", "xx"} and model["en"] == b"word"
+    assert sorted(len(t) for t in (model["de"], model["xx"])) == [langid.DICT_BYTES] * 2
+    assert model["fr"].count(b"tout") == 9
+
+
 def test_texts_of_no_language_are_rejected(spark, docs):
     """The margin counts against the size of the text."""
     model = langid.fit(docs.where(queries.fold() != 0))
