@@ -67,13 +67,15 @@ class ByteBPE:
     ``merges`` lists the pairs that may join, as ``(left, right, joined)`` ids
     where a smaller joined id merges first. Without it any two tokens whose
     bytes together are a token may join, and a piece that is a token stays whole,
-    as is usual for files of ranks.
+    as is usual for files of ranks. ``added`` gives the ids of tokens that are cut
+    out of a text before the pattern runs.
     """
 
-    def __init__(self, ranks: dict[bytes, int], merges: list[tuple[int, int, int]] | None = None):
-        self.ranks, self.whole = ranks, ranks if merges is None else {}
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for tok, r in ranks.items():
+    def __init__(self, ranks: dict[bytes, int], merges: list[tuple[int, int, int]] | None = None, added: dict[str, int] | None = None):
+        self.ranks, self.whole, self.added = ranks, ranks if merges is None else {}, added or {}
+        named = ranks | {tok.encode(): r for tok, r in self.added.items()}
+        self.tokens = [b""] * (max(named.values()) + 1)
+        for tok, r in named.items():
             self.tokens[r] = tok
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         found = merges if merges is not None else [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -88,12 +90,16 @@ class ByteBPE:
     @functools.lru_cache(maxsize=4)
     def load(path: str) -> ByteBPE:
         """From a file of ranks (``base64 rank`` lines), or from the JSON of a
-        byte-level BPE tokenizer, whose listed merges alone then apply."""
+        byte-level BPE tokenizer, whose listed merges alone then apply, and whose
+        added tokens are those that the library finds in texts by default."""
         if not path.endswith(".json"):
             with open(path, "rb") as f:
                 return ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, added = whole["model"], whole.get("added_tokens") or []
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at the text around them are not supported")
         # the printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -104,7 +110,7 @@ class ByteBPE:
             merges.append((ids[left], ids[right], ids[left + right]))
             if order and merges[-1][2] <= merges[-2][2]:
                 raise ValueError("the ids of joined tokens must rise in the order of the merges")
-        return ByteBPE({bytes(byte_of[c] for c in t): i for t, i in ids.items()}, merges)
+        return ByteBPE({bytes(byte_of[c] for c in t): i for t, i in ids.items()}, merges, {t["content"]: t["id"] for t in added})
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each pre-token, joined, and the number of ids of each."""
@@ -208,7 +214,8 @@ class ByteBPE:
 
 @functools.lru_cache(maxsize=2)
 def piece_store(path: str, pattern: str) -> PieceStore:
-    return PieceStore(ByteBPE.load(path).encode_pieces, pattern)
+    bpe = ByteBPE.load(path)
+    return PieceStore(bpe.encode_pieces, pattern, added=bpe.added)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:

@@ -42,16 +42,21 @@ class PieceStore:
     pre-token, so the cut pieces (blank included) can be looked up whole without
     running the pattern. A text with a blank before white space or at its end goes
     through the pattern itself, as a run of white space may then cross a cut.
+
+    Before that, texts are split at the ``added`` tokens, the leftmost longest
+    first, which stand for one id each; what lies between is a text of its own.
     """
 
-    def __init__(self, encode: Callable, pattern: str, max_entries: int = 1_000_000):
-        self.encode, self.max_entries = encode, max_entries
+    def __init__(self, encode: Callable, pattern: str, max_entries: int = 1_000_000, added: dict[str, int] | None = None):
+        self.encode, self.max_entries, self.added = encode, max_entries, added or {}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if longest else None
         self.pattern = regex.compile(pattern)
         self.findall = self.pattern.findall
         self._reset()
 
     def _reset(self):
-        self.pieces, self.chunks = _Numbered(self), _Numbered(self)
+        self.pieces, self.chunks, self.marks = _Numbered(self), _Numbered(self), _Numbered(self)
         self.n = self.used = 0
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int32)
@@ -68,6 +73,13 @@ class PieceStore:
 
     def number(self, text: str) -> np.ndarray:
         """Numbers of the entries that make up ``text``, in order."""
+        if self.split is not None and any(t in text for t in self.added):
+            # what splits stands at the odd places
+            parts = [np.array([self.marks[x]], np.int64) if i % 2 else self._number(x) for i, x in enumerate(self.split(text))]
+            return np.concatenate(parts)
+        return self._number(text)
+
+    def _number(self, text: str) -> np.ndarray:
         if _BLANK_RUN(text) or text[-1:] == " ":
             found = self.findall(text)
             return np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
@@ -95,6 +107,10 @@ class PieceStore:
             size = max(self.n, 2 * len(self.start))
             self.start = np.concatenate([self.start, np.zeros(size - len(self.start), np.int64)])
             self.length = np.concatenate([self.length, np.zeros(size - len(self.length), np.int32)])
+        marks, self.marks.fresh = self.marks.fresh, []
+        if marks:
+            ids = np.array([self.added[x] for _, x in marks], np.int32)
+            self._put(np.array([i for i, _ in marks], np.int64), ids, np.ones(len(ids), np.int32))
         if fresh:
             flat, lengths = self.encode([p for _, p in fresh])
             self._put(np.fromiter((i for i, _ in fresh), np.int64, len(fresh)), flat, lengths)

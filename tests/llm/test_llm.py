@@ -96,6 +96,22 @@ def test_encoder_matches_libraries(path, tiktoken_encoding, tokenizer):
             assert store.gather(n).tolist() == want(t), repr(t)
 
 
+def test_added_tokens_as_the_library_by_default(spark):
+    from tokenizers import Tokenizer
+
+    library, rnd = Tokenizer.from_file(JSON), random.Random(8)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n", "<|endoftext", *("".join(rnd.choice(PARTS) for _ in range(rnd.randrange(0, 80))) for _ in range(200))]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    table = documents(spark, list(enumerate(texts)))
+    got = bpe.decode(bpe.encode(table, JSON, PATTERN), JSON).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == dict(enumerate(want))
+    assert {r.doc_id: bytes(r.decoded).decode() for r in got} == dict(enumerate(texts))
+    for r in packing.pack_documents(table, JSON, PATTERN).collect():
+        ids = [*want[r.doc_id], 2]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
 @pytest.mark.parametrize("text", ["a" * 3000, "ab" * 2000, "aaaa" * 200 + "b" * 77, "日" * 900, "x" * 257, ""])
 def test_long_pieces(text, tiktoken_encoding):
     b = bpe.ByteBPE.load(RANKS)
