@@ -18,7 +18,7 @@ THRESHOLD = 0.2
 ROUNDS = 6
 BLOCK = 8192
 QUERY_BLOCK = 512
-#: Rows of each block that are reranked for each query.
+#: Rows of each block that are reranked for each query, at least.
 RERANK = 256
 
 
@@ -102,6 +102,31 @@ def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def rerank_one(q: np.ndarray, x: np.ndarray, rough: np.ndarray, near: np.ndarray, k: int, order: np.ndarray, start: np.ndarray, row: np.ndarray, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the ``k`` best rows of a block for one query.
+
+    ``x`` holds distinct vectors; the rows of vector g are ``order[start[g] :
+    start[g + 1]]``, by id. ``near`` are the vectors with the best rough scores.
+    """
+    near = near[rough[near] > -np.inf]
+    if not len(near):
+        return np.zeros(0, np.int64), np.zeros(0)
+    exact = np.einsum("rd,d->r", x[near], q)
+    low = rough[near].min()
+    kth = np.partition(exact, -min(k, len(exact)))[-min(k, len(exact))]
+    low = min(low, kth - np.abs(exact - rough[near]).max())
+    more = np.setdiff1d(np.flatnonzero((rough >= low) & (rough > -np.inf)), near)
+    near, exact = np.concatenate([near, more]), np.concatenate([exact, np.einsum("rd,d->r", x[more], q)])
+    kth = np.partition(exact, -min(k, len(exact)))[-min(k, len(exact))]
+    near, exact = near[exact >= kth], exact[exact >= kth]
+    # one more than k, as the query's own row may be among them
+    places = [order[start[g] : min(start[g + 1], start[g] + k + 1)] for g in near.tolist()]
+    at, score = np.concatenate(places), np.repeat(exact, [len(p) for p in places])
+    at, score = at[row[at] != own], score[row[at] != own]
+    best = np.lexsort((ids[at], -score))[:k]
+    return at[best], score[best]
+
+
 def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """About the ``k`` largest inner products of each query row with all others.
 
@@ -115,7 +140,9 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     Codebooks are fitted on about ``sample`` rows drawn by hash; all rows are
     coded. Blocks of rows meet blocks of queries: a task scans the codes of one
     block by tables, and reranks the ``rerank`` best of each query by the original
-    vectors. ``rerank`` is never below ``k``.
+    vectors, with all that tie with the last of them or whose rough score lies
+    within the largest error of these below the ``k``-th exact score so far. Equal
+    vectors are scanned once. ``rerank`` is never below ``k``.
     """
     vec = F.col(vec_col).cast("array<double>")
     ok = vectors.finite(F.col(vec_col)) & F.exists(vec, lambda x: x != 0)
@@ -146,21 +173,26 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
         out = []
         if len(queries) and len(rows):
             q, x = vectors.matrix(queries.column("v"), np.float64), vectors.matrix(rows.column("v"), np.float64)
-            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-            rough = scan(book.tables(q), codes)
             q_row, q_id = queries.column("row").to_numpy(), queries.column("id").to_numpy()
             row, ids = rows.column("row").to_numpy(), rows.column("id").to_numpy()
-            rough[q_row[:, None] == row[None]] = -np.inf
+            _, group = np.unique(np.ascontiguousarray(x).view(f"V{x.itemsize * x.shape[1]}").ravel(), return_inverse=True)
+            order = np.lexsort((row, ids, group))
+            start = np.searchsorted(group[order], np.arange(group.max() + 2))  # members of each group, by id
+            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
+            distinct = order[start[:-1]]
+            x = x[distinct]
+            rough = scan(book.tables(q), codes[distinct])
+            # a query row that has no copies is no candidate of its own
+            own = {int(r): int(g) for r, g in zip(row, group)}
+            for i, r in enumerate(q_row.tolist()):
+                if (g := own.get(r)) is not None and start[g + 1] - start[g] == 1:
+                    rough[i, g] = -np.inf
             take = min(depth, len(x))
             near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-            exact = np.einsum("qd,qrd->qr", q, x[near])
-            exact[np.take_along_axis(rough, near, 1) == -np.inf] = -np.inf
-            order = np.lexsort((ids[near], -exact), axis=1)[:, :k]
-            score = np.take_along_axis(exact, order, 1)
-            at = np.take_along_axis(near, order, 1)
-            on = score > -np.inf
-            i = np.nonzero(on)[0]
-            out = [q_row[i], q_id[i], row[at[on]], ids[at[on]], score[on]]
+            found = [rerank_one(q[i], x, rough[i], near[i], k, order, start, row, ids, int(q_row[i])) for i in range(len(q))]
+            i = np.repeat(np.arange(len(q)), [len(at) for at, _ in found])
+            at = np.concatenate([at for at, _ in found])
+            out = [q_row[i], q_id[i], row[at], ids[at], np.concatenate([score for _, score in found])]
         return pa.table(out or [np.zeros(0, np.int64)] * 4 + [np.zeros(0)], names=["qrow", "qid", "row", "id", "score"])
 
     found = sent.groupBy("block", "qblock").cogroup(there.groupBy("block", "qblock")).applyInArrow(search, schema)

@@ -277,6 +277,24 @@ def test_ann_awkward(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0, 5).collect() == []
 
 
+@pytest.mark.parametrize("spread", [0.0, 1e-3, 0.02])
+def test_ann_recall_with_a_tight_group(spark, spread):
+    """A third of the rows are copies or close variants of one vector."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 16))
+    x[::3] = rng.normal(size=16) + spread * rng.normal(size=(2000, 16))
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(df, F.col("vec_id") % 100 == 0, 20).collect()
+    got = {(r.query_id, r.vec_id) for r in rows}
+    want = set()
+    for at in np.flatnonzero(ids % 100 == 0):
+        s = np.einsum("rd,d->r", x, x[at])
+        best = [j for j in np.lexsort((ids, -s)) if j != at][:20]
+        want |= {(int(ids[at]), int(ids[j])) for j in best}
+    assert len(rows) == len(got) == 60 * 20 and len(got & want) / len(want) >= 0.9
+
+
 def test_anisotropic_codes_keep_more_of_the_parallel_part():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 16))
