@@ -36,7 +36,7 @@ DIGIT_WORDS = (
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
 _DIGIT = {w: str(i) for line in DIGIT_WORDS for i, w in enumerate(line.split())} | {"oh": "0"}
-# Last labels that make words with "at" and "dot" an address.
+# Last labels that make words with "at" and "dot" an address; others do so if both signs are worded.
 TOP_LABELS = "com org net edu gov mil int info biz io ai dev app me us uk co de fr es it nl eu ch be ru jp cn br ca au in pl se no dk fi pt mx tv example test invalid local"
 
 
@@ -68,10 +68,21 @@ _MIXED_HINT = re.compile("[0-9][OoIl]|[OoIl][0-9]")
 _SIGN = re.compile(r"(?<!\s)\s*(?:[\[({<]\s*(?P<at>at|@|arroba)\s*[\])}>]|[\[({<]\s*(?P<dot>dot|\.|punkt|punto)\s*[\])}>]|&#64;|&commat;|&#46;|&period;)\s*", re.I)
 _NAME, _LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
 _WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{_NAME}\s+{_DOT_WORD}\s+){{0,3}}{_NAME}(?:\s+at\s+|\s*@\s*){_LABEL}(?:(?:\s+{_DOT_WORD}\s+|\.){_LABEL})*(?:\s+{_DOT_WORD}\s+|\.)(?:{TOP_LABELS.replace(' ', '|')})(?![A-Za-z0-9-])", re.I)
+# both signs worded: any last label
+_ALL_WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{_NAME}\s+{_DOT_WORD}\s+){{0,3}}{_NAME}\s+at\s+(?P<domain>{_LABEL}(?:\s+{_DOT_WORD}\s+{_LABEL})*\s+{_DOT_WORD}\s+[A-Za-z]{{2,}})(?![A-Za-z0-9-])", re.I)
+# Words that make "at" and "dot" a sentence.
+_PROSE = frozenset("a an the this that these those my your his her its our their each every one some any no and or of is der die das den dem ein eine und le la les un une et el los las una y".split())
+# a worded at before a plain domain
+_WORDED_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>{_NAME})(?P<at>\s+at\s+){_LABEL}(?:\.{_LABEL})*\.(?P<last>[A-Za-z]{{2,}})(?![A-Za-z0-9-])", re.I)
+_CUE = re.compile(r"\b(?:e-?mail|mail|mailto|contact|address|write|reach|courriel|correo|kontakt)\b", re.I)
+_CUE_REACH = 40
+# Words before "at" that are no name.
+_NO_NAME = frozenset("me us him her them you it i we he she they or and is are be look see find here there only also directly write mail email e-mail contact address reach available now".split())
 _SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}\s@\s{_LABEL}(?:\s?\.\s?{_LABEL})*\s?\.\s?(?:{TOP_LABELS.replace(' ', '|')})(?![A-Za-z0-9-])", re.I)
 _WORDED_PART = re.compile(rf"(?P<dot>\s+{_DOT_WORD}\s+)|(?P<at>\s+at\s+|\s*@\s*)", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:[@.]|at\b|arroba)")
 _BLANKS = re.compile(r"\s+")
+_AT_DOMAIN = re.compile(r"\sat\s+[a-z0-9-]+\.[a-z0-9]")
 _HINTS = (" @ ", "dot", "punkt", "punto", "&#64;", "&#46;", "&commat;", "&period;")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -202,17 +213,34 @@ def digits_from_letters(r: Rewritten) -> Rewritten:
     return r.put(edits)
 
 
+def _named(text: str, m: re.Match) -> bool:
+    """Whether "name at domain.tld" is an address rather than a sentence."""
+    name, last = m["name"].strip("._%+-"), m["last"]
+    if not re.search("[A-Za-z]", name) or last[0].isupper() and last[1:].islower():  # a sentence that begins without a blank
+        return False
+    return re.search(r"[._0-9]", name) is not None or name.lower() not in _NO_NAME and _CUE.search(text, max(0, m.start() - _CUE_REACH), m.start()) is not None
+
+
 def signs_from_words(r: Rewritten) -> Rewritten:
     """Bracketed signs, entities and, inside what reads like an address with a
-    worded dot, the words become @ and dots."""
+    worded dot, the words become @ and dots. A worded at before a plain domain
+    does if the name has a dot, digit or underscore inside, or a contact word
+    stands shortly before it."""
     edits = [(m.start(), m.end(), "@" if m["at"] or "64" in m.group() or "commat" in m.group() else ".", 1) for m in _SIGN.finditer(r.text)]
     r = r.put(edits)
     edits = []
+    for m in _ALL_WORDED.finditer(r.text):
+        if not _PROSE & set(m["domain"].lower().split()):
+            edits += [(p.start(), p.end(), "@" if p["at"] else ".", 1) for p in _WORDED_PART.finditer(r.text, m.start(), m.end())]
+    r = r.put(edits)
+    edits = []
     for m in _WORDED.finditer(r.text):
         parts = list(_WORDED_PART.finditer(r.text, m.start(), m.end()))
         if any(p["dot"] for p in parts):  # "at" alone is an ordinary word
             edits += [(p.start(), p.end(), "@" if p["at"] else ".", 1) for p in parts if p.group() != "@"]
     r = r.put(edits)
+    edits = [(*m.span("at"), "@", 1) for m in _WORDED_AT.finditer(r.text) if _named(r.text, m)]
+    r = r.put(edits)
     edits = [(a, b, "", 1) for m in _SPACED.finditer(r.text) for a, b in (s.span() for s in _BLANKS.finditer(r.text, m.start(), m.end()))]
     return r.put(edits)
 
@@ -228,7 +256,7 @@ def _hints(text: str) -> tuple[bool, bool, bool, bool]:
         except UnicodeEncodeError:
             look = _LOOK.search(text) is not None
     low = text.lower()
-    words = any(h in low for h in _HINTS) or _BRACKETED.search(low) is not None
+    words = any(h in low for h in _HINTS) or _BRACKETED.search(low) is not None or _AT_DOMAIN.search(low) is not None
     # a spelled number has two digits that differ
     spelled = words or any(sum(w in low for w in line.split()) > 1 for line in DIGIT_WORDS)
     return look, words, spelled and _SPELLED.search(text) is not None, _MIXED_HINT.search(text) is not None

@@ -380,6 +380,28 @@ def test_disguises(text, kind, found):
     assert (kind, found) in [(k, text[a:b]) for k, a, b, base in pii.spans(text) if not base]
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("ask john.doe at example.com today", "john.doe at example.com"),
+        ("user_7 at mail.example.org", "user_7 at mail.example.org"),
+        ("e-mail: maria at example.com", "maria at example.com"),
+        ("ivan at mail dot ua", "ivan at mail dot ua"),
+        ("maria at correo dot ar.", "maria at correo dot ar"),
+        ("x at host dot xyz", "x at host dot xyz"),
+        ("anna dot b at post dot example dot cloud", "anna dot b at post dot example dot cloud"),
+    ],
+)
+def test_worded_signs_without_closed_lists(text, found):
+    assert [("email", found)] == [(k, text[a:b]) for k, a, b, base in pii.spans(text) if not base]
+    assert found not in pii.mask_text(text)
+
+
+@pytest.mark.parametrize("text", ["contact us at example.com", "look at a dot there", "we met at 7.30 at noon.Then", "room 12 at example.com"])
+def test_worded_at_in_sentences_stays(text):
+    assert pii.spans(text) == []
+
+
 @pytest.mark.parametrize("text", ["look at the dot here", "see you at example.com then", "meet at noon. one two three", "un un un un un un un un un un un", "привет @ мир", "l’été à 5–6 km", "a dot in the text at last", "see you at example.com and a dot here", "he was 1 of 2 or 3 in one two", "II 2015 OIl"])
 def test_clean_texts_stay(text):
     assert pii.spans(text) == []
