@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -23,12 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     Taken from ``spark.checkpoint.dir`` (or a checkpoint folder that the session
-    already has); only where neither is set, as in tests, a local one is made.
+    already has). Where neither is set, a session on one machine, as in tests, gets
+    a local one; on a cluster that is an error.
     """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftlane-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftlane-"))
         have = sc.getCheckpointDir()
     return have
 
@@ -69,6 +74,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of one key that a task takes in a join; a key with more is dealt to several.
+HOT_ROWS = 1 << 16
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, salt: Column, per: int = HOT_ROWS) -> DataFrame:
+    """Join ``rows`` with ``keyed``, which has one row per key and counts the rows of
+    its key in a column ``n`` (the result doesn't have it).
+
+    Any key may hold a large share of the rows: one with more than ``per`` of them is
+    dealt by ``salt`` (a whole number that its rows don't share) to several tasks, and
+    its row in ``keyed`` goes to each of these. The list of such keys has at most one
+    for each ``per`` rows and is broadcast. Rows with a null key or without a partner
+    are left out.
+    """
+    hot = F.broadcast(keyed.where(F.col("n") > per).select(key, F.ceil(F.col("n") / per).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(salt, salts).cast("int")).drop("_salts")
+    right = keyed.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts", "n")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def field(df: DataFrame, name: str, out: str | None = None) -> T.StructField:
     """The schema field of a column, nullable, under another name if given."""
     return T.StructField(out or name, df.schema[name].dataType, True)

@@ -14,8 +14,8 @@ from driftlane.llm.components import connected_components
 
 #: Fingerprints in a tile of the comparison.
 TILE = 1024
-#: Fingerprints of a cell that one task holds; a fuller cell is split.
-CELL = 200_000
+#: Fingerprints of a cell, and probes of it, that one task holds, at least and at most.
+CELL = (1 << 10, 1 << 17)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -127,7 +127,13 @@ def steps(parts: int, radius: int) -> list[int]:
     return sorted(code for _, code in ball if code > 0)
 
 
-def links(fps: DataFrame, radius: int = 2, parts: int = 2, cell: int = CELL) -> DataFrame:
+def cell_for(n: int) -> int:
+    """How many of ``n`` fingerprints of a cell one task holds: a small share of all
+    within the bounds of CELL, so that no task stands out and memory is bounded."""
+    return min(CELL[1], max(CELL[0], n >> 5))
+
+
+def links(fps: DataFrame, radius: int = 2, parts: int = 2, cell: int = CELL[1]) -> DataFrame:
     """Links ``a``, ``b`` that join all distinct fingerprints ``fp`` (long) at
     ``radius`` or fewer differing bits: as many as keep each group connected.
 
@@ -135,32 +141,41 @@ def links(fps: DataFrame, radius: int = 2, parts: int = 2, cell: int = CELL) ->
     seven bits each in one code. A link's ends lie in cells whose counts differ by
     ``radius`` at most in sum, so each fingerprint goes to its own cell and, as a
     probe, to the cells after its own within that distance. A cell with more than
-    ``cell`` fingerprints is split; what is compared with it goes to each part. The
-    full cells, at most one for each ``cell`` fingerprints, are broadcast.
+    ``cell`` fingerprints or probes is split into a grid: each part of the
+    fingerprints meets each part of the probes. The split cells, at most a few for
+    each ``cell`` fingerprints, are broadcast.
     """
     width = 64 // parts
     mask = (1 << width) - 1
     pops = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(mask))).cast("long") for i in range(parts)]
     held = fps.select("fp", sum(((p + radius) * F.lit(128**i) for i, p in enumerate(pops)), F.lit(0).cast("long")).alias("cell"))
-    full = held.groupBy("cell").count().where(F.col("count") > cell).select("cell", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
-    whole = F.coalesce("parts", F.lit(1))
-    home = held.join(F.broadcast(full), "cell", "left").select("fp", "cell", F.pmod(F.xxhash64("fp"), whole).cast("int").alias("part"), F.lit(0).alias("probe"))
+    reach = lambda ds: F.explode(F.array(*[F.lit(d).cast("long") for d in ds]))
+    # fingerprints and probes of each cell: a row per cell
+    cells = held.groupBy("cell").agg(F.count(F.lit(1)).alias("homes"))
+    probed = cells.select(reach(steps(parts, radius)).alias("d"), "cell", "homes").groupBy((F.col("cell") + F.col("d")).alias("cell")).agg(F.sum("homes").alias("probes"))
+    grid = cells.join(probed, "cell", "left").select("cell", F.ceil(F.col("homes") / cell).cast("int").alias("rows"), "homes", F.coalesce("probes", F.lit(0)).alias("probes"))
     # a split cell also meets itself across its parts
-    beyond = F.array(*[F.lit(d).cast("long") for d in [0, *steps(parts, radius)]])
-    away = held.select("fp", F.explode(beyond).alias("d"), "cell").select("fp", "d", (F.col("cell") + F.col("d")).alias("cell"))
-    away = away.join(F.broadcast(full), "cell", "left").where((F.col("d") > 0) | (whole > 1))
-    away = away.select("fp", "cell", F.explode(F.sequence(F.lit(0), whole - 1)).alias("part"), F.lit(1).alias("probe"))
+    grid = grid.select("cell", "rows", F.greatest(F.lit(1), F.ceil((F.col("probes") + F.when(F.col("rows") > 1, F.col("homes")).otherwise(0)) / cell)).cast("int").alias("cols"))
+    grid = F.broadcast(grid.where((F.col("rows") > 1) | (F.col("cols") > 1)))
+    rows, cols = F.coalesce("rows", F.lit(1)), F.coalesce("cols", F.lit(1))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    home = held.join(grid, "cell", "left").select("fp", "cell", F.pmod(F.xxhash64("fp"), rows).cast("int").alias("part"), each(cols).alias("side"), F.lit(0).alias("probe"))
+    away = held.select("fp", reach([0, *steps(parts, radius)]).alias("d"), "cell").select("fp", "d", (F.col("cell") + F.col("d")).alias("cell"))
+    away = away.join(grid, "cell", "left").where((F.col("d") > 0) | (rows > 1))
+    away = away.select("fp", "cell", F.pmod(F.xxhash64("fp", F.lit(1)), cols).cast("int").alias("side"), each(rows).alias("part"), F.lit(1).alias("probe")).select(*home.columns)
 
     def run(table: pa.Table) -> pa.Table:
         fp, probe = table.column("fp").to_numpy(), table.column("probe").to_numpy()
         home, away = fp[probe == 0], fp[probe == 1]
         u, v = [np.zeros(0, np.int64)] * 2
         if len(home):
-            got = [_compare(home, home, radius)] + ([_compare(home, away, radius)] if len(away) else [])
+            alone = table.column("side")[0].as_py() == 0  # one side of the grid compares a part with itself
+            got = [_compare(home, home, radius)] * alone + ([_compare(home, away, radius)] if len(away) else [])
+        if len(home) and got:
             u, v = (np.concatenate(x) for x in zip(*got))
         return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
 
-    return home.unionAll(away).groupBy("cell", "part").applyInArrow(run, "a long, b long")
+    return home.unionAll(away).groupBy("cell", "part", "side").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -171,13 +186,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated ids included. Documents without words, null texts too, have
     fingerprint zero and link like any other. A null id keeps its row and is never
     the least; a group of null ids alone has a null ``component_id``. Other columns
-    are not read. Copies fall together before the comparison.
+    are not read. Copies fall together before the comparison, and neither a group
+    nor a fingerprint that many rows share has to fit into one task.
     """
-    held = common.stage(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = common.stage(held.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), radius, parts_for(nodes.count())))
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    held = fingerprints(docs, id_col, text_col, shingle, seed).toDF("id", "fp")
+    held = common.stage(held.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    nodes = common.stage(held.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    count = nodes.count()
+    roots = connected_components(links(nodes.select("fp"), radius, parts_for(count), cell_for(count)))
+    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.col("n").alias("copies"), F.coalesce("root", "fp").alias("root"))
     joined = common.stage(joined, "groups")
-    firsts = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(firsts, "root").select("fp", "component_id")
-    return held.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    firsts = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = common.join_hot(joined.select("fp", "root", "copies"), firsts, "root", F.xxhash64("fp")).select("fp", "component_id", F.col("copies").alias("n"))
+    out = common.join_hot(held, named, "fp", F.col("row"))
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
