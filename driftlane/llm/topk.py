@@ -7,11 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.llm import vectors
+from driftlane.llm import common, vectors
 from driftlane.llm.sharding import range_of
 
-BUCKET = 1024
-QUERY_BLOCK = 1024
+#: Rows of a bucket or a part of it, and queries, that meet in one task.
+BUCKET = 4096
+QUERY_BLOCK = 8192
+#: Queries that are multiplied at a time.
+SLICE = 256
 #: The longest vectors, against which first thresholds are found.
 HEAD = 1024
 #: From this local cosine threshold on, a bucket is pruned by coordinates.
@@ -19,6 +22,8 @@ COORDINATE_FROM = 0.6
 FOCUS = 3
 #: Buckets by length at most; fuller ones are split by hash.
 MAX_RANGES = 4096
+#: Pairs of buckets and query blocks that are broadcast at most; more are joined.
+MAX_CELLS = 1 << 18
 
 
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -70,7 +75,7 @@ def search_bucket(q: np.ndarray, theta: np.ndarray, p: np.ndarray) -> np.ndarray
     return mask
 
 
-def top_k(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "vector") -> DataFrame:
+def top_k(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "vector", bucket: int = BUCKET, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` largest inner products of each query row with all other rows.
 
     ``vec_col`` holds arrays of long; ``query`` marks the query rows. Returns
@@ -81,8 +86,12 @@ def top_k(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vec_
 
     Rows are grouped by length into buckets. A first threshold comes from the
     ``HEAD`` longest rows, which are broadcast. A query goes to the buckets whose
-    longest row can reach its threshold, in blocks of queries, so a task holds one
-    bucket and one block. Products of what is left there are exact.
+    longest row can reach its threshold, in blocks of ``query_block`` queries; a bucket
+    goes to the blocks that ask for it. A task holds one of each (of a bucket with
+    more than ``bucket`` rows a part), and products of what is left there are exact.
+    So a row is sent once for each block that asks for its bucket and a query once
+    for each bucket part that it asks for, which is little against the products of a
+    block and a part.
     """
     ok = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & ~F.exists(vec_col, lambda x: x.isNull())
     held, n, n_queries = vectors.numbered(df.where(ok), id_col, F.col(vec_col).cast("array<bigint>"), query, "vectors")
@@ -91,55 +100,70 @@ def top_k(df: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vec_
     schema = f"qrow long, qid {dict(held.dtypes)['id']}, row long, id {dict(held.dtypes)['id']}, score long"
 
     # buckets: ranges of length, the fuller ones split
-    ranges = min(MAX_RANGES, vectors.blocks_of(n, BUCKET))
+    ranges = min(MAX_RANGES, vectors.blocks_of(n, bucket))
     cuts = held.agg(F.percentile_approx("len", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []
     scale = float(1 << 20)  # cuts as whole numbers
     at = range_of((F.col("len") * scale).cast("long"), sorted({int(c * scale) for c in cuts}))
     ranged = held.withColumn("range", at)
     # MAX_RANGES rows at most for each length of vectors
-    full = ranged.groupBy("range", "dim").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("subs"), F.max("len").alias("longest"))
+    full = common.stage(ranged.groupBy("range", "dim").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("subs"), F.max("len").alias("longest")), "buckets")
     split = ranged.join(F.broadcast(full.drop("longest")), ["range", "dim"]).withColumn("sub", F.pmod(F.xxhash64("row"), "subs").cast("int"))
-    ranges_met = full.toDF("range", "dim", "subs", "longest")
 
     # first thresholds
     head = held.orderBy(F.col("len").desc(), "row").limit(HEAD).select("row", "v", "dim").collect()
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {d: (np.array([r.row for r in head if r.dim == d]), np.array([r.v for r in head if r.dim == d], np.int64)) for d in {r.dim for r in head}}
 
     def first(batches):
-        for b in batches:
-            rows, out = b.column("row").to_numpy(), []
-            for row, v in zip(rows.tolist(), b.column("v").to_pylist()):
-                near_rows, near = by_dim.get(len(v), (np.zeros(0, np.int64), np.zeros((0, len(v)), np.int64)))
-                s = products(np.array([v], np.int64), near)[0][near_rows != row]
-                out.append(float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else float("-inf"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "theta"])
+        for whole in batches:
+            for b in common.slices(whole, rows=SLICE):
+                row, dim = b.column("row").to_numpy(), b.column("dim").to_numpy()
+                out = np.full(len(row), -np.inf)
+                for d in np.unique(dim).tolist():
+                    near_row, near = by_dim.get(d, (np.zeros(0, np.int64), np.zeros((0, d), np.int64)))
+                    on = np.flatnonzero(dim == d)
+                    q = vectors.matrix(pa.chunked_array([b.column("v").take(pa.array(on))]), np.int64)
+                    s = products(q, near).astype(np.float64) if len(near) else np.zeros((len(on), 0))
+                    s[row[on][:, None] == near_row[None]] = -np.inf  # not its own neighbour
+                    if s.shape[1] >= k:
+                        out[on] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "theta"])
 
     asked = held.where("query").select(F.col("row"), F.col("id"), F.col("v"), F.col("len"), F.col("dim"))
     asked = asked.mapInArrow(first, ", ".join(f"{c} {t}" for c, t in asked.dtypes) + ", theta double")
-    q_blocks = vectors.blocks_of(n_queries, QUERY_BLOCK)
+    q_blocks = vectors.blocks_of(n_queries, query_block)
     asked = asked.withColumn("qblock", F.pmod(F.xxhash64("row"), F.lit(q_blocks)).cast("int"))
     reach = (F.col("theta") <= 0) | (F.col("len") * F.col("longest") * (1 + 1e-9) >= F.col("theta"))
-    met = asked.join(F.broadcast(ranges_met), "dim").where(reach)
-    sent = met.select("dim", "range", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "qblock", "row", "id", "v", "theta")
-    there = split.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).select("dim", "range", "sub", "qblock", "row", "id", "v").toDF("dim", "range", "sub", "qblock", "row", "id", "v")
+    met = asked.join(F.broadcast(full), "dim").where(reach)
+    each_part = F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")
+    sent = met.select("dim", "range", each_part, "qblock", "row", "id", "v", "theta")
+    # a bucket goes to the query blocks that ask for it, and to no other
+    cells = met.select("dim", "range", "subs", "qblock").distinct()
+    if full.count() * q_blocks <= MAX_CELLS:
+        there = split.join(F.broadcast(cells.drop("subs")), ["dim", "range"])
+    else:
+        there = split.join(cells.select("dim", "range", each_part, "qblock"), ["dim", "range", "sub"])
+    columns = ["dim", "range", "sub", "qblock", "row", "id", "v"]
+    there = there.select(*columns).toDF(*columns)
 
     def verify(queries: pa.Table, bucket: pa.Table) -> pa.Table:
         q, p = vectors.matrix(queries.column("v"), np.int64), vectors.matrix(bucket.column("v"), np.int64)
         out = ([], [], [], [], [])
         if len(q) and len(p):
             theta = queries.column("theta").to_numpy()
-            mask = search_bucket(q, theta, p)
             q_row, q_id = queries.column("row").to_numpy(), queries.column("id").to_numpy()
             p_row, p_id = bucket.column("row").to_numpy(), bucket.column("id").to_numpy()
-            mask &= q_row[:, None] != p_row[None]
-            rows, cols = mask.any(1), mask.any(0)
-            if rows.any():
-                scores = products(q[rows], p[cols])
-                mask = mask[rows][:, cols] & (scores >= theta[rows][:, None])
+            for a in range(0, len(q), SLICE):
+                part = slice(a, a + SLICE)
+                mask = search_bucket(q[part], theta[part], p) & (q_row[part, None] != p_row[None])
+                rows, cols = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+                if not len(rows):
+                    continue
+                scores = products(q[part][rows], p[cols])
+                mask = mask[np.ix_(rows, cols)] & (scores >= theta[part][rows][:, None])
                 for i in np.flatnonzero(mask.any(1)).tolist():
                     on = np.flatnonzero(mask[i])
                     on = on[np.lexsort((p_id[cols][on], -scores[i, on]))][:k]
-                    for col, values in zip(out, (np.full(len(on), q_row[rows][i]), np.full(len(on), q_id[rows][i]), p_row[cols][on], p_id[cols][on], scores[i, on])):
+                    for col, values in zip(out, (np.full(len(on), q_row[part][rows[i]]), np.full(len(on), q_id[part][rows[i]]), p_row[cols][on], p_id[cols][on], scores[i, on])):
                         col.append(values)
         joined = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
         return pa.table(joined, names=["qrow", "qid", "row", "id", "score"])

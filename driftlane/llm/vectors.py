@@ -19,10 +19,12 @@ def finite(vec: Column) -> Column:
 
 
 def numbered(df: DataFrame, id_col: str, vec: Column, query: Column, label: str) -> tuple[DataFrame, int, int]:
-    """Staged rows (row, id, v, query) and how many there are, and queries."""
-    held = common.stage(df.select(F.col(id_col).alias("id"), vec.alias("v"), F.coalesce(query, F.lit(False)).alias("query")).where(F.col("id").isNotNull()), label)
+    """Staged rows (id, v, query, row) and how many there are, and queries. The number
+    ``row`` is written with them, so that all who read it see the same."""
+    held = df.select(F.col(id_col).alias("id"), vec.alias("v"), F.coalesce(query, F.lit(False)).alias("query")).where(F.col("id").isNotNull())
+    held = common.stage(held.withColumn("row", F.monotonically_increasing_id()), label)
     n, q = held.agg(F.count(F.lit(1)), F.count_if("query")).first()
-    return held.withColumn("row", F.monotonically_increasing_id()), n, q
+    return held, n, q
 
 
 def matrix(col: pa.ChunkedArray, dtype) -> np.ndarray:
