@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,14 +12,18 @@ from pyspark.sql import functions as F
 from driftlane.llm import vectors
 
 #: Rows on which the codebooks are fitted.
-SAMPLE = 20_000
+SAMPLE = 10_000
 CENTRES = 16
 WIDTH = 2  # components in a subspace
 #: Inner products count from this share of the lengths on; sets the weight of the parallel error.
 THRESHOLD = 0.2
-ROUNDS = 6
-BLOCK = 8192
-QUERY_BLOCK = 512
+ROUNDS = 5
+#: Rows of a block, at least and at most, into how many blocks a table of a size between is cut, and queries of a block.
+BLOCK = (2048, 1 << 16)
+BLOCKS = 64
+QUERY_BLOCK = 1 << 14
+#: Queries whose codes are scanned at a time.
+SLICE = 64
 #: Rows of each block that are reranked for each query, at least.
 RERANK = 256
 
@@ -73,14 +79,18 @@ class Codebook:
         along = ((x - self.centres[part[None], codes]) * unit).sum(2)
         for s in range(self.parts):
             rest = along.sum(1) - along[:, s]
-            for c in range(CENTRES):
-                on = codes[:, s] == c
-                if on.any():
-                    u, v = unit[on, s], x[on, s]
-                    lhs = on.sum() * np.eye(WIDTH) + self.weight * u.T @ u
-                    rhs = v.sum(0) + self.weight * u.T @ (rest[on] + (v * u).sum(1))
-                    self.centres[s, c] = np.linalg.solve(lhs, rhs)
-            along[:, s] = ((x[:, s] - self.centres[s][codes[:, s]]) * unit[:, s]).sum(1)
+            at, u, v = codes[:, s], unit[:, s], x[:, s]
+            n = np.bincount(at, minlength=CENTRES)
+            add = lambda values: np.bincount(at, weights=values, minlength=CENTRES)
+            lhs, rhs = np.zeros((CENTRES, WIDTH, WIDTH)), np.zeros((CENTRES, WIDTH))
+            pull = rest + (v * u).sum(1)
+            for i in range(WIDTH):
+                rhs[:, i] = add(v[:, i]) + self.weight * add(u[:, i] * pull)
+                for j in range(WIDTH):
+                    lhs[:, i, j] = n * (i == j) + self.weight * add(u[:, i] * u[:, j])
+            some = n > 0
+            self.centres[s, some] = np.linalg.solve(lhs[some], rhs[some][..., None])[..., 0]
+            along[:, s] = ((v - self.centres[s][at]) * u).sum(1)
 
     def encode(self, rows: np.ndarray) -> np.ndarray:
         """Codes of two parts to a byte."""
@@ -94,6 +104,11 @@ class Codebook:
         return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), self.parts // 2, CENTRES * CENTRES)
 
 
+def rows_of_block(n: int) -> int:
+    """Rows of a block for a table of ``n`` rows."""
+    return min(BLOCK[1], max(BLOCK[0], -(-n // BLOCKS)))
+
+
 def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Approximate scores (query, row): sums of table entries."""
     out = np.zeros((len(tables), len(codes)), np.float32)
@@ -127,50 +142,55 @@ def rerank_one(q: np.ndarray, x: np.ndarray, rough: np.ndarray, near: np.ndarray
     return at[best], score[best]
 
 
-def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK, sample: int = SAMPLE, block: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """About the ``k`` largest inner products of each query row with all others.
 
     Returns ``query_id``, ``rank`` int from 1, ``id_col`` and ``score`` double (the
     inner product of the original vectors), ties to the smaller id; fewer than
     ``k`` if there are fewer rows. Null, empty and zero vectors, vectors with null
-    or non-finite components and rows with a null id take no part; vectors of
-    another length than the table's most frequent one (ties: the shorter) neither.
-    A repeated row is another row.
-
-    Codebooks are fitted on about ``sample`` rows drawn by hash; all rows are
-    coded. Blocks of rows meet blocks of queries: a task scans the codes of one
-    block by tables, and reranks the ``rerank`` best of each query by the original
-    vectors, with all that tie with the last of them or whose rough score lies
-    within the largest error of these below the ``k``-th exact score so far. Equal
-    vectors are scanned once. ``rerank`` is never below ``k``.
+    or non-finite components and rows with a null id take no part; vectors with
+    another number of components than the query's are no candidates. A repeated row
+    is another row.
+
+    For each number of components, codebooks are fitted on about ``sample`` rows
+    drawn by hash; all rows are coded. Blocks of rows meet blocks of queries: a task
+    scans the codes of one block by tables, and reranks the ``rerank`` best of each
+    query by the original vectors, with all that tie with the last of them or whose
+    rough score lies within the largest error of these below the ``k``-th exact score
+    so far; a tight group may be a whole block, so the vectors lie beside their codes.
+    Equal vectors are scanned once. ``rerank`` is never below ``k``. A row is sent
+    once for each ``query_block`` queries, a query once for each block of rows.
     """
-    vec = F.col(vec_col).cast("array<double>")
-    ok = vectors.finite(F.col(vec_col)) & F.exists(vec, lambda x: x != 0)
-    held, n, n_queries = vectors.numbered(df.where(ok), id_col, vec, query, "vectors")
-    kind = dict(held.dtypes)["id"]
+    ok = vectors.finite(F.col(vec_col)) & F.exists(F.col(vec_col), lambda x: x != 0)
+    held, n, n_queries = vectors.numbered(df.where(ok), id_col, F.col(vec_col), query, "vectors")
+    kind, vec = dict(held.dtypes)["id"], dict(held.dtypes)["v"]
     schema = f"qrow long, qid {kind}, row long, id {kind}, score double"
-    sizes = held.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    dim = sizes.d if sizes else 1
-    held = held.where(F.size("v") == dim)
+    dims = sorted(held.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("q")).collect(), key=lambda r: r.d)
+    found = [_nearest_of(held.where(F.size("v") == r.d), r.d, r.n, r.q, schema, kind, vec, k, max(rerank, k), sample, block, query_block) for r in dims if r.q]
+    found = functools.reduce(DataFrame.unionAll, found) if found else df.sparkSession.createDataFrame([], schema)
+    return vectors.best(found, id_col, k)
+
+
+def _nearest_of(held: DataFrame, dim: int, n: int, n_queries: int, schema: str, kind: str, vec: str, k: int, depth: int, sample: int, block: int | None, query_block: int) -> DataFrame:
+    """The best ``k`` of each block of rows for each query, among vectors of one length."""
     draw = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1 << 40)) < min(1.0, sample / max(n, 1)) * (1 << 40)
     drawn = [r.v for r in held.where(draw).select("v").collect()]
     book = Codebook(np.array(drawn if drawn else [[1.0] * dim]))
-    depth = max(rerank, k)
 
     def code(batches):
         for b in batches:
             got = book.encode(vectors.matrix(pa.chunked_array([b.column("v")]), np.float64)) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in got], pa.binary())], [*b.schema.names, "codes"])
 
-    blocks, q_blocks = vectors.blocks_of(n, BLOCK), vectors.blocks_of(n_queries, QUERY_BLOCK)
-    index = held.select("row", "id", "v").mapInArrow(code, f"row long, id {kind}, v array<double>, codes binary")
+    blocks, q_blocks = vectors.blocks_of(n, block or rows_of_block(n)), vectors.blocks_of(n_queries, query_block)
+    index = held.select("row", "id", "v").mapInArrow(code, f"row long, id {kind}, v {vec}, codes binary")
     index = index.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-    there = index.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).toDF("row", "id", "v", "codes", "block", "qblock")
+    there = index.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     asked = held.where("query").select("row", "id", "v", F.pmod(F.xxhash64("row"), F.lit(q_blocks)).cast("int").alias("qblock"))
     sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = []
+        out = ([], [], [], [], [])
         if len(queries) and len(rows):
             q, x = vectors.matrix(queries.column("v"), np.float64), vectors.matrix(rows.column("v"), np.float64)
             q_row, q_id = queries.column("row").to_numpy(), queries.column("id").to_numpy()
@@ -180,20 +200,23 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
             start = np.searchsorted(group[order], np.arange(group.max() + 2))  # members of each group, by id
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
             distinct = order[start[:-1]]
-            x = x[distinct]
-            rough = scan(book.tables(q), codes[distinct])
-            # a query row that has no copies is no candidate of its own
+            x, codes = x[distinct], codes[distinct]
             own = {int(r): int(g) for r, g in zip(row, group)}
-            for i, r in enumerate(q_row.tolist()):
-                if (g := own.get(r)) is not None and start[g + 1] - start[g] == 1:
-                    rough[i, g] = -np.inf
             take = min(depth, len(x))
-            near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-            found = [rerank_one(q[i], x, rough[i], near[i], k, order, start, row, ids, int(q_row[i])) for i in range(len(q))]
-            i = np.repeat(np.arange(len(q)), [len(at) for at, _ in found])
-            at = np.concatenate([at for at, _ in found])
-            out = [q_row[i], q_id[i], row[at], ids[at], np.concatenate([score for _, score in found])]
-        return pa.table(out or [np.zeros(0, np.int64)] * 4 + [np.zeros(0)], names=["qrow", "qid", "row", "id", "score"])
-
-    found = sent.groupBy("block", "qblock").cogroup(there.groupBy("block", "qblock")).applyInArrow(search, schema)
-    return vectors.best(found, id_col, k)
+            for a in range(0, len(q), SLICE):
+                part = q[a : a + SLICE]
+                rough = scan(book.tables(part), codes)
+                mine = q_row[a : a + SLICE].tolist()
+                # a query row that has no copies is no candidate of its own
+                for i, r in enumerate(mine):
+                    if (g := own.get(r)) is not None and start[g + 1] - start[g] == 1:
+                        rough[i, g] = -np.inf
+                near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+                for i, r in enumerate(mine):
+                    at, score = rerank_one(part[i], x, rough[i], near[i], k, order, start, row, ids, r)
+                    for col, values in zip(out, (np.full(len(at), r), np.full(len(at), q_id[a + i]), row[at], ids[at], score)):
+                        col.append(values)
+        kinds = (np.int64,) * 4 + (np.float64,)
+        return pa.table([np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, kinds)], names=["qrow", "qid", "row", "id", "score"])
+
+    return sent.groupBy("block", "qblock").cogroup(there.groupBy("block", "qblock")).applyInArrow(search, schema)
