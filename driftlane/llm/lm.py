@@ -1,33 +1,44 @@
 """N-gram language model as a weighted backoff automaton, fitted and applied in blocks.
 
 Counts of all n-grams don't fit in one place, and a join of every token with
-them would shuffle every token. So documents are dealt into blocks. A block asks
-for the n-grams that occur in it: it sends its own training counts of them, in
-one compressed record for each range of hashes. A task per range adds them up
-and answers each block with the totals of what it asked for. The block then
-builds its part of the automaton and scores its documents in one traversal.
+them would shuffle every token. So each task cuts its documents into blocks of a
+few megabytes, whose tokens become numbers. A block sends its distinct words, one
+compressed record for each range of hashes; a task per range numbers the words of
+all blocks, adds up their counts and answers each block. Then the block sends its
+n-grams in these numbers, as tries, and gets their total counts back in the same
+way. With them it builds the part of the automaton that its texts can reach, and
+scores its documents in one traversal. Texts aren't shuffled, and words and
+n-grams are told apart by themselves, not by hashes, which only deal them out.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftlane.llm import common
 
+ORDER = 3
 #: Bytes of text in a block, and bytes of text for each range of hashes.
 BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 16 << 20
 #: Tokens that the smoothing adds to a state, dealt out as its backoff state has them.
-PRIOR = 4.0
-END = b"\n"  # no word holds white space
+PRIOR = 8.0
+#: Histories that occur more often have their continuations dealt out to all ranges.
+FREQUENT = 1 << 16
+#: Tokens that follow each other in one lane of the traversal.
+RUN = 256
+END = b""  # no word is empty
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -35,150 +46,388 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of a pair of hashes."""
+def _mix(*columns: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of whole numbers."""
+    x = np.full(len(columns[0]), 0x632BE59BD9B4E019, np.uint64)
     with np.errstate(over="ignore"):
-        x = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right + np.uint64(0x632BE59BD9B4E019))
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(29))
+        for c in columns:
+            x = (x ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(29)
+    return x
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the fewest bytes, a plane for each, compressed."""
+    width = next(w for w in (1, 2, 3, 4, 5, 6, 8) if not len(values) or int(values.max()) < 1 << (8 * w))
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(len(values), 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+@dataclass
+class Level:
+    """The distinct n-grams of one length in a block, in the order of their prefixes."""
+
+    parent: np.ndarray  # the n-gram (below: the word) without its last token
+    last: np.ndarray
+    suffix: np.ndarray  # the n-gram without its first token
+    at: np.ndarray  # for each position the n-gram that ends there, or -1
 
 
 class Block:
-    """The documents of a block as numbers: its words, and the arcs between them.
+    """The documents of a block as numbers of its distinct words.
 
-    ``words`` are hashes of the distinct tokens (the end of a text is number 0),
-    ``arcs`` the distinct (state, token) pairs, where a text begins in the state
-    of the end. Arrays over positions follow the texts, each closed by its end.
+    Word 0 is the end of a text. ``token`` holds the texts one after another, each
+    closed by its end; ``words`` the distinct tokens, ordered by range and bytes.
     """
 
-    def __init__(self, texts: list[str | None]):
-        number: dict[bytes, int] = {END: 0}
-        rows = []
-        for t in texts:
-            words = tokens(t)
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-            rows.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        self.sizes = np.array([len(r) + 1 for r in rows], np.int64)
-        ends = np.cumsum(self.sizes)
-        self.token = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-        for r, e in zip(rows, ends.tolist()):
-            self.token[e - 1 - len(r) : e - 1] = r
-        self.words = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
-        state = np.concatenate([[0], self.token[:-1]]) if len(self.token) else self.token
-        self.pairs, self.arc = np.unique(state * len(number) + self.token, return_inverse=True)
-        self.arc = self.arc.astype(np.int32)
-        self.arc_state, self.arc_token = np.divmod(self.pairs, len(number))
-        self.arcs = _mix(self.words[self.arc_state], self.words[self.arc_token])
-
-    def counts(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words and arcs in the rows that ``training`` marks."""
-        on = np.repeat(training, self.sizes)
-        return np.bincount(self.token[on], minlength=len(self.words)), np.bincount(self.arc[on], minlength=len(self.arcs))
+    def __init__(self, sizes: np.ndarray, token: np.ndarray, n_words: int, train: np.ndarray):
+        self.sizes, self.token, self.n_words, self.train = sizes, token, n_words, train
+        self.starts = _starts(sizes)
+        self.on = np.repeat(train, sizes)
 
+    @classmethod
+    def lex(cls, texts: pa.Array, train: np.ndarray, parts: int) -> tuple[Block, list[bytes], np.ndarray]:
+        """The block of some texts, its words, and the range of each."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        flat, of = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        real = pc.greater(pc.binary_length(flat), 0)
+        coded = flat.filter(real).dictionary_encode()
+        sizes = np.bincount(of[real.to_numpy(zero_copy_only=False)], minlength=len(texts)) + 1
+        found = coded.dictionary.cast(pa.binary())
+        words = found.to_pylist()
+        part = np.fromiter((xxhash.xxh64_intdigest(w) % parts for w in words), np.int64, len(words))
+        order = pc.array_sort_indices(found).to_numpy().astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        order = order[np.argsort(part[order], kind="stable")]
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(1, len(words) + 1)
+        token = np.zeros(int(sizes.sum()), np.int64)
+        inner = np.ones(len(token), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        token[inner] = number[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else 0
+        return cls(sizes, token, len(words) + 1, train), [END, *(words[i] for i in order.tolist())], np.concatenate([[0], part[order]])
 
-def _pack(values: np.ndarray) -> bytes:
-    """Bytes of integers, a plane for each byte, compressed."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    def counts(self, at: np.ndarray, n: int, train: bool = True) -> np.ndarray:
+        """How often each n-gram ends in the training documents (or in the others)."""
+        return np.bincount(at[(self.on == train) & (at >= 0)], minlength=n)
+
+    def levels(self, order: int) -> list[Level]:
+        """N-grams of length 2 to ``order``. A text's first history is the end."""
+        out, before, n = [], self.token, self.n_words
+        for length in range(2, order + 1):
+            prefix = np.concatenate([[-1], before[:-1]])
+            prefix[self.starts] = 0 if length == 2 else -1
+            on = np.flatnonzero(prefix >= 0)
+            keys, at = np.unique(prefix[on] * self.n_words + self.token[on], return_inverse=True)
+            whole = np.full(len(self.token), -1, np.int64)
+            whole[on] = at
+            suffix = np.empty(len(keys), np.int64)
+            suffix[at] = before[on]
+            out.append(Level(*np.divmod(keys, self.n_words), suffix, whole))
+            before = whole
+        return out
 
+    def tries(self, levels: list[Level], numbers: np.ndarray, lone: np.ndarray, frequent: np.ndarray, parts: int) -> list[tuple[int, list[np.ndarray]]]:
+        """For each range its share of the n-grams, by level from 2 on, as indexes.
+
+        Left out are those with a word that no other block has: the counts of the
+        block are all there is. N-grams go where their first word is, or if that is
+        frequent, their first two words, or if both are, their first three.
+        """
+        if not levels:
+            return []
+        two = levels[0]
+        shared = ~(lone[two.parent] | lone[two.last])
+        n1, n2 = numbers[two.parent], numbers[two.last]
+        home = np.where(frequent[two.parent], _mix(n1, n2), _mix(n1)) % np.uint64(parts)
+        spread = frequent[two.parent] & frequent[two.last]
+        part, kept = [home], [shared]
+        for at, level in enumerate(levels[1:]):
+            p = part[-1][level.parent]
+            if at == 0:
+                p = np.where(spread[level.parent], _mix(n1[level.parent], n2[level.parent], numbers[level.last]) % np.uint64(parts), p)
+            part.append(p)
+            kept.append(kept[-1][level.parent] & ~lone[level.last])
+        indexes = [np.flatnonzero(k) for k in kept]
+        indexes = [i[np.argsort(p[i], kind="stable")] for i, p in zip(indexes, part)]
+        bounds = [np.searchsorted(p[i], np.arange(parts + 1)) for i, p in zip(indexes, part)]
+        out = []
+        for k in range(parts):
+            mine = [i[b[k] : b[k + 1]] for i, b in zip(indexes, bounds)]
+            if len(mine) > 1:  # with the pairs whose continuations were dealt here
+                mine[0] = np.union1d(mine[0], levels[1].parent[mine[1]])
+            if len(mine[0]):
+                out.append((k, mine))
+        return out
 
-def _unpack(raw: bytes, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
+def trie_record(levels: list[Level], counts: list[np.ndarray], numbers: np.ndarray, home: np.ndarray, mine: list[np.ndarray]) -> list[bytes]:
+    """One range's share of a block's n-grams: first words, then for each level how
+    many follow each of those before, their last words, and counts."""
+    first, kids = np.unique(levels[0].parent[mine[0]], return_counts=True)
+    out = [_pack(numbers[first])]
+    for at, (level, index) in enumerate(zip(levels, mine)):
+        if at:
+            kids = np.bincount(np.searchsorted(mine[at - 1], level.parent[index]), minlength=len(mine[at - 1]))
+        n = np.where(home[index], counts[at][index], 0) if at == 0 else counts[at][index]
+        out += [_pack(kids), _pack(numbers[level.last[index]]), _pack(n)]
+    return out
 
-def _narrow(values: np.ndarray) -> tuple[int, bytes]:
-    """Counts in the fewest bytes that hold them: (width, bytes)."""
-    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << (8 * w - 1))
-    return width, _pack(values.astype(f"<u{width}"))
 
+def add_tries(records: list[list[bytes]]) -> list[list[bytes]]:
+    """Total counts of the n-grams of each record over all records of a range."""
+    columns = [[_unpack(b) for b in r] for r in records]
+    joined = [np.concatenate(c) for c in zip(*columns)]
+    above, answers = joined[0], [[] for _ in records]
+    for at in range(1, len(joined), 3):
+        kids, last, n = joined[at : at + 3]
+        kinds, prefix = np.unique(above, return_inverse=True)
+        words, word = np.unique(last, return_inverse=True)
+        _, above = np.unique(np.repeat(prefix, kids) * max(1, len(words)) + word, return_inverse=True)
+        total = np.bincount(above, weights=n).astype(np.int64)[above] if len(above) else above
+        ends = np.cumsum([len(c[at + 1]) for c in columns])[:-1]
+        for answer, part in zip(answers, np.split(total, ends)):
+            answer.append(_pack(part))
+    return answers
+
+
+class Automaton:
+    """The states and arcs of the model that a block's texts can reach.
+
+    State 0 is the root; the others are histories that training has seen, of up to
+    ``order - 1`` tokens. A token that training has seen after a history follows an
+    arc of probability (c(h,w) + prior * p(w | shorter h)) / (c(h) + prior) to the
+    state of the longest history it leaves. Any other token takes the failure arc,
+    weight prior / (c(h) + prior), to the state of the history without its first
+    token, and tries again there. The root has an arc for every token, of
+    probability (c(w) + 0.5) / (N + 0.5 (V + 1)), the last half for all unseen
+    tokens together. So the probabilities of each state sum to 1.
+    """
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Score every whole text with a bigram model of the rows where ``training``
-    holds (null: not).
+    def __init__(self, words: np.ndarray, levels: list[Level], counts: list[np.ndarray], floor: float, prior: float):
+        self.order, self.n_words = len(levels) + 1, len(words)
+        p = (words + 0.5) / floor
+        self.root_weight = np.log10(p)
+        base = np.cumsum([1, len(words), *(len(x.last) for x in levels)])  # first state of each length of history
+        self.root_next = np.where(words > 0, 1 + np.arange(len(words)), 0) if self.order > 1 else np.zeros(len(words), np.int64)
+        self.start = int(self.root_next[0]) if len(words) else 0
+        self.fail = np.zeros(int(base[self.order - 1]) if self.order > 1 else 1, np.int64)
+        self.fail_weight = np.zeros(len(self.fail))
+        above, keys, weights, after = words, [], [], []
+        for n, (level, c) in enumerate(zip(levels, counts), start=2):
+            seen = np.flatnonzero(c > 0)
+            at = slice(int(base[n - 2]), int(base[n - 1]))  # states of histories of n - 1 tokens
+            self.fail_weight[at] = np.log10(prior / (above + prior))
+            if n < self.order:
+                self.fail[int(base[n - 1]) : int(base[n])] = base[n - 2] + level.suffix
+            p = (c + prior * p[level.suffix]) / (above[level.parent] + prior)
+            keys.append((base[n - 2] + level.parent[seen]) * self.n_words + level.last[seen])
+            weights.append(np.log10(p[seen]))
+            after.append(base[n - 1] + seen if n < self.order else base[n - 2] + level.suffix[seen])
+            above = c
+        none = [np.zeros(0, np.int64)]
+        self.keys, self.weight, self.next = np.concatenate(keys or none), np.concatenate(weights or none), np.concatenate(after or none)
 
-    States are the last token, or the root. A token that training has seen after
-    the state follows an arc of probability (c(h,w) + prior * p(w)) / (c(h) +
-    prior); any other takes the failure arc, weight prior / (c(h) + prior), to the
-    root and from there its root arc p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), the
-    last half for all unseen tokens together. Probabilities of a state sum to 1.
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Next states, log10 probabilities, and failure arcs taken."""
+        state, weight, failed = state.copy(), np.zeros(len(state)), np.zeros(len(state), np.int64)
+        todo = np.arange(len(state))
+        after = np.empty(len(state), np.int64)
+        while len(todo):
+            s, t = state[todo], token[todo]
+            key = s * self.n_words + t
+            arc = np.searchsorted(self.keys, key)
+            hit = np.zeros(len(todo), bool)
+            inside = arc < len(self.keys)
+            hit[inside] = self.keys[arc[inside]] == key[inside]
+            to, arc = todo[hit], arc[hit]
+            weight[to] += self.weight[arc]
+            after[to] = self.next[arc]
+            root = ~hit & (s == 0)
+            to = todo[root]
+            weight[to] += self.root_weight[t[root]]
+            after[to] = self.root_next[t[root]]
+            on = ~hit & ~root
+            todo, s = todo[on], s[on]
+            weight[todo] += self.fail_weight[s]
+            failed[todo] += 1
+            state[todo] = self.fail[s]
+        return after, weight, failed
+
+    def traverse(self, block: Block, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probability, and failure arcs taken, of each token of the texts.
+
+        Each text is read from left to right and carries its state. Long texts are
+        cut into runs, which go side by side: a run starts from the root the few
+        tokens earlier that decide its state, which don't count for it.
+        """
+        of = np.repeat(np.arange(len(block.sizes)), -(-block.sizes // run))
+        nth = np.arange(len(of)) - _starts(-(-block.sizes // run))[of]
+        begin = block.starts[of] + nth * run
+        end = np.minimum(begin + run, block.starts[of] + block.sizes[of])
+        early = np.minimum(nth * run, self.order - 1)
+        order = np.argsort(-(end - begin + early), kind="stable")
+        begin, end, early, first = begin[order], end[order], early[order], (nth * run == early)[order]
+        state = np.where(first, self.start, 0)
+        length = end - begin + early
+        weight, failed = np.zeros(len(block.token)), np.zeros(len(block.token), np.int64)
+        for t in range(int(length.max(initial=0))):
+            active = int(np.searchsorted(-length, -t))
+            at = begin[:active] - early[:active] + t
+            state[:active], w, f = self.step(state[:active], block.token[at])
+            on = early[:active] <= t
+            weight[at[on]], failed[at[on]] = w[on], f[on]
+        return weight, failed
+
+
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, frequent: int = FREQUENT) -> DataFrame:
+    """Score every whole text with an n-gram model of the rows where ``training``
+    holds (null: not). See ``Automaton`` for the model.
 
     Returns ``id_col``, ``n_tokens``, ``n_known``, ``train_tokens`` long,
     ``base_score`` (root arcs alone) and ``score`` double (log10), ``n_failures``
-    long (failure arcs taken). One row per input row; a null or empty text is the
-    end token alone. Without training rows N and V are 0 and all arcs are unseen.
-    Other columns are not read. Numbers of blocks and hash ranges follow the bytes
-    of the table; equal rows may share a block, any others are dealt by hash. Blocks
-    times ranges is how many records meet, at most one for each n-gram of a block,
-    so executors with more memory should take larger blocks and ranges.
+    long (failure arcs taken). One row per input row, equal ones included; a null or
+    empty text is the end token alone. Without training rows N and V are 0 and all
+    arcs are unseen. Other columns are not read.
+
+    Blocks are cut inside tasks, so equal rows don't meet anywhere; a longer text is
+    a block by itself. The number of hash ranges follows the bytes of the table, and
+    no word or history fills one: what follows a word or a pair that occurs more than
+    ``frequent`` times is dealt to all. Blocks times ranges is how many records meet,
+    at most one for each n-gram of a block, so executors with more memory should take
+    larger blocks and ranges.
     """
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training.cast("boolean"), F.lit(False)).alias("train"))
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks, n_ranges = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / range_bytes))
-    dealt = wanted.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
-    step = (1 << 64) // n_ranges + 1
+    parts = max(1, math.ceil(total / range_bytes))
+    kind = docs.schema[id_col].dataType.simpleString()
+    held = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("texts", T.ArrayType(T.BinaryType())), T.StructField("part", T.IntegerType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
 
-    def ask(table: pa.Table) -> pa.Table:
-        block = Block(table.column("text").to_pylist())
-        counts = block.counts(table.column("train").to_numpy())
-        out = []
-        for kind, (keys, n) in enumerate(zip((block.words, block.arcs), counts)):
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order]
-            bounds = np.searchsorted(keys, np.array([k * step for k in range(n_ranges)], np.uint64))
-            for k, (a, b) in enumerate(zip(bounds.tolist(), [*bounds.tolist()[1:], len(keys)])):
-                if b > a:
-                    gaps = np.diff(keys[a:b], prepend=np.uint64(0))
-                    out.append((k, kind, table.column("block")[0].as_py(), _pack(gaps), *_narrow(n[a:b])))
-        names = ("part", "kind", "block", "keys", "width", "counts")
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(names, zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))})
-
-    def answer(table: pa.Table) -> pa.Table:
-        rows = table.select(["part", "kind", "block", "keys", "width", "counts"]).to_pylist()
-        out = []
-        for kind in (0, 1):
-            mine = [r for r in rows if r["kind"] == kind]
-            if not mine:
-                continue
-            keys = [np.cumsum(_unpack(r["keys"], np.uint64), dtype=np.uint64) for r in mine]
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([_unpack(r["counts"], f"<u{r['width']}") for r in mine])).astype(np.int64)
-            at = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-            seen, held = int((sums > 0).sum()), int(sums.sum())
-            out += [(r["part"], kind, r["block"], *_narrow(sums[i]), seen, held) for r, i in zip(mine, at)]
-        names = ("part", "kind", "block", "width", "counts", "seen", "held")
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(names, zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))})
-
-    requests = dealt.groupBy("block").applyInArrow(ask, "part int, kind int, block int, keys binary, width int, counts binary")
-    answers = common.stage(requests.groupBy("part").applyInArrow(answer, "part int, kind int, block int, width int, counts binary, seen long, held long"), "ngrams")
+    def cut(batches):
+        """A record of each block, and one for each range of its words."""
+        task, made, pieces, size = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            lengths = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(lengths, lengths[a] + block_bytes - size, side="right")) - 1)
+                if pieces and size + lengths[b] - lengths[a] > block_bytes:
+                    yield block_records(pa.Table.from_batches(pieces), task << 32 | made)
+                    made, pieces, size = made + 1, [], 0
+                    continue
+                pieces.append(batch.slice(a, b - a))
+                size += int(lengths[b] - lengths[a])
+                a = b
+        if pieces:
+            yield block_records(pa.Table.from_batches(pieces), task << 32 | made)
+
+    def block_records(table: pa.Table, number: int) -> pa.RecordBatch:
+        text, ids = table.column("text").combine_chunks(), table.column("id").combine_chunks()
+        block, words, part = Block.lex(text, table.column("train").to_numpy(), parts)
+        texts = [_pack(block.sizes), _pack(block.token), _pack(np.array([block.n_words])), _pack(block.train.astype(np.int64))]
+        seen, others = (block.counts(block.token, block.n_words, t) for t in (True, False))
+        bounds = np.searchsorted(part, np.arange(parts + 1)).tolist()
+        asked = [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+        zip_words = zstandard.ZstdCompressor(level=3).compress
+        records = [[zip_words(b"\n".join(words[a:b])), _pack(seen[a:b]), _pack(others[a:b])] for _, a, b in asked]
+        n = 1 + len(asked)
+        ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        ids = pa.concat_arrays([ids, pa.nulls(n - 1, ids.type)])
+        cols = [pa.array([number] * n, pa.int64()), ids, pa.array([texts, *[None] * (n - 1)], pa.list_(pa.binary())), pa.array([None, *(k for k, _, _ in asked)], pa.int32()), pa.array([None, *records], pa.list_(pa.binary()))]
+        return pa.RecordBatch.from_arrays(cols, held.names)
+
+    answer = "kind int, part int, block long, packed array<binary>, seen long, held long"
+    names = [c.split()[0] for c in answer.split(", ")]
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.int64(), pa.int64())
+
+    def answers_of(rows) -> pa.Table:
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    def number_words(table: pa.Table) -> pa.Table:
+        part, blocks = table.column("part")[0].as_py(), table.column("block").to_pylist()
+        records = table.column("words").to_pylist()
+        lists = [zstandard.ZstdDecompressor().decompress(r[0]).split(b"\n") for r in records]
+        ends = np.cumsum([len(x) for x in lists])[:-1]
+        at = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+        seen, others = (np.bincount(at, weights=np.concatenate([_unpack(r[i]) for r in records])).astype(np.int64) for i in (1, 2))
+        rank = np.empty(len(seen), np.int64)
+        rank[np.argsort(-(seen + others), kind="stable")] = np.arange(len(seen))  # small numbers for frequent words
+        flags = (np.bincount(at) == 1) + 2 * (seen + others > frequent)
+        distinct, sums = int((seen > 0).sum()), int(seen.sum())
+        return answers_of([(1, part, block, [_pack(x[i]) for x in (rank, seen, flags)], distinct, sums) for block, i in zip(blocks, np.split(at, ends))])
+
+    def opened(texts: pa.Table) -> Block:
+        sizes, token, n_words, train = (_unpack(b) for b in texts.column("texts")[0].as_py())
+        return Block(sizes, token, int(n_words[0]), train.astype(bool))
+
+    def words_of(got: pa.Table):
+        """Numbers, training counts and flags (lone, frequent) of a block's words."""
+        rows = sorted((r for r in got.select(["kind", "part", "packed"]).to_pylist() if r["kind"] == 1), key=lambda r: r["part"])
+        rank, seen, flags = (np.concatenate([_unpack(r["packed"][i]) for r in rows]) for i in range(3))
+        part = np.repeat([r["part"] for r in rows], [len(_unpack(r["packed"][0])) for r in rows])
+        return rank * parts + part, seen, (flags & 1).astype(bool), (flags & 2).astype(bool)
+
+    def ask(texts: pa.Table, got: pa.Table) -> pa.Table:
+        block = opened(texts)
+        numbers, _, lone, often = words_of(got)
+        levels = block.levels(order)
+        counts = [block.counts(x.at, len(x.last)) for x in levels]
+        rows, number = [], texts.column("block")[0].as_py()
+        for k, mine in block.tries(levels, numbers, lone, often, parts):
+            home = homes(levels, numbers, often) == k
+            rows.append((k, number, trie_record(levels, counts, numbers, home, mine)))
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.binary())))], names=["part", "block", "trie"])
+
+    def homes(levels: list[Level], numbers: np.ndarray, often: np.ndarray) -> np.ndarray:
+        two = levels[0]
+        return np.where(often[two.parent], _mix(numbers[two.parent], numbers[two.last]), _mix(numbers[two.parent])) % np.uint64(parts)
+
+    def add(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        totals = add_tries(table.column("trie").to_pylist())
+        return answers_of([(2, part, block, packed, None, None) for block, packed in zip(table.column("block").to_pylist(), totals)])
+
+    blocks = common.stage(common.spread(wanted).mapInArrow(cut, held), "blocks")
+    texts = blocks.where("part is null").select("block", "ids", "texts")
+    words = common.stage(blocks.where("part is not null").select("part", "block", "words").groupBy("part").applyInArrow(number_words, answer), "words")
     # a range's sums stand in each of its rows: one number per range
-    sums = answers.where("kind = 0").groupBy("part").agg(F.first("seen").alias("seen"), F.first("held").alias("held")).agg(F.sum("seen"), F.sum("held")).first()
+    sums = words.groupBy("part").agg(F.first("seen").alias("seen"), F.first("held").alias("held")).agg(F.sum("seen"), F.sum("held")).first()
     distinct, n_train = sums[0] or 0, sums[1] or 0
     floor = n_train + 0.5 * (distinct + 1)
+    asked = texts.select("block", "texts").groupBy("block").cogroup(words.select("kind", "part", "block", "packed").groupBy("block")).applyInArrow(ask, "part int, block long, trie array<binary>")
+    grams = common.stage(asked.groupBy("part").applyInArrow(add, answer), "ngrams")
 
     schema = T.StructType([common.field(docs, id_col), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_failures", T.LongType())])
 
     def traverse(texts: pa.Table, got: pa.Table) -> pa.Table:
-        block = Block(texts.column("text").to_pylist())
-        got = sorted(got.select(["part", "kind", "width", "counts"]).to_pylist(), key=lambda r: r["part"])
-        count = []
-        for kind, keys in enumerate((block.words, block.arcs)):
-            held = [_unpack(r["counts"], f"<u{r['width']}") for r in got if r["kind"] == kind]
-            c = np.empty(len(keys), np.int64)
-            c[np.argsort(keys)] = np.concatenate(held)
-            count.append(c)
-        words, arcs = count
-        root = np.log10((words + 0.5) / floor)
-        at_state = words[block.arc_state]
-        fails = arcs == 0
-        weight = np.where(fails, np.log10(prior / (at_state + prior)) + root[block.arc_token], np.log10((arcs + prior * 10 ** root[block.arc_token]) / (at_state + prior)))
-        starts = np.cumsum(block.sizes) - block.sizes
-        add = lambda values: np.add.reduceat(values, starts) if len(starts) else values
-        cols = [texts.column("id"), pa.array(block.sizes), pa.array(add((words > 0)[block.token].astype(np.int64))), pa.array(np.full(len(block.sizes), n_train, np.int64))]
-        cols += [pa.array(add(root[block.token])), pa.array(add(weight[block.arc])), pa.array(add(fails[block.arc].astype(np.int64)))]
+        block, ids = opened(texts), texts.column("ids").combine_chunks().flatten()
+        numbers, words, lone, often = words_of(got)
+        levels = block.levels(order)
+        counts = [block.counts(x.at, len(x.last)) for x in levels]
+        totals = {r["part"]: r["packed"] for r in got.select(["kind", "part", "packed"]).to_pylist() if r["kind"] == 2}
+        shares = block.tries(levels, numbers, lone, often, parts)
+        for at in range(len(levels)):
+            asked = np.concatenate([mine[at] for _, mine in shares]) if shares else np.zeros(0, np.int64)
+            counts[at][asked] = 0
+            if shares:
+                counts[at] += np.bincount(asked, weights=np.concatenate([_unpack(totals[k][at]) for k, _ in shares]), minlength=len(counts[at])).astype(np.int64)
+        automaton = Automaton(words, levels, counts, floor, prior)
+        weight, failed = automaton.traverse(block)
+        add = lambda values: np.add.reduceat(values, block.starts) if len(block.starts) else values
+        cols = [ids, pa.array(block.sizes), pa.array(add((words > 0)[block.token].astype(np.int64))), pa.array(np.full(len(block.sizes), n_train, np.int64))]
+        cols += [pa.array(add(automaton.root_weight[block.token])), pa.array(add(weight)), pa.array(add(failed))]
         return pa.table(cols, names=schema.names)
 
-    return dealt.select("block", "id", "text").groupBy("block").cogroup(answers.select("block", "part", "kind", "width", "counts").groupBy("block")).applyInArrow(traverse, schema)
+    got = words.select("kind", "part", "block", "packed").unionAll(grams.select("kind", "part", "block", "packed"))
+    return texts.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(traverse, schema)

@@ -39,8 +39,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(common.table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     counts = [pii.count_of(base, k).alias(f"n_{k}") for k in pii.KINDS]
-    added = (F.size("spans") - F.size(base)).cast("long").alias("n_added")
-    return found.select("doc_id", *counts, F.sha2(pii.joined("spans", True).cast("binary"), 256).alias("base_sha256"), pii.joined("spans", False).alias("spans"), added)
+    total = F.size("spans").cast("long")
+    added = [total.alias("n_spans"), (total - F.size(base)).alias("n_added")]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("spans", True).cast("binary"), 256).alias("base_sha256"), pii.joined("spans", False).alias("spans"), *added)
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,8 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm.score(common.table(spark, sf_dir, "documents"), fold() != 1)
-    return out.withColumn("held_out", fold() == 1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_failures")
+    per_token = (F.col("score") / F.col("n_tokens")).alias("score_per_token")
+    return out.withColumn("held_out", fold() == 1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_failures", per_token)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
