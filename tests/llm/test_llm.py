@@ -227,6 +227,23 @@ def test_topk_awkward(spark):
     assert topk.top_k(vector_rows(spark, []), F.col("vec_id") % 3 == 0).collect() == []
 
 
+def test_topk_many_blocks_and_buckets(spark):
+    rnd = random.Random(1)
+    rows = [(i, [rnd.randrange(-30, 30) * (1 + i % 7) for _ in range(3 + i % 2)], "c", "c", "c") for i in range(900)]
+    rows += [(900 + i, [40, 40, 40], "c", "c", "c") for i in range(150)]  # a hot vector
+    table = vector_rows(spark, rows)
+    want = brute(rows, 5, lambda q: q % 10 == 0)
+    for cells in (topk.MAX_CELLS, 0):  # broadcast and joined
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(topk, "MAX_CELLS", cells)
+            m.setattr(topk, "HEAD", 16)
+            got = topk.top_k(table, F.col("vec_id") % 10 == 0, 5, bucket=50, query_block=20).collect()
+        have = collections.defaultdict(list)
+        for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+            have[r.query_id].append((r.vec_id, r.score))
+        assert have == {q: lists[0] for q, lists in want.items()}
+
+
 def test_products_exact():
     big = np.array([[1 << 40, -3]], np.int64)
     assert topk.products(big, np.array([[1 << 40, 5]], np.int64)).tolist() == [[(1 << 63) - 1]]
@@ -270,7 +287,9 @@ def test_ann_awkward(spark):
     rows = [(i, [float(i), 1.0, 0.5]) for i in range(1, 41)] + [(20, [3.0, 3.0, 3.0]), (41, None), (42, []), (43, [nan, 1.0, 1.0]), (44, [inf, 1.0, 1.0]), (45, [0.0, 0.0, 0.0]), (46, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (60, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, "c", "c", "c") for r in rows], "vec_id long, embedding array<float>, id string, v string, codes string")
     got = ann.nearest(df, F.col("vec_id") % 20 == 0, 5).collect()
-    assert {r.query_id for r in got} == {20, 40} and not {r.vec_id for r in got} & {41, 42, 43, 44, 45, 46, 60}
+    assert {r.query_id for r in got} == {20, 40} and not {r.vec_id for r in got} & {41, 42, 43, 44, 45, 46, 60, 61, 80}
+    other = ann.nearest(df.union(spark.createDataFrame([(80, [2.0, 1.0], "c", "c", "c"), (61, [3.0, 1.0], "c", "c", "c")], df.schema)), F.col("vec_id") % 20 == 0, 5)
+    assert [(r.vec_id, r.score) for r in sorted(other.where("query_id = 80").collect(), key=lambda r: r["rank"])] == [(61, 7.0), (60, 4.0)]  # of its own length
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 40] == [39, 38, 37, 36, 35]
     few = ann.nearest(df.where("vec_id in (20, 21)").where("embedding[0] > 10"), F.col("vec_id") % 20 == 0, 5).collect()
     assert [(r.query_id, r.vec_id) for r in few] == [(20, 21)]
@@ -295,6 +314,23 @@ def test_ann_recall_with_a_tight_group(spark, spread):
     assert len(rows) == len(got) == 60 * 20 and len(got & want) / len(want) >= 0.9
 
 
+def test_ann_many_blocks_and_copies(spark):
+    """More rows than a block, a quarter of them one vector: by id, over blocks of rows and of queries."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(22_000, 16)).astype(np.float32)
+    x[rng.permutation(len(x))[:5500]] = x[0]
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    rows = ann.nearest(df, F.col("vec_id") % 100 == 0, 20, rerank=64, block=4096, query_block=100).collect()
+    got, want = {(r.query_id, r.vec_id) for r in rows}, set()
+    x = x.astype(np.float64)
+    for at in np.flatnonzero(ids % 100 == 0):
+        s = np.einsum("rd,d->r", x, x[at])
+        best = [j for j in np.lexsort((ids, -s)) if j != at][:20]
+        want |= {(int(ids[at]), int(ids[j])) for j in best}
+    assert len(rows) == len(got) == 220 * 20 and len(got & want) / len(want) >= 0.9
+
+
 def test_anisotropic_codes_keep_more_of_the_parallel_part():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 16))
@@ -470,6 +506,24 @@ def test_sharding_hot_and_awkward(spark, awkward, empty):
     assert sharding.shard(empty).collect() == []
 
 
+def test_sharding_keeps_many_copies_of_short_texts_together(spark):
+    """24 short texts of many copies, more by their rows than a part holds, some under one id."""
+    copies = [(1000 * k + (i if k % 3 else 0), f"short {k}") for k in range(24) for i in range(60)]
+    hot = documents(spark, copies + [(100_000 + i, f"text {i} " + "x" * (i % 9)) for i in range(4560)])
+    rows = sharding.shard(hot, 24).collect()
+    check_shards(rows, None, 24)
+    where, size = collections.defaultdict(set), collections.Counter()
+    for r in rows:
+        where[r.text_crc32].add(r.shard)
+        size[r.text_crc32] += r["size"]
+    limit = max(2 * max(r["size"] for r in rows), sharding.TOGETHER * sum(r["size"] for r in rows) / 24)
+    assert sum(len(where[c]) > 1 for c in size if size[c] <= limit) == 0
+    # and a group that outweighs the limit, with null ids alone, is dealt out
+    rows = sharding.shard(documents(spark, [(None, "the same text")] * 3000 + [(i, f"other {i}") for i in range(3000)]), 24).collect()
+    check_shards(rows, None, 24)
+    assert len({r.shard for r in rows if r.doc_id is None}) > 8
+
+
 def test_sharding_is_native(spark, sf):
     plan = queries.op5_sharding(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -537,21 +591,31 @@ def test_texts_of_no_language_are_rejected(spark, docs):
 # -- 7: language model ---------------------------------------------------------
 
 
-def brute_lm(rows, train, prior=lm.PRIOR):
-    uni, bi = collections.Counter(), collections.Counter()
+def slow_model(rows, train, order=3, prior=lm.PRIOR):
+    """Counts of all n-grams, and the probability of a word after a history."""
+    count = collections.Counter()
     for i, t in rows:
         if train(i):
-            seq = [*lm.tokens(t), lm.END]
-            uni.update(seq)
-            bi.update(zip([lm.END, *seq], seq))
-    n, v = sum(uni.values()), len(uni)
-    p1 = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+            seq = [lm.END, *lm.tokens(t), lm.END]
+            for n in range(1, order + 1):
+                count.update(tuple(seq[j : j + n]) for j in range(1 if n == 1 else 0, len(seq) - n + 1))
+    n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+
+    def p(history, w):
+        if not history:
+            return (count[w,] + 0.5) / (n + 0.5 * (v + 1))
+        return (count[*history, w] + prior * p(history[1:], w)) / (count[history] + prior)
+
+    return count, n, p
+
+
+def brute_lm(rows, train, order=3, prior=lm.PRIOR):
+    count, n, p = slow_model(rows, train, order, prior)
     out = []
     for i, t in rows:
-        seq = [*lm.tokens(t), lm.END]
-        base = sum(math.log10(p1(w)) for w in seq)
-        full = sum(math.log10((bi[h, w] + prior * p1(w)) / (uni[h] + prior)) if bi[h, w] else math.log10(prior / (uni[h] + prior)) + math.log10(p1(w)) for h, w in zip([lm.END, *seq], seq))
-        out.append((i, len(seq), sum(uni[w] > 0 for w in seq), n, base, full))
+        seq = [lm.END, *lm.tokens(t), lm.END]
+        full = sum(math.log10(p(tuple(seq[max(0, j - order + 1) : j]), seq[j])) for j in range(1, len(seq)))
+        out.append((i, len(seq) - 1, sum(count[w,] > 0 for w in seq[1:]), n, sum(math.log10(p((), w)) for w in seq[1:]), full))
     return out
 
 
@@ -572,27 +636,66 @@ def test_op7(spark, sf, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # better than words alone
 
 
-def test_lm_blocks_agree_and_awkward(spark, awkward, empty):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_blocks_agree_and_awkward(spark, awkward, empty, order):
     rows = [(r[0], r[1]) for r in AWKWARD]
     train = lambda i: i is not None and i % 2 == 1
-    for block, part in ((1 << 24, 1 << 24), (2000, 3000)):
-        got = lm.score(awkward, F.col("doc_id") % 2 == 1, block_bytes=block, range_bytes=part).collect()
-        same_scores(got, brute_lm(rows, train))
-    none = lm.score(awkward, F.lit(False)).collect()
+    for block, part, often in ((1 << 24, 1 << 24, 1 << 16), (2000, 3000, 2)):
+        got = lm.score(awkward, F.col("doc_id") % 2 == 1, order=order, block_bytes=block, range_bytes=part, frequent=often).collect()
+        same_scores(got, brute_lm(rows, train, order))
+    none = lm.score(awkward, F.lit(False), order=order).collect()
     assert len(none) == len(rows) and all(r.n_known == 0 and math.isfinite(r.score) for r in none)
-    assert lm.score(empty, F.lit(True)).collect() == []
-
-
-def test_states_sum_to_one():
-    rows = [(1, "a b a c a b"), (2, "b c c")]
-    uni = collections.Counter(w for _, t in rows for w in [*lm.tokens(t), lm.END])
-    bi = collections.Counter(x for _, t in rows for x in zip([lm.END, *lm.tokens(t)], [*lm.tokens(t), lm.END]))
-    n, v = sum(uni.values()), len(uni)
-    p1 = {w: (uni[w] + 0.5) / (n + 0.5 * (v + 1)) for w in uni}
-    rest = 1 - sum(p1.values())
-    for h in uni:
-        seen = sum((bi[h, w] + lm.PRIOR * p1[w]) / (uni[h] + lm.PRIOR) for w in uni)
-        assert seen + lm.PRIOR / (uni[h] + lm.PRIOR) * rest == pytest.approx(1)
+    assert lm.score(empty, F.lit(True), order=order).collect() == []
+
+
+def test_lm_small_blocks_hot_words_and_equal_rows(spark):
+    """Many small blocks that share words, some of them frequent, and one row many times under one id."""
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice("the of a b c d e f g h".split() + [f"w{rnd.randrange(40)}"]) for _ in range(rnd.randrange(0, 40)))) for i in range(150)]
+    rows += [(7, "the same row many times over")] * 100 + [(1000, "rare words only here"), (1001, "x" * 700)]
+    table = documents(spark, rows).repartition(5)
+    for often in (3, 40, 1 << 16):
+        got = lm.score(table, F.col("doc_id") % 3 != 0, block_bytes=300, range_bytes=1000, frequent=often).collect()
+        same_scores(got, brute_lm(rows, lambda i: i % 3 != 0))
+
+
+def automaton_of(rows, order, prior=lm.PRIOR):
+    import pyarrow as pa
+
+    block, words, _ = lm.Block.lex(pa.array([t for _, t in rows]), np.ones(len(rows), bool), 1)
+    levels = block.levels(order)
+    counts = [block.counts(x.at, len(x.last)) for x in levels]
+    seen = block.counts(block.token, block.n_words)
+    return lm.Automaton(seen, levels, counts, seen.sum() + 0.5 * (len(words) + 1), prior), block, words
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_states_sum_to_one(order):
+    rows = [(1, "a b a c a b a b"), (2, "b c c"), (3, ""), (4, "a b a c d")]
+    auto, block, words = automaton_of(rows, order)
+    unseen = 0.5 / (block.counts(block.token, block.n_words).sum() + 0.5 * (len(words) + 1))
+    states, todo = set(), {0, auto.start}
+    while todo:  # all that can be reached
+        s = todo.pop()
+        states.add(s)
+        n = np.arange(len(words))
+        after, weight, _ = auto.step(np.full(len(words), s), n)
+        todo |= set(after[1:].tolist()) - states  # nothing follows the end
+        rest, x = math.log10(unseen), s
+        while x:
+            rest, x = rest + auto.fail_weight[x], int(auto.fail[x])
+        assert (10**weight).sum() + 10**rest == pytest.approx(1)
+    histories = {g for g in slow_model(rows, lambda i: True, order)[0] if len(g) < order and (len(g) > 1 or g[0] != lm.END) and g[-1] != lm.END}
+    assert len(states) == len(histories) + 2  # with the root and the start
+
+
+def test_runs_of_the_traversal_agree():
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("abcde") for _ in range(rnd.randrange(0, 90)))) for i in range(30)]
+    auto, block, _ = automaton_of(rows, 3)
+    whole = auto.traverse(block)
+    for run in (1, 2, 3, 7, 50):
+        assert all((a == b).all() for a, b in zip(whole, auto.traverse(block, run)))
 
 
 # -- 9: packing ----------------------------------------------------------------
@@ -716,7 +819,7 @@ def test_links_split_cells(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     want = groups([(s, f) for s, f in zip(signed, fps)], lambda a, b: (a ^ b).bit_count() <= 2)
     table = spark.createDataFrame([(s,) for s in signed], "fp long")
-    for parts, cell in ((2, 200_000), (2, 3), (4, 5), (8, 2)):
+    for parts, cell in ((2, 200_000), (2, 3), (2, 40), (4, 5), (8, 2)):
         found = components.connected_components(simhash.links(table, 2, parts, cell)).collect()
         root = {r.node: r.root for r in found}
         assert [root.get(s, s) for s in signed] == want
@@ -752,6 +855,34 @@ def test_components(spark):
     assert {r.node: r.root for r in rows} == {i: 0 for i in range(61)} | {100: 100, 101: 100} | {200 + i: 200 for i in range(50)}
     assert len(rows) == 61 + 2 + 50
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+    # a hub in the middle of its neighbours, dealt to several tasks
+    hub = [(500, i) for i in range(1000) if i != 500] + [(2000, 2000 + i) for i in range(1, 30)] + [(999, 5000)]
+    rows = components.connected_components(spark.createDataFrame(hub, "a long, b long"), hot=64).collect()
+    assert {r.node: r.root for r in rows} == {i: 0 for i in [*range(1000), 5000]} | {2000 + i: 2000 for i in range(30)} and len(rows) == 1001 + 30
+
+
+def test_join_hot(spark):
+    rows = [(i % 3 if i % 2 else None, i) for i in range(200)] + [(7, i) for i in range(150)]
+    left = spark.createDataFrame(rows, "k long, v long")
+    keyed = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"))
+    low = collections.defaultdict(lambda: 1 << 60)
+    for k, v in rows:
+        low[k] = min(low[k], v)
+    got = common.join_hot(left, keyed, "k", F.xxhash64("v"), per=20)
+    assert got.columns == ["k", "v", "low"] and collections.Counter(map(tuple, got.collect())) == collections.Counter((k, v, low[k]) for k, v in rows if k is not None)
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
 
 
 # -- the pipeline --------------------------------------------------------------
