@@ -58,18 +58,25 @@ CHARACTERS = _characters()
 _LOOK = re.compile("[" + "".join(map(re.escape, sorted(CHARACTERS))) + INVISIBLE + "]")
 _HIDDEN = re.compile("[" + INVISIBLE + "]+")
 _WORD = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
-_DOT_WORD = "(?:dot|punkt|punto)"
-_ITEM = f"(?:{_WORD}|[0-9]{{1,4}})"
-_SPELLED = re.compile(rf"(?<![\w+])(?:plus\s+|\+\s?)?{_ITEM}(?:(?:[ \t,.-]+|\s+{_DOT_WORD}\s+){_ITEM}){{3,}}(?!\w)", re.I)
-_SPELLED_PART = re.compile(rf"(?P<plus>plus\s+|\+\s?)|(?P<word>{_WORD})(?!\w)|(?P<digits>[0-9]+)|(?P<dot>\s+{_DOT_WORD}\s+)|(?P<gap>[ \t,.-]+)", re.I)
+# Words for the signs in English, German, Spanish and French.
+_AT_WORD = "(?:at|ät|klammeraffe|arroba|arr?obase)"
+_DOT_WORD = "(?:dot|punkt|punto|point)"
+_ITEM = f"(?:{_WORD}|[0-9]{{1,12}})"
+_GAP = r"(?:[ \t,.-]++(?:\r?\n[ \t]*+)?|\r?\n[ \t]*+)"  # a line may end in it
+_SPELLED = re.compile(rf"(?<![\w+])(?:plus\s+|\+\s?)?{_ITEM}(?:(?:{_GAP}|\s+{_DOT_WORD}\s+){_ITEM}){{2,}}(?!\w)", re.I)
+_SPELLED_PART = re.compile(rf"(?P<plus>plus\s+|\+\s?)|(?P<word>{_WORD})(?!\w)|(?P<digits>[0-9]+)|(?P<dot>\s+{_DOT_WORD}\s+)|(?P<gap>{_GAP})", re.I)
 # letters among digits that stand for 0 and 1
 _MIXED = re.compile(r"(?<![A-Za-z0-9+])\+?[0-9OoIl](?:[ ().-]{0,2}[0-9OoIl]){9,18}(?![A-Za-z0-9])")
 _MIXED_HINT = re.compile("[0-9][OoIl]|[OoIl][0-9]")
-_SIGN = re.compile(r"(?<!\s)\s*(?:[\[({<]\s*(?P<at>at|@|arroba)\s*[\])}>]|[\[({<]\s*(?P<dot>dot|\.|punkt|punto)\s*[\])}>]|&#64;|&commat;|&#46;|&period;)\s*", re.I)
+_OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
+_SIGN = re.compile(rf"(?<!\s)\s*(?:{_OPEN}(?P<at>{_AT_WORD}|@){_CLOSE}|{_OPEN}(?P<dot>{_DOT_WORD}|\.){_CLOSE}|&#64;|&commat;|&#46;|&period;)\s*", re.I)
 _NAME, _LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
-_WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{_NAME}\s+{_DOT_WORD}\s+){{0,3}}{_NAME}(?:\s+at\s+|\s*@\s*){_LABEL}(?:(?:\s+{_DOT_WORD}\s+|\.){_LABEL})*(?:\s+{_DOT_WORD}\s+|\.)(?:{TOP_LABELS.replace(' ', '|')})(?![A-Za-z0-9-])", re.I)
-# both signs worded: any last label
-_ALL_WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{_NAME}\s+{_DOT_WORD}\s+){{0,3}}{_NAME}\s+at\s+(?P<domain>{_LABEL}(?:\s+{_DOT_WORD}\s+{_LABEL})*\s+{_DOT_WORD}\s+[A-Za-z]{{2,}})(?![A-Za-z0-9-])", re.I)
+# between the labels of a domain: a full stop isn't one where a sentence begins after it
+_STOP = rf"(?:\s+{_DOT_WORD}\s+|\.(?!(?-i:[A-Z][a-z])))"
+_AT = rf"(?:\s+{_AT_WORD}\s+|\s*@\s*)"
+_WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{_NAME}\s+{_DOT_WORD}\s+){{0,3}}{_NAME}{_AT}{_LABEL}(?:{_STOP}{_LABEL})*{_STOP}(?:{TOP_LABELS.replace(' ', '|')})(?![A-Za-z0-9-])", re.I)
+# with a worded dot: any last label
+_ALL_WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{_NAME}\s+{_DOT_WORD}\s+){{0,3}}{_NAME}(?P<at>{_AT})(?P<domain>{_LABEL}(?:{_STOP}{_LABEL})*{_STOP}[A-Za-z]{{2,}})(?![A-Za-z0-9-])", re.I)
 # Words that make "at" and "dot" a sentence.
 _PROSE = frozenset("a an the this that these those my your his her its our their each every one some any no and or of is der die das den dem ein eine und le la les un une et el los las una y".split())
 # a worded at before a plain domain
@@ -79,11 +86,13 @@ _CUE_REACH = 40
 # Words before "at" that are no name.
 _NO_NAME = frozenset("me us him her them you it i we he she they or and is are be look see find here there only also directly write mail email e-mail contact address reach available now".split())
 _SPACED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}\s@\s{_LABEL}(?:\s?\.\s?{_LABEL})*\s?\.\s?(?:{TOP_LABELS.replace(' ', '|')})(?![A-Za-z0-9-])", re.I)
-_WORDED_PART = re.compile(rf"(?P<dot>\s+{_DOT_WORD}\s+)|(?P<at>\s+at\s+|\s*@\s*)", re.I)
-_BRACKETED = re.compile(r"[\[({<]\s*(?:[@.]|at\b|arroba)")
+_WORDED_PART = re.compile(rf"(?P<dot>\s+{_DOT_WORD}\s+)|(?P<at>{_AT})", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s*(?:[@.]|at\b|ät\b|arr?oba|klammeraffe)")
+_SENTENCE = re.compile(r"\.[A-Z][a-z]+$")  # begins without a blank
+_POINT = re.compile(r"\spoint\s", re.I)
 _BLANKS = re.compile(r"\s+")
 _AT_DOMAIN = re.compile(r"\sat\s+[a-z0-9-]+\.[a-z0-9]")
-_HINTS = (" @ ", "dot", "punkt", "punto", "&#64;", "&#46;", "&commat;", "&period;")
+_HINTS = (" @ ", "dot", "punkt", "punto", "arroba", "arobase", "klammeraffe", " ät ", "&#64;", "&#46;", "&commat;", "&period;")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ANY_DIGIT = re.compile("[0-9]")
@@ -188,13 +197,16 @@ def plain_characters(r: Rewritten) -> Rewritten:
 
 
 def digits_from_words(r: Rewritten) -> Rewritten:
-    """Runs of four or more digits and digit words become digits without gaps, a dot
-    word between them a dot, "plus" before them a plus sign. A run needs three digit
-    words, or three dot words between its numbers."""
+    """Runs of three or more numbers and digit words become digits without gaps, a dot
+    word between them a dot, "plus" before them a plus sign. A run needs four parts
+    with three digit words, or two digit words and ten digits in all, or three dot
+    words between its numbers."""
     edits = []
     for m in _SPELLED.finditer(r.text):
         parts = list(_SPELLED_PART.finditer(r.text, m.start(), m.end()))
-        if sum(p["word"] is not None for p in parts) < 3 and sum(p["dot"] is not None for p in parts) != 3:
+        words, numbers = (sum(p[kind] is not None for p in parts) for kind in ("word", "digits"))
+        digits = words + sum(len(p["digits"]) for p in parts if p["digits"])
+        if not (words >= 3 and words + numbers >= 4 or words == 2 and digits >= 10 or sum(p["dot"] is not None for p in parts) == 3):
             continue
         for p in parts:
             new = _DIGIT[p["word"].lower()] if p["word"] else p["digits"] or ("." if p["dot"] else "+" if p["plus"] else "")
@@ -230,13 +242,17 @@ def signs_from_words(r: Rewritten) -> Rewritten:
     r = r.put(edits)
     edits = []
     for m in _ALL_WORDED.finditer(r.text):
-        if not _PROSE & set(m["domain"].lower().split()):
-            edits += [(p.start(), p.end(), "@" if p["at"] else ".", 1) for p in _WORDED_PART.finditer(r.text, m.start(), m.end())]
+        parts = list(_WORDED_PART.finditer(r.text, m.start(), m.end()))
+        # "point" is an ordinary word beside "at"
+        if _PROSE & set(re.split(rf"{_STOP}", m["domain"].lower())) or m["at"].strip().lower() in ("at", "ät") and _POINT.search(m.group()):
+            continue
+        if any(p["dot"] and p.start() > m.end("at") for p in parts):
+            edits += [(p.start(), p.end(), "@" if p["at"] else ".", 1) for p in parts if p.group() != "@"]
     r = r.put(edits)
     edits = []
     for m in _WORDED.finditer(r.text):
         parts = list(_WORDED_PART.finditer(r.text, m.start(), m.end()))
-        if any(p["dot"] for p in parts):  # "at" alone is an ordinary word
+        if any(p["dot"] for p in parts) and not _POINT.search(m.group()):  # "at" alone is an ordinary word
             edits += [(p.start(), p.end(), "@" if p["at"] else ".", 1) for p in parts if p.group() != "@"]
     r = r.put(edits)
     edits = [(*m.span("at"), "@", 1) for m in _WORDED_AT.finditer(r.text) if _named(r.text, m)]
@@ -256,7 +272,7 @@ def _hints(text: str) -> tuple[bool, bool, bool, bool]:
         except UnicodeEncodeError:
             look = _LOOK.search(text) is not None
     low = text.lower()
-    words = any(h in low for h in _HINTS) or _BRACKETED.search(low) is not None or _AT_DOMAIN.search(low) is not None
+    words = any(h in low for h in _HINTS) or "@" in low and "point" in low or _BRACKETED.search(low) is not None or _AT_DOMAIN.search(low) is not None
     # a spelled number has two digits that differ
     spelled = words or any(sum(w in low for w in line.split()) > 1 for line in DIGIT_WORDS)
     return look, words, spelled and _SPELLED.search(text) is not None, _MIXED_HINT.search(text) is not None
@@ -285,12 +301,14 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     if look or words:
         r = signs_from_words(r)
     found = base_spans(r.text)
-    for m in re.finditer(r"(?<![0-9+.])[0-9]{10,15}(?![0-9.])", r.text):
+    for m in re.finditer(r"(?<![0-9+.])[0-9]{10,15}(?!\.?[0-9])", r.text):
         if all(x == 2 for x in r.changed[m.start() : m.end()]) and len(set(m.group())) > 2:
             found.append(("phone", m.start(), m.end()))
     more = set()
     for kind, a, b in found:
         rewritten = any(r.changed[a:b]) or r.ends[b - 1] - r.starts[a] != b - a
+        if rewritten and kind == "email" and (m := _SENTENCE.search(r.text, a, b)) and "." in r.text[r.text.index("@", a) : m.start()]:
+            b = m.start()
         if rewritten and not (2 in r.changed[a:b] and len(set(_digits(r.text[a:b]))) < 2):
             s = (kind, r.starts[a], r.ends[b - 1])
             if not any(k == kind and x <= s[1] and s[2] <= y for k, x, y in base):
