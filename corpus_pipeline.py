@@ -39,20 +39,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the least id. A group of
-    null ids, or of one repeated id, keeps one row."""
-    groups = common.stage(simhash.near_duplicates(docs), "groups")
-    least = groups.groupBy("component_id").count().where("component_id is not null").select(F.col("component_id").alias("doc_id"))
-    kept = docs.select(*_columns(docs))
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    out = kept.join(least, "doc_id", "left_semi")
-    # rows that share an id are few: of those one row stays
-    once = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = groups.where("component_id is null").select("fingerprint").limit(1).isEmpty()
-    out = out.join(repeated, "doc_id", "left_anti").unionByName(once)
-    if not nameless:
-        out = out.unionByName(kept.where("doc_id is null").dropDuplicates(["text"]))
-    return out.select(*kept.columns)
+    """One document of each SimHash group: the one with the least id, a null id being
+    the last; of several with that id, whatever their texts, one row.
+
+    Each row gets a number that is written with it, so ids need not be unique, and
+    rows with one id and texts of different groups all stay."""
+    kept = _columns(docs)
+    numbered = common.stage(docs.select(*kept).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row").alias("key")
+    groups = simhash.near_duplicates(numbered.select(key, "text"), id_col="key")
+    first = groups.select(F.col("component_id.row").alias("row")).distinct()
+    return numbered.join(first, "row", "left_semi").select(*kept)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
