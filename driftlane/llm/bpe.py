@@ -16,8 +16,8 @@ from driftlane.llm import common
 from driftlane.llm.pretokens import PieceStore
 
 NONE = np.iinfo(np.int32).max
-#: Rows longer than this leave the matrices: all places of the least pair merge in one round.
-LONG = 256
+#: Width of a matrix: a longer row stands in several lines of one.
+LINE = 256
 
 
 class PairTable:
@@ -121,9 +121,9 @@ class ByteBPE:
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # rows, and a padded matrix of their ids
         known = np.flatnonzero(whole >= 0)
         parts.append((known, whole[known].astype(np.int32)[:, None]))
-        for i in np.flatnonzero((whole < 0) & (size > LONG)).tolist():
-            parts.append((np.array([i]), self._merge_long(self.byte_id[np.frombuffer(raw[i], np.uint8)])[None]))
-        short = np.flatnonzero((whole < 0) & (size <= LONG))
+        for i in np.flatnonzero((whole < 0) & (size > LINE)).tolist():
+            parts.append((np.array([i]), self._merge_lines(raw[i])[None]))
+        short = np.flatnonzero((whole < 0) & (size <= LINE))
         for width in np.unique(-(-size[short] // 4) * 4).tolist():
             rows = short[(size[short] > width - 4) & (size[short] <= width)]
             for a in range(0, len(rows), 1 << 15):
@@ -174,33 +174,58 @@ class ByteBPE:
             rank[had, j[had] - 1] = self.pairs.rank(mat[had, j[had] - 1], mat[had, j[had]])
         return done
 
-    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """One long row. All places of the least rank merge in one round, from
-        the left without overlap, as long as no new pair ranks below them."""
-        while len(ids) > 1:
-            rank = self.pairs.rank(ids[:-1], ids[1:])
-            low = rank.min()
-            if low == NONE:
-                break
-            at = np.flatnonzero(rank == low)
-            run = np.cumsum(np.concatenate([[0], np.diff(at) != 1]))
-            first = np.concatenate([[True], np.diff(at) != 1])
-            at = at[(at - at[first][run]) % 2 == 0]
-            merged = self._joined(ids, at, low)
-            if len(at) > 1:
-                now = self.pairs.rank(merged[:-1], merged[1:])
-                if now.size and now.min() < low:
-                    merged = self._joined(ids, at[:1], low)
-            ids = merged
-        return ids
+    def _merge_lines(self, row: bytes) -> np.ndarray:
+        """The same for one row of any length, in a matrix of its lines: the first of
+        the lines whose least rank is the minimum holds the leftmost such pair. A merge
+        compacts one line, so a round costs a line and the minima of all."""
+        lines = -(-len(row) // LINE)
+        mat = np.full((lines, LINE), -1, np.int32)
+        mat.ravel()[: len(row)] = self.byte_id[np.frombuffer(row, np.uint8)]
+        fill = np.full(lines, LINE)
+        fill[-1] = len(row) - LINE * (lines - 1)
+        after, before = np.arange(1, lines + 1), np.arange(-1, lines - 1)  # the next and last lines that hold anything
+        flat = mat.ravel()
+        rank = np.full(mat.shape, NONE, np.int32)  # of the pair that begins at each place, also across lines
+        rank.ravel()[:-1] = self.pairs.rank(flat[:-1], flat[1:])
+        least = rank.min(axis=1)
 
-    @staticmethod
-    def _joined(ids: np.ndarray, at: np.ndarray, token: int) -> np.ndarray:
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        out = ids.copy()
-        out[at] = token
-        return out[keep]
+        def drop(line: int, at: int) -> None:
+            """Take out one place of a line; a line without any is passed over."""
+            end = fill[line] = fill[line] - 1
+            mat[line, at:end], rank[line, at:end] = mat[line, at + 1 : end + 1], rank[line, at + 1 : end + 1]
+            mat[line, end], rank[line, end] = -1, NONE
+            if not end:
+                if before[line] >= 0:
+                    after[before[line]] = after[line]
+                if after[line] < lines:
+                    before[after[line]] = before[line]
+
+        while True:
+            k = int(least.argmin())
+            if least[k] == NONE:
+                return mat[mat >= 0]
+            j = int(rank[k].argmin())
+            mat[k, j] = least[k]
+            touched = {k}
+            if j + 1 < fill[k]:
+                drop(k, j + 1)
+            else:
+                touched.add(int(after[k]))
+                drop(int(after[k]), 0)
+            # the pairs that begin and end at the new token
+            if j > 0:
+                left = (k, j - 1)
+            else:
+                left = (int(before[k]), int(fill[before[k]]) - 1) if before[k] >= 0 else None
+            right = (k, j + 1) if j + 1 < fill[k] else (int(after[k]), 0) if after[k] < lines else None
+            ids = np.array([mat[left] if left else -1, mat[k, j], mat[right] if right else -1])
+            new = self.pairs.rank(ids[:-1], ids[1:])
+            if left:
+                rank[left] = new[0]
+                touched.add(left[0])
+            rank[k, j] = new[1]
+            for line in touched:
+                least[line] = rank[line].min()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of ids; an id that is no token raises ValueError."""
