@@ -97,15 +97,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, capa
 def pack(items: DataFrame, capacity: int, length_col: str = "length", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` long to rows that have a length.
 
-    Rows are staged in the shared folder, so that each has a lasting number; the
-    numbers are dealt evenly over groups of about ``group_pieces`` rows, and each
+    Rows are staged in the shared folder, each with a lasting number; the numbers are
+    dealt evenly over groups of about ``group_pieces`` rows, and each
     group is packed on its own. Groups leave a few open sequences each, so their
     number, not their content, bounds the waste. Columns of the two names are
     replaced. Lengths over the capacity raise ValueError; null ones too. An empty
     table stays empty.
     """
     kept = [f for f in items.schema.fields if f.name not in ("sequence_id", "offset")]
-    held = common.stage(items.select(*[f.name for f in kept]), "pieces")
+    held = common.stage(items.select(*[f.name for f in kept], F.monotonically_increasing_id().alias("__row")), "pieces")
     groups = max(1, math.ceil(held.count() / group_pieces))
     schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = [f.name for f in kept]
@@ -117,8 +117,7 @@ def pack(items: DataFrame, capacity: int, length_col: str = "length", group_piec
         bins, offsets = sum_of_squares(pdf[length_col].to_numpy(np.int64), capacity)
         return pdf[names].assign(sequence_id=(np.int64(key[0]) << 32) + bins, offset=offsets)
 
-    numbered = held.withColumn("__row", F.monotonically_increasing_id())
-    dealt = numbered.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups)))
+    dealt = held.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(run, schema)
 
 
