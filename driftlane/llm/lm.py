@@ -71,6 +71,16 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, rising, and the place of each key among them."""
+    coded = pa.array(keys).dictionary_encode()
+    values = coded.dictionary.to_numpy()
+    order = np.argsort(values)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return values[order], place[coded.indices.to_numpy()]
+
+
 def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
@@ -88,35 +98,40 @@ class Level:
 class Block:
     """The documents of a block as numbers of its distinct words.
 
-    Word 0 is the end of a text. ``token`` holds the texts one after another, each
-    closed by its end; ``words`` the distinct tokens, ordered by range and bytes.
+    Word 0 is the end of a text, the others follow by falling frequency. ``token``
+    holds the texts one after another, each closed by its end; ``part`` the range of
+    each word.
     """
 
-    def __init__(self, sizes: np.ndarray, token: np.ndarray, n_words: int, train: np.ndarray):
-        self.sizes, self.token, self.n_words, self.train = sizes, token, n_words, train
+    def __init__(self, sizes: np.ndarray, token: np.ndarray, part: np.ndarray, train: np.ndarray):
+        self.sizes, self.token, self.part, self.train, self.n_words = sizes, token, part, train, len(part)
         self.starts = _starts(sizes)
         self.on = np.repeat(train, sizes)
 
     @classmethod
-    def lex(cls, texts: pa.Array, train: np.ndarray, parts: int) -> tuple[Block, list[bytes], np.ndarray]:
-        """The block of some texts, its words, and the range of each."""
+    def lex(cls, texts: pa.Array, train: np.ndarray, parts: int) -> tuple[Block, list[bytes]]:
+        """The block of some texts, and its words."""
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         flat, of = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         real = pc.greater(pc.binary_length(flat), 0)
         coded = flat.filter(real).dictionary_encode()
         sizes = np.bincount(of[real.to_numpy(zero_copy_only=False)], minlength=len(texts)) + 1
-        found = coded.dictionary.cast(pa.binary())
-        words = found.to_pylist()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(-np.bincount(code, minlength=len(coded.dictionary)), kind="stable")
+        words = [END, *coded.dictionary.cast(pa.binary()).take(pa.array(order)).to_pylist()]
         part = np.fromiter((xxhash.xxh64_intdigest(w) % parts for w in words), np.int64, len(words))
-        order = pc.array_sort_indices(found).to_numpy().astype(np.int64) if len(words) else np.zeros(0, np.int64)
-        order = order[np.argsort(part[order], kind="stable")]
-        number = np.empty(len(words), np.int64)
-        number[order] = np.arange(1, len(words) + 1)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(1, len(words))
         token = np.zeros(int(sizes.sum()), np.int64)
         inner = np.ones(len(token), bool)
         inner[np.cumsum(sizes) - 1] = False
-        token[inner] = number[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else 0
-        return cls(sizes, token, len(words) + 1, train), [END, *(words[i] for i in order.tolist())], np.concatenate([[0], part[order]])
+        token[inner] = number[code]
+        return cls(sizes, token, part, train), words
+
+    def by_part(self, parts: int) -> list[np.ndarray]:
+        """The words of each range."""
+        order = np.argsort(self.part, kind="stable")
+        return np.split(order, np.searchsorted(self.part[order], np.arange(1, parts)))
 
     def counts(self, at: np.ndarray, n: int, train: bool = True) -> np.ndarray:
         """How often each n-gram ends in the training documents (or in the others)."""
@@ -129,7 +144,7 @@ class Block:
             prefix = np.concatenate([[-1], before[:-1]])
             prefix[self.starts] = 0 if length == 2 else -1
             on = np.flatnonzero(prefix >= 0)
-            keys, at = np.unique(prefix[on] * self.n_words + self.token[on], return_inverse=True)
+            keys, at = _distinct(prefix[on] * self.n_words + self.token[on])
             whole = np.full(len(self.token), -1, np.int64)
             whole[on] = at
             suffix = np.empty(len(keys), np.int64)
@@ -138,8 +153,9 @@ class Block:
             before = whole
         return out
 
-    def tries(self, levels: list[Level], numbers: np.ndarray, lone: np.ndarray, frequent: np.ndarray, parts: int) -> list[tuple[int, list[np.ndarray]]]:
-        """For each range its share of the n-grams, by level from 2 on, as indexes.
+    def tries(self, levels: list[Level], numbers: np.ndarray, lone: np.ndarray, frequent: np.ndarray, parts: int) -> list[tuple[int, list[np.ndarray], np.ndarray]]:
+        """For each range its share of the n-grams, by level from 2 on, as indexes, and
+        which of the pairs it counts.
 
         Left out are those with a word that no other block has: the counts of the
         block are all there is. N-grams go where their first word is, or if that is
@@ -160,42 +176,48 @@ class Block:
             part.append(p)
             kept.append(kept[-1][level.parent] & ~lone[level.last])
         indexes = [np.flatnonzero(k) for k in kept]
-        indexes = [i[np.argsort(p[i], kind="stable")] for i, p in zip(indexes, part)]
+        indexes = [i[np.argsort(p[i].astype(np.uint16 if parts < 1 << 16 else np.uint64), kind="stable")] for i, p in zip(indexes, part)]
         bounds = [np.searchsorted(p[i], np.arange(parts + 1)) for i, p in zip(indexes, part)]
         out = []
         for k in range(parts):
             mine = [i[b[k] : b[k + 1]] for i, b in zip(indexes, bounds)]
-            if len(mine) > 1:  # with the pairs whose continuations were dealt here
-                mine[0] = np.union1d(mine[0], levels[1].parent[mine[1]])
-            if len(mine[0]):
-                out.append((k, mine))
+            guests = np.zeros(0, np.int64)
+            if len(mine) > 1:  # pairs whose continuations were dealt here
+                guests = levels[1].parent[mine[1]]
+                guests = np.unique(guests[home[guests] != k])
+            pairs = np.concatenate([mine[0], guests])
+            order = np.argsort(pairs, kind="stable")
+            mine[0] = pairs[order]
+            if len(pairs):
+                out.append((k, mine, order < len(pairs) - len(guests)))
         return out
 
 
-def trie_record(levels: list[Level], counts: list[np.ndarray], numbers: np.ndarray, home: np.ndarray, mine: list[np.ndarray]) -> list[bytes]:
+def trie_record(levels: list[Level], counts: list[np.ndarray], numbers: np.ndarray, mine: list[np.ndarray], counted: np.ndarray) -> list[bytes]:
     """One range's share of a block's n-grams: first words, then for each level how
     many follow each of those before, their last words, and counts."""
-    first, kids = np.unique(levels[0].parent[mine[0]], return_counts=True)
-    out = [_pack(numbers[first])]
+    above = levels[0].parent[mine[0]]
+    begins = np.flatnonzero(np.diff(above, prepend=-1))
+    kids, out = np.diff(begins, append=len(above)), [_pack(numbers[above[begins]])]
     for at, (level, index) in enumerate(zip(levels, mine)):
         if at:
             kids = np.bincount(np.searchsorted(mine[at - 1], level.parent[index]), minlength=len(mine[at - 1]))
-        n = np.where(home[index], counts[at][index], 0) if at == 0 else counts[at][index]
+        n = counts[at][index] if at else np.where(counted, counts[at][index], 0)
         out += [_pack(kids), _pack(numbers[level.last[index]]), _pack(n)]
     return out
 
 
 def add_tries(records: list[list[bytes]]) -> list[list[bytes]]:
-    """Total counts of the n-grams of each record over all records of a range."""
+    """What the other records of a range add to the counts of each record's n-grams."""
     columns = [[_unpack(b) for b in r] for r in records]
     joined = [np.concatenate(c) for c in zip(*columns)]
     above, answers = joined[0], [[] for _ in records]
     for at in range(1, len(joined), 3):
         kids, last, n = joined[at : at + 3]
-        kinds, prefix = np.unique(above, return_inverse=True)
-        words, word = np.unique(last, return_inverse=True)
-        _, above = np.unique(np.repeat(prefix, kids) * max(1, len(words)) + word, return_inverse=True)
-        total = np.bincount(above, weights=n).astype(np.int64)[above] if len(above) else above
+        words, word = _distinct(last)
+        _, prefix = _distinct(above)
+        _, above = _distinct(np.repeat(prefix, kids) * max(1, len(words)) + word)
+        total = np.bincount(above, weights=n).astype(np.int64)[above] - n if len(above) else above
         ends = np.cumsum([len(c[at + 1]) for c in columns])[:-1]
         for answer, part in zip(answers, np.split(total, ends)):
             answer.append(_pack(part))
@@ -238,6 +260,8 @@ class Automaton:
             above = c
         none = [np.zeros(0, np.int64)]
         self.keys, self.weight, self.next = np.concatenate(keys or none), np.concatenate(weights or none), np.concatenate(after or none)
+        self.arcs = np.bincount(self.keys // max(1, self.n_words), minlength=len(self.fail))  # of each state
+        self.first = _starts(self.arcs)
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Next states, log10 probabilities, and failure arcs taken."""
@@ -246,11 +270,14 @@ class Automaton:
         after = np.empty(len(state), np.int64)
         while len(todo):
             s, t = state[todo], token[todo]
-            key = s * self.n_words + t
-            arc = np.searchsorted(self.keys, key)
-            hit = np.zeros(len(todo), bool)
-            inside = arc < len(self.keys)
-            hit[inside] = self.keys[arc[inside]] == key[inside]
+            key, arc, n = s * self.n_words + t, self.first[s], self.arcs[s]
+            hit = n > 0
+            hit[hit] = self.keys[arc[hit]] == key[hit]
+            more = np.flatnonzero(~hit & (n > 1))  # most states have one arc
+            found = np.searchsorted(self.keys, key[more])
+            inside = found < len(self.keys)
+            inside[inside] = self.keys[found[inside]] == key[more[inside]]
+            arc[more], hit[more] = found, inside
             to, arc = todo[hit], arc[hit]
             weight[to] += self.weight[arc]
             after[to] = self.next[arc]
@@ -334,17 +361,16 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
     def block_records(table: pa.Table, number: int) -> pa.RecordBatch:
         text, ids = table.column("text").combine_chunks(), table.column("id").combine_chunks()
-        block, words, part = Block.lex(text, table.column("train").to_numpy(), parts)
-        texts = [_pack(block.sizes), _pack(block.token), _pack(np.array([block.n_words])), _pack(block.train.astype(np.int64))]
+        block, words = Block.lex(text, table.column("train").to_numpy(), parts)
+        texts = [_pack(x.astype(np.int64)) for x in (block.sizes, block.token, block.part, block.train)]
         seen, others = (block.counts(block.token, block.n_words, t) for t in (True, False))
-        bounds = np.searchsorted(part, np.arange(parts + 1)).tolist()
-        asked = [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+        asked = [(k, at) for k, at in enumerate(block.by_part(parts)) if len(at)]
         zip_words = zstandard.ZstdCompressor(level=3).compress
-        records = [[zip_words(b"\n".join(words[a:b])), _pack(seen[a:b]), _pack(others[a:b])] for _, a, b in asked]
+        records = [[zip_words(b"\n".join([words[i] for i in at.tolist()])), _pack(seen[at]), _pack(others[at])] for _, at in asked]
         n = 1 + len(asked)
         ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         ids = pa.concat_arrays([ids, pa.nulls(n - 1, ids.type)])
-        cols = [pa.array([number] * n, pa.int64()), ids, pa.array([texts, *[None] * (n - 1)], pa.list_(pa.binary())), pa.array([None, *(k for k, _, _ in asked)], pa.int32()), pa.array([None, *records], pa.list_(pa.binary()))]
+        cols = [pa.array([number] * n, pa.int64()), ids, pa.array([texts, *[None] * (n - 1)], pa.list_(pa.binary())), pa.array([None, *(k for k, _ in asked)], pa.int32()), pa.array([None, *records], pa.list_(pa.binary()))]
         return pa.RecordBatch.from_arrays(cols, held.names)
 
     answer = "kind int, part int, block long, packed array<binary>, seen long, held long"
@@ -368,31 +394,26 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         return answers_of([(1, part, block, [_pack(x[i]) for x in (rank, seen, flags)], distinct, sums) for block, i in zip(blocks, np.split(at, ends))])
 
     def opened(texts: pa.Table) -> Block:
-        sizes, token, n_words, train = (_unpack(b) for b in texts.column("texts")[0].as_py())
-        return Block(sizes, token, int(n_words[0]), train.astype(bool))
+        sizes, token, part, train = (_unpack(b) for b in texts.column("texts")[0].as_py())
+        return Block(sizes, token, part, train.astype(bool))
 
-    def words_of(got: pa.Table):
+    def words_of(block: Block, got: pa.Table):
         """Numbers, training counts and flags (lone, frequent) of a block's words."""
-        rows = sorted((r for r in got.select(["kind", "part", "packed"]).to_pylist() if r["kind"] == 1), key=lambda r: r["part"])
-        rank, seen, flags = (np.concatenate([_unpack(r["packed"][i]) for r in rows]) for i in range(3))
-        part = np.repeat([r["part"] for r in rows], [len(_unpack(r["packed"][0])) for r in rows])
-        return rank * parts + part, seen, (flags & 1).astype(bool), (flags & 2).astype(bool)
+        out = np.empty((3, block.n_words), np.int64)
+        where = block.by_part(parts)
+        for r in got.filter(pc.equal(got.column("kind"), 1)).select(["part", "packed"]).to_pylist():
+            out[:, where[r["part"]]] = [_unpack(b) for b in r["packed"]]
+        return out[0] * parts + block.part, out[1], (out[2] & 1).astype(bool), (out[2] & 2).astype(bool)
 
     def ask(texts: pa.Table, got: pa.Table) -> pa.Table:
         block = opened(texts)
-        numbers, _, lone, often = words_of(got)
+        numbers, _, lone, often = words_of(block, got)
         levels = block.levels(order)
         counts = [block.counts(x.at, len(x.last)) for x in levels]
-        rows, number = [], texts.column("block")[0].as_py()
-        for k, mine in block.tries(levels, numbers, lone, often, parts):
-            home = homes(levels, numbers, often) == k
-            rows.append((k, number, trie_record(levels, counts, numbers, home, mine)))
+        number = texts.column("block")[0].as_py()
+        rows = [(k, number, trie_record(levels, counts, numbers, mine, counted)) for k, mine, counted in block.tries(levels, numbers, lone, often, parts)]
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.binary())))], names=["part", "block", "trie"])
 
-    def homes(levels: list[Level], numbers: np.ndarray, often: np.ndarray) -> np.ndarray:
-        two = levels[0]
-        return np.where(often[two.parent], _mix(numbers[two.parent], numbers[two.last]), _mix(numbers[two.parent])) % np.uint64(parts)
-
     def add(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         totals = add_tries(table.column("trie").to_pylist())
@@ -412,16 +433,13 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
     def traverse(texts: pa.Table, got: pa.Table) -> pa.Table:
         block, ids = opened(texts), texts.column("ids").combine_chunks().flatten()
-        numbers, words, lone, often = words_of(got)
+        numbers, words, lone, often = words_of(block, got)
         levels = block.levels(order)
         counts = [block.counts(x.at, len(x.last)) for x in levels]
-        totals = {r["part"]: r["packed"] for r in got.select(["kind", "part", "packed"]).to_pylist() if r["kind"] == 2}
-        shares = block.tries(levels, numbers, lone, often, parts)
-        for at in range(len(levels)):
-            asked = np.concatenate([mine[at] for _, mine in shares]) if shares else np.zeros(0, np.int64)
-            counts[at][asked] = 0
-            if shares:
-                counts[at] += np.bincount(asked, weights=np.concatenate([_unpack(totals[k][at]) for k, _ in shares]), minlength=len(counts[at])).astype(np.int64)
+        others = {r["part"]: r["packed"] for r in got.filter(pc.equal(got.column("kind"), 2)).select(["part", "packed"]).to_pylist()}
+        for k, mine, _ in block.tries(levels, numbers, lone, often, parts):
+            for count, index, packed in zip(counts, mine, others[k]):
+                count[index] += _unpack(packed)
         automaton = Automaton(words, levels, counts, floor, prior)
         weight, failed = automaton.traverse(block)
         add = lambda values: np.add.reduceat(values, block.starts) if len(block.starts) else values
