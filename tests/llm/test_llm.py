@@ -112,7 +112,7 @@ def test_added_tokens_as_the_library_by_default(spark):
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
 
 
-@pytest.mark.parametrize("text", ["a" * 3000, "ab" * 2000, "aaaa" * 200 + "b" * 77, "日" * 900, "x" * 257, ""])
+@pytest.mark.parametrize("text", ["a" * 3000, "ab" * 2000, "aaaa" * 200 + "b" * 77, "日" * 900, "x" * 257, "", *("".join(random.Random(n).choices("etaoinshrdlu", k=n)) for n in (255, 256, 257, 512, 513, 769, 9000))])
 def test_long_pieces(text, tiktoken_encoding):
     b = bpe.ByteBPE.load(RANKS)
     ids, n = b.encode_pieces([text]) if text else (np.zeros(0, np.int32), None)
@@ -676,7 +676,7 @@ def test_lm_small_blocks_hot_words_and_equal_rows(spark):
 def automaton_of(rows, order, prior=lm.PRIOR):
     import pyarrow as pa
 
-    block, words, _ = lm.Block.lex(pa.array([t for _, t in rows]), np.ones(len(rows), bool), 1)
+    block, words = lm.Block.lex(pa.array([t for _, t in rows]), np.ones(len(rows), bool), 1)
     levels = block.levels(order)
     counts = [block.counts(x.at, len(x.last)) for x in levels]
     seen = block.counts(block.token, block.n_words)
@@ -764,6 +764,13 @@ def test_packing_awkward(spark, awkward, empty):
     assert {r.doc_id for r in rows} == {i for i, *_ in AWKWARD}
     assert sum(r.piece == 0 for r in rows) == len(AWKWARD)
     assert packing.pack_documents(empty, JSON, PATTERN).collect() == []
+    # several groups, whose numbers don't meet
+    rnd = random.Random(6)
+    many = [(i, rnd.choice([1, 3, 100, 511, 512, 513, 1024, rnd.randrange(1, 1025)])) for i in range(4000)]
+    packed = packing.pack(spark.createDataFrame(many, "id long, length long"), 1024, group_pieces=500).collect()
+    assert sorted((r.id, r.length) for r in packed) == many
+    assert len({r.sequence_id >> 32 for r in packed}) == 8
+    assert check_packing(packed, 1024) <= math.ceil(sum(n for _, n in many) / 1024) * 1.02 + 8
     items = spark.createDataFrame([(1, 5, "c", "c")], "id long, length long, sequence_id string, offset string")
     assert packing.pack(items, 16).first().offset == 0
     with pytest.raises(Exception, match="over 4"):
