@@ -73,12 +73,14 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, rising, and the place of each key among them."""
-    coded = pa.array(keys).dictionary_encode()
-    values = coded.dictionary.to_numpy()
-    order = np.argsort(values)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return values[order], place[coded.indices.to_numpy()]
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], place
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
@@ -122,7 +124,7 @@ class Block:
         part = np.fromiter((xxhash.xxh64_intdigest(w) % parts for w in words), np.int64, len(words))
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(1, len(words))
-        token = np.zeros(int(sizes.sum()), np.int64)
+        token = np.zeros(int(sizes.sum()), np.int32)
         inner = np.ones(len(token), bool)
         inner[np.cumsum(sizes) - 1] = False
         token[inner] = number[code]
@@ -141,15 +143,15 @@ class Block:
         """N-grams of length 2 to ``order``. A text's first history is the end."""
         out, before, n = [], self.token, self.n_words
         for length in range(2, order + 1):
-            prefix = np.concatenate([[-1], before[:-1]])
+            prefix = np.concatenate([np.full(min(1, len(before)), -1, np.int64), before[:-1]])
             prefix[self.starts] = 0 if length == 2 else -1
             on = np.flatnonzero(prefix >= 0)
             keys, at = _distinct(prefix[on] * self.n_words + self.token[on])
-            whole = np.full(len(self.token), -1, np.int64)
+            whole = np.full(len(self.token), -1, np.int32)
             whole[on] = at
-            suffix = np.empty(len(keys), np.int64)
+            suffix = np.empty(len(keys), np.int32)
             suffix[at] = before[on]
-            out.append(Level(*np.divmod(keys, self.n_words), suffix, whole))
+            out.append(Level(*(x.astype(np.int32) for x in np.divmod(keys, self.n_words)), suffix, whole))
             before = whole
         return out
 
@@ -216,7 +218,7 @@ def add_tries(records: list[list[bytes]]) -> list[list[bytes]]:
         kids, last, n = joined[at : at + 3]
         words, word = _distinct(last)
         _, prefix = _distinct(above)
-        _, above = _distinct(np.repeat(prefix, kids) * max(1, len(words)) + word)
+        _, above = _distinct(np.repeat(prefix.astype(np.int64), kids) * max(1, len(words)) + word)
         total = np.bincount(above, weights=n).astype(np.int64)[above] - n if len(above) else above
         ends = np.cumsum([len(c[at + 1]) for c in columns])[:-1]
         for answer, part in zip(answers, np.split(total, ends)):
@@ -395,7 +397,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
     def opened(texts: pa.Table) -> Block:
         sizes, token, part, train = (_unpack(b) for b in texts.column("texts")[0].as_py())
-        return Block(sizes, token, part, train.astype(bool))
+        return Block(sizes, token.astype(np.int32), part, train.astype(bool))
 
     def words_of(block: Block, got: pa.Table):
         """Numbers, training counts and flags (lone, frequent) of a block's words."""
