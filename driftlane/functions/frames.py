@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Writes what is used more than once into the shared folder of
+    ``spark.checkpoint.dir`` and reads it from there, also after lost executors. Where
+    that isn't set, a session on one machine takes a local folder; on a cluster it
+    is an error."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftlane-"))
+    return df.checkpoint()
+
+
 def uniform(seed: int, *keys: str | Column) -> Column:
     """A number in [0, 1) that a row's keys and the seed determine: 52 bits of the
     MD5 of both as text, which any SQL engine can repeat. Null keys count as

@@ -191,16 +191,33 @@ def _cvm_exact(t: float, n: int, m: int) -> float:
     return sum(c for s, c in counts.items() if s >= goal - 1e-6 * max(1, abs(goal))) / sum(counts.values())
 
 
-def _log_comb(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+def _around(mode: int, low: int, high: int, up) -> tuple[int, np.ndarray]:
+    """(first count, probabilities from there on) of a distribution with one mode,
+    of all counts that aren't beyond the reach of a double. ``up(k)`` is p(k + 1) /
+    p(k); sums go outwards from the mode, so the number of terms grows with the
+    deviation and not with the counts behind it."""
+
+    def side(step: int) -> np.ndarray:
+        parts, k, last = [], mode, 1.0
+        while last > 1e-300 and (k < high if step > 0 else k > low):
+            n = min(4096, high - k if step > 0 else k - low)
+            at = k + np.arange(n, dtype=float) if step > 0 else k - 1 - np.arange(n, dtype=float)
+            terms = last * np.cumprod(up(at) if step > 0 else 1 / up(at))
+            parts.append(terms)
+            k, last = k + step * n, float(terms[-1])
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    below, above = side(-1), side(1)
+    p = np.concatenate([below[::-1], [1.0], above])
+    return mode - len(below), p / p.sum()
 
 
 def hypergeom_pmf(total: int, marked: int, drawn: int) -> tuple[int, np.ndarray]:
-    """Least possible count, and probabilities from there on."""
+    """Least count of any weight, and probabilities from there on."""
     low, high = max(0, drawn - (total - marked)), min(marked, drawn)
-    log = np.array([_log_comb(marked, k) + _log_comb(total - marked, drawn - k) for k in range(low, high + 1)]) - _log_comb(total, drawn)
-    p = np.exp(log)
-    return low, p / p.sum()
+    mode = min(max((drawn + 1) * (marked + 1) // (total + 2), low), high)
+    rest = total - marked - drawn
+    return _around(mode, low, high, lambda k: (marked - k) * (drawn - k) / ((k + 1) * (rest + k + 1)))
 
 
 def hypergeom_cdf(k: int, total: int, marked: int, drawn: int) -> float:
@@ -216,11 +233,11 @@ def fisher_exact(a: int, b: int, c: int, d: int, alternative: str = "greater") -
     low, p = hypergeom_pmf(a + b + c + d, a + c, a + b)
     at = a - low
     if alternative == "greater":
-        q = p[at:].sum()
+        q = p[max(0, at) :].sum()
     elif alternative == "less":
-        q = p[: at + 1].sum()
+        q = p[: max(0, at + 1)].sum()
     else:
-        q = p[p <= p[at] * (1 + 1e-7)].sum()
+        q = p[p <= p[at] * (1 + 1e-7)].sum() if 0 <= at < len(p) else 0.0
     return odds, float(min(1.0, q))
 
 
@@ -232,9 +249,8 @@ def binom_sf(k: int, n: int, p: float) -> float:
         return 0.0
     if p >= 1:
         return 1.0
-    x = np.arange(k, n + 1)
-    log = np.array([_log_comb(n, int(i)) for i in x]) + x * math.log(p) + (n - x) * math.log1p(-p)
-    return float(min(1.0, np.exp(log).sum()))
+    low, q = _around(min(int((n + 1) * p), n), 0, n, lambda k: (n - k) / (k + 1) * (p / (1 - p)))
+    return float(min(1.0, q[max(0, k - low) :].sum()))
 
 
 def chi2_table(rows: np.ndarray) -> tuple[float, float, int]:

@@ -51,34 +51,49 @@ def bin_labels(feature: str, edges: list[float]) -> list[str]:
     return [*names, f"{feature} > {edges[-1]:.2f}"]
 
 
-def mvdm(df: DataFrame, feature: str, target: str, alpha: float = 1.0) -> DataFrame:
+#: Categories of a feature whose distances are wanted, at most: the result has their square.
+MAX_CATEGORIES = 5000
+
+
+def _pairs(shares: DataFrame, keys: list[str], alone: Column, both: Column, limit: int) -> DataFrame:
+    """``a, b, distance`` of all pairs of categories ``c`` with shares ``p`` of ``keys``.
+
+    ``alone`` is what a share adds if the other category hasn't that key, ``both``
+    (of pa and pb) what two shares of one key add. So only shares that are there
+    meet, and each category's sum of ``alone`` stands for all its others.
+    """
+    own = shares.groupBy("c").agg(F.sum(alone).alias("own"))
+    if (n := own.count()) > limit:
+        raise ValueError(f"{n} categories, more than {limit}")
+    a, b = shares.toDF("a", *keys, "pa", "ga"), shares.toDF("b", *keys, "pb", "gb")
+    met = a.join(b, keys).groupBy("a", "b").agg(F.sum(both - F.col("ga") - F.col("gb")).alias("more"))
+    every = own.toDF("a", "oa").crossJoin(F.broadcast(own.toDF("b", "ob")))  # the categories of one feature
+    distance = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("oa") + F.col("ob") + F.coalesce("more", F.lit(0.0))))
+    return every.join(met, ["a", "b"], "left").select("a", "b", distance.alias("distance"))
+
+
+def mvdm(df: DataFrame, feature: str, target: str, alpha: float = 1.0, limit: int = MAX_CATEGORIES) -> DataFrame:
     """``a, b, distance``: sum over classes of |P(y|a) - P(y|b)| ** alpha for each
     pair of categories: pairs of categories, not of rows."""
-    counts = df.groupBy(F.col(feature).alias("c"), F.col(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    classes, cats = counts.select("y").distinct(), counts.select("c").distinct()
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("c"))
-    p = cats.crossJoin(classes).join(counts.withColumn("p", share).select("c", "y", "p"), ["c", "y"], "left").fillna(0.0, ["p"])  # categories by classes
-    a, b = p.toDF("a", "y", "pa"), p.toDF("b", "y", "pb")
-    return a.join(b, "y").groupBy("a", "b").agg(F.sum(F.pow(F.abs(F.col("pa") - F.col("pb")), F.lit(alpha))).alias("distance"))
-
-
-def abdm(df: DataFrame, feature: str, others: list[str], eps: float = 1e-12) -> DataFrame:
-    """``a, b, distance``: symmetric KL of P(other | category), summed over the
-    other columns, for each pair of categories."""
-    long = df.select(F.col(feature).alias("c"), F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.col(o).cast("string").alias("v")) for o in others])).alias("s")).select("c", "s.o", "s.v")
-    counts = long.groupBy("c", "o", "v").agg(F.count(F.lit(1)).alias("n"))
-    share = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("c", "o"))).select("c", "o", "v", "p")
-    grid = counts.select("c").distinct().crossJoin(counts.select("o", "v").distinct())  # categories by values
-    p = grid.join(share, ["c", "o", "v"], "left").fillna(0.0, ["p"]).withColumn("p", F.col("p") + eps)
-    a, b = p.toDF("a", "o", "v", "pa"), p.toDF("b", "o", "v", "pb")
-    pa, pb = F.col("pa"), F.col("pb")
-    return a.join(b, ["o", "v"]).groupBy("a", "b").agg(F.sum(pa * F.ln(pa / pb) + pb * F.ln(pb / pa)).alias("distance"))
+    counts = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(feature).alias("c"), F.col(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.select("c", "y", (F.col("n") / F.sum("n").over(Window.partitionBy("c"))).alias("p"))
+    return _pairs(shares.withColumn("g", F.pow("p", F.lit(alpha))), ["y"], F.col("g"), F.pow(F.abs(F.col("pa") - F.col("pb")), F.lit(alpha)), limit)
+
+
+def abdm(df: DataFrame, feature: str, others: list[str], eps: float = 1e-12, limit: int = MAX_CATEGORIES) -> DataFrame:
+    """``a, b, distance``: symmetric KL of P(other | category), each share ``eps``
+    higher, summed over the other columns, for each pair of categories."""
+    long = df.where(F.col(feature).isNotNull()).select(F.col(feature).alias("c"), F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.col(o).cast("string").alias("v")) for o in others])).alias("s")).select("c", "s.o", "s.v")
+    counts = long.where("v is not null").groupBy("c", "o", "v").agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.select("c", "o", "v", (F.col("n") / F.sum("n").over(Window.partitionBy("c", "o"))).alias("p"))
+    pa, pb = F.col("pa") + eps, F.col("pb") + eps
+    return _pairs(shares.withColumn("g", F.col("p") * F.ln(F.col("p") / eps + 1)), ["o", "v"], F.col("g"), (pa - pb) * F.ln(pa / pb), limit)
 
 
 def multidimensional_scaling(distances: DataFrame, dims: int = 2) -> dict:
     """A number for each category: its distance, in a classical scaling to ``dims``
     axes, from the category that lies farthest from the origin."""
-    rows = distances.collect()  # pairs of categories of one feature
+    rows = distances.collect()  # pairs of categories of one feature, whose number is bounded
     names = sorted({r.a for r in rows})
     d = np.zeros((len(names), len(names)))
     for r in rows:

@@ -21,11 +21,23 @@ def normal(seed: int, *keys: str | Column) -> Column:
     return F.sqrt(-2 * F.ln(1 - a)) * F.cos(2 * math.pi * b)
 
 
+#: Ranges of hashes among which the n-th is looked for.
+RANGES = 1 << 14
+
+
 def pick(df: DataFrame, n: int, key: str, seed: int, label: str = "picked") -> DataFrame:
-    """Marks exactly the ``n`` rows of least hash (all, if fewer)."""
-    order = uniform(seed, key)
-    edge = df.select(order.alias("o"), F.col(key).alias("k")).orderBy("o", "k").limit(n).agg(F.max(F.struct("o", "k")).alias("e"))
-    marked = df.crossJoin(F.broadcast(edge)).withColumn(label, F.coalesce((F.struct(order.alias("o"), F.col(key).alias("k")) <= F.col("e")).cast("int"), F.lit(0)))  # one row
+    """Marks exactly the ``n`` rows of least hash (all, if fewer).
+
+    Counts of hash ranges, a row each, tell the range of the n-th hash; only that
+    range is sorted."""
+    held = df.select(uniform(seed, key).alias("o"), F.col(key).alias("k")).withColumn("b", F.floor(F.col("o") * RANGES))
+    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = held.groupBy("b").agg(F.count(F.lit(1)).alias("c")).select("b", (F.lit(n) - F.sum("c").over(upto) + F.col("c")).alias("rest"))  # how many are wanted from here on
+    last = F.broadcast(counts.where("rest > 0").orderBy(F.desc("b")).limit(1))  # one row
+    nth = F.row_number().over(Window.partitionBy("b").orderBy("o", "k"))
+    edge = held.join(last, "b").withColumn("nth", nth).where("nth <= rest").agg(F.max(F.struct("o", "k")).alias("e"))
+    spot = F.struct(uniform(seed, key).alias("o"), F.col(key).alias("k"))
+    marked = df.crossJoin(F.broadcast(edge)).withColumn(label, F.coalesce((spot <= F.col("e")).cast("int"), F.lit(0)))  # one row
     return marked.drop("e")
 
 
@@ -77,8 +89,10 @@ def outlier_batch(df: DataFrame, target: str, n: int, percent: float, key: str,
         rows = df.where(F.col(target) == label)
         have = counts.get(label, 0)
         if have and want:
-            copies = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(-(-want // have)))))
-            parts.append(copies.orderBy("__copy", uniform(seed, key), key).limit(want).drop("__copy"))
+            if full := want // have:
+                parts.append(rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(full)))).drop("__copy"))
+            if want % have:
+                parts.append(pick(rows, want % have, key, seed, "__picked").where("__picked = 1").drop("__picked"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -20,15 +20,11 @@ from pyspark.sql import functions as F
 
 from driftlane.functions.columns import squared_distance
 from driftlane.functions.frames import number
-from driftlane.operators.neighbours import as_matrix
+from driftlane.operators.neighbours import as_matrix, squared_distances
 
 TILE = 2048
 
 
-def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 1e-30)
-
-
 @dataclass(frozen=True)
 class GaussianRBF:
     """Mean of Gaussian kernels over one or more bandwidths."""
@@ -80,23 +76,28 @@ def numbered(ref: DataFrame, test: DataFrame, vec_col: str = "features", order:
     return Samples(rows.withColumn("tile", F.floor(F.col("n") / size).cast("int")), n_ref, n_test, tiles, size)
 
 
-def tile_labels(tile: int, n_ref: int, n_test: int, permutations: int, seed: int, size: int = TILE) -> np.ndarray:
+def tile_shares(n_ref: int, n_test: int, permutations: int, seed: int, size: int = TILE) -> np.ndarray:
+    """(tiles, P): how many test rows each permutation marks in each tile, one
+    hypergeometric draw for each permutation."""
+    n = n_ref + n_test
+    sizes = np.full(math.ceil(n / size), size)
+    sizes[-1:] = n - size * (len(sizes) - 1)
+    draw = lambda p: np.random.default_rng([seed, p]).multivariate_hypergeometric(sizes, n_test, method="marginals")
+    return np.array([draw(p) for p in range(permutations)], np.int64).reshape(permutations, len(sizes)).T
+
+
+def tile_labels(tile: int, n_ref: int, n_test: int, shares: np.ndarray, seed: int, size: int = TILE) -> np.ndarray:
     """(rows of the tile, P + 1) 0/1 marks of test rows; column 0 is the true
     labelling, where test rows come last.
 
     A permutation marks exactly ``n_test`` rows, all choices alike: how many fall
-    into each tile comes from one hypergeometric draw, which every task repeats,
-    and which rows those are from a draw of the tile's own. So a task makes the
-    marks of its own rows alone.
+    into each tile is a row of ``shares``, which rows those are comes from a draw of
+    the tile's own. So a task makes the marks of its own rows alone.
     """
-    n = n_ref + n_test
-    sizes = np.full(math.ceil(n / size), size)
-    sizes[-1] = n - size * (len(sizes) - 1)
-    rows = np.arange(tile * size, tile * size + sizes[tile])
-    out = np.zeros((len(rows), permutations + 1))
+    rows = np.arange(tile * size, min((tile + 1) * size, n_ref + n_test))
+    out = np.zeros((len(rows), len(shares) + 1))
     out[:, 0] = rows >= n_ref
-    for p in range(permutations):
-        share = np.random.default_rng([seed, p]).multivariate_hypergeometric(sizes, n_test, method="marginals")[tile]
+    for p, share in enumerate(shares.tolist()):
         out[np.random.default_rng([seed, p, tile]).permutation(len(rows))[:share], p + 1] = 1
     return out
 
@@ -106,6 +107,7 @@ def tile_sums(samples: Samples, kernel: Callable, permutations: int = 0, seed: i
     n_ref, m, tiles, size = samples.n_ref, samples.n_test, samples.tiles, samples.size
     left = samples.rows.select("n", "v", F.col("tile").alias("i")).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(tiles - 1))))
     right = samples.rows.select("n", "v", F.col("tile").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).toDF("n", "v", "j", "i")
+    shares = tile_shares(n_ref, m, permutations, seed, size)  # numbers of tiles times permutations
 
     def evaluate(a: pa.Table, b: pa.Table) -> pa.Table:
         a, b = a.sort_by("n"), b.sort_by("n")
@@ -113,7 +115,7 @@ def tile_sums(samples: Samples, kernel: Callable, permutations: int = 0, seed: i
         k, same = kernel(as_matrix(a.column("v")), as_matrix(b.column("v"))), i == j
         if same:
             np.fill_diagonal(k, 0.0)
-        sa, sb = tile_labels(i, n_ref, m, permutations, seed, size), tile_labels(j, n_ref, m, permutations, seed, size)
+        sa, sb = tile_labels(i, n_ref, m, shares[i], seed, size), tile_labels(j, n_ref, m, shares[j], seed, size)
         k1 = k @ sb  # per row, sums over the columns marked test
         yy = (sa * k1).sum(0)
         row, col = k.sum(1), k.sum(0)
@@ -135,23 +137,80 @@ def mmd2(sums: np.ndarray, n: int, m: int) -> np.ndarray:
     return sums[:, 0] / (n * (n - 1)) + sums[:, 1] / (m * (m - 1)) - 2 * sums[:, 2] / (n * m)
 
 
-def sigma_median(ref: DataFrame, test: DataFrame | None = None, vec_col: str = "features", id_col: str = "id", limit: int = 3000, seed: int = 0) -> DataFrame:
+#: Rows whose pairs are ordered in one place; the pairs of more are counted in tiles.
+LOCAL_ROWS = 3000
+#: Ranges in which distances are counted, and distances that are ordered at last.
+BINS, FEW = 4096, 200_000
+
+
+def sigma_median(ref: DataFrame, test: DataFrame | None = None, vec_col: str = "features", id_col: str = "id", local: int = LOCAL_ROWS, size: int = TILE, seed: int = 0) -> DataFrame:
     """``sigma``: sqrt(d2 / 2) for the median squared distance over all ordered
     pairs of rows of both samples, without the pairs of a row with itself.
 
-    Pairs grow with the square of the rows: beyond ``limit`` rows per sample a
-    sample by hash stands for it, as the median of pairs is stable.
+    Beyond ``local`` rows the distances are counted in tiles: a sample by hash gives a
+    first bracket, each round counts what lies below it and in its ranges, and goes
+    on in the range of the median until few distances are left there. The result is
+    the exact one of all pairs.
     """
     rows = ref.select(F.col(id_col).alias("a"), F.col(vec_col).cast("array<double>").alias("v"))
     if test is not None:
         rows = rows.unionByName(test.select(F.col(id_col).alias("a"), F.col(vec_col).cast("array<double>").alias("v")))
-    rows = rows.orderBy(F.xxhash64(F.lit(seed), "a"), "a").limit(limit)
-    held = np.array([r.v for r in rows.orderBy("a").collect()])
+    held = np.array([r.v for r in rows.orderBy(F.xxhash64(F.lit(seed), "a"), "a").limit(local + 1).collect()])
+    whole = len(held) <= local
+    held = held[:local]
     d = np.sort(squared_distances(held, held)[np.triu_indices(len(held), 1)])
-    n = len(held)
+    n = len(held) if whole else rows.count()
     # ordered pairs come twice: place (n*n - n) // 2 - 1 of them
-    at = ((n * n - n) // 2 - 1) // 2
-    return ref.sparkSession.createDataFrame([(float(math.sqrt(d[max(at, 0)] / 2)) if len(d) else 1.0,)], "sigma double")
+    at = max(((n * n - n) // 2 - 1) // 2, 0)
+    if whole:
+        value = float(d[at]) if len(d) else 2.0
+    else:
+        value = _ordered_distance(rows.select("v"), n, at, float(d[int(0.48 * len(d))]), float(d[int(0.52 * len(d))]), size)
+    return ref.sparkSession.createDataFrame([(math.sqrt(value / 2),)], "sigma double")
+
+
+def _ordered_distance(rows: DataFrame, n: int, at: int, low: float, high: float, size: int = TILE) -> float:
+    """The squared distance at a place, from 0, of all unordered pairs of ``n`` rows;
+    ``low`` and ``high`` are where it is looked for first."""
+    samples = numbered(rows.withColumn("features", F.col("v")), rows.limit(0).withColumn("features", F.col("v")), size=size)
+    left = samples.rows.select("n", "v", F.col("tile").alias("i")).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(samples.tiles - 1))))
+    right = samples.rows.select("n", "v", F.col("tile").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).toDF("n", "v", "j", "i")
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
+
+    def distances(a: pa.Table, b: pa.Table) -> np.ndarray:
+        a, b = a.sort_by("n"), b.sort_by("n")
+        d = squared_distances(as_matrix(a.column("v")), as_matrix(b.column("v")))
+        return d[np.triu_indices(len(d), 1)] if a.column("i")[0].as_py() == b.column("j")[0].as_py() else d.ravel()
+
+    while True:
+        edges = np.unique(np.linspace(low, high, BINS + 1))
+
+        def count(a: pa.Table, b: pa.Table) -> pa.Table:
+            bins = np.bincount(np.searchsorted(edges, distances(a, b), side="right"), minlength=len(edges) + 1)
+            return pa.table({"bin": pa.array(np.flatnonzero(bins), pa.int32()), "c": pa.array(bins[bins > 0], pa.int64())})
+
+        counts = np.zeros(len(edges) + 1, np.int64)
+        for r in pairs.applyInArrow(count, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).collect():
+            counts[r.bin] = r.c
+        upto = np.cumsum(counts)
+        k = int(np.searchsorted(upto, at, side="right"))  # values of range k lie from edges[k - 1] up to below edges[k]
+        if k == 0:
+            low, high = 0.0, low
+        elif k == len(edges):
+            low, high = high, max(4 * high, 1e-30)
+        elif counts[k] <= FEW:
+            a, b = float(edges[k - 1]), float(edges[k])
+
+            def inside(x: pa.Table, y: pa.Table) -> pa.Table:
+                d = distances(x, y)
+                return pa.table({"d": d[(d >= a) & (d < b)]})
+
+            few = sorted(r.d for r in pairs.applyInArrow(inside, "d double").collect())  # as many as were counted
+            return few[at - int(upto[k - 1])]
+        elif float(edges[k]) <= np.nextafter(float(edges[k - 1]), np.inf):
+            return float(edges[k - 1])  # one value, many times
+        else:
+            low, high = float(edges[k - 1]), float(edges[k])
 
 
 def sigma_mean(rows: DataFrame, vec_col: str = "features") -> DataFrame:
@@ -164,19 +223,6 @@ def sigma_mean(rows: DataFrame, vec_col: str = "features") -> DataFrame:
     return parts.agg(F.sqrt(total / (n * (n - 1)) / 2).alias("sigma"))
 
 
-def mmd2_exact(rows: DataFrame, sigma: float, id_col: str = "id", vec_col: str = "features", flag: str = "is_ref") -> DataFrame:
-    """``mmd2`` with a fixed bandwidth, all pairs in Spark expressions: for samples
-    of a few thousand rows; ``mmd`` works in tiles beyond."""
-    a = rows.select(F.col(id_col).alias("ia"), F.col(vec_col).cast("array<double>").alias("va"), F.col(flag).alias("fa"))
-    b = rows.select(F.col(id_col).alias("ib"), F.col(vec_col).cast("array<double>").alias("vb"), F.col(flag).alias("fb"))
-    pairs = a.join(b, F.col("ia") < F.col("ib")).select("fa", "fb", F.exp(-squared_distance("va", "vb") / (2.0 * sigma * sigma)).alias("k"))
-    sums = pairs.agg(F.sum(F.when((F.col("fa") == 1) & (F.col("fb") == 1), F.col("k"))).alias("xx"), F.sum(F.when((F.col("fa") == 0) & (F.col("fb") == 0), F.col("k"))).alias("yy"), F.sum(F.when(F.col("fa") != F.col("fb"), F.col("k"))).alias("xy"))
-    counts = rows.agg(F.sum(flag).alias("n"), F.sum(1 - F.col(flag)).alias("m"))
-    n, m = F.col("n"), F.col("m")
-    value = 2 * F.col("xx") / (n * (n - 1)) + 2 * F.col("yy") / (m * (m - 1)) - 2 * F.col("xy") / (n * m)
-    return sums.crossJoin(counts).select(value.alias("mmd2"))  # one row each
-
-
 def mmd(ref: DataFrame, test: DataFrame, kernel: Callable | None = None, p_val: float = 0.05, permutations: int = 100, vec_col: str = "features", id_col: str = "id", seed: int = 0) -> dict:
     """Permutation test of the squared MMD: a report of the distance, its p-value
     (share of permutations that reach it) and the distance that would be drift."""
@@ -207,6 +253,10 @@ def permutation_test(x: np.ndarray, y: np.ndarray, metric: Callable, permutation
 # -- least-squares density difference ------------------------------------------
 
 
+#: Centres of the density difference, whose matrix is inverted in the driver.
+MAX_CENTRES = 2000
+
+
 def lsdd_select(h_all: np.ndarray, gram: np.ndarray, rd_max: float = 0.2) -> tuple[np.ndarray, float]:
     """(inverse, lambda): the first of 4**-i whose mean relative difference over the
     permutations' h falls below ``rd_max``. Raises ValueError if none has a value,
@@ -242,14 +292,17 @@ def lsdd(ref: DataFrame, test: DataFrame, p_val: float = 0.05, permutations: int
     """Permutation test of the least-squares density difference.
 
     Rows are standardised by the reference (``ddof`` 1: sample deviation). The
-    centres, a twentieth of the reference unless given, are drawn by hash; each
-    task turns its rows into kernel values at the centres and adds them up per
-    permutation, so only (permutations x centres) numbers leave it.
+    centres, a twentieth of the reference unless given and ``MAX_CENTRES`` at most
+    (more raise ValueError), are drawn by hash; each task turns its rows into kernel
+    values at the centres and adds them up per permutation, so only (permutations x
+    centres) numbers leave it.
     """
+    if centres and centres > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres")
     s = numbered(ref, test, vec_col)
     moments = ref.select(F.posexplode(F.col(vec_col).cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), (F.stddev_samp if ddof else F.stddev_pop)("x").alias("s")).orderBy("i").collect()
     mean, dev = np.array([r.m for r in moments]), np.array([r.s or 0.0 for r in moments]) + 1e-12
-    k = centres or max(s.n_ref // 20, 1)
+    k = centres or min(max(s.n_ref // 20, 1), MAX_CENTRES)
     drawn = ref.select(F.col(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v")).orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(k).collect()
     c = (np.array([r.v for r in drawn]) - mean) / dev
     if len(np.unique(c, axis=0)) < len(c):
@@ -261,11 +314,13 @@ def lsdd(ref: DataFrame, test: DataFrame, p_val: float = 0.05, permutations: int
     def add(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("n")
         kx = kernel((as_matrix(rows.column("v")) - mean) / dev, c)
-        marks = tile_labels(rows.column("tile")[0].as_py(), n_ref, m, permutations, seed)
+        tile = rows.column("tile")[0].as_py()
+        marks = tile_labels(tile, n_ref, m, shares[tile], seed)
         total = np.stack([(1 - marks).T @ kx, marks.T @ kx], 1)
         return pa.table({"p": pa.array(np.arange(permutations + 1), pa.int32()), "sums": pa.array([t.ravel().tolist() for t in total], pa.list_(pa.float64()))})
 
     n_ref, m = s.n_ref, s.n_test
+    shares = tile_shares(n_ref, m, permutations, seed)
     parts = s.rows.select("n", "v", "tile").groupBy("tile").applyInArrow(add, "p int, sums array<double>")
     sums = parts.select("p", F.posexplode("sums").alias("i", "x")).groupBy("p", "i").agg(F.sum("x").alias("x")).orderBy("p", "i").collect()
     total = np.array([r.x for r in sums]).reshape(permutations + 1, 2, len(c))

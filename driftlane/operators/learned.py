@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftlane.functions import stats
 from driftlane.functions.columns import deviation, entropy, margin, softmax
+from driftlane.functions.frames import kept, spread
 from driftlane.operators import kernels, univariate
 from driftlane.operators.projection import vector
 
@@ -41,7 +42,7 @@ def out_of_fold(ref: DataFrame, test: DataFrame, features: list[str] | str, key:
     else:
         share = F.pmod(F.xxhash64(F.lit(seed), "key", "is_ref"), F.lit(1 << 40)) < train_size * (1 << 40)
         both, held = both.withColumn("fold", F.when(share, 1).otherwise(0)), [0]
-    both = both.persist()
+    both = kept(both)
     est = classifier(model, seed) if isinstance(model, str) else model
     parts = []
     for f in held:
@@ -177,12 +178,12 @@ class Linear:
         return x @ self.w
 
 
-def spot_the_diff(x: np.ndarray, y: np.ndarray, n_diffs: int = 1, l1: float = 0.01, epochs: int = 100, rate: float = 0.05, seed: int = 0, held_x: np.ndarray | None = None, held_y: np.ndarray | None = None) -> dict:
+def spot_the_diff(x: np.ndarray, y: np.ndarray, n_diffs: int = 1, l1: float = 0.01, epochs: int = 100, rate: float = 0.05, seed: int = 0) -> tuple[dict, Callable[[np.ndarray], np.ndarray]]:
     """An interpretable classifier of reference ``x`` and test ``y``.
 
     Its logit is b + sum_j c_j k(z, mean(x) + diff_j); P(test) is the logistic of
-    twice that. Returns the diffs, their coefficients, and probabilities of the
-    held-out rows (all rows, if none are given)."""
+    twice that. Returns the diffs and their coefficients, and the function of rows
+    that gives P(test)."""
     rng = np.random.default_rng(seed)
     z = np.concatenate([x, y])
     target = np.concatenate([np.zeros(len(x)), np.ones(len(y))])
@@ -201,29 +202,33 @@ def spot_the_diff(x: np.ndarray, y: np.ndarray, n_diffs: int = 1, l1: float = 0.
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             new.append(p - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8))
         diffs, coeffs, bias = new
+
     def prob(w: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-2 * (bias + np.exp(-kernels.squared_distances(w, mean + diffs) / var) @ coeffs)))
 
-    return {"diffs": diffs, "diff_coeffs": coeffs, "prob_ref": prob(x if held_x is None else held_x), "prob_test": prob(y if held_y is None else held_y)}
+    return {"diffs": diffs, "diff_coeffs": coeffs}, prob
 
 
 def spot_the_diff_drift(ref: DataFrame, test: DataFrame, vec_col: str, id_col: str, p_val: float = 0.05, n_diffs: int = 1, train_size: float = 0.75, limit: int = 5000, seed: int = 0) -> dict:
-    """Fits on a share of both samples (``limit`` rows each at most), tests the
-    probabilities of held-out rows (as many at most)."""
+    """Fits on a share of both samples (``limit`` rows each at most, drawn by hash) and
+    tests the probabilities of all held-out rows."""
     share = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 40)) < train_size * (1 << 40)
     order = F.xxhash64(F.lit(seed + 1), id_col)
+    vec = F.col(vec_col).cast("array<double>").alias("v")
 
-    def rows(df: DataFrame, on: Column) -> np.ndarray:
-        got = df.where(on).select(F.col(vec_col).cast("array<double>").alias("v"), order.alias("o")).orderBy("o").limit(limit).collect()
+    def rows(df: DataFrame) -> np.ndarray:
+        got = df.where(share).select(vec, order.alias("o")).orderBy("o").limit(limit).collect()
         return np.array([r.v for r in got])
 
-    hx, hy = rows(ref, ~share), rows(test, ~share)
-    out = spot_the_diff(rows(ref, share), rows(test, share), n_diffs, seed=seed, held_x=hx, held_y=hy)
-    a, b = np.sort(out["prob_ref"]), np.sort(out["prob_test"])
-    at = np.concatenate([a, b])
-    gap = max(0.0, float((np.searchsorted(a, at, "right") / len(a) - np.searchsorted(b, at, "right") / len(b)).max()))
-    p = stats.ks_sf(gap, len(a), len(b), "greater", exact=max(len(a), len(b)) <= 10_000)
-    return {"is_drift": int(p < p_val), "distance": gap, "p_val": p, "threshold": p_val, "diffs": out["diffs"], "diff_coeffs": out["diff_coeffs"]}
+    found, prob = spot_the_diff(rows(ref), rows(test), n_diffs, seed=seed)
+
+    @F.pandas_udf("double")
+    def score(v: pd.Series) -> pd.Series:
+        return pd.Series(prob(np.stack(v.to_numpy()).astype(float)) if len(v) else np.zeros(0))
+
+    held = ref.where(~share).select(vec, F.lit(1).alias("is_ref")).unionByName(test.where(~share).select(vec, F.lit(0).alias("is_ref")))
+    out = soft_test(spread(held).select("is_ref", score("v").alias("prob"))).first()
+    return {"is_drift": int(out.p_val < p_val), "distance": out.distance, "p_val": out.p_val, "threshold": p_val} | found
 
 
 # -- drift given a context -----------------------------------------------------

@@ -45,7 +45,9 @@ def gmm(df: DataFrame, ref: DataFrame, features: list[str] | str, n_components:
 
 
 def _fit_gmm(ref: DataFrame, features: list[str] | str, n_components: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    fitted = GaussianMixture(k=n_components, seed=seed, featuresCol="__v").fit(spread(ref).select(array_to_vector(vector(features)).alias("__v")))
+    rows = spread(ref).select(array_to_vector(vector(features)).alias("__v")).persist()  # read again in each round
+    fitted = GaussianMixture(k=n_components, seed=seed, featuresCol="__v").fit(rows)
+    rows.unpersist()
     params = fitted.gaussiansDF.collect()
     return np.array(fitted.weights), np.array([r.mean.toArray() for r in params]), np.array([r.cov.toArray() for r in params])
 
@@ -155,20 +157,25 @@ def isolation_forest(df: DataFrame, ref: DataFrame, features: list[str] | str, n
     forest = [tuple(np.array(r[k]) for k in "fclr") for r in trees]
     scale = max(_harmonic(size), 1e-12)
 
+    # all trees in one table of nodes; a leaf's tests lead back to itself
+    offset = np.cumsum([0, *(len(t[0]) for t in forest)])
+    feature, cut, left, right = (np.concatenate(c) for c in zip(*forest)) if forest else (np.zeros(0),) * 4
+    inner, add = feature >= 0, np.repeat(offset[:-1], np.diff(offset))
+    own = np.arange(len(feature))
+    left, right = (np.where(inner, x + add, own).astype(np.int64) for x in (left, right))
+    feature = np.where(inner, feature, 0).astype(np.int64)
+
     @F.pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(float)
-        depth = np.zeros(len(x))
-        for f, c, left, right in forest:
-            at = np.zeros(len(x), np.int64)
-            while True:
-                on = f[at] >= 0
-                if not on.any():
-                    break
-                rows = np.flatnonzero(on)
-                goes = x[rows, f[at[rows]].astype(int)] <= c[at[rows]]
-                at[rows] = np.where(goes, left[at[rows]], right[at[rows]]).astype(np.int64)
-            depth += c[at]
-        return pd.Series(2 ** (-depth / max(len(forest), 1) / scale) - 0.5)
+        x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, 1))
+        out = np.zeros(len(x))
+        for a in range(0, len(x), 2048):
+            part = x[a : a + 2048]
+            at = np.tile(offset[:-1], (len(part), 1))
+            row = np.arange(len(part))[:, None]
+            while inner[at].any():
+                at = np.where(part[row, feature[at]] <= cut[at], left[at], right[at])
+            out[a : a + 2048] = cut[at].sum(1)
+        return pd.Series(2 ** (-out / max(len(forest), 1) / scale) - 0.5)
 
     return spread(df).withColumn("score", score(vector(features)))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+#: Rows of a block that are compared with the other block at a time.
+SLICE = 256
 
 
 def as_matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -22,11 +24,65 @@ def as_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+#: Pairs of rows whose exact difference is taken at a time.
+PAIRS = 1 << 18
+
+
+def _differences(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs of rows, from their differences."""
+    return np.concatenate([((x[i[a : a + PAIRS]] - y[j[a : a + PAIRS]]) ** 2).sum(1) for a in range(0, len(i), PAIRS)] or [np.zeros(0)])
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All squared distances of two sets of rows, 1e-30 at least.
+
+    They come from one product of the rows less their mean, so where the data lies
+    doesn't matter; those that are small against the rows' lengths, where digits
+    cancel, are taken from the differences.
+    """
+    if not len(x) or not len(y):
+        return np.zeros((len(x), len(y)))
+    centre = (x.mean(0) + y.mean(0)) / 2
+    a, b = x - centre, y - centre
+    scale = (a * a).sum(1)[:, None] + (b * b).sum(1)[None]
+    d = scale - 2 * a @ b.T
+    i, j = np.nonzero(d < 1e-6 * scale)
+    d[i, j] = _differences(x, y, i, j)
+    return np.maximum(d, 1e-30)
+
+
+def nearest(x: np.ndarray, y: np.ndarray, k: int, rank: np.ndarray, kernel=None, same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the ``k`` nearest rows of y, in order, ties to
+    the lesser ``rank``. ``same`` marks pairs to leave out.
+
+    All rows that may be among the nearest, as far as the product of the rows can
+    tell, are compared by their differences.
+    """
+    if kernel is None:
+        centre = (x.mean(0) + y.mean(0)) / 2
+        a, b = x - centre, y - centre
+        x2, y2 = (a * a).sum(1), (b * b).sum(1)
+        d = x2[:, None] + y2[None] - 2 * a @ b.T
+        slack = 8 * np.finfo(float).eps * (x.shape[1] + 8) * (x2 + y2.max())  # beyond what rounding can do
+    else:
+        d, slack = -kernel(x, y), np.zeros(len(x))
+    if same is not None:
+        d[same] = np.inf
+    take = min(k, len(y))
+    bar = np.partition(d, take - 1, axis=1)[:, take - 1] + slack
+    i, j = np.nonzero((d <= bar[:, None]) & (d < np.inf))
+    dist = np.sqrt(_differences(x, y, i, j)) if kernel is None else d[i, j]
+    order = np.lexsort((rank[j], dist, i))
+    i, j, dist = i[order], j[order], dist[order]
+    on = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[on], j[on], dist[on]
+
+
 def neighbours(queries: DataFrame, ref: DataFrame, k: int, id_col: str = "id", vec_col: str = "features", kernel=None, skip_self: bool = False, block: int = BLOCK) -> DataFrame:
     """``id_col, neighbour, distance, rank`` of the k nearest reference rows.
 
-    Distance is Euclidean, or minus ``kernel`` (a function of two matrices). Ties
-    go to the smaller id. ``skip_self`` leaves out the row of the same id, for a
+    Distance is Euclidean, exact wherever the data lies, or minus ``kernel`` (a
+    function of two matrices). Ties, also among many equal rows, go to the smaller id. ``skip_self`` leaves out the row of the same id, for a
     reference that is scored against itself.
     """
     kind = dict(ref.dtypes)[id_col]
@@ -42,20 +98,14 @@ def neighbours(queries: DataFrame, ref: DataFrame, k: int, id_col: str = "id", v
         out = [np.zeros(0, object), np.zeros(0, object), np.zeros(0)]
         if len(x) and len(y):
             ids, refs = a.column("id").to_numpy(), b.column("id").to_numpy()
-            if kernel is None:
-                d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
-            else:
-                d = -kernel(x, y)
-            if skip_self:
-                d[ids[:, None] == refs[None]] = np.inf
-            take = min(k + 8, len(y))  # a few more, so that rounding can't drop one of the k
-            near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < len(y) else np.tile(np.arange(len(y)), (len(x), 1))
-            exact = np.sqrt(((x[:, None] - y[near]) ** 2).sum(2)) if kernel is None else np.take_along_axis(d, near, 1)
-            exact[np.take_along_axis(d, near, 1) == np.inf] = np.inf
-            order = np.lexsort((refs[near], exact), axis=1)[:, :k]
-            dist = np.take_along_axis(exact, order, 1)
-            on = dist < np.inf
-            out = [np.repeat(ids, order.shape[1]).reshape(order.shape)[on], refs[np.take_along_axis(near, order, 1)][on], dist[on]]
+            rank = np.empty(len(refs), np.int64)
+            rank[np.argsort(refs, kind="stable")] = np.arange(len(refs))
+            got = []
+            for start in range(0, len(x), SLICE):
+                part = slice(start, start + SLICE)
+                i, j, dist = nearest(x[part], y, k, rank, kernel, ids[part, None] == refs[None] if skip_self else None)
+                got.append((ids[part][i], refs[j], dist))
+            out = [np.concatenate(c) for c in zip(*got)]
         return pa.table({"id": pa.array(out[0], a.schema.field("id").type), "neighbour": pa.array(out[1], a.schema.field("id").type), "distance": pa.array(out[2], pa.float64())})
 
     found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(search, f"id {kind}, neighbour {kind}, distance double")

@@ -59,11 +59,18 @@ def empirical_p_value(df: DataFrame, validation: DataFrame, score: str, extra: i
     return df.join(ranks, df[score].cast("double") == ranks["__s"], "left").drop("__s")
 
 
-def p_value_normaliser(validation: DataFrame, scores: str):
+#: Rows of a calibration set that travel with an expression at most.
+MAX_CALIBRATION = 1 << 20
+
+
+def p_value_normaliser(validation: DataFrame, scores: str, limit: int = MAX_CALIBRATION):
     """A function of a column of score arrays: per detector 1 - (1 + #{val > s}) /
-    (N + 1). The sorted validation scores, a bounded calibration set, travel with
-    the expression."""
-    rows = np.array([r[0] for r in validation.select(scores).collect()], float)
+    (N + 1). The sorted validation scores travel with the expression; more than
+    ``limit`` raise ValueError, and ``empirical_p_value`` ranks any number of them."""
+    rows = validation.select(scores).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} calibration scores")
+    rows = np.array([r[0] for r in rows], float)
     held = np.sort(rows, axis=0)
 
     @F.pandas_udf("array<double>")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlane.functions import columns as C
+from driftlane.functions import frames
 from driftlane.operators import adversarial, kernels, learned, mixture, neighbours, projection, recon, thresholds
 from driftlane.plans.drift import SOFT
 from driftlane.plans.registry import query, r6, row, table
@@ -128,7 +129,7 @@ def knn_ensemble(spark, d):
 
 @query(f"WITH {ENS} SELECT id, round(1 - (1 + (SELECT count(*) FROM s o WHERE o.s[1] > s.s[1] AND o.id % 4 = 1)) / (1.0 + (SELECT count(*) FROM s o WHERE o.id % 4 = 1)), 6) AS p1 FROM s")
 def pval_normaliser(spark, d):
-    s = ensemble(spark, d).persist()
+    s = frames.kept(ensemble(spark, d))
     norm = thresholds.p_value_normaliser(s.where("id % 4 = 1"), "scores")
     return s.select("id", r6(F.get(norm("scores"), F.lit(0))).alias("p1"))
 

@@ -20,6 +20,10 @@ from driftlane.functions import stats
 from driftlane.operators.kernels import GaussianRBF, lsdd_select, squared_distances
 
 
+#: Start windows that are drawn at most; one in ert fails.
+STARTS = 1000
+
+
 def conditional_thresholds(runs: np.ndarray, fpr: float, strict: bool = True) -> np.ndarray:
     """Per step, the 1 - fpr quantile over the runs that no earlier step has
     alarmed. ``runs`` is (run, step); steps of NaN have an infinite threshold."""
@@ -113,12 +117,13 @@ class CVMOnline:
 @dataclass(frozen=True)
 class FETOnline:
     """Bernoulli streams: 1 - p of a one-sided exact test per window size, smoothed
-    by a moving average."""
+    by a moving average. A feature's statistic is the largest over the sizes and has
+    thresholds of its own; a step gives those of the feature that is most above them."""
 
     sums: tuple[int, ...]  # ones of the reference, per feature
     n: int
     window_sizes: tuple[int, ...]
-    thresholds: np.ndarray
+    thresholds: np.ndarray  # (step, feature)
     alternative: str = "greater"
     lam: float = 0.99
 
@@ -130,18 +135,23 @@ class FETOnline:
             raise ValueError("the reference must hold both classes")
         fpr = 1 - (1 - 1 / ert) ** (1 / ref.shape[1])
         sizes, n = tuple(sorted(window_sizes)), len(ref)
-        free = FETOnline(sums[:1], n, sizes, np.array([np.inf]), alternative, lam)
 
-        def one(rng: np.random.Generator) -> list[float]:
-            p = sums[0] / n
-            own = FETOnline((int(np.clip(rng.binomial(n, p), 1, n - 1)),), n, sizes, free.thresholds, alternative, lam)
-            state, out = own.start(), []
-            for x in rng.uniform(size=2 * sizes[-1] - 1) < p:
-                state, stat, _, _ = own.step(state, np.array([int(x)]))
-                out.append(stat + 1e-9 * rng.uniform())  # breaks ties at random
-            return out
+        def alone(rate: float):
+            """A run of one feature whose ones come at a rate."""
 
-        return FETOnline(sums, n, sizes, conditional_thresholds(simulate(spark, runs, one, seed), fpr, strict=False), alternative, lam)
+            def one(rng: np.random.Generator) -> list[float]:
+                own = FETOnline((int(np.clip(rng.binomial(n, rate), 1, n - 1)),), n, sizes, np.full((1, 1), np.inf), alternative, lam)
+                state, out = own.start(), []
+                for x in rng.uniform(size=2 * sizes[-1] - 1) < rate:
+                    state, stat, _, _ = own.step(state, np.array([int(x)]))
+                    out.append(stat + 1e-9 * rng.uniform())  # breaks ties at random
+                return out
+
+            return one
+
+        # the statistic takes few values, which ones depends on the rate: thresholds of each feature's own
+        bars = {s: conditional_thresholds(simulate(spark, runs, alone(s / n), seed), fpr, strict=False) for s in set(sums)}
+        return FETOnline(sums, n, sizes, np.stack([bars[s] for s in sums], axis=1), alternative, lam)
 
     def _one_minus_p(self, ones: int, w: int, ref_ones: int) -> float:
         total, marked = self.n + w, ref_ones + ones
@@ -162,9 +172,13 @@ class FETOnline:
                     v = self._one_minus_p(int(ones[f]), w, s)
                     old = ema.get((w, f))
                     ema[w, f] = v if old is None else (1 - self.lam) * old + self.lam * v
-        stat = max(ema.values(), default=float("nan"))
-        bar = float(self.thresholds[min(t - 1, len(self.thresholds) - 1)])
-        return {"t": t, "xs": xs, "ema": ema}, float(stat), bar, int(bool(ema) and stat > bar)
+        after = {"t": t, "xs": xs, "ema": ema}
+        bars = self.thresholds[min(t - 1, len(self.thresholds) - 1)]
+        if not ema:
+            return after, float("nan"), float(bars[0]), 0
+        each = [max(v for (_, f), v in ema.items() if f == i) for i in range(len(self.sums))]
+        far = int(np.argmax(np.array(each) - bars))  # the feature that is most above its threshold
+        return after, float(each[far]), float(bars[far]), int(each[far] > bars[far])
 
 
 # -- kernels -------------------------------------------------------------------
@@ -204,12 +218,13 @@ class MMDOnline:
         runs_ = simulate(spark, runs, one, seed)
         bars = conditional_thresholds(runs_, 1 / ert)
         rng = np.random.default_rng(seed)
-        while True:  # a start window below the first threshold
+        for _ in range(STARTS):  # a start window below the first threshold
             order = rng.permutation(n)
             x, y = order[:m], order[m : m + w]
             xx = float(k[np.ix_(x, x)].sum() / (m * (m - 1)))
             if xx + k[np.ix_(y, y)].sum() / (w * (w - 1)) - 2 * k[np.ix_(x, y)].mean() <= bars[0]:
                 return MMDOnline(ref[x], sigma, w, xx, ref[y], bars)
+        raise RuntimeError(f"none of {STARTS} start windows lies below the first threshold")
 
     def start(self) -> dict:
         kernel = GaussianRBF((self.sigma,))
@@ -266,11 +281,12 @@ class LSDDOnline:
             return np.einsum("ti,ij,tj->t", h, inverse, h).tolist()
 
         bars = conditional_thresholds(simulate(spark, runs, one, seed), 1 / ert)
-        while True:
+        for _ in range(STARTS):
             o = rng.permutation(n)
             h = k[o[:m]].mean(0) - k[o[m : m + w]].mean(0)
             if h @ inverse @ h <= bars[0]:
                 return LSDDOnline(mean, dev, c, sigma, k[o[:m]].mean(0), inverse, w, k[o[m : m + w]], bars)
+        raise RuntimeError(f"none of {STARTS} start windows lies below the first threshold")
 
     def start(self) -> dict:
         return {"t": 0, "ks": list(self.first)}

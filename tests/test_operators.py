@@ -122,15 +122,34 @@ def test_mmd(spark, vec_pair):
     whole = kernels.tile_sums(kernels.numbered(ref, moved), kernel, 3, 1)
     tiled = kernels.tile_sums(kernels.numbered(ref, moved, size=40), kernel, 3, 1)
     assert tiled[0] == pytest.approx(whole[0]) and tiled.sum(1) + tiled[:, 2] == pytest.approx([whole[0].sum() + whole[0, 2]] * 4)
-    marks = [kernels.tile_labels(t, 150, 120, 5, 0, 40) for t in range(7)]
+    marks = [kernels.tile_labels(t, 150, 120, kernels.tile_shares(150, 120, 5, 0, 40)[t], 0, 40) for t in range(7)]
     assert np.concatenate(marks).sum(0).tolist() == [120] * 6 and np.concatenate(marks)[:150, 0].sum() == 0
     x, y = (np.array([r.features for r in d.orderBy("id").collect()]) for d in (ref, moved))
     kx, ky, kxy = kernel(x, x), kernel(y, y), kernel(x, y)
     n, m = len(x), len(y)
     want = (kx.sum() - n) / (n * (n - 1)) + (ky.sum() - m) / (m * (m - 1)) - 2 * kxy.mean()
     assert kernels.mmd2(whole, n, m)[0] == pytest.approx(want)
-    both = ref.withColumn("is_ref", F.lit(1)).unionByName(moved.withColumn("is_ref", F.lit(0)))
-    assert kernels.mmd2_exact(both, 1.5).first().mmd2 == pytest.approx(want)
+
+
+def test_median_bandwidth_of_all_pairs_in_tiles(vec_pair):
+    ref, _, moved = vec_pair
+    x = np.array([r.features for r in ref.unionByName(moved).collect()])
+    d = np.sort(((x[:, None] - x[None]) ** 2).sum(2)[np.triu_indices(len(x), 1)])
+    n = len(x)
+    want = np.sqrt(d[((n * n - n) // 2 - 1) // 2] / 2)
+    assert kernels.sigma_median(ref, moved).first().sigma == pytest.approx(want)
+    assert kernels.sigma_median(ref, moved, local=20, size=64).first().sigma == pytest.approx(want)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(kernels, "FEW", 3)
+        m.setattr(kernels, "BINS", 8)
+        assert kernels.sigma_median(ref, moved, local=20, size=64).first().sigma == pytest.approx(want)
+        same = ref.withColumn("features", F.array(F.lit(1.0), F.lit(2.0))).withColumn("id", F.col("id"))
+        assert kernels.sigma_median(same.union(ref.limit(1).withColumn("features", F.array(F.lit(4.0), F.lit(6.0)))), local=20, size=64).first().sigma == pytest.approx(np.sqrt(1e-30 / 2))
+
+
+def test_lsdd_centres_are_bounded(vec_pair):
+    with pytest.raises(ValueError, match="centres"):
+        kernels.lsdd(vec_pair[0], vec_pair[1], centres=kernels.MAX_CENTRES + 1)
 
 
 def test_lsdd(vec_pair):
@@ -232,6 +251,22 @@ def test_unfitted():
         D.KNN().score(None)
 
 
+def test_neighbours_far_from_the_origin_and_among_equal_rows(spark):
+    x = np.array([[1e8 + i * 1e-3] for i in range(200)])
+    ref = arrays(spark, x, 0)
+    got = sorted((r["rank"], r.neighbour, r.distance) for r in neighbours.neighbours(arrays(spark, x[50:51], 900), ref, 5).collect())
+    d = np.abs(x - x[50])[:, 0]
+    want = np.lexsort((np.arange(200), d))[:5]
+    assert [(j, v) for _, j, v in got] == [(int(j), float(d[j])) for j in want]
+    assert kernels.GaussianRBF((1e-3,))(x[:50], x[:50]) == pytest.approx(np.exp(-((x[:50] - x[:50].T) ** 2) / 2e-6))
+    same = arrays(spark, np.ones((3000, 4)), 0)
+    for block in (4096, 700):
+        rows = neighbours.neighbours(arrays(spark, np.zeros((3, 4)), 9000), same, 5, block=block).collect()
+        assert {(r.id, r["rank"], r.neighbour) for r in rows} == {(9000 + q, k + 1, k) for q in range(3) for k in range(5)}
+    own = neighbours.neighbours(same.where("id < 40"), same, 3, skip_self=True).where("id in (0, 7)").collect()
+    assert sorted((r.id, r.neighbour) for r in own) == [(0, 1), (0, 2), (0, 3), (7, 0), (7, 1), (7, 2)]
+
+
 def test_neighbours_by_brute_force(spark, blobs):
     ref, _, x = blobs
     y = RNG.normal(size=(40, 2))
@@ -329,6 +364,27 @@ def test_forecasts(spark):
 # -- data ----------------------------------------------------------------------
 
 
+def test_category_distances_by_brute_force(spark):
+    rows = [("abcd"[int(a)], "xyz"[int(b)] if a != 3 else "w", int(y)) for a, b, y in RNG.integers(0, 3, size=(200, 3))] + [("e", "only", 9), (None, "x", 1)]
+    df = spark.createDataFrame(rows, "c string, o string, y int")
+    rows = rows[:-1]
+    share = lambda col, v, c: sum(r[0] == c and r[col] == v for r in rows) / sum(r[0] == c for r in rows)
+    for got, cols, term in ((categorical.abdm(df, "c", ["o", "y"]), (1, 2), lambda p, q: (p - q) * np.log((p + 1e-12) / (q + 1e-12))), (categorical.mvdm(df, "c", "y", 2.0), (2,), lambda p, q: abs(p - q) ** 2)):
+        m = {(r.a, r.b): r.distance for r in got.collect()}
+        cats = {r[0] for r in rows}
+        assert set(m) == {(a, b) for a in cats for b in cats}
+        for a, b in m:
+            assert m[a, b] == pytest.approx(sum(term(share(c, v, a), share(c, v, b)) for c in cols for v in {r[c] for r in rows}), abs=1e-9)
+    with pytest.raises(ValueError, match="categories"):
+        categorical.abdm(df, "c", ["o"], limit=2)
+
+
+def test_calibration_set_is_bounded(spark):
+    v = spark.createDataFrame([([float(i)],) for i in range(20)], "s array<double>")
+    with pytest.raises(ValueError, match="calibration"):
+        thresholds.p_value_normaliser(v, "s", limit=19)
+
+
 def test_encodings(spark):
     df = spark.createDataFrame([(0, 0.35), (2, -1.0)], "c int, v double")
     r = df.select(categorical.ord2ohe("c", 3).alias("o"), categorical.ord2num("c", {0: 0.5, 2: 0.7}).alias("n"), categorical.num2ord("v", {0: 0.3, 1: 0.5, 2: -0.9}).alias("k")).collect()
@@ -358,6 +414,17 @@ def test_category_distances(spark):
     assert np.std(list(categorical.scale_numbers({"a": 1.0, "b": 2.0, "c": 5.0}, std=3.0).values())) == pytest.approx(3)
 
 
+def test_pick_takes_the_least_hashes(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), F.lit("x").alias("b"), F.lit(1).alias("o"))
+    order = [r.k for r in df.orderBy(inject.uniform(5, "k"), "k").collect()]
+    for n in (0, 1, 17, 2999, 3000, 5000):
+        out = inject.pick(df, n, "k", 5)
+        assert out.columns == ["k", "b", "o", "picked"]
+        assert {r.k for r in out.where("picked = 1").collect()} == set(order[:n])
+    two = inject.outlier_batch(df.withColumn("y", (F.col("k") % 10 == 0).cast("int")), "y", 3600, 25, "k", 1).groupBy("k", "y").count().collect()
+    assert sum(r["count"] for r in two if r.y) == 900 and sum(r["count"] for r in two if not r.y) == 2700 and {r["count"] for r in two if r.y} == {3}
+
+
 @pytest.mark.parametrize("percent", [0, 10, 20])
 def test_injection(spark, normal, percent):
     out = inject.inject_tabular(normal.withColumn("was", F.col("f0")), ["f0"], percent, 3, 1, "id", 1)

@@ -44,7 +44,7 @@ def test_binomial_tail_by_summation(n, p):
 @given(st.integers(1, 200), st.integers(1, 100), st.integers(5, 50), st.integers(0, 5))
 def test_permutations_mark_as_many_rows(n_ref, n_test, size, seed):
     tiles = math.ceil((n_ref + n_test) / size)
-    marks = np.concatenate([kernels.tile_labels(t, n_ref, n_test, 3, seed, size) for t in range(tiles)])
+    marks = np.concatenate([kernels.tile_labels(t, n_ref, n_test, kernels.tile_shares(n_ref, n_test, 3, seed, size)[t], seed, size) for t in range(tiles)])
     assert marks.shape == (n_ref + n_test, 4) and (marks.sum(0) == n_test).all()
 
 

@@ -81,3 +81,16 @@ def test_quantiles():
 def test_fdr_is_strict(q):
     assert S.fdr_threshold(np.full(1000, q - 1e-5), q) == pytest.approx(q)
     assert S.fdr_threshold(np.full(1000, q), q) is None
+
+
+def test_tails_of_large_tables():
+    """Terms follow the deviation, not the rows."""
+    n = 10**9
+    low, p = S.hypergeom_pmf(2 * n, n, n)
+    assert len(p) < 3_000_000 and p.sum() == pytest.approx(1)
+    assert low + float((np.arange(len(p)) * p).sum()) == pytest.approx(n / 2, rel=1e-9)
+    dev = math.sqrt(n / 8)  # of the count
+    assert S.fisher_exact(n // 2 + int(2 * dev), n // 2 - int(2 * dev), n // 2 - int(2 * dev), n // 2 + int(2 * dev))[1] == pytest.approx(0.02275, rel=1e-3)
+    assert S.fisher_exact(n, 0, 0, n)[1] == 0 and S.fisher_exact(0, n, n, 0, "two-sided")[1] == 0 and S.fisher_exact(0, n, n, 0)[1] == 1
+    assert S.binom_sf(n // 2 + int(math.sqrt(n)), n, 0.5) == pytest.approx(0.02275, rel=1e-3)
+    assert S.binom_sf(n, n, 0.5) == 0
