@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlane.functions.frames import uniform
+from driftlane.operators.timeseries import local_deviation
 
 
 def normal(seed: int, *keys: str | Column) -> Column:
@@ -56,11 +57,12 @@ def inject_tabular(df: DataFrame, features: list[str], percent: float, n_std: fl
     return out
 
 
-def inject_ts(df: DataFrame, value: str, order: str, percent: float, n_std: float, min_std: float, window: int = 10, series: str | None = None, seed: int = 0) -> DataFrame:
-    """As above, by the deviation of the ``window`` values on either side."""
+def inject_ts(df: DataFrame, value: str, order: str, percent: float, n_std: float, min_std: float, series: str, window: int = 10, seed: int = 0) -> DataFrame:
+    """As above, by the deviation of the ``window`` values on either side in a series.
+    A series is sorted in one task, so a table should have many."""
     n = df.count()
-    w = (Window.partitionBy(series) if series else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(-window, window - 1)
-    out = pick(df.withColumn("__dev", F.stddev_pop(value).over(w)), int(n * percent / 100), order, seed, "is_outlier")
+    dev = local_deviation(value, order, window, window - 1, series)
+    out = pick(df.withColumn("__dev", dev), int(n * percent / 100), order, seed, "is_outlier")
     moved = _push(F.col(value), F.col("__dev"), normal(seed + 1, order), n_std, min_std)
     return out.withColumn(value, F.when(F.col("is_outlier") == 1, moved).otherwise(F.col(value))).drop("__dev")
 

@@ -77,6 +77,12 @@ def hard_test(probs: DataFrame) -> DataFrame:
     return c.select(acc.alias("accuracy"), F.greatest(F.lit(0.0), 1 - F.try_divide(1 - acc, 1 - base)).alias("distance"), p_value("correct", "n", base).alias("p_val"))
 
 
+def accuracy(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """One row, ``accuracy``: the share of rows whose prediction is their label."""
+    right = (F.col(label).cast("double") == F.col(predicted).cast("double")).cast("int")
+    return df.where(F.col(label).isNotNull() & F.col(predicted).isNotNull()).agg(F.avg(right).alias("accuracy"))
+
+
 def classifier_drift(ref: DataFrame, test: DataFrame, features: list[str] | str, key: str, model: str | Estimator = "lr", p_val: float = 0.05, binarise: bool = False, n_folds: int | None = 5, seed: int = 0) -> DataFrame:
     """One row: ``distance, p_val, threshold, is_drift``."""
     probs = out_of_fold(ref, test, features, key, model, n_folds, seed=seed)

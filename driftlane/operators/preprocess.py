@@ -93,6 +93,17 @@ def scale_minmax(df: DataFrame, features: list[str], low: float = 0.0, high: flo
     return df.withColumns({c: low + (high - low) * F.coalesce(F.try_divide(F.col(c) - m[f"lo_{c}"], F.lit(m[f"hi_{c}"] - m[f"lo_{c}"])), F.lit(0.0)) for c in features})
 
 
+def standardise(df: DataFrame, features: list[str], eps: float = 1e-12) -> DataFrame:
+    """Features less their mean over their sample deviation, by one aggregate."""
+    m = df.agg(*[f(c).alias(f"{n}_{c}") for c in features for f, n in ((F.avg, "m"), (F.stddev_samp, "s"))]).first()
+    return df.withColumns({c: (F.col(c) - m[f"m_{c}"]) / F.lit((m[f"s_{c}"] or 0.0) + eps) for c in features})
+
+
+def without(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Rows of a sample whose key another sample hasn't."""
+    return df.join(other.select(key).distinct(), key, "left_anti")
+
+
 def split_by_label(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """(normal, outlier) rows of a 0/1 label."""
     return df.where(F.col(label) == 0), df.where(F.col(label) == 1)

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,18 @@ def spectral_residual(df: DataFrame, value: str, order: str, series: str | None
     return held.groupBy("series").applyInPandas(run, "series string, t double, x double, score double")
 
 
+def last_sums(df: DataFrame, value: str, order: str, length: int, series: str, out: str = "total") -> DataFrame:
+    """Adds the sum of the last ``length`` values of each series, fewer at its start."""
+    w = Window.partitionBy(series).orderBy(order).rowsBetween(1 - length, 0)
+    return df.withColumn(out, F.sum(value).over(w))
+
+
+def local_deviation(value: str, order: str, before: int, after: int, series: str) -> Column:
+    """Population deviation of the values from ``before`` places earlier to ``after``
+    later in a series."""
+    return F.stddev_pop(value).over(Window.partitionBy(series).orderBy(order).rowsBetween(-before, after))
+
+
 def windows(df: DataFrame, value: str, order: str, length: int, series: str) -> DataFrame:
     """``series, window, values, targets``: windows of ``length`` values without
     overlap and the values one step on. A rest at the end makes no window."""

@@ -87,6 +87,23 @@ def ks_statistic(df: DataFrame, features: Iterable[str], alternative: str = "two
     return out.agg(F.when((F.max("n_ref") > 0) & (F.max("n_test") > 0), least).alias("distance"), F.max("n_ref").alias("n_ref"), F.max("n_test").alias("n_test"))
 
 
+def ecdf(df: DataFrame, value: str, series: str) -> DataFrame:
+    """``series, value, n, ecdf``: the share of a series' values at or below each of its
+    distinct values, from counts in ranges: no task holds a series."""
+    long = df.where(F.col(value).isNotNull()).select(F.col(series).cast("string").alias("feature"), F.col(value).cast("double").alias("value"))
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("ref"), F.lit(0).cast("long").alias("test"))
+    r = running(counts)
+    return r.select(F.col("feature").cast(dict(df.dtypes)[series]).alias("series"), "value", F.col("ref").alias("n"), (F.col("ref_upto") / F.col("n_ref")).alias("ecdf"))
+
+
+def category_union(*samples: DataFrame) -> DataFrame:
+    """``category``: the distinct values of one-column samples, of any of them."""
+    out = samples[0].toDF("category")
+    for s in samples[1:]:
+        out = out.unionAll(s.toDF("category"))
+    return out.distinct()
+
+
 def cvm_statistic(df: DataFrame, features: Iterable[str], flag: str = "is_ref", names: str | None = None) -> DataFrame:
     """``feature, distance, n_ref, n_test`` of T, with mid-ranks for ties."""
     r = running(value_counts(long_form(df, features, flag, names=names)))

@@ -46,6 +46,16 @@ def sigma_mean(spark, d):
     return kernels.sigma_mean(vecs(spark, d)).select(r6("sigma").alias("sigma"))
 
 
+@query(f"""WITH {PAIRS}, r AS (SELECT d2, row_number() OVER (ORDER BY d2) - 1 AS i, count(*) OVER () AS n FROM p), g AS (SELECT d2 AS s FROM r WHERE i = (n - 1) // 2),
+s AS (SELECT sum(CASE WHEN fa = 1 AND fb = 1 THEN exp(-d2 / s) END) AS xx, sum(CASE WHEN fa = 0 AND fb = 0 THEN exp(-d2 / s) END) AS yy, sum(CASE WHEN fa <> fb THEN exp(-d2 / s) END) AS xy FROM p, g),
+c AS (SELECT CAST(sum(is_ref) AS DOUBLE) AS n, CAST(sum(1 - is_ref) AS DOUBLE) AS m FROM v)
+SELECT round(2 * xx / (n * (n - 1)) + 2 * yy / (m * (m - 1)) - 2 * xy / (n * m), 9) AS distance FROM s, c""")
+def mmd_distance(spark, d):
+    """The distance of the test with its own bandwidth, the median of all pairs."""
+    value = kernels.mmd(*halves(spark, d), permutations=1)["distance"]
+    return spark.createDataFrame([(round(value, 9) + 0.0,)], "distance double")
+
+
 @query()
 def mmd_report(spark, d):
     return row(spark, kernels.mmd(*halves(spark, d), permutations=100))
@@ -65,10 +75,10 @@ def lsdd_h_vector(spark, d):
 
 @query()
 def context_mmd_report(spark, d):
-    """Given a context of two components, per label of the vectors."""
+    """The last 60 components given a context of the first four, by a segment of the labels."""
     e = table(spark, d, "embeddings")
     x = F.col("embedding").cast("array<double>")
-    pair = e.select((F.col("label") % 2).alias("segment"), F.slice(x, 1, 8).alias("x"), F.slice(x, 9, 2).alias("c"), (F.col("vec_id") % 2 == 0).cast("int").alias("is_ref"))
+    pair = e.select((F.col("label") % 2).alias("segment"), F.slice(x, 5, 60).alias("x"), F.slice(x, 1, 4).alias("c"), (F.col("vec_id") % 2 == 0).cast("int").alias("is_ref"))
     return learned.context_mmd_drift(pair, "x", "c", "segment", permutations=20)
 
 
@@ -185,7 +195,7 @@ def _scored(df: DataFrame) -> DataFrame:
 @query()
 def kernel_pca_score(spark, d):
     ref, test = halves(spark, d)
-    return _scored(projection.kernel_pca(test, ref, "features", 5, kernels.GaussianRBF((1.0,)), limit=500))
+    return _scored(projection.kernel_pca(test, ref, "features", 5, kernels.GaussianRBF((1.0,))))
 
 
 @query()

@@ -7,7 +7,8 @@ is bounded by the windows: what lies before them is dropped.
 
 from __future__ import annotations
 
-import pickle
+import base64
+import json
 from dataclasses import dataclass
 
 
@@ -93,7 +94,8 @@ class CVMOnline:
 
         def one(rng: np.random.Generator) -> list[float]:
             base, x = np.sort(rng.normal(size=n)), rng.normal(size=2 * sizes[-1] - 1)
-            return [max([cvm_standardised(base, x[t + 1 - w : t + 1]) for w in sizes if t + 1 >= w], default=np.nan) for t in range(len(x))]
+            own = CVMOnline(base[:, None], sizes, np.array([np.inf]))
+            return own.run(own.start(), x[:, None])[1].tolist()
 
         return CVMOnline(ref, sizes, conditional_thresholds(simulate(spark, runs, one, seed), fpr, strict=False))
 
@@ -110,6 +112,35 @@ class CVMOnline:
         bar = float(self.thresholds[min(t - 1, len(self.thresholds) - 1)])
         return {"t": t, "xs": xs}, stat, bar, int(bool(each) and stat > bar)
 
+    def run(self, state: dict, x: np.ndarray, chunk: int = 1024) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+        """Many steps at once: counts of the window at or below each reference value
+        are differences of running counts."""
+        rows, n, longest = len(x), len(self.ref), self.window_sizes[-1]
+        every = np.concatenate([np.stack(state["xs"]) if state["xs"] else np.zeros((0, x.shape[1])), x])
+        past, stat = len(every) - rows, np.full(rows, -np.inf)
+        for a in range(0, rows, chunk):
+            b = min(a + chunk, rows)
+            part = every[max(0, past + a + 1 - longest) : past + b]
+            for f in range(x.shape[1]):
+                ref, v = self.ref[:, f], part[:, f]
+                upto = np.cumsum(np.searchsorted(ref, v, "left")[:, None] <= np.arange(n)[None], axis=0, dtype=np.int32)
+                upto, rank = np.concatenate([np.zeros((1, n), np.int32), upto]), np.searchsorted(ref, v, "right")
+                for w in self.window_sizes:
+                    ends = np.arange(len(part) - (b - a), len(part))  # of the steps' windows
+                    ends = ends[ends + 1 >= w]
+                    if not len(ends):
+                        continue
+                    at_ref = np.arange(1, n + 1) / n - (upto[ends + 1] - upto[ends + 1 - w]) / w
+                    win = np.sort(np.lib.stride_tricks.sliding_window_view(rank, w)[ends + 1 - w], axis=1)
+                    at_win = win / n - np.arange(1, w + 1) / w
+                    t = n * w / (n + w) ** 2 * ((at_ref**2).sum(1) + (at_win**2).sum(1))
+                    mean, var = _cvm_moments(n, w)
+                    at = a + ends - (len(part) - (b - a))
+                    stat[at] = np.maximum(stat[at], (t - mean) / np.sqrt(var))
+        times = state["t"] + 1 + np.arange(rows)
+        bars, stat = self.thresholds[np.minimum(times - 1, len(self.thresholds) - 1)], np.where(stat == -np.inf, np.nan, stat)
+        return {"t": state["t"] + rows, "xs": list(every[-longest:])}, stat, bars, (stat > bars).astype(int)
+
 
 # -- Fisher's exact test -------------------------------------------------------
 
@@ -141,11 +172,8 @@ class FETOnline:
 
             def one(rng: np.random.Generator) -> list[float]:
                 own = FETOnline((int(np.clip(rng.binomial(n, rate), 1, n - 1)),), n, sizes, np.full((1, 1), np.inf), alternative, lam)
-                state, out = own.start(), []
-                for x in rng.uniform(size=2 * sizes[-1] - 1) < rate:
-                    state, stat, _, _ = own.step(state, np.array([int(x)]))
-                    out.append(stat + 1e-9 * rng.uniform())  # breaks ties at random
-                return out
+                bits = (rng.uniform(size=2 * sizes[-1] - 1) < rate).astype(int)
+                return (own.run(own.start(), bits[:, None])[1] + 1e-9 * rng.uniform(size=len(bits))).tolist()  # breaks ties at random
 
             return one
 
@@ -180,6 +208,31 @@ class FETOnline:
         far = int(np.argmax(np.array(each) - bars))  # the feature that is most above its threshold
         return after, float(each[far]), float(bars[far]), int(each[far] > bars[far])
 
+    def run(self, state: dict, x: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+        """Many steps at once: a window's p-value depends on its number of ones alone."""
+        rows, longest, x = len(x), self.window_sizes[-1], x.astype(int)
+        every = np.concatenate([np.stack(state["xs"]) if state["xs"] else np.zeros((0, x.shape[1]), int), x])
+        past, ema = len(every) - rows, dict(state["ema"])
+        upto = np.concatenate([np.zeros((1, x.shape[1]), int), np.cumsum(every, axis=0)])
+        best = np.full(x.shape, -np.inf)
+        for w in self.window_sizes:
+            first = max(0, w - 1 - state["t"])  # the first step with a whole window
+            ends = past + np.arange(first, rows) + 1
+            for f, s in enumerate(self.sums):
+                table = [self._one_minus_p(k, w, s) for k in range(w + 1)] if len(ends) else []
+                old = ema.get((w, f))
+                for at, ones in zip(range(first, rows), (upto[ends, f] - upto[ends - w, f]).tolist()):
+                    old = table[ones] if old is None else (1 - self.lam) * old + self.lam * table[ones]
+                    best[at, f] = max(best[at, f], old)
+                if old is not None:
+                    ema[w, f] = old
+        bars = self.thresholds[np.minimum(state["t"] + np.arange(rows), len(self.thresholds) - 1)]
+        far = np.argmax(best - bars, axis=1)[:, None] if rows else np.zeros((0, 1), int)
+        stat, bar = np.take_along_axis(best, far, 1)[:, 0], np.take_along_axis(bars, far, 1)[:, 0]
+        none = stat == -np.inf
+        stat, bar = np.where(none, np.nan, stat), np.where(none, bars[:, 0], bar)
+        return {"t": state["t"] + rows, "xs": list(every[-longest:]), "ema": ema}, stat, bar, (stat > bar).astype(int)
+
 
 # -- kernels -------------------------------------------------------------------
 
@@ -344,6 +397,12 @@ class MahalanobisOnline:
 
 
 def _run(detector, state: dict, pdf: pd.DataFrame, values: list[str]) -> tuple[dict, pd.DataFrame]:
+    if hasattr(detector, "run"):
+        one = len(values) == 1 and len(pdf) and np.ndim(pdf[values[0]].iloc[0])
+        x = np.stack(pdf[values[0]].to_numpy()) if one else pdf[values].to_numpy()
+        first = state["t"]
+        state, stat, bar, drift = detector.run(state, x.astype(float).reshape(len(pdf), -1 if len(pdf) else len(values)))
+        return state, pd.DataFrame({"seq": pdf["seq"].to_numpy(), "time": first + 1 + np.arange(len(pdf)), "test_stat": stat, "threshold": bar, "is_drift": drift})
     rows = []
     for seq, *x in pdf[["seq", *values]].itertuples(index=False):
         state, stat, bar, drift = detector.step(state, np.asarray(x[0] if len(x) == 1 and np.ndim(x[0]) else x, float))
@@ -351,6 +410,34 @@ def _run(detector, state: dict, pdf: pd.DataFrame, values: list[str]) -> tuple[d
     return state, pd.DataFrame(rows, columns=["seq", "time", "test_stat", "threshold", "is_drift"])
 
 
+def _plain(x):
+    """A state's values as JSON can hold them; floats keep all their bits."""
+    if isinstance(x, np.ndarray):
+        return {"array": base64.b64encode(np.ascontiguousarray(x).tobytes()).decode(), "type": x.dtype.str, "shape": list(x.shape)}
+    if isinstance(x, np.generic):
+        return x.item()
+    if isinstance(x, dict):
+        return {"pairs": [[list(k) if isinstance(k, tuple) else k, _plain(v)] for k, v in x.items()]}
+    return [_plain(y) for y in x] if isinstance(x, (list, tuple)) else x
+
+
+def _whole(x):
+    if isinstance(x, dict) and "array" in x:
+        return np.frombuffer(base64.b64decode(x["array"]), x["type"]).reshape(x["shape"]).copy()
+    if isinstance(x, dict):
+        return {tuple(k) if isinstance(k, list) else k: _whole(v) for k, v in x["pairs"]}
+    return [_whole(y) for y in x] if isinstance(x, list) else x
+
+
+def dump_state(state: dict) -> bytes:
+    """A state as JSON text: it can be read anywhere and runs no code."""
+    return json.dumps(_plain(state)).encode()
+
+
+def load_state(raw: bytes) -> dict:
+    return _whole(json.loads(bytes(raw)))
+
+
 RESULT = "key string, seq long, time long, test_stat double, threshold double, is_drift int"
 
 
@@ -379,12 +466,12 @@ def stream(df: DataFrame, detector, values: list[str], order: str = "seq", key:
 
     def run(k: tuple, batches, store):
         pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        state = pickle.loads(store.get[0]) if store.exists else detector.start()
+        state = load_state(store.get[0]) if store.exists else detector.start()
         resets = pdf["seq"] < 0
         if resets.any():
             state = detector.start()
         state, out = _run(detector, state, pdf[~resets], names)
-        store.update((pickle.dumps(state),))
+        store.update((dump_state(state),))
         yield out.assign(key=k[0])[["key", "seq", "time", "test_stat", "threshold", "is_drift"]]
 
     return held.groupBy("key").applyInPandasWithState(run, RESULT, "state binary", "append", "NoTimeout")
@@ -392,11 +479,11 @@ def stream(df: DataFrame, detector, values: list[str], order: str = "seq", key:
 
 def state_bytes(detector, pdf: pd.DataFrame, values: list[str]) -> bytes:
     """State after rows, to be kept or handed to ``resume``."""
-    return pickle.dumps(_run(detector, detector.start(), pdf, values)[0])
+    return dump_state(_run(detector, detector.start(), pdf, values)[0])
 
 
 def resume(detector, state: bytes, pdf: pd.DataFrame, values: list[str]) -> pd.DataFrame:
-    """Goes on from a kept state. States are this program's own; don't load others'."""
-    return _run(detector, pickle.loads(state), pdf, values)[1]
+    """Goes on from a kept state."""
+    return _run(detector, load_state(state), pdf, values)[1]
 
 
