@@ -36,6 +36,8 @@ RANGE_BYTES = 16 << 20
 PRIOR = 8.0
 #: Histories that occur more often have their continuations dealt out to all ranges.
 FREQUENT = 1 << 16
+#: Bytes of a block's numbers in one row, which keeps rows small.
+PIECE = 1 << 18
 #: Tokens that follow each other in one lane of the traversal.
 RUN = 256
 END = b""  # no word is empty
@@ -341,10 +343,10 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / range_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
-    held = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("texts", T.ArrayType(T.BinaryType())), T.StructField("part", T.IntegerType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
+    held = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("item", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
 
     def cut(batches):
-        """A record of each block, and one for each range of its words."""
+        """Each block's numbers in pieces of PIECE bytes, and a record for each range of its words."""
         task, made, pieces, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             lengths = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
@@ -369,10 +371,12 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         asked = [(k, at) for k, at in enumerate(block.by_part(parts)) if len(at)]
         zip_words = zstandard.ZstdCompressor(level=3).compress
         records = [[zip_words(b"\n".join([words[i] for i in at.tolist()])), _pack(seen[at]), _pack(others[at])] for _, at in asked]
-        n = 1 + len(asked)
+        pieces = [(item, a // PIECE, raw[a : a + PIECE]) for item, raw in enumerate(texts) for a in range(0, len(raw), PIECE)]
+        n, m = len(pieces), len(asked)
         ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        ids = pa.concat_arrays([ids, pa.nulls(n - 1, ids.type)])
-        cols = [pa.array([number] * n, pa.int64()), ids, pa.array([texts, *[None] * (n - 1)], pa.list_(pa.binary())), pa.array([None, *(k for k, _ in asked)], pa.int32()), pa.array([None, *records], pa.list_(pa.binary()))]
+        ids = pa.concat_arrays([ids, pa.nulls(n + m - 1, ids.type)])  # with the first piece
+        own = [pa.array([*column, *[None] * m], t) for column, t in zip(zip(*pieces), (pa.int32(), pa.int32(), pa.binary()))]
+        cols = [pa.array([number] * (n + m), pa.int64()), ids, *own, pa.array([*[None] * n, *(k for k, _ in asked)], pa.int32()), pa.array([*[None] * n, *records], pa.list_(pa.binary()))]
         return pa.RecordBatch.from_arrays(cols, held.names)
 
     answer = "kind int, part int, block long, packed array<binary>, seen long, held long"
@@ -396,7 +400,10 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         return answers_of([(1, part, block, [_pack(x[i]) for x in (rank, seen, flags)], distinct, sums) for block, i in zip(blocks, np.split(at, ends))])
 
     def opened(texts: pa.Table) -> Block:
-        sizes, token, part, train = (_unpack(b) for b in texts.column("texts")[0].as_py())
+        items: list[list[bytes]] = [[], [], [], []]
+        for r in sorted(texts.select(["item", "piece", "data"]).to_pylist(), key=lambda r: (r["item"], r["piece"])):
+            items[r["item"]].append(r["data"])
+        sizes, token, part, train = (_unpack(b"".join(x)) for x in items)
         return Block(sizes, token.astype(np.int32), part, train.astype(bool))
 
     def words_of(block: Block, got: pa.Table):
@@ -422,19 +429,19 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         return answers_of([(2, part, block, packed, None, None) for block, packed in zip(table.column("block").to_pylist(), totals)])
 
     blocks = common.stage(common.spread(wanted).mapInArrow(cut, held), "blocks")
-    texts = blocks.where("part is null").select("block", "ids", "texts")
+    texts = blocks.where("part is null").select("block", "ids", "item", "piece", "data")
     words = common.stage(blocks.where("part is not null").select("part", "block", "words").groupBy("part").applyInArrow(number_words, answer), "words")
     # a range's sums stand in each of its rows: one number per range
     sums = words.groupBy("part").agg(F.first("seen").alias("seen"), F.first("held").alias("held")).agg(F.sum("seen"), F.sum("held")).first()
     distinct, n_train = sums[0] or 0, sums[1] or 0
     floor = n_train + 0.5 * (distinct + 1)
-    asked = texts.select("block", "texts").groupBy("block").cogroup(words.select("kind", "part", "block", "packed").groupBy("block")).applyInArrow(ask, "part int, block long, trie array<binary>")
+    asked = texts.drop("ids").groupBy("block").cogroup(words.select("kind", "part", "block", "packed").groupBy("block")).applyInArrow(ask, "part int, block long, trie array<binary>")
     grams = common.stage(asked.groupBy("part").applyInArrow(add, answer), "ngrams")
 
     schema = T.StructType([common.field(docs, id_col), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_failures", T.LongType())])
 
     def traverse(texts: pa.Table, got: pa.Table) -> pa.Table:
-        block, ids = opened(texts), texts.column("ids").combine_chunks().flatten()
+        block, ids = opened(texts), pa.concat_arrays(texts.column("ids").chunks).flatten()
         numbers, words, lone, often = words_of(block, got)
         levels = block.levels(order)
         counts = [block.counts(x.at, len(x.last)) for x in levels]
