@@ -19,8 +19,8 @@ WIDTH = 2  # components in a subspace
 THRESHOLD = 0.2
 ROUNDS = 5
 #: Rows of a block, at least and at most, into how many blocks a table of a size between is cut, and queries of a block.
-BLOCK = (2048, 1 << 16)
-BLOCKS = 64
+BLOCK = (512, 1 << 16)
+BLOCKS = 12
 QUERY_BLOCK = 1 << 14
 #: Queries whose codes are scanned at a time.
 SLICE = 64
