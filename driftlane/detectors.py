@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.operators import adversarial, kernels, learned, mixture, neighbours, projection, recon, thresholds, timeseries, univariate
+from driftlane.operators import adversarial, kernels, learned, mixture, neighbours, networks, projection, recon, thresholds, timeseries, univariate
 from driftlane.streaming import online
 
 
@@ -375,10 +375,11 @@ class OutlierAE(OutlierDetector):
 @dataclass(frozen=True)
 class OutlierVAE(OutlierAE):
     samples: int = 10
-    noise: float = 0.1
+    sigma: float = 0.5
+    beta: float = 1.0
 
     def _score(self, df):
-        return recon.outlier_ae(df, self.ref, self.features, self.hidden, self.latent, self.percent, self.id_col, self.samples, self.noise, self.epochs, self.seed)
+        return recon.outlier_vae(df, self.ref, self.features, self.hidden, self.latent, self.percent, self.id_col, self.samples, self.sigma, self.beta, self.epochs, self.seed)
 
 
 @dataclass(frozen=True)
@@ -387,17 +388,19 @@ class OutlierAEGMM(OutlierDetector):
     hidden: int = 16
     latent: int = 2
     samples: int = 1
-    noise: float = 0.0
+    sigma: float | None = None
+    w_energy: float = 0.1
+    w_cov: float = 0.005
     epochs: int = 60
 
     def _score(self, df):
-        return recon.outlier_aegmm(df, self.ref, self.features, self.n_gmm, self.hidden, self.latent, self.id_col, self.samples, self.noise, self.epochs, self.seed)
+        return recon.outlier_aegmm(df, self.ref, self.features, self.n_gmm, self.hidden, self.latent, self.id_col, self.samples, self.sigma, w_energy=self.w_energy, w_cov=self.w_cov, epochs=self.epochs, seed=self.seed)
 
 
 @dataclass(frozen=True)
 class OutlierVAEGMM(OutlierAEGMM):
     samples: int = 10
-    noise: float = 0.1
+    sigma: float | None = 0.5
 
 
 @dataclass(frozen=True)
@@ -423,17 +426,25 @@ class SpectralResidual:
 
 @dataclass(frozen=True)
 class OutlierSeq2Seq:
-    """Next-step errors of each series less a threshold; an outlier is above 0."""
+    """Squared errors of a recurrent network's next values less its own estimates of
+    them and a threshold; an outlier is above 0. ``ref`` has the series to learn from."""
 
-    lags: int = 10
+    ref: DataFrame | None = None
+    length: int = 20
+    hidden: int = 16
+    epochs: int = 40
     threshold: float = 0.0
+    seed: int = 0
+
+    def fit(self, ref: DataFrame) -> OutlierSeq2Seq:
+        return replace(self, ref=ref)
 
     def score(self, df: DataFrame, value: str, order: str, series: str) -> DataFrame:
-        out = timeseries.forecast_errors(df, value, order, series, self.lags)
-        return out.withColumn("score", recon.sequence_score("error", F.lit(0.0), self.threshold))
+        out = timeseries.sequence_errors(df, value, order, series, self.length, self.hidden, self.ref, self.epochs, seed=self.seed)
+        return out.withColumn("score", recon.sequence_score("error", "estimate", self.threshold))
 
     def infer_threshold(self, df: DataFrame, value: str, order: str, series: str, percent: float = 95.0) -> OutlierSeq2Seq:
-        got = thresholds.percentile_threshold(self.score(df, value, order, series).where("score is not null"), "score", percent).first()
+        got = thresholds.percentile_threshold(self.score(df, value, order, series), "score", percent).first()
         return replace(self, threshold=self.threshold + got.threshold)
 
     def predict(self, df: DataFrame, value: str, order: str, series: str) -> DataFrame:
@@ -478,14 +489,30 @@ class LLR:
 @dataclass(frozen=True)
 class AdversarialAE:
     """Compares a model's class probabilities on a row (``probs``) and on its
-    reconstruction (``recon_probs``)."""
+    reconstruction (``recon_probs``).
+
+    With ``model`` (a network of logits) and ``ref`` the reconstruction comes from an
+    autoencoder that is trained for it; without, both columns are given."""
 
+    ref: DataFrame | None = None
+    model: networks.Network | None = None
+    features: list[str] | str = "features"
     probs: str = "probs"
     recon_probs: str = "recon_probs"
     temperature: float = 1.0
+    hidden: int = 16
+    latent: int = 4
+    epochs: int = 60
     threshold: float | None = None
+    id_col: str = "id"
+    seed: int = 0
+
+    def fit(self, ref: DataFrame, model: networks.Network):
+        return replace(self, ref=ref, model=model)
 
     def score(self, df: DataFrame) -> DataFrame:
+        if self.model is not None:
+            return adversarial.adversarial_ae(df, self.ref, self.features, self.model, self.hidden, self.latent, self.temperature, id_col=self.id_col, epochs=self.epochs, seed=self.seed)
         return df.withColumn("score", adversarial.adversarial_score(self.probs, self.recon_probs, self.temperature))
 
     def infer_threshold(self, df: DataFrame, percent: float = 99.0, margin: float = 0.0):
@@ -506,11 +533,14 @@ class AdversarialAE:
 
 @dataclass(frozen=True)
 class ModelDistillation(AdversarialAE):
-    """Compares a model (``probs``) and its distilled one (``recon_probs``)."""
+    """Compares a model (``probs``) and a distilled one (``recon_probs``), which is
+    trained if ``model`` and ``ref`` are given."""
 
     loss_type: str = "kld"
 
     def score(self, df: DataFrame) -> DataFrame:
+        if self.model is not None:
+            return adversarial.model_distillation(df, self.ref, self.features, self.model, self.hidden, self.temperature, self.loss_type, self.id_col, self.epochs, self.seed)
         return df.withColumn("score", adversarial.distillation_score(self.probs, self.recon_probs, self.loss_type, self.temperature))
 
 
@@ -519,7 +549,7 @@ MahalanobisOnline = online.MahalanobisOnline
 
 #: What a spec may name, with the parameters it may set.
 KNOWN: dict[str, set[str]] = {
-    c.__name__: {f for f in c.__dataclass_fields__ if f not in ("ref", "train", "validation", "kernel", "preprocess", "semantic", "background")}
+    c.__name__: {f for f in c.__dataclass_fields__ if f not in ("ref", "train", "validation", "kernel", "preprocess", "semantic", "background", "model")}
     for c in (KSDrift, CVMDrift, FETDrift, ChiSquareDrift, TabularDrift, MMDDrift, LSDDDrift, ContextMMDDrift, LearnedKernelDrift, ClassifierDrift, SpotTheDiffDrift, ClassifierUncertaintyDrift, RegressorUncertaintyDrift, KNN, LOF, Mahalanobis, PCA, GMM, SVM, IForest, OutlierAE, OutlierVAE, OutlierAEGMM, OutlierVAEGMM, SpectralResidual, OutlierSeq2Seq, OutlierProphet, AdversarialAE, ModelDistillation)
 }
 

@@ -4,8 +4,6 @@ scoring is Spark expressions or Arrow batches."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,63 +11,13 @@ from pyspark.sql import functions as F
 
 from driftlane.functions.columns import col, cosine, relative_distance, top_share
 from driftlane.functions.frames import spread
-from driftlane.operators.mixture import gaussian_energy
+from driftlane.operators import networks
 from driftlane.operators.projection import moments, project, vector
 
 #: Rows on which a network is fitted.
 SAMPLE = 20_000
 
 
-@dataclass
-class Network:
-    """A multilayer perceptron with tanh inside: weights and biases."""
-
-    weights: list[np.ndarray]
-    biases: list[np.ndarray]
-
-    @staticmethod
-    def make(sizes: list[int], seed: int = 0) -> Network:
-        rng = np.random.default_rng(seed)
-        return Network([rng.normal(size=(a, b)) / np.sqrt(a) for a, b in zip(sizes, sizes[1:])], [np.zeros(b) for b in sizes[1:]])
-
-    def layers(self, x: np.ndarray) -> list[np.ndarray]:
-        out = [x]
-        for i, (w, b) in enumerate(zip(self.weights, self.biases)):
-            x = x @ w + b
-            out.append(x if i == len(self.weights) - 1 else np.tanh(x))
-        return out
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self.layers(x)[-1]
-
-    def descend(self, x: np.ndarray, gradient: np.ndarray, outs: list[np.ndarray]) -> list[np.ndarray]:
-        """Gradients of all parameters from that of the output."""
-        grads: list[np.ndarray] = []
-        for i in reversed(range(len(self.weights))):
-            if i < len(self.weights) - 1:
-                gradient = gradient * (1 - outs[i + 1] ** 2)
-            grads = [outs[i].T @ gradient, gradient.sum(0), *grads]
-            gradient = gradient @ self.weights[i].T
-        return grads
-
-    def fit(self, x: np.ndarray, y: np.ndarray, loss_gradient, epochs: int = 60, batch: int = 256, rate: float = 3e-3, seed: int = 0) -> Network:
-        """Adam on batches; ``loss_gradient(output, target)`` per row."""
-        rng = np.random.default_rng(seed)
-        params = [p for pair in zip(self.weights, self.biases) for p in pair]
-        m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for a in range(0, len(x), batch):
-                at = order[a : a + batch]
-                outs = self.layers(x[at])
-                t += 1
-                for p, g, mm, vv in zip(params, self.descend(x[at], loss_gradient(outs[-1], y[at]) / len(at), outs), m, v):
-                    mm += 0.1 * (g - mm)
-                    vv += 0.001 * (g * g - vv)
-                    p -= rate * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.999**t)) + 1e-8)
-        return self
-
-
 def sample(df: DataFrame, features: list[str] | str, id_col: str, limit: int = SAMPLE, seed: int = 0) -> np.ndarray:
     """``limit`` rows drawn by hash, as a matrix."""
     rows = df.select(F.col(id_col).alias("i"), vector(features).alias("v")).orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(limit).collect()
@@ -85,90 +33,50 @@ def instance_score(errors: str | Column, percent: float = 100.0) -> Column:
     return top_share(errors, percent)
 
 
-def autoencoder(ref: DataFrame, features: list[str] | str, hidden: int, latent: int, id_col: str = "id", epochs: int = 60, seed: int = 0):
-    """(scaler, encoder, decoder) fitted on a sample of the reference."""
-    x = sample(ref, features, id_col, seed=seed)
-    mean, dev = x.mean(0), x.std(0) + 1e-9
-    z = (x - mean) / dev
-    net = Network.make([z.shape[1], hidden, latent, hidden, z.shape[1]], seed)
-    net.weights[2] *= 0.5
-    net.fit(z, z, lambda o, y: 2 * (o - y), epochs, seed=seed)
-    return (mean, dev), Network(net.weights[:2], net.biases[:2]), Network(net.weights[2:], net.biases[2:])
-
-
-def _recon(scaler, encoder, decoder, noise: float = 0.0, samples: int = 1, seed: int = 0):
-    mean, dev = scaler
-
-    @F.pandas_udf("array<array<double>>")
-    def run(v: pd.Series) -> pd.Series:
-        x = (np.stack(v.to_numpy()).astype(float) - mean) / dev
-        code = encoder(x)
-        rng = np.random.default_rng(seed)
-        return pd.Series([list(r) for r in np.stack([decoder(np.tanh(code + noise * rng.normal(size=code.shape))) * dev + mean for _ in range(samples)], 1)])
+def _scored_errors(df: DataFrame, auto: networks.Autoencoder, features: list[str] | str, percent: float, samples: int, seed: int) -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def errors(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, len(auto.mean)))
+        return pd.Series(list(((auto.reconstructions(x, samples, seed) - x[:, None]) ** 2).mean(1)))
 
-    return run
+    return df.withColumn("feature_score", errors(vector(features))).withColumn("score", instance_score("feature_score", percent))
 
 
-def outlier_ae(df: DataFrame, ref: DataFrame, features: list[str] | str, hidden: int = 16, latent: int = 2, percent: float = 100.0, id_col: str = "id", samples: int = 1, noise: float = 0.0, epochs: int = 60, seed: int = 0) -> DataFrame:
-    """Adds ``feature_score`` (squared reconstruction errors, mean over ``samples``
-    noisy codes) and ``score`` (their largest ``percent`` % on average). With
-    ``samples`` and ``noise`` this is the variational kind's scoring."""
-    recon = _recon(*autoencoder(ref, features, hidden, latent, id_col, epochs, seed), noise, samples, seed)
-    v = vector(features)
-    each = F.transform(recon(v), lambda r: feature_error(v, r))
-    mean = F.transform(F.aggregate(each, F.array_repeat(F.lit(0.0), F.size(v)), lambda a, e: F.zip_with(a, e, lambda p, q: p + q)), lambda s: s / samples)
-    return df.withColumn("feature_score", mean).withColumn("score", instance_score("feature_score", percent))
+def outlier_ae(df: DataFrame, ref: DataFrame, features: list[str] | str, hidden: int = 16, latent: int = 2, percent: float = 100.0, id_col: str = "id", epochs: int = 60, seed: int = 0, **training) -> DataFrame:
+    """Adds ``feature_score`` (squared reconstruction errors) and ``score`` (their
+    largest ``percent`` % on average) by an autoencoder fitted on a sample of the
+    reference. ``training`` may set ``rate``, ``batch`` and ``optimiser``."""
+    x = sample(ref, features, id_col, seed=seed)
+    auto = networks.Autoencoder.make(x, hidden, latent, seed=seed).fit(x, epochs, seed, **training)
+    return _scored_errors(df, auto, features, percent, 1, seed)
 
 
-def outlier_vae(df: DataFrame, ref: DataFrame, features: list[str] | str, samples: int = 10, noise: float = 0.1, **kw) -> DataFrame:
-    return outlier_ae(df, ref, features, samples=samples, noise=noise, **kw)
+def outlier_vae(df: DataFrame, ref: DataFrame, features: list[str] | str, hidden: int = 16, latent: int = 2, percent: float = 100.0, id_col: str = "id", samples: int = 10, sigma: float = 0.5, beta: float = 1.0, epochs: int = 60, seed: int = 0, **training) -> DataFrame:
+    """The same by a variational one, trained on the evidence bound: errors are means
+    over ``samples`` codes that a row's values and the seed draw."""
+    x = sample(ref, features, id_col, seed=seed)
+    auto = networks.Autoencoder.make(x, hidden, latent, sigma, beta, seed).fit(x, epochs, seed, **training)
+    return _scored_errors(df, auto, features, percent, samples, seed)
 
 
-def outlier_aegmm(df: DataFrame, ref: DataFrame, features: list[str] | str, n_gmm: int = 2, hidden: int = 16, latent: int = 2, id_col: str = "id", samples: int = 1, noise: float = 0.0, epochs: int = 60, seed: int = 0) -> DataFrame:
+def outlier_aegmm(df: DataFrame, ref: DataFrame, features: list[str] | str, n_gmm: int = 2, hidden: int = 16, latent: int = 2, id_col: str = "id", samples: int = 1, sigma: float | None = None, beta: float = 1.0, w_energy: float = 0.1, w_cov: float = 0.005, epochs: int = 60, seed: int = 0, **training) -> DataFrame:
     """Adds ``score``: the energy of (code, cosine, relative distance of the
-    reconstruction) under a mixture fitted on the reference's sample, the mean over
-    ``samples`` noisy codes."""
-    scaler, encoder, decoder = autoencoder(ref, features, hidden, latent, id_col, epochs, seed)
-    mean, dev = scaler
-
-    def describe(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        code = encoder(x) + noise * rng.normal(size=(len(x), encoder.biases[-1].size))
-        y = decoder(np.tanh(code))
-        length = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-        cos = (x * y).sum(1) / np.maximum(length[0] * length[1], 1e-12)
-        rel = np.minimum(np.linalg.norm(x - y, axis=1) / (np.minimum(*length) + 1e-12), 100.0)
-        return np.column_stack([code, 1 - cos, rel])
-
-    z = describe((sample(ref, features, id_col, seed=seed) - mean) / dev, np.random.default_rng(seed))
-    weights, means, covs = fit_mixture(z, n_gmm, seed)
+    reconstruction) under a mixture that is trained together with the autoencoder on
+    a sample of the reference. With ``sigma`` the autoencoder is variational and the
+    score a mean over ``samples`` codes."""
+    x = sample(ref, features, id_col, seed=seed)
+    auto = networks.Autoencoder.make(x, hidden, latent, sigma, beta, seed)
+    model = networks.DensityAutoencoder(auto, networks.Network.make([latent + 2, hidden, n_gmm], seed + 2), w_energy, w_cov).fit(x, epochs, seed, **training)
 
     @F.pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:
-        x = (np.stack(v.to_numpy()).astype(float) - mean) / dev
-        rng = np.random.default_rng(seed)
-        return pd.Series(np.mean([gaussian_energy(describe(x, rng), weights, means, covs) for _ in range(samples)], axis=0))
+        return pd.Series(model.energy(np.stack(v.to_numpy()).astype(float), samples, seed) if len(v) else np.zeros(0))
 
     return df.withColumn("score", score(vector(features)))
 
 
-def outlier_vaegmm(df: DataFrame, ref: DataFrame, features: list[str] | str, samples: int = 10, noise: float = 0.1, **kw) -> DataFrame:
-    return outlier_aegmm(df, ref, features, samples=samples, noise=noise, **kw)
-
-
-def fit_mixture(z: np.ndarray, k: int, seed: int = 0, rounds: int = 50, eps: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expectation maximisation on a bounded sample."""
-    rng = np.random.default_rng(seed)
-    means = z[rng.choice(len(z), k, replace=len(z) < k)]
-    covs = np.repeat((np.cov(z.T).reshape(z.shape[1], -1) + eps * np.eye(z.shape[1]))[None], k, 0)
-    weights = np.full(k, 1 / k)
-    for _ in range(rounds):
-        logs = np.stack([-gaussian_energy(z, weights[i : i + 1], means[i : i + 1], covs[i : i + 1]) for i in range(k)], 1)
-        g = np.exp(logs - logs.max(1, keepdims=True))
-        g /= g.sum(1, keepdims=True)
-        n = g.sum(0) + 1e-9
-        weights, means = n / n.sum(), (g.T @ z) / n[:, None]
-        covs = np.stack([((g[:, i, None] * (z - means[i])).T @ (z - means[i])) / n[i] + eps * np.eye(z.shape[1]) for i in range(k)])
-    return weights, means, covs
+def outlier_vaegmm(df: DataFrame, ref: DataFrame, features: list[str] | str, samples: int = 10, sigma: float = 0.5, **kw) -> DataFrame:
+    return outlier_aegmm(df, ref, features, samples=samples, sigma=sigma, **kw)
 
 
 def pca_reconstruction(df: DataFrame, ref: DataFrame, features: list[str] | str, latent: int) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlane.operators import networks
+
 
 def pad_same(x: np.ndarray, width: int, method: str = "reflect", side: str = "bilateral") -> np.ndarray:
     """``width - 1`` more values; on both sides the left one gets the odd one."""
@@ -106,6 +108,36 @@ def forecast_errors(df: DataFrame, value: str, order: str, series: str, lags: in
     return held.groupBy("series").applyInPandas(run, "series string, t double, x double, prediction double, error double")
 
 
+#: Windows on which a recurrent network is fitted at most, drawn by hash.
+WINDOWS = 5000
+
+
+def sequence_errors(df: DataFrame, value: str, order: str, series: str, length: int = 20, hidden: int = 16, ref: DataFrame | None = None, epochs: int = 40, limit: int = WINDOWS, seed: int = 0, **training) -> DataFrame:
+    """``series, window, step, x, prediction, error, estimate``: a recurrent network reads
+    windows of each series and predicts their next values; with its squared errors come
+    its own estimates of them. It is fitted on windows of ``ref`` (``df`` itself unless
+    given). A window is scored by itself, so a long series spreads over tasks; a rest
+    at a series' end makes no window, and the step after the last value no row."""
+    fit = windows(df if ref is None else ref, value, order, length, series)
+    held = fit.orderBy(F.xxhash64(F.lit(seed), F.col("series").cast("string"), "window"), "window").limit(limit).collect()
+    if not held:
+        raise ValueError("no series has a whole window")
+    x, y = (np.array([[np.nan if v is None else v for v in r[c]] for r in held]) for c in ("values", "targets"))
+    mean, dev = x.mean(), x.std() + 1e-9
+    net = networks.Recurrent.make(hidden, seed).fit((x - mean) / dev, (y - mean) / dev, epochs, seed, **training)
+
+    @F.pandas_udf("array<struct<prediction:double,estimate:double>>")
+    def predict(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        p, e = net((np.stack(v.to_numpy()).astype(float) - mean) / dev)
+        return pd.Series([[{"prediction": a, "estimate": b} for a, b in zip(*r)] for r in zip((p * dev + mean).tolist(), (e * dev * dev).tolist())])
+
+    scored = windows(df, value, order, length, series).withColumn("p", predict("values"))
+    rows = scored.select("series", "window", F.posexplode(F.arrays_zip("targets", "p")).alias("step", "r")).select("series", "window", "step", F.col("r.targets").alias("x"), "r.p.*").where("x is not null")
+    return rows.select("series", "window", "step", "x", "prediction", F.pow(F.col("x") - F.col("prediction"), 2).alias("error"), "estimate")
+
+
 def interval_scores(df: DataFrame) -> DataFrame:
     """Adds ``score`` and ``is_outlier`` to rows with ``y, yhat, yhat_lower,
     yhat_upper``: how far beyond the bound on its side a value lies."""

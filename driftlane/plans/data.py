@@ -238,6 +238,12 @@ def seasonal_forecast_score(spark, d):
     return out.select("series", F.col("ds").cast("long").alias("ds"), F.round("yhat", 3).alias("yhat"), F.round("score", 3).alias("score"), "is_outlier")
 
 
+@query()
+def recurrent_forecast_error(spark, d):
+    out = timeseries.sequence_errors(table(spark, d, "events").withColumn("series", F.col("user_id") % 8), "value", "event_id", "series", 10, epochs=10)
+    return out.select("series", "window", "step", r6("error").alias("error"), r6("estimate").alias("estimate"))
+
+
 @query()
 def sequence_forecast_error(spark, d):
     out = timeseries.forecast_errors(table(spark, d, "events").withColumn("series", F.col("user_id") % 8), "value", "event_id", "series", 5)
@@ -284,7 +290,7 @@ _CVM_T = """(100.0 * {w} / (100 + {w}) ** 2 * (list_sum(list_transform(range(1,
 
 
 @query(f"""WITH e AS (SELECT CAST(user_id % 4 AS VARCHAR) AS key, event_id AS seq, row_number() OVER w AS t, list(value) OVER (w ROWS 4 PRECEDING) AS x5, list(value) OVER (w ROWS 9 PRECEDING) AS x10 FROM events WINDOW w AS (PARTITION BY user_id % 4 ORDER BY event_id))
-SELECT key, seq, round(CASE WHEN t >= 10 THEN greatest({_CVM_T.format(w=5)}, {_CVM_T.format(w=10)}) ELSE {_CVM_T.format(w=5)} END, 6) AS test_stat FROM e WHERE t >= 5""")
+SELECT key, seq, round(CASE WHEN t >= 10 THEN greatest({_CVM_T.format(w=5)}, {_CVM_T.format(w=10)}) ELSE {_CVM_T.format(w=5)} END, 6) + 0.0 AS test_stat FROM e WHERE t >= 5""")
 def cvm_online_statistic(spark, d):
     """The largest statistic of two windows against the reference 1, 2, .., 100."""
     det = online.CVMOnline(np.arange(1.0, 101.0)[:, None], (5, 10), np.array([np.inf]))

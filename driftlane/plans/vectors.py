@@ -292,3 +292,23 @@ def adversarial_threshold(spark, d):
     return adversarial.threshold_with_margin(t, "score", 99, 0.05).select(r6("threshold").alias("threshold"))
 
 
+
+
+def classes(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Vectors of even number with three classes, and the others."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), (F.col("label") % 3).cast("int").alias("y"))
+    return e.where("id % 2 = 0 and y is not null"), e.where("id % 2 = 1")
+
+
+@query()
+def adversarial_ae_score(spark, d):
+    ref, test = classes(spark, d)
+    model = adversarial.fit_classifier(ref, "features", "y", epochs=20)
+    return _scored(adversarial.adversarial_ae(test, ref, "features", model, epochs=20))
+
+
+@query()
+def model_distillation_score(spark, d):
+    ref, test = classes(spark, d)
+    model = adversarial.fit_classifier(ref, "features", "y", epochs=20)
+    return _scored(adversarial.model_distillation(test, ref, "features", model, epochs=20))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftlane import detectors as D
 from driftlane.functions import columns as C
-from driftlane.operators import categorical, inject, kernels, learned, mixture, neighbours, projection, recon, thresholds, timeseries, univariate
+from driftlane.operators import adversarial, categorical, inject, kernels, learned, mixture, neighbours, networks, projection, recon, thresholds, timeseries, univariate
 from driftlane.sources import readers, spec
 
 RNG = np.random.default_rng(0)
@@ -574,3 +574,117 @@ def test_adversarial_detectors(spark):
         assert det.predict(df).agg(F.sum("is_adversarial")).first()[0] == 1
         bad = det.correct(df).where("is_adversarial = 1").first()
         assert (bad.no_defense, bad.defense, bad.corrected) == (0, 1, 1)
+
+
+# -- networks ------------------------------------------------------------------
+
+
+def _numeric(value, params, grads, eps=1e-6):
+    """Largest gap between gradients and differences of a loss."""
+    worst = 0.0
+    for p, g in zip(params, grads):
+        for at in list(np.ndindex(p.shape))[:: max(1, p.size // 5)]:
+            keep = p[at]
+            p[at] = keep + eps
+            up = value()
+            p[at] = keep - eps
+            down = value()
+            p[at] = keep
+            worst = max(worst, abs((up - down) / (2 * eps) - g[at]))
+    return worst
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(12, 4))
+    for sigma in (None, 0.7):
+        auto = networks.Autoencoder.make(x, 5, 2, sigma, 0.5)
+        z, at = auto.scaled(x), lambda: np.random.default_rng(3)
+        assert _numeric(lambda: auto.loss(z, at())[0], auto.params, auto.loss(z, at())[1]) < 1e-5
+
+    def differences(run, plain=lambda params: None):
+        """Gradients that a training sees against differences of its first loss."""
+        seen = {}
+
+        def at(k=0, place=None, eps=0.0):
+            def optimiser(params, rate):
+                plain(params)
+                if place is not None:
+                    params[k][place] += eps
+                seen.update(params=params)
+                return type("Steps", (), {"step": lambda _, grads: seen.update(grads=[g.copy() for g in grads])})()
+
+            return run(optimiser)[0]
+
+        at()
+        grads, shapes, worst = seen["grads"], [p.shape for p in seen["params"]], 0.0
+        for k, shape in enumerate(shapes):
+            for place in list(np.ndindex(shape))[::3]:
+                worst = max(worst, abs((at(k, place, 1e-6) - at(k, place, -1e-6)) / 2e-6 - grads[k][place]))
+        return worst
+
+    model, seqs = networks.Network.make([4, 6, 3], 2), rng.normal(size=(6, 5))
+    assert differences(lambda o: networks.defender(x, model, 5, 2, w_recon=0.3, temperature=0.7, epochs=1, batch=99, optimiser=o).losses) < 1e-5
+    target = np.where(np.arange(5) == 4, np.nan, np.roll(seqs, -1, 1))
+
+    def no_estimates(params):  # their gradient isn't that of the loss that is told
+        params[3][:, 1], params[4][1] = 0.0, 0.0
+
+    def recurrent(o):
+        net = networks.Recurrent.make(4)
+        return net.fit(seqs, target, 1, batch=99, optimiser=lambda p, r: o(p[:3], r) if not no_estimates(p) else None).losses
+
+    assert differences(recurrent) < 1e-5
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_training_lowers_its_own_loss(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 6)) + 0.05 * rng.normal(size=(400, 6))
+    far = rng.normal(size=(40, 6)) * 4
+    for auto in (networks.Autoencoder.make(x, 12, 2, seed=seed), networks.Autoencoder.make(x, 12, 2, 0.3, seed=seed)):
+        auto.fit(x, 60, seed)
+        assert auto.losses[-1] < 0.5 * auto.losses[0]
+        err = lambda r: ((auto.reconstructions(r, 4) - r[:, None]) ** 2).mean((1, 2))
+        assert np.median(err(far)) > 5 * np.median(err(x))
+        assert (auto.reconstructions(x[:7], 3)[2:] == auto.reconstructions(x[2:7], 3)).all()  # whatever the batch
+    for sigma in (None, 0.3):
+        model = networks.DensityAutoencoder(networks.Autoencoder.make(x, 12, 2, sigma, seed=seed), networks.Network.make([4, 8, 2], seed))
+        model.fit(x, 60, seed)
+        assert model.losses[-1] < model.losses[0]
+        assert np.median(model.energy(far, 3)) > np.quantile(model.energy(x, 3), 0.95)
+    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0)
+    model = networks.classifier(x, y, epochs=80, seed=seed)
+    assert (model(x).argmax(1) == y).mean() > 0.9
+    auto = networks.defender(x, model, 12, 3, seed=seed)
+    assert auto.losses[-1] < 0.5 * auto.losses[0]
+    assert (model(auto.reconstructions(x)[:, 0]).argmax(1) == model(x).argmax(1)).mean() > 0.85
+    student = networks.distilled(x, model, seed=seed)
+    assert (student(x).argmax(1) == model(x).argmax(1)).mean() > 0.85
+
+
+def test_trained_adversarial_detectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 4)) + np.repeat(np.array([[3.0, 0, 0, 0], [-3.0, 0, 0, 0]]), 250, 0)
+    ref = arrays(spark, x, 0).withColumn("y", (F.col("id") >= 250).cast("int"))
+    model = adversarial.fit_classifier(ref, "features", "y", epochs=40)
+    attacked = arrays(spark, np.array([[0.4, 6.0, -6.0, 6.0]] * 3), 9000)
+    for det in (D.AdversarialAE(epochs=40), D.ModelDistillation(epochs=40)):
+        det = det.fit(ref, model).infer_threshold(ref, 95)
+        out = det.predict(ref)
+        assert out.agg(F.avg("is_adversarial")).first()[0] == pytest.approx(0.05, abs=0.01)
+        assert det.predict(attacked).count() == 3
+        assert {"no_defense", "defense", "corrected"} <= set(det.correct(ref).columns)
+
+
+def test_recurrent_detector_marks_breaks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, t, float(np.sin(0.6 * t + s) + 0.05 * rng.normal())) for s in range(4) for t in range(401)]
+    df = spark.createDataFrame(rows, "s long, t long, x double")
+    det = D.OutlierSeq2Seq(length=20, hidden=16, epochs=60).fit(df).infer_threshold(df, "x", "t", "s", 99)
+    scored = det.score(df, "x", "t", "s")
+    assert scored.count() == 4 * 400
+    assert scored.where("step > 5").agg(F.avg("error")).first()[0] < 0.1
+    broken = df.withColumn("x", F.when((F.col("t") == 215), F.col("x") + 3).otherwise(F.col("x")))
+    hits = det.predict(broken, "x", "t", "s").where("is_outlier = 1 and window = 10 and step = 14").count()
+    assert hits == 4
