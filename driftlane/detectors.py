@@ -128,10 +128,11 @@ class MMDDrift:
     sigma: tuple[float, ...] | None = None
     n_permutations: int = 100
     seed: int = 0
+    init_sigma: Callable | None = None
 
     def predict(self, df: DataFrame) -> dict:
         kernel = self.kernel or (kernels.GaussianRBF(self.sigma) if self.sigma else None)
-        return kernels.mmd(self.ref, df, kernel, self.p_val, self.n_permutations, self.vec_col, self.id_col, self.seed)
+        return kernels.mmd(self.ref, df, kernel, self.p_val, self.n_permutations, self.vec_col, self.id_col, self.seed, self.init_sigma)
 
 
 @dataclass(frozen=True)
@@ -191,9 +192,11 @@ class ClassifierDrift:
     binarize_preds: bool = False
     n_folds: int | None = 5
     seed: int = 0
+    calibrate: bool = False
+    use_oob: bool = False
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return learned.classifier_drift(self.ref, df, self.features, self.key, self.model, self.p_val, self.binarize_preds, self.n_folds, self.seed)
+        return learned.classifier_drift(self.ref, df, self.features, self.key, self.model, self.p_val, self.binarize_preds, self.n_folds, self.seed, self.calibrate, self.use_oob)
 
 
 @dataclass(frozen=True)
@@ -429,12 +432,12 @@ class OutlierSeq2Seq:
     """Squared errors of a recurrent network's next values less its own estimates of
     them and a threshold; an outlier is above 0. ``ref`` has the series to learn from."""
 
-    ref: DataFrame | None = None
     length: int = 20
     hidden: int = 16
     epochs: int = 40
     threshold: float = 0.0
     seed: int = 0
+    ref: DataFrame | None = None
 
     def fit(self, ref: DataFrame) -> OutlierSeq2Seq:
         return replace(self, ref=ref)
@@ -474,7 +477,9 @@ class LLR:
     semantic: DataFrame | None = None
     background: DataFrame | None = None
 
-    def fit(self, df: DataFrame, background: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LLR:
+    def fit(self, df: DataFrame, background: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", mutation_rate: float = 0.1, mutate_fn: Callable = recon.mutated, seed: int = 0) -> LLR:
+        """Without a background table it is the rows themselves, mutated."""
+        background = mutate_fn(df, id_col, text_col, mutation_rate, seed=seed) if background is None else background
         return LLR(*[recon.bigram_model(recon.bigrams(d, id_col, text_col)) for d in (df, background)])
 
     def score(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -549,7 +554,7 @@ MahalanobisOnline = online.MahalanobisOnline
 
 #: What a spec may name, with the parameters it may set.
 KNOWN: dict[str, set[str]] = {
-    c.__name__: {f for f in c.__dataclass_fields__ if f not in ("ref", "train", "validation", "kernel", "preprocess", "semantic", "background", "model")}
+    c.__name__: {f for f in c.__dataclass_fields__ if f not in ("ref", "train", "validation", "kernel", "preprocess", "semantic", "background", "model", "init_sigma")}
     for c in (KSDrift, CVMDrift, FETDrift, ChiSquareDrift, TabularDrift, MMDDrift, LSDDDrift, ContextMMDDrift, LearnedKernelDrift, ClassifierDrift, SpotTheDiffDrift, ClassifierUncertaintyDrift, RegressorUncertaintyDrift, KNN, LOF, Mahalanobis, PCA, GMM, SVM, IForest, OutlierAE, OutlierVAE, OutlierAEGMM, OutlierVAEGMM, SpectralResidual, OutlierSeq2Seq, OutlierProphet, AdversarialAE, ModelDistillation)
 }
 

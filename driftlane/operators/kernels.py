@@ -223,11 +223,13 @@ def sigma_mean(rows: DataFrame, vec_col: str = "features") -> DataFrame:
     return parts.agg(F.sqrt(total / (n * (n - 1)) / 2).alias("sigma"))
 
 
-def mmd(ref: DataFrame, test: DataFrame, kernel: Callable | None = None, p_val: float = 0.05, permutations: int = 100, vec_col: str = "features", id_col: str = "id", seed: int = 0) -> dict:
+def mmd(ref: DataFrame, test: DataFrame, kernel: Callable | None = None, p_val: float = 0.05, permutations: int = 100, vec_col: str = "features", id_col: str = "id", seed: int = 0, init_sigma: Callable | None = None) -> dict:
     """Permutation test of the squared MMD: a report of the distance, its p-value
-    (share of permutations that reach it) and the distance that would be drift."""
+    (share of permutations that reach it) and the distance that would be drift.
+    ``init_sigma(ref, test, vec_col, id_col)`` gives a frame of one ``sigma``; the
+    median of all pairs by default."""
     if kernel is None:
-        kernel = GaussianRBF((sigma_median(ref, test, vec_col, id_col).first().sigma,))
+        kernel = GaussianRBF(((init_sigma or sigma_median)(ref, test, vec_col, id_col).first().sigma,))
     s = numbered(ref, test, vec_col)
     stats = mmd2(tile_sums(s, kernel, permutations, seed), s.n_ref, s.n_test)
     return permutation_report(stats, p_val)

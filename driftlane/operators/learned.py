@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,36 @@ def out_of_fold(ref: DataFrame, test: DataFrame, features: list[str] | str, key:
     return result
 
 
+def calibrated(probs: DataFrame) -> DataFrame:
+    """Rows of ``out_of_fold`` with probabilities that a logistic regression of the
+    label on the score makes; a fold's comes from the scores of the other folds (from
+    its own, if there is one fold)."""
+    held = kept(probs.withColumn("__y", (1 - F.col("is_ref")).cast("double")).withColumn("__v", array_to_vector(F.array("prob"))))
+    names = sorted(r.fold for r in held.select("fold").distinct().collect())
+    parts = []
+    for f in names:
+        fitted = classifier("lr").fit(held.where(F.col("fold") != f) if len(names) > 1 else held)
+        out = fitted.transform(held.where(F.col("fold") == f).drop("prob"))
+        parts.append(out.select("key", "is_ref", "fold", F.get(vector_to_array("probability"), F.lit(1)).alias("prob")))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def out_of_bag(ref: DataFrame, test: DataFrame, features: list[str] | str, key: str, model: str | Estimator | None = None, bags: int = 10, share: float = 0.632, seed: int = 0) -> DataFrame:
+    """``key, is_ref, fold, prob``: the mean over the models whose bag a row isn't in.
+    A bag is a ``share`` of the rows by a hash of its own; the model is a decision
+    tree unless given. Rows that are in every bag are left out."""
+    v = array_to_vector(vector(features)).alias("__v")
+    both = ref.select(F.col(key).alias("key"), F.lit(1).alias("is_ref"), v).unionByName(test.select(F.col(key).alias("key"), F.lit(0).alias("is_ref"), v))
+    both = kept(both.withColumn("__y", (1 - F.col("is_ref")).cast("double")))
+    est = classifier(model, seed) if isinstance(model, str) else model or DecisionTreeClassifier(featuresCol="__v", labelCol="__y", maxDepth=8, seed=seed)
+    parts = []
+    for b in range(bags):
+        inside = F.pmod(F.xxhash64(F.lit(seed), F.lit(b), "key", "is_ref"), F.lit(1 << 40)) < int(share * (1 << 40))
+        out = est.fit(both.where(inside)).transform(both.where(~inside))
+        parts.append(out.select("key", "is_ref", F.get(vector_to_array("probability"), F.lit(1)).alias("prob")))
+    return functools.reduce(DataFrame.unionAll, parts).groupBy("key", "is_ref").agg(F.avg("prob").alias("prob")).withColumn("fold", F.lit(0))
+
+
 def soft_test(probs: DataFrame) -> DataFrame:
     """KS test that the test sample's probabilities lie higher: ``distance, p_val``."""
     return univariate.ks(probs, ["prob"], "greater", exact=True).select("distance", "p_val")
@@ -83,9 +114,11 @@ def accuracy(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.where(F.col(label).isNotNull() & F.col(predicted).isNotNull()).agg(F.avg(right).alias("accuracy"))
 
 
-def classifier_drift(ref: DataFrame, test: DataFrame, features: list[str] | str, key: str, model: str | Estimator = "lr", p_val: float = 0.05, binarise: bool = False, n_folds: int | None = 5, seed: int = 0) -> DataFrame:
-    """One row: ``distance, p_val, threshold, is_drift``."""
-    probs = out_of_fold(ref, test, features, key, model, n_folds, seed=seed)
+def classifier_drift(ref: DataFrame, test: DataFrame, features: list[str] | str, key: str, model: str | Estimator = "lr", p_val: float = 0.05, binarise: bool = False, n_folds: int | None = 5, seed: int = 0, calibrate: bool = False, use_oob: bool = False) -> DataFrame:
+    """One row: ``distance, p_val, threshold, is_drift``. ``use_oob`` takes scores
+    out of bags instead of folds; ``calibrate`` makes scores probabilities."""
+    probs = out_of_bag(ref, test, features, key, None if model == "rf" else model, seed=seed) if use_oob else out_of_fold(ref, test, features, key, model, n_folds, seed=seed)
+    probs = calibrated(probs) if calibrate else probs
     out = hard_test(probs) if binarise else soft_test(probs)
     return univariate.feature_decision(out.select("distance", "p_val"), p_val)
 

@@ -195,7 +195,8 @@ class DensityAutoencoder:
 
     A gate network gives the memberships of a batch, these the mixture; the loss adds
     ``w_energy`` times the mean energy (minus log density) and ``w_cov`` times the
-    inverse diagonals of the covariances to that of the autoencoder. The gate descends
+    inverse diagonals of the covariances to that of the autoencoder. What describes a
+    row is ``recon_features(row, code, reconstruction)``, its code first. The gate descends
     the cross entropy with the posterior memberships. Gradients take the batch's
     mixture, and the two features of the reconstruction, as constants.
     """
@@ -204,6 +205,7 @@ class DensityAutoencoder:
     gate: Network
     w_energy: float = 0.1
     w_cov: float = 0.005
+    recon_features: Callable = describe
     mixture: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     losses: list[float] = field(default_factory=list)
 
@@ -213,7 +215,7 @@ class DensityAutoencoder:
         z, gate_grads, k = self.auto.scaled(x), [], len(self.gate.biases[-1])
 
         def density(rows: np.ndarray, code: np.ndarray, y: np.ndarray):
-            f, n = describe(rows, code, y), len(rows)
+            f, n = self.recon_features(rows, code, y), len(rows)
             outs = self.gate.layers(f)
             gamma = softmax(outs[-1])
             weights, means, covs = mixture_of(f, gamma)
@@ -241,7 +243,7 @@ class DensityAutoencoder:
     def features(self, x: np.ndarray, noise: np.ndarray) -> np.ndarray:
         z = self.auto.scaled(x)
         code = self.auto.draw(z, noise)[1]
-        return describe(z, code, self.auto.decoder(code))
+        return self.recon_features(z, code, self.auto.decoder(code))
 
     def energy(self, x: np.ndarray, samples: int = 1, seed: int = 0) -> np.ndarray:
         """Mean energy over drawn codes (one is enough without them)."""

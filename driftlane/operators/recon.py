@@ -4,6 +4,8 @@ scoring is Spark expressions or Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,14 +61,15 @@ def outlier_vae(df: DataFrame, ref: DataFrame, features: list[str] | str, hidden
     return _scored_errors(df, auto, features, percent, samples, seed)
 
 
-def outlier_aegmm(df: DataFrame, ref: DataFrame, features: list[str] | str, n_gmm: int = 2, hidden: int = 16, latent: int = 2, id_col: str = "id", samples: int = 1, sigma: float | None = None, beta: float = 1.0, w_energy: float = 0.1, w_cov: float = 0.005, epochs: int = 60, seed: int = 0, **training) -> DataFrame:
+def outlier_aegmm(df: DataFrame, ref: DataFrame, features: list[str] | str, n_gmm: int = 2, hidden: int = 16, latent: int = 2, id_col: str = "id", samples: int = 1, sigma: float | None = None, beta: float = 1.0, w_energy: float = 0.1, w_cov: float = 0.005, epochs: int = 60, seed: int = 0, recon_features: Callable = networks.describe, **training) -> DataFrame:
     """Adds ``score``: the energy of (code, cosine, relative distance of the
-    reconstruction) under a mixture that is trained together with the autoencoder on
+    reconstruction), or of what ``recon_features`` gives, under a mixture that is trained together with the autoencoder on
     a sample of the reference. With ``sigma`` the autoencoder is variational and the
     score a mean over ``samples`` codes."""
     x = sample(ref, features, id_col, seed=seed)
     auto = networks.Autoencoder.make(x, hidden, latent, sigma, beta, seed)
-    model = networks.DensityAutoencoder(auto, networks.Network.make([latent + 2, hidden, n_gmm], seed + 2), w_energy, w_cov).fit(x, epochs, seed, **training)
+    width = recon_features(x[:2], np.zeros((len(x[:2]), latent)), x[:2]).shape[1]
+    model = networks.DensityAutoencoder(auto, networks.Network.make([width, hidden, n_gmm], seed + 2), w_energy, w_cov, recon_features).fit(x, epochs, seed, **training)
 
     @F.pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:
@@ -117,6 +120,24 @@ def bigram_model(grams: DataFrame, smoothing: float = 1.0) -> DataFrame:
     return counts.withColumn("n", total).crossJoin(F.broadcast(vocab)).select("prev", "next", F.ln((F.col("c") + smoothing) / (F.col("n") + smoothing * F.col("v"))).alias("logp"))  # one row
 
 
+def mutated(df: DataFrame, id_col: str, text_col: str, rate: float, alphabet: str = "abcdefghijklmnopqrstuvwxyz ", seed: int = 0) -> DataFrame:
+    """Each character becomes, with probability ``rate``, one of ``alphabet``: what a
+    background model learns from. Chances come from a hash of id and place."""
+    at = lambda salt, i: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(id_col), i), F.lit(1 << 30))
+    letters = F.array(*map(F.lit, alphabet))
+    moved = F.transform(F.split(text_col, ""), lambda c, i: F.when(at(1, i) < int(rate * (1 << 30)), F.get(letters, F.pmod(at(2, i), F.lit(len(alphabet))).cast("int"))).otherwise(c))
+    return df.withColumn(text_col, F.array_join(moved, ""))
+
+
+def likelihood_ratio_steps(df: DataFrame, semantic: DataFrame, background: DataFrame, id_col: str = "doc_id", text_col: str = "text", unseen: float = -20.0) -> DataFrame:
+    """``id_col, step, score``: the ratio of each character after the first."""
+    c, n = F.col("c"), F.size("c")
+    chars = df.select(F.col(id_col).alias("id"), F.split(text_col, "").alias("c")).where(n > 1)
+    own = chars.select("id", F.posexplode(F.arrays_zip(F.slice(c, F.lit(1), n - 1).alias("prev"), F.slice(c, F.lit(2), n - 1).alias("next"))).alias("step", "p")).select("id", "step", "p.prev", "p.next")
+    out = own.join(semantic.toDF("prev", "next", "s"), ["prev", "next"], "left").join(background.toDF("prev", "next", "b"), ["prev", "next"], "left")
+    return out.select(F.col("id").alias(id_col), "step", (F.coalesce("b", F.lit(unseen)) - F.coalesce("s", F.lit(unseen))).alias("score"))
+
+
 def likelihood_ratio(df: DataFrame, semantic: DataFrame, background: DataFrame, id_col: str = "doc_id", text_col: str = "text", unseen: float = -20.0) -> DataFrame:
     """``id_col, score`` = -(log p semantic - log p background) of each text.
 

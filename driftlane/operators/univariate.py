@@ -49,17 +49,19 @@ def _block(cuts: Column, value: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(fits(at, s), at + s).otherwise(at))
 
 
-def running(counts: DataFrame) -> DataFrame:
+def running(counts: DataFrame, few: bool = True) -> DataFrame:
     """Adds ``ref_upto`` and ``test_upto``, counts at or below a value, and the
     sample sizes ``n_ref`` and ``n_test``.
 
     Values of a feature are cut into ranges of about equal numbers of distinct
     values. Sums run within a range; what lies before it is added from a table of
-    a row per feature and range. So a task holds a range, not a feature.
+    a row per feature and range. So a task holds a range, not a feature. With ``few``
+    features (a table's columns) what has a row per feature and range is broadcast.
     """
+    small = F.broadcast if few else lambda df: df
     # the filter holds always; as it reads both counts, this branch shares the exchange of the others
     cuts = counts.where("ref + test >= 0").groupBy("feature").agg(F.percentile_approx("value", [i / BLOCKS for i in range(1, BLOCKS)], 1000).alias("cuts"))
-    ranged = counts.join(F.broadcast(cuts), "feature").withColumn("block", _block(F.col("cuts"), F.col("value"))).drop("cuts")
+    ranged = counts.join(small(cuts), "feature").withColumn("block", _block(F.col("cuts"), F.col("value"))).drop("cuts")
     sums = ranged.groupBy("feature", "block").agg(F.sum("ref").alias("r"), F.sum("test").alias("t"))
     before = Window.partitionBy("feature").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("feature")
@@ -69,7 +71,7 @@ def running(counts: DataFrame) -> DataFrame:
     )
     upto = Window.partitionBy("feature", "block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     inner = ranged.select("*", F.sum("ref").over(upto).alias("r_in"), F.sum("test").over(upto).alias("t_in"))
-    joined = inner.join(F.broadcast(sums), ["feature", "block"])
+    joined = inner.join(small(sums), ["feature", "block"])
     return joined.select("feature", "value", "ref", "test", (F.col("r_in") + F.col("ref_before")).alias("ref_upto"), (F.col("t_in") + F.col("test_before")).alias("test_upto"), "n_ref", "n_test")
 
 
@@ -82,7 +84,7 @@ def ks_statistic(df: DataFrame, features: Iterable[str], alternative: str = "two
     """
     gap = F.try_divide("ref_upto", "n_ref") - F.try_divide("test_upto", "n_test")
     gap = {"two-sided": F.abs(gap), "greater": gap, "less": -gap}[alternative]
-    out = running(value_counts(long_form(df, features, flag, names=names))).groupBy("feature")
+    out = running(value_counts(long_form(df, features, flag, names=names)), few=names is None).groupBy("feature")
     least = F.greatest(F.max(gap), F.lit(0.0))
     return out.agg(F.when((F.max("n_ref") > 0) & (F.max("n_test") > 0), least).alias("distance"), F.max("n_ref").alias("n_ref"), F.max("n_test").alias("n_test"))
 
@@ -92,7 +94,7 @@ def ecdf(df: DataFrame, value: str, series: str) -> DataFrame:
     distinct values, from counts in ranges: no task holds a series."""
     long = df.where(F.col(value).isNotNull()).select(F.col(series).cast("string").alias("feature"), F.col(value).cast("double").alias("value"))
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("ref"), F.lit(0).cast("long").alias("test"))
-    r = running(counts)
+    r = running(counts, few=False)
     return r.select(F.col("feature").cast(dict(df.dtypes)[series]).alias("series"), "value", F.col("ref").alias("n"), (F.col("ref_upto") / F.col("n_ref")).alias("ecdf"))
 
 
@@ -106,7 +108,7 @@ def category_union(*samples: DataFrame) -> DataFrame:
 
 def cvm_statistic(df: DataFrame, features: Iterable[str], flag: str = "is_ref", names: str | None = None) -> DataFrame:
     """``feature, distance, n_ref, n_test`` of T, with mid-ranks for ties."""
-    r = running(value_counts(long_form(df, features, flag, names=names)))
+    r = running(value_counts(long_form(df, features, flag, names=names)), few=names is None)
     n, m = F.col("n_ref").cast("double"), F.col("n_test").cast("double")
     before = F.col("ref_upto") + F.col("test_upto") - F.col("ref") - F.col("test")
     mid = before + (F.col("ref") + F.col("test") + 1) / 2.0
@@ -160,8 +162,9 @@ def chi2_statistic(df: DataFrame, features: Iterable[str], flag: str = "is_ref")
 
 
 def _chi2(counts: DataFrame) -> DataFrame:
-    w = Window.partitionBy("feature")
-    c = counts.select("*", F.sum("ref").over(w).alias("n_ref"), F.sum("test").over(w).alias("n_test"), F.count(F.lit(1)).over(w).alias("k"))
+    # the filter holds always; totals are combined before a feature's counts meet
+    totals = counts.where("ref + test >= 0").groupBy("feature").agg(F.sum("ref").alias("n_ref"), F.sum("test").alias("n_test"), F.count(F.lit(1)).alias("k"))
+    c = counts.join(F.broadcast(totals), "feature")  # a row per feature
     both = F.col("ref") + F.col("test")
 
     def part(x: str, n: str) -> Column:

@@ -688,3 +688,40 @@ def test_recurrent_detector_marks_breaks(spark):
     broken = df.withColumn("x", F.when((F.col("t") == 215), F.col("x") + 3).otherwise(F.col("x")))
     hits = det.predict(broken, "x", "t", "s").where("is_outlier = 1 and window = 10 and step = 14").count()
     assert hits == 4
+
+
+def test_classifier_out_of_bag_and_calibrated(spark):
+    rng = np.random.default_rng(4)
+    ref, same, moved = (arrays(spark, rng.normal(size=(300, 2)) + shift, start) for shift, start in ((0, 0), (0, 1000), (1.5, 2000)))
+    for kw in ({"use_oob": True, "model": "rf"}, {"calibrate": True}):
+        det = D.ClassifierDrift(ref, "features", "id", n_folds=2, **kw)
+        assert det.predict(moved).first().is_drift == 1
+        assert det.predict(same).first().p_val > 0.001
+    probs = learned.calibrated(learned.out_of_fold(ref, moved, "features", "id", "lr", 2))
+    r = probs.agg(F.min("prob"), F.max("prob"), F.avg("prob"), F.count("prob")).first()
+    assert 0 <= r[0] < r[1] <= 1 and r[2] == pytest.approx(0.5, abs=0.05) and r[3] == 600
+    assert learned.out_of_bag(ref, moved, "features", "id", bags=6).count() > 500
+
+
+def test_likelihood_ratio_with_mutated_background(spark):
+    rows = [(i, "the sea and the boats " * (2 + i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    moved = {r.doc_id: r.text for r in recon.mutated(df, "doc_id", "text", 0.3).collect()}
+    changed = np.mean([a != b for i, t in rows for a, b in zip(t, moved[i])])
+    assert all(len(moved[i]) == len(t) for i, t in rows) and 0.2 < changed < 0.35
+    assert [r.text for r in recon.mutated(df, "doc_id", "text", 0.0).orderBy("doc_id").collect()] == [t for _, t in rows]
+    llr = D.LLR().fit(df, mutation_rate=0.3)
+    own = spark.createDataFrame([(1, "the boats and the sea"), (2, "xqz vjk wqx zzk"), (3, "a")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in llr.score(own).collect()}
+    assert score[1] < score[2]
+    steps = recon.likelihood_ratio_steps(own, llr.semantic, llr.background).groupBy("doc_id").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.doc_id: r.n for r in steps} == {1: 20, 2: 14} and all(r.s == pytest.approx(score[r.doc_id]) for r in steps)
+
+
+def test_extension_points(vec_pair):
+    ref, _, moved = vec_pair
+    given = D.MMDDrift(ref, n_permutations=5, init_sigma=lambda r, t, v, i: kernels.sigma_mean(r.unionByName(t), v)).predict(moved)
+    sigma = kernels.sigma_mean(ref.unionByName(moved)).first().sigma
+    assert given["distance"] == pytest.approx(D.MMDDrift(ref, n_permutations=5, sigma=(sigma,)).predict(moved)["distance"])
+    out = recon.outlier_aegmm(moved, ref, "features", epochs=3, recon_features=lambda x, code, y: np.column_stack([code, ((x - y) ** 2).sum(1)]))
+    assert out.where("score is null").count() == 0
