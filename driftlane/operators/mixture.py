@@ -145,8 +145,9 @@ def isolation_forest(df: DataFrame, ref: DataFrame, features: list[str] | str, n
     n = pool.count()
     size = min(max_samples, n)
     share = min(1.0, (size + 8 * math.sqrt(size) + 16) / max(n, 1))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "t", "i"), F.lit(1 << 40))
-    drawn = pool.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1)))).withColumn("o", draw).where(F.col("o") < share * (1 << 40))
+    draw = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, "i"), F.lit(1 << 40))
+    trees_of = F.filter(F.sequence(F.lit(0), F.lit(n_estimators - 1)), lambda t: draw(t) < share * (1 << 40))  # a row makes rows for these alone
+    drawn = pool.withColumn("t", F.explode(trees_of)).withColumn("o", draw(F.col("t")))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = np.stack(pdf.sort_values(["o", "i"])["v"].to_numpy()[:size])

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlane.operators.kernels import GaussianRBF
 from driftlane.operators import categorical, inject, preprocess, recon, timeseries, univariate
 from driftlane.plans.registry import query, r6, table
 from driftlane.streaming import online
@@ -336,6 +337,31 @@ def mmd_online_replay(spark, d):
     return _out(online.replay(stream, online.MMDOnline.fit(spark, ref, 10, 50, runs=300), ["x"], "vec_id"))
 
 
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), r AS (SELECT x FROM v WHERE id % 2 = 0),
+s AS (SELECT id, x, row_number() OVER (ORDER BY id) AS t FROM v WHERE id % 2 = 1),
+xx AS (SELECT (sum(exp(-(list_distance(a.x, b.x) ** 2) / 2)) - (SELECT count(*) FROM r)) / CAST((SELECT count(*) FROM r) * ((SELECT count(*) FROM r) - 1) AS DOUBLE) AS xx FROM r a, r b),
+c AS (SELECT t, sum(exp(-(list_distance(s.x, r.x) ** 2) / 2)) AS k FROM s, r GROUP BY t),
+y AS (SELECT e.t, sum(exp(-(list_distance(a.x, b.x) ** 2) / 2)) - 10 AS yy FROM s e JOIN s a ON a.t BETWEEN e.t - 9 AND e.t JOIN s b ON b.t BETWEEN e.t - 9 AND e.t WHERE e.t >= 10 GROUP BY e.t)
+SELECT s.id AS seq, round(xx + yy / 90 - 2 * (SELECT sum(k) FROM c WHERE c.t BETWEEN y.t - 9 AND y.t) / (10.0 * (SELECT count(*) FROM r)), 9) AS test_stat FROM y JOIN s USING (t), xx""")
+def mmd_online_statistic(spark, d):
+    """The distance of the last ten rows to the reference, at a set bandwidth."""
+    ref, stream = _vector_halves(spark, d)
+    k = GaussianRBF((1.0,))(ref, ref)
+    det = online.MMDOnline(ref, 1.0, 10, float((k.sum() - len(k)) / (len(k) * (len(k) - 1))), ref[:10], np.full(10, np.inf))
+    return online.replay(stream, det, ["x"], "vec_id").where("time >= 10").select("seq", (F.round("test_stat", 9) + 0.0).alias("test_stat"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_sum(CAST(embedding[1:32] AS DOUBLE[])) AS x, list_sum(CAST(embedding[33:64] AS DOUBLE[])) AS y FROM embeddings),
+m AS (SELECT vec_id, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, var_samp(x) OVER w AS a, covar_samp(x, y) OVER w AS b, var_samp(y) OVER w AS c, row_number() OVER (ORDER BY vec_id) AS t FROM v WINDOW w AS (ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT vec_id AS seq, round((c * x * x - 2 * b * x * y + a * y * y) / (a * c - b * b), 6) AS test_stat FROM m WHERE t > 10""")
+def mahalanobis_online_statistic(spark, d):
+    """Distances of the halves' sums to their running mean."""
+    half = lambda a: F.aggregate(F.slice(F.col("embedding").cast("array<double>"), a, 32), F.lit(0.0), lambda s, x: s + x)
+    e = table(spark, d, "embeddings").select("vec_id", half(1).alias("a"), half(33).alias("b"))
+    det = online.MahalanobisOnline(n_components=2, start_clip=1 << 60)
+    return online.replay(e, det, ["a", "b"], "vec_id").where("time > 10").select("seq", r6("test_stat").alias("test_stat"))
+
+
 @query()
 def lsdd_online_replay(spark, d):
     ref, stream = _vector_halves(spark, d)

@@ -36,6 +36,18 @@ def mmd2_fixed_sigma(spark, d):
     return spark.createDataFrame([(round(float(value), 9) + 0.0,)], "mmd2 double")
 
 
+@query(f"""WITH {V}, p AS (SELECT a.is_ref AS fa, b.is_ref AS fb, 0.8 * exp(-(list_distance(a.x[1:4], b.x[1:4]) ** 2) * 2) + 0.2 * exp(-(list_distance(a.x, b.x) ** 2) / 2) AS k FROM v a JOIN v b ON a.id < b.id),
+s AS (SELECT sum(CASE WHEN fa = 1 AND fb = 1 THEN k END) AS xx, sum(CASE WHEN fa = 0 AND fb = 0 THEN k END) AS yy, sum(CASE WHEN fa <> fb THEN k END) AS xy FROM p),
+c AS (SELECT CAST(sum(is_ref) AS DOUBLE) AS n, CAST(sum(1 - is_ref) AS DOUBLE) AS m FROM v)
+SELECT round(2 * xx / (n * (n - 1)) + 2 * yy / (m * (m - 1)) - 2 * xy / (n * m), 9) AS mmd2 FROM s, c""")
+def mmd2_deep_kernel(spark, d):
+    """A kernel on a projection, mixed with one on the whole vectors."""
+    s = kernels.numbered(*halves(spark, d), order="id")
+    kernel = kernels.DeepKernel(learned.Linear(np.eye(64)[:, :4]), kernels.GaussianRBF((0.5,)), kernels.GaussianRBF((1.0,)), 0.2)
+    value = kernels.mmd2(kernels.tile_sums(s, kernel), s.n_ref, s.n_test)[0]
+    return spark.createDataFrame([(round(float(value), 9) + 0.0,)], "mmd2 double")
+
+
 @query(f"WITH {PAIRS}, r AS (SELECT d2, row_number() OVER (ORDER BY d2) - 1 AS i, count(*) OVER () AS n FROM p) SELECT round(sqrt(d2 / 2), 6) AS sigma FROM r WHERE i = (n - 1) // 2")
 def sigma_median(spark, d):
     return kernels.sigma_median(*halves(spark, d)).select(r6("sigma").alias("sigma"))
@@ -198,6 +210,13 @@ def kernel_pca_score(spark, d):
     return _scored(projection.kernel_pca(test, ref, "features", 5, kernels.GaussianRBF((1.0,))))
 
 
+@query(f"WITH {XY} SELECT l_orderkey, l_linenumber, round(0.5 * (c * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * c - b * b) + 0.5 * ln(a * c - b * b) + ln(2 * pi()), 5) AS score FROM l, m")
+def gaussian_score(spark, d):
+    """Minus the log density under a mixture of one."""
+    l = lines_2d(spark, d)
+    return mixture.gmm(l, l.where("l_orderkey % 2 = 0"), ["x", "y"], 1).select("l_orderkey", "l_linenumber", F.round("score", 5).alias("score"))
+
+
 @query()
 def gmm_score(spark, d):
     l = lines_2d(spark, d)

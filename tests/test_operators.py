@@ -430,7 +430,7 @@ def test_injection(spark, normal, percent):
     out = inject.inject_tabular(normal.withColumn("was", F.col("f0")), ["f0"], percent, 3, 1, "id", 1)
     n, moved = out.agg(F.sum("is_outlier"), F.sum((F.col("f0") != F.col("was")).cast("int"))).first()
     assert n == moved == 5 * percent
-    ts = inject.inject_ts(normal.withColumn("was", F.col("f0")), "f0", "id", percent, 3, 1, seed=2)
+    ts = inject.inject_ts(normal.withColumn("was", F.col("f0")).withColumn("s", F.lit(1)), "f0", "id", percent, 3, 1, "s", seed=2)
     assert ts.agg(F.sum("is_outlier")).first()[0] == 5 * percent
     again = inject.inject_tabular(normal.repartition(5).withColumn("was", F.col("f0")), ["f0"], percent, 3, 1, "id", 1)
     assert sorted(r.f0 for r in again.collect()) == sorted(r.f0 for r in out.collect())
