@@ -476,6 +476,7 @@ class LLR:
 
     semantic: DataFrame | None = None
     background: DataFrame | None = None
+    threshold: float | None = None
 
     def fit(self, df: DataFrame, background: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", mutation_rate: float = 0.1, mutate_fn: Callable = recon.mutated, seed: int = 0) -> LLR:
         """Without a background table it is the rows themselves, mutated."""
@@ -487,6 +488,15 @@ class LLR:
             raise NotFitted("LLR")
         return recon.likelihood_ratio(df, self.semantic, self.background, id_col, text_col)
 
+    def infer_threshold(self, df: DataFrame, percent: float = 95.0, id_col: str = "doc_id", text_col: str = "text") -> LLR:
+        got = thresholds.percentile_threshold(self.score(df, id_col, text_col), "score", percent).first()
+        return replace(self, threshold=got.threshold)
+
+    def predict(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        if self.threshold is None:
+            raise NoThreshold("LLR")
+        return thresholds.flag_outliers(self.score(df, id_col, text_col), "score", self.threshold)
+
 
 # -- adversarial instances -----------------------------------------------------
 
@@ -555,19 +565,20 @@ MahalanobisOnline = online.MahalanobisOnline
 #: What a spec may name, with the parameters it may set.
 KNOWN: dict[str, set[str]] = {
     c.__name__: {f for f in c.__dataclass_fields__ if f not in ("ref", "train", "validation", "kernel", "preprocess", "semantic", "background", "model", "init_sigma")}
-    for c in (KSDrift, CVMDrift, FETDrift, ChiSquareDrift, TabularDrift, MMDDrift, LSDDDrift, ContextMMDDrift, LearnedKernelDrift, ClassifierDrift, SpotTheDiffDrift, ClassifierUncertaintyDrift, RegressorUncertaintyDrift, KNN, LOF, Mahalanobis, PCA, GMM, SVM, IForest, OutlierAE, OutlierVAE, OutlierAEGMM, OutlierVAEGMM, SpectralResidual, OutlierSeq2Seq, OutlierProphet, AdversarialAE, ModelDistillation)
+    for c in (KSDrift, CVMDrift, FETDrift, ChiSquareDrift, TabularDrift, MMDDrift, LSDDDrift, ContextMMDDrift, LearnedKernelDrift, ClassifierDrift, SpotTheDiffDrift, ClassifierUncertaintyDrift, RegressorUncertaintyDrift, KNN, LOF, Mahalanobis, PCA, GMM, SVM, IForest, OutlierAE, OutlierVAE, OutlierAEGMM, OutlierVAEGMM, SpectralResidual, OutlierSeq2Seq, OutlierProphet, AdversarialAE, ModelDistillation, LLR)
 }
 
 
-def from_spec(spec, ref: DataFrame | None):
-    """The detector that a checked spec describes, on its reference."""
+def from_spec(spec, ref: DataFrame | None, **tables: DataFrame):
+    """The detector that a checked spec describes, on its reference and on further
+    tables that its fields name, as the two models of ``LLR``."""
     made = globals()[spec.check(KNOWN).detector]
     params = {k: tuple(v) if isinstance(v, list) and (k == "k" or issubclass(made, UnivariateDrift)) else v for k, v in spec.params.items()}
     if "ref" in made.__dataclass_fields__:
         params["ref"] = ref
     elif "train" in made.__dataclass_fields__:
         params["train"] = ref
-    return made(**params)
+    return made(**params, **tables)
 
 
-__all__ = [*KNOWN, "CVMDriftOnline", "FETDriftOnline", "MMDDriftOnline", "LSDDDriftOnline", "MahalanobisOnline", "LLR", "NotFitted", "NoThreshold", "from_spec"]
+__all__ = [*KNOWN, "CVMDriftOnline", "FETDriftOnline", "MMDDriftOnline", "LSDDDriftOnline", "MahalanobisOnline", "NotFitted", "NoThreshold", "from_spec"]

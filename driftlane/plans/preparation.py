@@ -60,10 +60,12 @@ def layer_mean(spark, d):
     return m.select("vec_id", r6(F.aggregate("m", F.lit(0.0), lambda a, x: a + x)).alias("total"), r6(F.get("m", F.lit(0))).alias("first"))
 
 
-@query("WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT vec_id, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY vec_id) SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) - m) / (s + 1e-12), 6) AS first FROM embeddings JOIN m USING (vec_id)")
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), m AS (SELECT vec_id, x, list_avg(x) AS m, sqrt(list_avg([(y - list_avg(x)) ** 2 FOR y IN x])) AS s FROM v)
+SELECT vec_id, round((x[1] - m) / (s + 1e-12), 6) AS first, round(list_sum([i * (x[i] - m) / (s + 1e-12) FOR i IN range(1, 65)]), 4) AS weighted FROM m""")
 def scale_by_instance(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.select("vec_id", r6(F.get(preprocess.scale_by_instance(F.col("embedding").cast("array<double>")), F.lit(0))).alias("first"))
+    e = table(spark, d, "embeddings").select("vec_id", preprocess.scale_by_instance(F.col("embedding").cast("array<double>")).alias("z"))
+    weighted = F.aggregate(F.transform("z", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", r6(F.get("z", F.lit(0))).alias("first"), (F.round(weighted, 4) + 0.0).alias("weighted"))
 
 
 @query("WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT event_id, round(-1 + 2 * (value - lo) / (hi - lo), 6) AS value FROM events, m")

@@ -65,3 +65,8 @@ def load(spark: SparkSession, path: str, known: dict[str, set[str]]) -> tuple[Sp
     spec = Spec(**{k: raw[k] for k in ("detector", "params", "columns", "version")}).check(known)
     p, fs = _fs(spark, f"{path}/ref")
     return spec, spark.read.parquet(f"{path}/ref") if fs.exists(p) else None
+
+
+def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A further table that was saved with a spec."""
+    return spark.read.parquet(f"{path}/{name}")

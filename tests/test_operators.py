@@ -703,7 +703,7 @@ def test_classifier_out_of_bag_and_calibrated(spark):
     assert learned.out_of_bag(ref, moved, "features", "id", bags=6).count() > 500
 
 
-def test_likelihood_ratio_with_mutated_background(spark):
+def test_likelihood_ratio_with_mutated_background(spark, tmp_path):
     rows = [(i, "the sea and the boats " * (2 + i % 3)) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     moved = {r.doc_id: r.text for r in recon.mutated(df, "doc_id", "text", 0.3).collect()}
@@ -714,6 +714,13 @@ def test_likelihood_ratio_with_mutated_background(spark):
     own = spark.createDataFrame([(1, "the boats and the sea"), (2, "xqz vjk wqx zzk"), (3, "a")], "doc_id long, text string")
     score = {r.doc_id: r.score for r in llr.score(own).collect()}
     assert score[1] < score[2]
+    with pytest.raises(D.NoThreshold):
+        llr.predict(own)
+    fitted, path = llr.infer_threshold(df, 99), str(tmp_path / "llr")
+    assert {r.doc_id: r.is_outlier for r in fitted.predict(own).collect()}[2] == 1
+    spec.save(spec.Spec("LLR", {"threshold": fitted.threshold}), None, path, semantic=fitted.semantic, background=fitted.background)
+    back = D.from_spec(spec.load(spark, path, D.KNOWN)[0], None, **{t: spec.load_table(spark, path, t) for t in ("semantic", "background")})
+    assert back.threshold == fitted.threshold and {r.doc_id: r.score for r in back.score(own).collect()} == pytest.approx(score)
     steps = recon.likelihood_ratio_steps(own, llr.semantic, llr.background).groupBy("doc_id").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     assert {r.doc_id: r.n for r in steps} == {1: 20, 2: 14} and all(r.s == pytest.approx(score[r.doc_id]) for r in steps)
 
