@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from driftlane.functions import stats
 from driftlane.functions.columns import deviation, entropy, margin, softmax
 from driftlane.functions.frames import kept, spread
-from driftlane.operators import kernels, univariate
+from driftlane.operators import kernels, networks, univariate
 from driftlane.operators.projection import vector
 
 
@@ -150,49 +150,57 @@ def _h(kernel: np.ndarray, n: int) -> np.ndarray:
     return kernel[:n, :n] + kernel[n:, n:] - kernel[:n, n:] - kernel[n:, :n]
 
 
-def signal(kernel: Callable, x: np.ndarray, y: np.ndarray, var_reg: float = 1e-5) -> float:
-    """Estimate of MMD^2 over its deviation: what makes a kernel powerful."""
+def signal(kernel: np.ndarray, var_reg: float = 1e-5) -> tuple[float, np.ndarray]:
+    """Estimate of MMD^2 over its deviation, what makes a kernel powerful, from the
+    kernel matrix of two samples of one size, and its gradient by that matrix."""
+    n = len(kernel) // 2
+    h = _h(kernel, n)
+    rows, whole = h.sum(1), h.sum()
+    mmd = (whole - np.trace(h)) / (n * (n - 1))
+    var = 4 * ((rows**2).sum() / n**3 - (whole / n**2) ** 2)
+    dev = np.sqrt(max(var, 0) + var_reg)
+    by_h = (1 - np.eye(n)) / (n * (n - 1)) / dev
+    if var > 0:
+        by_h = by_h - mmd / (2 * dev**3) * 8 * (rows[:, None] / n**3 - whole / n**4)
+    return float(mmd / dev), np.block([[by_h, -by_h], [-by_h, by_h]])
+
+
+def train_kernel(x: np.ndarray, y: np.ndarray, projection_dims: int = 4, hidden: int = 16, var_reg: float = 1e-5, epochs: int = 20, batch: int = 128, rate: float = 1e-2, seed: int = 0, optimiser: Callable = networks.Adam) -> tuple[kernels.DeepKernel, list[float]]:
+    """A deep kernel whose projection network, two bandwidths and mixing share climb
+    the signal on batches of both samples; and the mean loss, minus the signal, of
+    each epoch. Rows are standardised before the network."""
+    both = np.concatenate([x, y])
+    net = networks.Network.make([x.shape[1], hidden, projection_dims], seed)
+    net.weights[0] /= both.std(0)[:, None] + 1e-9
+    net.biases[0] -= both.mean(0) @ net.weights[0]
+    d = kernels.squared_distances(both[:1000], both[:1000])[np.triu_indices(min(len(both), 1000), 1)]
+    p = net(both[:1000])
+    near = kernels.squared_distances(p, p)[np.triu_indices(len(p), 1)]
+    width = lambda v: np.array([0.5 * np.log(max(float(np.median(v)), 1e-12) / 2)])
+    free = [width(near), width(d), np.zeros(1)]  # log bandwidths, logit of the share of the kernel on whole rows
     n = min(len(x), len(y))
-    h = _h(kernel(np.concatenate([x[:n], y[:n]]), np.concatenate([x[:n], y[:n]])), n)
-    mmd = (h.sum() - np.trace(h)) / (n * (n - 1))
-    var = 4 * ((h.sum(1) ** 2).sum() / n**3 - (h.sum() / n**2) ** 2)
-    return float(mmd / np.sqrt(max(var, 0) + var_reg))
-
 
-def train_kernel(x: np.ndarray, y: np.ndarray, projection_dims: int = 4, var_reg: float = 1e-5, rounds: int = 40, batch: int = 256, seed: int = 0) -> kernels.DeepKernel:
-    """A deep kernel with a linear projection, chosen to raise the signal.
-
-    Simultaneous perturbation of the projection, the two log bandwidths and the
-    logit of eps on batches; a step stays if the signal on the batch rises.
-    """
-    rng = np.random.default_rng(seed)
-    both = np.concatenate([x, y])
-    d = kernels.squared_distances(both[: min(len(both), 1000)], both[: min(len(both), 1000)])
-    width = float(np.sqrt(np.median(d[np.triu_indices(len(d), 1)]) / 2)) or 1.0
-    gap = x.mean(0) - y.mean(0)
-    first = rng.normal(size=(x.shape[1], projection_dims)) / np.sqrt(x.shape[1])
-    first[:, 0] = gap / (np.linalg.norm(gap) + 1e-12)
-    params = [first, np.log(width), np.log(width), 0.0]
-
-    def build(p) -> kernels.DeepKernel:
-        w = p[0]
-        return kernels.DeepKernel(lambda z: z @ w, kernels.GaussianRBF((float(np.exp(p[1])),)), kernels.GaussianRBF((float(np.exp(p[2])),)), float(1 / (1 + np.exp(-p[3]))))
-
-    step = 0.3
-    for _ in range(rounds):
-        a, b = (z[rng.choice(len(z), min(batch, len(z)), replace=False)] for z in (x, y))
-        now = signal(build(params), a, b, var_reg)
-        move = [step * rng.normal(size=np.shape(p)) * (0.3 if i == 0 else 1) for i, p in enumerate(params)]
-        tried = [(signal(build(q), a, b, var_reg), q) for q in ([p + m for p, m in zip(params, move)], [p - m for p, m in zip(params, move)])]
-        best = max(tried, key=lambda t: t[0])
-        if best[0] > now:
-            params = best[1]
-        else:
-            step *= 0.95
-    return build(params)
-
-
-def learned_kernel_drift(ref: DataFrame, test: DataFrame, vec_col: str, id_col: str, p_val: float = 0.05, permutations: int = 100, train_size: float = 0.75, limit: int = 5000, seed: int = 0) -> dict:
+    def loss(at: np.ndarray, rng: np.random.Generator) -> tuple[float, list[np.ndarray]]:
+        z = np.concatenate([x[at], y[rng.permutation(len(y))[: len(at)]]])
+        outs = net.layers(z)
+        p, (sa, sb, logit) = outs[-1], free
+        eps = 1 / (1 + np.exp(-logit[0]))
+        da, db = kernels.squared_distances(p, p), kernels.squared_distances(z, z)
+        va, vb = np.exp(2 * sa[0]), np.exp(2 * sb[0])
+        ka, kb = np.exp(-da / (2 * va)), np.exp(-db / (2 * vb))
+        value, g = signal((1 - eps) * ka + eps * kb, var_reg)
+        w = -g * (1 - eps) * ka / (2 * va)
+        w = w + w.T
+        to_p = 2 * (w.sum(1)[:, None] * p - w @ p)
+        own = [np.array([(g * (1 - eps) * ka * da).sum() / va]), np.array([(g * eps * kb * db).sum() / vb]), np.array([(g * (kb - ka)).sum() * eps * (1 - eps)])]
+        return -value, [-q for q in [*net.back(to_p, outs)[0], *own]]
+
+    losses = networks.train([*net.params, *free], loss, n, epochs, min(batch, n), rate, seed, optimiser)
+    rbf = lambda s: kernels.GaussianRBF((float(np.exp(s[0])),))
+    return kernels.DeepKernel(net, rbf(free[0]), rbf(free[1]), float(1 / (1 + np.exp(-free[2][0])))), losses
+
+
+def learned_kernel_drift(ref: DataFrame, test: DataFrame, vec_col: str, id_col: str, p_val: float = 0.05, permutations: int = 100, train_size: float = 0.75, limit: int = 5000, seed: int = 0, **training) -> dict:
     """Trains a kernel on a share of both samples (``limit`` rows each at most) and
     tests with it on all the rest, by permutations over tiles."""
     share = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 40)) < train_size * (1 << 40)
@@ -201,10 +209,8 @@ def learned_kernel_drift(ref: DataFrame, test: DataFrame, vec_col: str, id_col:
     for df in (ref, test):
         rows = df.where(share).select(F.col(vec_col).cast("array<double>").alias("v"), order.alias("o")).orderBy("o").limit(limit).collect()
         held.append(np.array([r.v for r in rows]))
-    kernel = train_kernel(*held, seed=seed)
-    w, eps, sa, sb = kernel.proj(np.eye(held[0].shape[1])), kernel.eps, kernel.kernel_a.sigma, kernel.kernel_b.sigma
-    fixed = kernels.DeepKernel(Linear(w), kernels.GaussianRBF(sa), kernels.GaussianRBF(sb), eps)
-    return kernels.mmd(ref.where(~share), test.where(~share), fixed, p_val, permutations, vec_col, id_col, seed)
+    kernel, _ = train_kernel(*held, seed=seed, **training)
+    return kernels.mmd(ref.where(~share), test.where(~share), kernel, p_val, permutations, vec_col, id_col, seed)
 
 
 class Linear:

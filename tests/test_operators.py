@@ -635,6 +635,19 @@ def test_gradients_by_differences():
         return net.fit(seqs, target, 1, batch=99, optimiser=lambda p, r: o(p[:3], r) if not no_estimates(p) else None).losses
 
     assert differences(recurrent) < 1e-5
+    other = rng.normal(size=(12, 4)) * 1.5
+    assert differences(lambda o: learned.train_kernel(x, other, 2, 5, epochs=1, batch=12, optimiser=o)[1]) < 1e-4
+
+
+def test_training_a_kernel_raises_its_signal():
+    """Samples that differ in one direction of little spread."""
+    rng = np.random.default_rng(6)
+    draw = lambda n, s: rng.normal(size=(n, 6)) * np.array([s, 5, 5, 5, 5, 5])
+    kernel, losses = learned.train_kernel(draw(600, 1.0), draw(600, 2.0), epochs=40, seed=1)
+    assert losses[-1] < losses[0] - 0.05
+    fresh = np.concatenate([draw(300, 1.0), draw(300, 2.0)])
+    plain = kernels.GaussianRBF((float(np.sqrt(np.median(kernels.squared_distances(fresh, fresh)) / 2)),))
+    assert learned.signal(kernel(fresh, fresh))[0] > learned.signal(plain(fresh, fresh))[0] + 0.05
 
 
 @pytest.mark.parametrize("seed", [0, 1])
