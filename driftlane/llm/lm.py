@@ -30,8 +30,8 @@ from driftlane.llm import common
 
 ORDER = 3
 #: Bytes of text in a block, and bytes of text for each range of hashes.
-BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+RANGE_BYTES = 12 << 20
 #: Tokens that the smoothing adds to a state, dealt out as its backoff state has them.
 PRIOR = 8.0
 #: Histories that occur more often have their continuations dealt out to all ranges.
@@ -213,16 +213,19 @@ def trie_record(levels: list[Level], counts: list[np.ndarray], numbers: np.ndarr
 
 def add_tries(records: list[list[bytes]]) -> list[list[bytes]]:
     """What the other records of a range add to the counts of each record's n-grams."""
-    columns = [[_unpack(b) for b in r] for r in records]
-    joined = [np.concatenate(c) for c in zip(*columns)]
-    above, answers = joined[0], [[] for _ in records]
-    for at in range(1, len(joined), 3):
-        kids, last, n = joined[at : at + 3]
-        words, word = _distinct(last)
+    answers = [[] for _ in records]
+    above = np.concatenate([_unpack(r[0]) for r in records])
+    for at in range(1, len(records[0]), 3):
+        kids = np.concatenate([_unpack(r[at]) for r in records])
+        own = [_unpack(r[at + 1]) for r in records]
+        ends = np.cumsum([len(x) for x in own])[:-1]
+        words, word = _distinct(np.concatenate(own))
+        del own
         _, prefix = _distinct(above)
         _, above = _distinct(np.repeat(prefix.astype(np.int64), kids) * max(1, len(words)) + word)
+        del kids, words, word, prefix
+        n = np.concatenate([_unpack(r[at + 2]) for r in records])
         total = np.bincount(above, weights=n).astype(np.int64)[above] - n if len(above) else above
-        ends = np.cumsum([len(c[at + 1]) for c in columns])[:-1]
         for answer, part in zip(answers, np.split(total, ends)):
             answer.append(_pack(part))
     return answers
@@ -384,6 +387,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.int64(), pa.int64())
 
     def answers_of(rows) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     def number_words(table: pa.Table) -> pa.Table:
