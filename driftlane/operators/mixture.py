@@ -158,25 +158,25 @@ def isolation_forest(df: DataFrame, ref: DataFrame, features: list[str] | str, n
     forest = [tuple(np.array(r[k]) for k in "fclr") for r in trees]
     scale = max(_harmonic(size), 1e-12)
 
-    # all trees in one table of nodes; a leaf's tests lead back to itself
+    # all trees in one table of nodes: two children each, those of a leaf are itself
     offset = np.cumsum([0, *(len(t[0]) for t in forest)])
     feature, cut, left, right = (np.concatenate(c) for c in zip(*forest)) if forest else (np.zeros(0),) * 4
-    inner, add = feature >= 0, np.repeat(offset[:-1], np.diff(offset))
-    own = np.arange(len(feature))
-    left, right = (np.where(inner, x + add, own).astype(np.int64) for x in (left, right))
-    feature = np.where(inner, feature, 0).astype(np.int64)
+    add, own = np.repeat(offset[:-1], np.diff(offset)), np.arange(len(feature))
+    kids = np.stack([np.where(feature >= 0, x + add, own) for x in (right, left)], 1).ravel().astype(np.int32)
+    feature = np.maximum(feature, 0).astype(np.int32)
 
     @F.pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:
         x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, 1))
-        out = np.zeros(len(x))
-        for a in range(0, len(x), 2048):
-            part = x[a : a + 2048]
-            at = np.tile(offset[:-1], (len(part), 1))
-            row = np.arange(len(part))[:, None]
-            while inner[at].any():
-                at = np.where(part[row, feature[at]] <= cut[at], left[at], right[at])
-            out[a : a + 2048] = cut[at].sum(1)
-        return pd.Series(2 ** (-out / max(len(forest), 1) / scale) - 0.5)
+        flat, start, depth = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+        for root in offset[:-1].tolist():
+            at = np.full(len(x), root, np.int32)
+            while True:
+                after = kids.take(2 * at + (flat.take(start + feature.take(at)) <= cut.take(at)))
+                if (after == at).all():
+                    break
+                at = after
+            depth += cut.take(at)
+        return pd.Series(2 ** (-depth / max(len(forest), 1) / scale) - 0.5)
 
     return spread(df).withColumn("score", score(vector(features)))
