@@ -345,13 +345,35 @@ def one_segment(both: DataFrame, segment: str | None, run: Callable[[pd.DataFram
     return held.groupBy(key).applyInPandas(apply, f"segment string, {schema}")
 
 
-def kernel_matrix(left: DataFrame, right: DataFrame, kernel: Callable, id_col: str = "id", vec_col: str = "features", size: int = TILE) -> DataFrame:
-    """``a, b, k``: the kernel of all pairs of two tables, in tiles. Its rows are the
-    product of the tables': for reports on small samples; tests need sums alone."""
+def _tile_pairs(left: DataFrame, right: DataFrame, id_col: str, vec_col: str, size: int):
+    """Grouped tiles of two tables, each pair of tiles once: columns id, v."""
     n, m = max(1, math.ceil(left.count() / size)), max(1, math.ceil(right.count() / size))
     v = F.col(vec_col).cast("array<double>").alias("v")
     x = left.select(F.col(id_col).alias("id"), v, F.pmod(F.xxhash64(id_col), F.lit(n)).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     y = right.select(F.col(id_col).alias("id"), v, F.pmod(F.xxhash64(id_col), F.lit(m)).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).toDF("id", "v", "j", "i")
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j"))
+
+
+def kernel_rows(left: DataFrame, right: DataFrame, kernel: Callable, id_col: str = "id", vec_col: str = "features", size: int = TILE) -> DataFrame:
+    """``a, total, nearest``: for each row of one table the sum of the kernel over the
+    other, and its largest value at a row of another id. A tile leaves a row for each
+    of its own, not for each pair."""
+
+    def evaluate(a: pa.Table, b: pa.Table) -> pa.Table:
+        ka, kb = a.column("id").to_numpy(), b.column("id").to_numpy()
+        k = kernel(as_matrix(a.column("v")), as_matrix(b.column("v"))) if len(a) and len(b) else np.zeros((len(a), len(b)))
+        others = np.where(ka[:, None] == kb[None], -np.inf, k).max(1, initial=-np.inf)
+        return pa.table({"a": ka, "total": k.sum(1), "nearest": pa.array(others, pa.float64(), mask=others == -np.inf)})
+
+    kind = dict(left.dtypes)[id_col]
+    tiles = _tile_pairs(left, right, id_col, vec_col, size).applyInArrow(evaluate, f"a {kind}, total double, nearest double")
+    return tiles.groupBy("a").agg(F.sum("total").alias("total"), F.max("nearest").alias("nearest"))
+
+
+def kernel_matrix(left: DataFrame, right: DataFrame, kernel: Callable, id_col: str = "id", vec_col: str = "features", size: int = TILE) -> DataFrame:
+    """``a, b, k``: the kernel of all pairs of two tables, in tiles. Its rows are the
+    product of the tables': for reports on small samples; ``kernel_rows`` and the
+    tests leave sums alone."""
 
     def evaluate(a: pa.Table, b: pa.Table) -> pa.Table:
         ka, kb = a.column("id").to_numpy(), b.column("id").to_numpy()
@@ -359,4 +381,4 @@ def kernel_matrix(left: DataFrame, right: DataFrame, kernel: Callable, id_col: s
         return pa.table({"a": np.repeat(ka, len(kb)), "b": np.tile(kb, len(ka)), "k": k.ravel()})
 
     kind = dict(left.dtypes)[id_col]
-    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInArrow(evaluate, f"a {kind}, b {kind}, k double")
+    return _tile_pairs(left, right, id_col, vec_col, size).applyInArrow(evaluate, f"a {kind}, b {kind}, k double")
