@@ -132,10 +132,11 @@ class Block:
         token[inner] = number[code]
         return cls(sizes, token, part, train), words
 
-    def by_part(self, parts: int) -> list[np.ndarray]:
-        """The words of each range."""
+    def by_part(self) -> list[tuple[int, np.ndarray]]:
+        """The ranges that the words are in, and the words of each."""
         order = np.argsort(self.part, kind="stable")
-        return np.split(order, np.searchsorted(self.part[order], np.arange(1, parts)))
+        ranges, first = np.unique(self.part[order], return_index=True)
+        return list(zip(ranges.tolist(), np.split(order, first[1:])))
 
     def counts(self, at: np.ndarray, n: int, train: bool = True) -> np.ndarray:
         """How often each n-gram ends in the training documents (or in the others)."""
@@ -180,11 +181,12 @@ class Block:
             part.append(p)
             kept.append(kept[-1][level.parent] & ~lone[level.last])
         indexes = [np.flatnonzero(k) for k in kept]
-        indexes = [i[np.argsort(p[i].astype(np.uint16 if parts < 1 << 16 else np.uint64), kind="stable")] for i, p in zip(indexes, part)]
-        bounds = [np.searchsorted(p[i], np.arange(parts + 1)) for i, p in zip(indexes, part)]
+        indexes = [i[np.argsort(p[i], kind="stable")] for i, p in zip(indexes, part)]
+        ranges = np.unique(np.concatenate([p[i] for i, p in zip(indexes, part)]))  # those with any n-gram
+        bounds = [(np.searchsorted(p[i], ranges), np.searchsorted(p[i], ranges, side="right")) for i, p in zip(indexes, part)]
         out = []
-        for k in range(parts):
-            mine = [i[b[k] : b[k + 1]] for i, b in zip(indexes, bounds)]
+        for at, k in enumerate(ranges.tolist()):
+            mine = [i[first[at] : last[at]] for i, (first, last) in zip(indexes, bounds)]
             guests = np.zeros(0, np.int64)
             if len(mine) > 1:  # pairs whose continuations were dealt here
                 guests = levels[1].parent[mine[1]]
@@ -345,7 +347,6 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training.cast("boolean"), F.lit(False)).alias("train"))
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / range_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
     held = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("item", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
 
     def cut(batches):
@@ -371,7 +372,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         block, words = Block.lex(text, table.column("train").to_numpy(), parts)
         texts = [_pack(x.astype(np.int64)) for x in (block.sizes, block.token, block.part, block.train)]
         seen, others = (block.counts(block.token, block.n_words, t) for t in (True, False))
-        asked = [(k, at) for k, at in enumerate(block.by_part(parts)) if len(at)]
+        asked = block.by_part()
         zip_words = zstandard.ZstdCompressor(level=3).compress
         records = [[zip_words(b"\n".join([words[i] for i in at.tolist()])), _pack(seen[at]), _pack(others[at])] for _, at in asked]
         pieces = [(item, a // PIECE, raw[a : a + PIECE]) for item, raw in enumerate(texts) for a in range(0, len(raw), PIECE)]
@@ -413,7 +414,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     def words_of(block: Block, got: pa.Table):
         """Numbers, training counts and flags (lone, frequent) of a block's words."""
         out = np.empty((3, block.n_words), np.int64)
-        where = block.by_part(parts)
+        where = dict(block.by_part())
         for r in got.filter(pc.equal(got.column("kind"), 1)).select(["part", "packed"]).to_pylist():
             out[:, where[r["part"]]] = [_unpack(b) for b in r["packed"]]
         return out[0] * parts + block.part, out[1], (out[2] & 1).astype(bool), (out[2] & 2).astype(bool)
