@@ -327,13 +327,27 @@ class Automaton:
         return weight, failed
 
 
+def elsewhere(block: Block, words: np.ndarray, levels: list[Level], counts: list[np.ndarray]) -> np.ndarray:
+    """Which tokens end an n-gram of the longest kind that other training documents
+    than their own have too."""
+    out, todo, doc = np.zeros(len(block.token), bool), np.ones(len(block.token), bool), np.repeat(np.arange(len(block.sizes)), block.sizes)
+    for at, count in reversed([(block.token, words), *((x.at, c) for x, c in zip(levels, counts))]):
+        on = np.flatnonzero(todo & (at >= 0))
+        place = _distinct(doc[on] * len(count) + at[on])[1]
+        own = np.bincount(place)[place] if len(on) else place
+        out[on] = count[at[on]] > own * block.on[on]
+        todo[on] = False
+    return out
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """Score every whole text with an n-gram model of the rows where ``training``
     holds (null: not). See ``Automaton`` for the model.
 
     Returns ``id_col``, ``n_tokens``, ``n_known``, ``train_tokens`` long,
     ``base_score`` (root arcs alone) and ``score`` double (log10), ``n_failures``
-    long (failure arcs taken). One row per input row, equal ones included; a null or
+    (failure arcs taken) and ``n_elsewhere`` long (tokens whose n-gram of the longest
+    kind other training documents have too: all of a copy's). One row per input row, equal ones included; a null or
     empty text is the end token alone. Without training rows N and V are 0 and all
     arcs are unseen. Other columns are not read.
 
@@ -443,7 +457,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     asked = texts.drop("ids").groupBy("block").cogroup(words.select("kind", "part", "block", "packed").groupBy("block")).applyInArrow(ask, "part int, block long, trie array<binary>")
     grams = common.stage(asked.groupBy("part").applyInArrow(add, answer), "ngrams")
 
-    schema = T.StructType([common.field(docs, id_col), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_failures", T.LongType())])
+    schema = T.StructType([common.field(docs, id_col), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_failures", T.LongType()), T.StructField("n_elsewhere", T.LongType())])
 
     def traverse(texts: pa.Table, got: pa.Table) -> pa.Table:
         block, ids = opened(texts), pa.concat_arrays(texts.column("ids").chunks).flatten()
@@ -458,7 +472,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         weight, failed = automaton.traverse(block)
         add = lambda values: np.add.reduceat(values, block.starts) if len(block.starts) else values
         cols = [ids, pa.array(block.sizes), pa.array(add((words > 0)[block.token].astype(np.int64))), pa.array(np.full(len(block.sizes), n_train, np.int64))]
-        cols += [pa.array(add(automaton.root_weight[block.token])), pa.array(add(weight)), pa.array(add(failed))]
+        cols += [pa.array(add(automaton.root_weight[block.token])), pa.array(add(weight)), pa.array(add(failed)), pa.array(add(elsewhere(block, words, levels, counts).astype(np.int64)))]
         return pa.table(cols, names=schema.names)
 
     got = words.select("kind", "part", "block", "packed").unionAll(grams.select("kind", "part", "block", "packed"))

@@ -62,8 +62,8 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm.score(common.table(spark, sf_dir, "documents"), fold() != 1)
-    per_token = (F.col("score") / F.col("n_tokens")).alias("score_per_token")
-    return out.withColumn("held_out", fold() == 1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_failures", per_token)
+    per_token = [(F.col("score") / F.col("n_tokens")).alias("score_per_token"), (F.col("n_elsewhere") / F.col("n_tokens")).alias("share_elsewhere")]
+    return out.withColumn("held_out", fold() == 1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_failures", "n_elsewhere", *per_token)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

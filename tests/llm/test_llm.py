@@ -633,6 +633,21 @@ def brute_lm(rows, train, order=3, prior=lm.PRIOR):
     return out
 
 
+def brute_elsewhere(rows, train, order=3):
+    """How many n-grams of the longest kind of each text other training texts have."""
+    grams = lambda t: [tuple(s[max(0, j - order + 1) : j + 1]) if order > 1 else (s[j],) for s in ([lm.END, *lm.tokens(t), lm.END],) for j in range(1, len(s))]
+    count = slow_model(rows, train, order)[0]
+    out = []
+    for i, t in rows:
+        own = collections.Counter()
+        if train(i):  # as often as the model has counted them
+            seq = [lm.END, *lm.tokens(t), lm.END]
+            for n in range(1, order + 1):
+                own.update(tuple(seq[j : j + n]) for j in range(1 if n == 1 else 0, len(seq) - n + 1))
+        out.append((-1 if i is None else i, sum(count[g] > own[g] for g in grams(t))))
+    return sorted(out)
+
+
 def same_scores(got, want):
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got))
     want = sorted((i is None, i or 0, *rest) for i, *rest in want)
@@ -657,6 +672,7 @@ def test_lm_blocks_agree_and_awkward(spark, awkward, empty, order):
     for block, part, often in ((1 << 24, 1 << 24, 1 << 16), (2000, 3000, 2)):
         got = lm.score(awkward, F.col("doc_id") % 2 == 1, order=order, block_bytes=block, range_bytes=part, frequent=often).collect()
         same_scores(got, brute_lm(rows, train, order))
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_elsewhere) for r in got) == brute_elsewhere(rows, train, order)
     none = lm.score(awkward, F.lit(False), order=order).collect()
     assert len(none) == len(rows) and all(r.n_known == 0 and math.isfinite(r.score) for r in none)
     assert lm.score(empty, F.lit(True), order=order).collect() == []
@@ -671,6 +687,7 @@ def test_lm_small_blocks_hot_words_and_equal_rows(spark):
     for often in (3, 40, 1 << 16):
         got = lm.score(table, F.col("doc_id") % 3 != 0, block_bytes=300, range_bytes=1000, frequent=often).collect()
         same_scores(got, brute_lm(rows, lambda i: i % 3 != 0))
+        assert sorted((r.doc_id, r.n_elsewhere) for r in got) == brute_elsewhere(rows, lambda i: i % 3 != 0)
 
 
 def automaton_of(rows, order, prior=lm.PRIOR):
