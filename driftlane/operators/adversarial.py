@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlane.functions.columns import argmax, cross_entropy, kl, sharpen
+from driftlane.operators.thresholds import percentile_threshold
 from driftlane.operators import networks, recon
 from driftlane.operators.projection import vector
 
@@ -31,7 +32,7 @@ def distillation_score(p: str | Column, q: str | Column, loss: str = "kld", temp
 
 
 def threshold_with_margin(df: DataFrame, score: str, percent: float = 99.0, margin: float = 0.0) -> DataFrame:
-    return df.agg((F.percentile(score, percent / 100.0) + margin).alias("threshold"))
+    return percentile_threshold(df, score, percent).select((F.col("threshold") + margin).alias("threshold"))
 
 
 def correct(df: DataFrame, score: str, threshold: float, p: str, q: str) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlane.operators.univariate import percentiles as percentiles_of
+
 
 def ord2ohe(code: str | Column, n: int) -> Column:
     """One-hot array of an ordinal code from 0."""
@@ -36,8 +38,8 @@ def num2ord(value: str | Column, values: dict[int, float]) -> Column:
 def bin_edges(df: DataFrame, features: list[str], percentiles: list[float] | None = None) -> dict[str, list[float]]:
     """Distinct percentile edges of each feature: a few numbers."""
     p = [x / 100 for x in (percentiles or [25, 50, 75])]
-    row = df.agg(*[F.percentile(f, p).alias(f) for f in features]).first()
-    return {f: sorted(set(row[f])) for f in features}
+    found = {r.feature: r.edges for r in percentiles_of(df, features, p).collect()}
+    return {f: sorted(set(found[f])) for f in features}
 
 
 def discretise(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:

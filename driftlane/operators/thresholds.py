@@ -15,7 +15,8 @@ from driftlane.operators import univariate
 
 def percentile_threshold(df: DataFrame, score: str, percent: float) -> DataFrame:
     """One row, ``threshold``: the percentile with linear interpolation."""
-    return df.agg(F.percentile(score, percent / 100.0).alias("threshold"))
+    found = univariate.percentiles(df.select(F.col(score).alias("score")), ["score"], [percent / 100.0])
+    return found.agg(F.max(F.get("edges", F.lit(0))).alias("threshold"))
 
 
 def _ranks(values: DataFrame, counted: Column) -> DataFrame:

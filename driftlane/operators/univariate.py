@@ -75,6 +75,22 @@ def running(counts: DataFrame, few: bool = True) -> DataFrame:
     return joined.select("feature", "value", "ref", "test", (F.col("r_in") + F.col("ref_before")).alias("ref_upto"), (F.col("t_in") + F.col("test_before")).alias("test_upto"), "n_ref", "n_test")
 
 
+def percentiles(df: DataFrame, features: Iterable[str], shares: list[float]) -> DataFrame:
+    """``feature, edges``: exact percentiles of each feature with linear interpolation,
+    from counts of values in ranges: no task holds a feature. Features without values
+    have no row."""
+    r = running(value_counts(long_form(df.withColumn("__one", F.lit(1)), features, "__one")))
+
+    def edge(p: float) -> Column:
+        at = (F.col("n_ref") - 1) * p
+        low, high = F.floor(at), F.ceil(at)
+        held = lambda i: F.max(F.when((F.col("ref_upto") - F.col("ref") <= i) & (i < F.col("ref_upto")), F.col("value")))
+        a, b, spot, down, up = held(low), held(high), F.max(at), F.max(low), F.max(high)
+        return F.when(a == b, a).otherwise((up - spot) * a + (spot - down) * b)
+
+    return r.groupBy("feature").agg(F.array(*map(edge, shares)).alias("edges"))
+
+
 def ks_statistic(df: DataFrame, features: Iterable[str], alternative: str = "two-sided", flag: str = "is_ref", names: str | None = None) -> DataFrame:
     """``feature, distance, n_ref, n_test`` of the two-sample statistic.
 
