@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlane.functions.frames import uniform
+from driftlane.functions.frames import number, uniform
 from driftlane.operators.timeseries import local_deviation
 
 
@@ -29,16 +29,27 @@ RANGES = 1 << 14
 def pick(df: DataFrame, n: int, key: str, seed: int, label: str = "picked") -> DataFrame:
     """Marks exactly the ``n`` rows of least hash (all, if fewer).
 
-    Counts of hash ranges, a row each, tell the range of the n-th hash; only that
-    range is sorted."""
+    Counts of hash ranges, a row each, tell the range of the n-th hash; only the keys
+    of that range are sorted. Of rows that share the last key as many are marked as
+    are wanted, by a hash of their values."""
     held = df.select(uniform(seed, key).alias("o"), F.col(key).alias("k")).withColumn("b", F.floor(F.col("o") * RANGES))
     upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     counts = held.groupBy("b").agg(F.count(F.lit(1)).alias("c")).select("b", (F.lit(n) - F.sum("c").over(upto) + F.col("c")).alias("rest"))  # how many are wanted from here on
     last = F.broadcast(counts.where("rest > 0").orderBy(F.desc("b")).limit(1))  # one row
-    nth = F.row_number().over(Window.partitionBy("b").orderBy("o", "k"))
-    edge = held.join(last, "b").withColumn("nth", nth).where("nth <= rest").agg(F.max(F.struct("o", "k")).alias("e"))
+    upto = Window.partitionBy("b").orderBy("o", "k").rowsBetween(Window.unboundedPreceding, 0)
+    keys = held.join(last, "b").groupBy("b", "rest", "o", "k").agg(F.count(F.lit(1)).alias("c")).withColumn("rest", F.col("rest") - F.sum("c").over(upto) + F.col("c"))
+    found = keys.where("rest > 0").orderBy(F.desc("o"), F.desc("k")).select(F.struct("o", "k").alias("e"), "rest", "c").limit(1)
+    edge = found.collect()  # one row
+    if not edge:
+        return df.withColumn(label, F.lit(0))
     spot = F.struct(uniform(seed, key).alias("o"), F.col(key).alias("k"))
-    marked = df.crossJoin(F.broadcast(edge)).withColumn(label, F.coalesce((spot <= F.col("e")).cast("int"), F.lit(0)))  # one row
+    with_edge = df.crossJoin(F.broadcast(df.sparkSession.createDataFrame(edge, found.schema).select("e")))
+    marked = with_edge.withColumn(label, (spot <= F.col("e")).cast("int"))
+    if edge[0].rest < edge[0].c:
+        values = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+        shares = F.col(key).eqNullSafe(F.col("e.k"))
+        own = number(with_edge.where(shares), values, 64, name="__n").withColumn(label, (F.col("__n") < edge[0].rest).cast("int")).drop("__n")
+        marked = marked.where(~shares).unionByName(own)
     return marked.drop("e")
 
 
@@ -49,10 +60,10 @@ def _push(value: Column, dev: Column, r: Column, n_std: float, min_std: float) -
 def inject_tabular(df: DataFrame, features: list[str], percent: float, n_std: float, min_std: float, key: str, seed: int = 0) -> DataFrame:
     """``percent`` % of rows, exactly, move by a random multiple of each feature's
     population deviation; ``is_outlier`` marks them."""
-    rows, devs = df.agg(F.count(F.lit(1)).alias("n")).first().n, df.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
+    rows, *devs = df.agg(F.count(F.lit(1)), *[F.stddev_pop(f) for f in features]).first()
     out = pick(df, int(rows * percent / 100), key, seed, "is_outlier")
     for i, f in enumerate(features):
-        moved = _push(F.col(f), F.lit(devs[f]), normal(seed + 1 + i, key), n_std, min_std)
+        moved = _push(F.col(f), F.lit(devs[i]), normal(seed + 1 + i, key), n_std, min_std)
         out = out.withColumn(f, F.when(F.col("is_outlier") == 1, moved).otherwise(F.col(f)))
     return out
 

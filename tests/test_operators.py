@@ -425,6 +425,14 @@ def test_pick_takes_the_least_hashes(spark):
     assert sum(r["count"] for r in two if r.y) == 900 and sum(r["count"] for r in two if not r.y) == 2700 and {r["count"] for r in two if r.y} == {3}
 
 
+def test_pick_splits_rows_that_share_a_key(spark):
+    df = spark.createDataFrame([(None if i % 5 == 0 else i // 7, i % 3, {"i": 1}) for i in range(70)], "k long, x long, m map<string,int>")
+    for n in (0, 1, 5, 23, 36, 69, 70, 90):
+        out = [inject.pick(d, n, "k", 5).groupBy("k", "x").agg(F.sum("picked").alias("s"), F.count("m").alias("c")).collect() for d in (df, df.repartition(7))]
+        assert sum(r.s for r in out[0]) == min(n, 70) and sum(r.c for r in out[0]) == 70
+        assert {tuple(r) for r in out[0]} == {tuple(r) for r in out[1]}
+
+
 @pytest.mark.parametrize("percent", [0, 10, 20])
 def test_injection(spark, normal, percent):
     out = inject.inject_tabular(normal.withColumn("was", F.col("f0")), ["f0"], percent, 3, 1, "id", 1)
