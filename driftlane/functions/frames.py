@@ -53,3 +53,15 @@ def number(df: DataFrame, key: Column, buckets: int, first: Column | None = None
     before = held.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("c")).select("__f", "__b", F.coalesce(F.sum("c").over(order), F.lit(0)).alias("__o"))  # a row per bucket
     joined = held.join(F.broadcast(before), ["__f", "__b"])
     return joined.withColumn(name, F.col("__o") + F.row_number().over(Window.partitionBy("__f", "__b").orderBy("__k")) - 1).drop("__k", "__f", "__b", "__o")
+
+
+def in_order(df: DataFrame, order: str, name: str = "n") -> DataFrame:
+    """Adds numbers 0 .. N-1 by ``order``; equal values in any order. Rows are staged
+    in ranges of it, a range is sorted in a task and goes on from the counts of those
+    before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = kept(df.repartitionByRange(parts, order).withColumn("__p", F.spark_partition_id()))
+    upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.groupBy("__p").agg(F.count(F.lit(1)).alias("c")).select("__p", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("__o"))  # a row per range
+    numbered = held.join(F.broadcast(before), "__p").withColumn(name, F.col("__o") + F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
+    return kept(numbered.drop("__p", "__o"))  # ties keep their numbers

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlane.operators.kernels import GaussianRBF
 from driftlane.operators import categorical, inject, preprocess, recon, timeseries, univariate
 from driftlane.plans.registry import query, r6, table
 from driftlane.streaming import online
@@ -352,11 +351,10 @@ c AS (SELECT t, sum(exp(-(list_distance(s.x, r.x) ** 2) / 2)) AS k FROM s, r GRO
 y AS (SELECT e.t, sum(exp(-(list_distance(a.x, b.x) ** 2) / 2)) - 10 AS yy FROM s e JOIN s a ON a.t BETWEEN e.t - 9 AND e.t JOIN s b ON b.t BETWEEN e.t - 9 AND e.t WHERE e.t >= 10 GROUP BY e.t)
 SELECT s.id AS seq, round(xx + yy / 90 - 2 * (SELECT sum(k) FROM c WHERE c.t BETWEEN y.t - 9 AND y.t) / (10.0 * (SELECT count(*) FROM r)), 9) AS test_stat FROM y JOIN s USING (t), xx""")
 def mmd_online_statistic(spark, d):
-    """The distance of the last ten rows to the reference, at a set bandwidth."""
-    ref, stream = _vector_halves(spark, d)
-    k = GaussianRBF((1.0,))(ref, ref)
-    det = online.MMDOnline(ref, 1.0, 10, float((k.sum() - len(k)) / (len(k) * (len(k) - 1))), ref[:10], np.full(10, np.inf))
-    return online.replay(stream, det, ["x"], "vec_id").where("time >= 10").select("seq", (F.round("test_stat", 9) + 0.0).alias("test_stat"))
+    """The distance of the last ten rows to the whole reference, at a set bandwidth."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    out = online.mmd_statistic(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "embedding", "vec_id", 1.0, 10)
+    return out.select("seq", (F.round("test_stat", 9) + 0.0).alias("test_stat"))
 
 
 @query("""WITH v AS (SELECT vec_id, list_sum(CAST(embedding[1:32] AS DOUBLE[])) AS x, list_sum(CAST(embedding[33:64] AS DOUBLE[])) AS y FROM embeddings),
