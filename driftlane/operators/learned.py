@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -32,19 +33,69 @@ def classifier(kind: str = "lr", seed: int = 0, **params) -> Estimator:
     return made(featuresCol="__v", labelCol="__y", **params)
 
 
+#: Cells of binned features up to which boosted trees are fitted on cells and not on rows.
+CELLS = 1 << 20
+
+
+def bin_cuts(df: DataFrame, features: list[str], bins: int) -> list[list[float]]:
+    """Of each feature the values up to which its bins reach: each distinct value has a
+    bin if there are ``bins`` at most, else they are quantiles."""
+    x = [F.col(f).cast("double") for f in features]
+    shares = [i / bins for i in range(1, bins)]
+    found = list(df.agg(*[F.approx_count_distinct(c, 0.02) for c in x], *[F.percentile_approx(c, shares, 10_000) for c in x]).first())
+    few = [i for i, n in enumerate(found[: len(x)]) if n <= 2 * bins]  # an estimate; sets of so few values are small
+    held = dict(zip(few, df.agg(*[F.collect_set(x[i]) for i in few]).first())) if few else {}
+    exact = {i: sorted(v)[:-1] for i, v in held.items() if len(v) <= bins}
+    return [exact.get(i, sorted(set(q or []))) for i, q in enumerate(found[len(x) :])]
+
+
+def _of_cells(both: DataFrame, features: list[str], cuts: list[list[float]], held: range | list[int], est: Estimator) -> DataFrame:
+    """As ``out_of_fold``, from trees fitted on cells with the number of their rows as
+    weight. Trees see bins alone, so these are the trees of all rows, and work of a
+    fit follows the cells."""
+    sizes = [len(c) + 1 for c in cuts]
+    strides = np.cumprod([1, *sizes[:-1]]).tolist()
+
+    @F.pandas_udf("long")
+    def place(*x: pd.Series) -> pd.Series:
+        return pd.Series(sum(np.searchsorted(c, v.to_numpy(float)) * s for v, c, s in zip(x, cuts, strides)), dtype="int64")
+
+    whole = functools.reduce(Column.__and__, [F.col(f).isNotNull() for f in features])
+    cell = F.when(whole, place(*[F.col(f).cast("double") for f in features]))
+    rows = kept(both.select("key", "is_ref", "fold", "__y", cell.alias("cell")))
+    counts = kept(rows.groupBy("fold", "__y", "cell").agg(F.count(F.lit(1)).cast("double").alias("__w")))
+    v = array_to_vector(F.array(*[F.pmod(F.floor(F.col("cell") / s), F.lit(n)).cast("double") for s, n in zip(strides, sizes)])).alias("__v")
+    est, parts = est.copy({est.weightCol: "__w"}), []
+    for f in held:
+        train = counts.where(F.col("fold") != f).groupBy("__y", "cell").agg(F.sum("__w").alias("__w"))
+        fitted = est.fit(train.select("__y", "__w", v))
+        out = fitted.transform(counts.where(F.col("fold") == f).select("cell").distinct().select("cell", v))
+        parts.append(out.select(F.lit(f).alias("fold"), "cell", F.get(vector_to_array("probability"), F.lit(1)).alias("prob")))
+    probs = kept(functools.reduce(DataFrame.unionAll, parts))
+    return rows.join(F.broadcast(probs), ["fold", "cell"]).select("key", "is_ref", "fold", "prob")  # a row per fold and cell
+
+
 def out_of_fold(ref: DataFrame, test: DataFrame, features: list[str] | str, key: str, model: str | Estimator = "lr", n_folds: int | None = 5, train_size: float = 0.75, seed: int = 0) -> DataFrame:
     """``key, is_ref, fold, prob``: probability (or score) of the test sample for
     rows whose model has not seen them: k folds, or one held-out share."""
-    v = array_to_vector(vector(features)).alias("__v")
-    both = ref.select(F.col(key).alias("key"), F.lit(1).alias("is_ref"), v).unionByName(test.select(F.col(key).alias("key"), F.lit(0).alias("is_ref"), v))
+    named = [features] if isinstance(features, str) else list(features)
+    x = [F.col(f).alias(f"__x{i}") for i, f in enumerate(named)]
+    both = ref.select(F.col(key).alias("key"), F.lit(1).alias("is_ref"), *x).unionByName(test.select(F.col(key).alias("key"), F.lit(0).alias("is_ref"), *x))
     both = both.withColumn("__y", (1 - F.col("is_ref")).cast("double"))
     if n_folds:
         both, held = both.withColumn("fold", folds(n_folds, "key", "is_ref", seed=seed)), range(n_folds)
     else:
         share = F.pmod(F.xxhash64(F.lit(seed), "key", "is_ref"), F.lit(1 << 40)) < train_size * (1 << 40)
         both, held = both.withColumn("fold", F.when(share, 1).otherwise(0)), [0]
-    both = kept(both)
     est = classifier(model, seed) if isinstance(model, str) else model
+    named = [f"__x{i}" for i in range(len(named))]
+    if isinstance(model, str) and model == "gbt" and not isinstance(features, str):
+        both = kept(spread(both))  # passes over it are long: they use all cores
+        cuts = bin_cuts(both, named, est.getMaxBins())
+        if math.prod(len(c) + 1 for c in cuts) <= CELLS:
+            return _of_cells(both, named, cuts, held, est)
+    v = array_to_vector(vector(named[0] if isinstance(features, str) else named)).alias("__v")
+    both = kept(both.select("key", "is_ref", "__y", "fold", v))
     parts = []
     for f in held:
         fitted = est.fit(both.where(F.col("fold") != f))

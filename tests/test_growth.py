@@ -1,6 +1,7 @@
 """What a task holds or a shuffle sends doesn't follow the size of a table."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from driftlane.operators import adversarial, categorical, kernels, learned, projection, thresholds
 
@@ -70,3 +71,20 @@ def test_regularisers_share_a_decomposition(monkeypatch):
         losses.append((total, 2.0**-i))
     monkeypatch.setattr(np.linalg, "inv", None)  # an inverse for each regulariser and fold took all the time
     assert learned.pick_lambda(l_mat, k) == min(losses)[1]
+
+
+def test_boosted_trees_are_fitted_on_cells(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 6, 900), rng.choice([0.5, -1.0, 7.0], 900)]).astype(float)
+    df = spark.createDataFrame([(i, *v, float(rng.normal())) for i, v in enumerate(x.tolist())], "id long, a double, b double, c double")
+    ref, test, sizes = df.where("id < 500"), df.where("id >= 500").withColumn("a", F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("a"))), []
+    fit = learned.GBTClassifier.fit
+    monkeypatch.setattr(learned.GBTClassifier, "fit", lambda self, d, *a: (sizes.append(d.count()), fit(self, d, *a))[1])
+    for n_folds in (2, None):
+        cells, rows = (learned.out_of_fold(ref, test, ["a", "b"], "id", m, n_folds) for m in ("gbt", learned.classifier("gbt")))
+        got, want = ({(r.key, r.is_ref): (r.fold, r.prob) for r in f.collect()} for f in (cells, rows))
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+    assert max(sizes[:2]) <= 36 and sizes[2] > 400  # 18 cells of two labels, not the rows
+    cuts = learned.bin_cuts(df, ["a", "b", "c"], 32)
+    assert cuts[:2] == [[0, 1, 2, 3, 4], [-1.0, 0.5]] and 29 <= len(cuts[2]) <= 31
+    assert learned.out_of_fold(ref, test, ["a", "b", "c"], "id", "gbt", 2).count() == 900
