@@ -481,7 +481,7 @@ class LLR:
     def fit(self, df: DataFrame, background: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", mutation_rate: float = 0.1, mutate_fn: Callable = recon.mutated, seed: int = 0) -> LLR:
         """Without a background table it is the rows themselves, mutated."""
         background = mutate_fn(df, id_col, text_col, mutation_rate, seed=seed) if background is None else background
-        return LLR(*[recon.bigram_model(recon.bigrams(d, id_col, text_col)) for d in (df, background)])
+        return LLR(*[recon.bigram_model(recon.pair_counts(d, text_col)) for d in (df, background)])
 
     def score(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         if self.semantic is None:

@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,8 +115,8 @@ def bigrams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bigram_model(grams: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """``prev, next, logp``: log ((c + s) / (C(prev) + s V)), V the number of
-    characters that follow any."""
-    counts = grams.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("c"))
+    characters that follow any. From pairs, or from their counts ``c``."""
+    counts = grams if "c" in grams.columns else grams.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("c"))
     vocab = counts.select("next").distinct().agg(F.count(F.lit(1)).alias("v"))
     total = F.sum("c").over(Window.partitionBy("prev"))
     return counts.withColumn("n", total).crossJoin(F.broadcast(vocab)).select("prev", "next", F.ln((F.col("c") + smoothing) / (F.col("n") + smoothing * F.col("v"))).alias("logp"))  # one row
@@ -138,13 +140,87 @@ def likelihood_ratio_steps(df: DataFrame, semantic: DataFrame, background: DataF
     return out.select(F.col("id").alias(id_col), "step", (F.coalesce("b", F.lit(unseen)) - F.coalesce("s", F.lit(unseen))).alias("score"))
 
 
+#: Character pairs of both models up to which they go with the scoring function.
+PAIRS = 1 << 20
+
+#: A pair of characters as one number: the first one's code point times this, plus the second's.
+_CODES = 1 << 21
+
+
+def _slices(rows: pa.RecordBatch, column: int, most: int = 1 << 20):
+    """Rows of a batch, with texts of about so many bytes at a time."""
+    upto, at = np.cumsum(pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield rows.slice(at, end - at)
+        at = end
+
+
+def _pair_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of all texts one after the other, where each text's begin, and how many they are."""
+    points = [np.frombuffer((t or b"").decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for t in texts.to_pylist()]
+    size = np.array([max(len(p) - 1, 0) for p in points], np.int64)
+    pairs = [p[:-1].astype(np.int64) * _CODES + p[1:] for p in points if len(p) > 1]
+    return np.concatenate(pairs or [np.zeros(0, np.int64)]), np.cumsum(size) - size, size
+
+
+def _dense(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the place of each among them; few characters make
+    this a look-up and not a sort."""
+    held = np.zeros(_CODES, np.int32)
+    held[codes // _CODES] = 1
+    held[codes % _CODES] = 1
+    chars = np.flatnonzero(held)
+    if len(chars) > 1024:
+        return np.unique(codes, return_inverse=True)
+    held[chars] = np.arange(len(chars))
+    grid = held[codes // _CODES] * np.int64(len(chars)) + held[codes % _CODES]
+    there = np.bincount(grid, minlength=len(chars) ** 2) > 0
+    found = np.flatnonzero(there)
+    return chars[found // len(chars)] * np.int64(_CODES) + chars[found % len(chars)] if len(chars) else codes, (np.cumsum(there) - 1)[grid]
+
+
+def pair_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """``prev, next, c``: how often characters follow each other in a table's texts,
+    counted a batch at a time."""
+
+    def work(batches):
+        for b in (part for rows in batches for part in _slices(rows, 0)):
+            codes, at = _dense(_pair_codes(b.column(0))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(np.bincount(at, minlength=len(codes)), pa.int64())], ["code", "c"])
+
+    counts = spread(df.select(F.col(text_col).cast("binary").alias("t"))).mapInArrow(work, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    char = F.udf(chr, "string")  # a call for each distinct pair
+    return counts.select(char(F.floor(F.col("code") / _CODES)).alias("prev"), char(F.pmod("code", F.lit(_CODES))).alias("next"), "c")
+
+
 def likelihood_ratio(df: DataFrame, semantic: DataFrame, background: DataFrame, id_col: str = "doc_id", text_col: str = "text", unseen: float = -20.0) -> DataFrame:
     """``id_col, score`` = -(log p semantic - log p background) of each text.
 
-    Both models are tables of character pairs. A text's pairs are counted before
-    they meet the models, so the shuffle grows with distinct pairs.
+    Both models are tables of character pairs. Up to ``PAIRS`` of them go with the
+    function that scores texts; more meet the pairs of each text, counted before, in
+    a join.
     """
-    own = bigrams(df, id_col, text_col).groupBy("id", "prev", "next").agg(F.count(F.lit(1)).alias("k"))
-    out = own.join(semantic.toDF("prev", "next", "s"), ["prev", "next"], "left").join(background.toDF("prev", "next", "b"), ["prev", "next"], "left")
     s, b = F.coalesce("s", F.lit(unseen)), F.coalesce("b", F.lit(unseen))
-    return out.groupBy(F.col("id").alias(id_col)).agg((-F.sum(F.col("k") * (s - b))).alias("score"))
+    models = semantic.toDF("prev", "next", "s").join(background.toDF("prev", "next", "b"), ["prev", "next"], "full").select("prev", "next", (b - s).alias("w"))
+    few = models.limit(PAIRS + 1).toArrow()
+    if few.num_rows > PAIRS:
+        own = bigrams(df, id_col, text_col).groupBy("id", "prev", "next").agg(F.count(F.lit(1)).alias("k"))
+        out = own.join(semantic.toDF("prev", "next", "s"), ["prev", "next"], "left").join(background.toDF("prev", "next", "b"), ["prev", "next"], "left")
+        return out.groupBy(F.col("id").alias(id_col)).agg((-F.sum(F.col("k") * (s - b))).alias("score"))
+    codes = np.array([ord(p) * _CODES + ord(q) for p, q in zip(few.column("prev").to_pylist(), few.column("next").to_pylist())], np.int64)
+    order = np.argsort(codes)
+    codes, weights = np.append(codes[order], np.iinfo(np.int64).max), np.append(few.column("w").to_numpy()[order], 0.0)
+
+    def work(batches):
+        for rows in (part for batch in batches for part in _slices(batch, 1)):
+            own, begin, size = _pair_codes(rows.column(1))
+            known, at = _dense(own)
+            spot = np.searchsorted(codes, known)
+            each = np.where(codes[spot] == known, weights[spot], 0.0)[at]  # a pair that neither model has counts the same in both
+            on = np.flatnonzero(size)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(on)), pa.array(np.add.reduceat(each, begin[on]) if len(on) else np.zeros(0))], ["id", "score"])
+
+    texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")))
+    out = texts.mapInArrow(work, f"id {dict(df.dtypes)[id_col]}, score double")
+    return out.groupBy(F.col("id").alias(id_col)).agg(F.sum("score").alias("score"))

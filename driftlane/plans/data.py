@@ -260,8 +260,8 @@ SELECT doc_id, round(-sum(coalesce(sg.p, -20) - coalesce(bg.p, -20)), 3) AS scor
 def llr_char_bigram(spark, d):
     """Likelihood ratio of English character pairs against those of all documents."""
     docs = table(spark, d, "documents")
-    semantic = recon.bigram_model(recon.bigrams(docs.where("lang = 'en'"), "doc_id", "text"))
-    background = recon.bigram_model(recon.bigrams(docs, "doc_id", "text"))
+    semantic = recon.bigram_model(recon.pair_counts(docs.where("lang = 'en'"), "text"))
+    background = recon.bigram_model(recon.pair_counts(docs, "text"))
     return recon.likelihood_ratio(docs, semantic, background).select("doc_id", (F.round("score", 3) + 0.0).alias("score"))
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from driftlane.operators import adversarial, categorical, kernels, learned, projection, thresholds
+from driftlane.operators import adversarial, categorical, kernels, learned, projection, recon, thresholds
 
 
 def frame(spark, x: np.ndarray):
@@ -88,3 +88,17 @@ def test_boosted_trees_are_fitted_on_cells(spark, monkeypatch):
     cuts = learned.bin_cuts(df, ["a", "b", "c"], 32)
     assert cuts[:2] == [[0, 1, 2, 3, 4], [-1.0, 0.5]] and 29 <= len(cuts[2]) <= 31
     assert learned.out_of_fold(ref, test, ["a", "b", "c"], "id", "gbt", 2).count() == 900
+
+
+def test_character_pairs_are_no_rows(spark, monkeypatch):
+    wide = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 1500))
+    rows = [(1, "abab\U0001f600b"), (1, "ba"), (2, "a"), (3, None), (4, ""), (5, "xyé"), (6, wide), (7, "ab\0a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {(r.prev, r.next): r.c for r in recon.pair_counts(df, "text").collect()}
+    assert counts == {(r.prev, r.next): r["count"] for r in recon.bigrams(df, "doc_id", "text").groupBy("prev", "next").count().collect()}
+    a, b = (recon.bigram_model(recon.pair_counts(d, "text")) for d in (df.where("doc_id = 1"), df.where("doc_id < 6")))
+    out = recon.likelihood_ratio(df, a, b)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # the pairs of a text were rows
+    monkeypatch.setattr(recon, "PAIRS", 1)
+    got, want = ({r.doc_id: r.score for r in d.collect()} for d in (out, recon.likelihood_ratio(df, a, b)))
+    assert got.keys() == want.keys() == {1, 5, 6, 7} and all(abs(got[k] - want[k]) < 1e-9 for k in want)
